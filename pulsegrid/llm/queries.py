@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, shard, url_filter
-from ._common import prepare, read_table
+from . import bpe, chat, decontaminate, fingerprint, langid, shard, url_filter
+from ._common import read_table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,25 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(read_table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_report(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -46,5 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_url_filter": op2_url_filter,
         "op3_shard": op3_shard,
+        "op4_langid": op4_langid,
+        "op7_bpe": op7_bpe,
+        "op8_fingerprint": op8_fingerprint,
         "op10_chat_format": op10_chat_format,
     }
