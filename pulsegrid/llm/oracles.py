@@ -42,6 +42,25 @@ SELECT page_id, part.host, part.path, rule, coalesce(v, 'allow') AS verdict
 FROM part LEFT JOIN fit ON part.host = fit.host AND part.path = fit.path AND k = 1
 """
 
+OP5 = r"""
+WITH RECURSIVE doc AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = other)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN size USING (doc_id)
+"""
+
 OP10 = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -61,4 +80,4 @@ FROM told GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_url_filter": OP2, "op10_chat_format": OP10}
+    return {"op1_decontaminate": OP1, "op2_url_filter": OP2, "op5_neardup": OP5, "op10_chat_format": OP10}

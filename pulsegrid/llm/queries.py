@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, langid, shard, url_filter
+from . import bpe, chat, decontaminate, fingerprint, langid, neardup, shard, url_filter
 from ._common import read_table
 
 
@@ -38,6 +38,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Place of an installed public vocabulary."""
     import public_tokenizers
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_shard": op3_shard,
         "op4_langid": op4_langid,
+        "op5_neardup": op5_neardup,
         "op7_bpe": op7_bpe,
         "op8_fingerprint": op8_fingerprint,
         "op10_chat_format": op10_chat_format,
