@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, langid, neardup, shard, url_filter
+from . import bpe, chat, decontaminate, fingerprint, langid, neardup, repeats, shard, url_filter
 from ._common import read_table
 
 
@@ -57,6 +57,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -73,5 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_neardup": op5_neardup,
         "op7_bpe": op7_bpe,
         "op8_fingerprint": op8_fingerprint,
+        "op9_repeats": op9_repeats,
         "op10_chat_format": op10_chat_format,
     }
