@@ -277,7 +277,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     cuts = materialize(cuts, "cuts")
     few = row_count_at_most(cuts, BROADCAST_IDS // 10)
     held = docs.join(F.broadcast(cuts) if few else cuts, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    schema = docs.schema.add("cuts", cuts.schema["cuts"].dataType)
-    changed = held.select([f.name for f in schema]).mapInArrow(_cut, docs.schema).alias("c")
+    changed = held.select(*docs.columns, "cuts").mapInArrow(_cut, docs.schema)
     left = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.length("text") == 0)
     return changed.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
