@@ -50,24 +50,23 @@ def render(role, text) -> F.Column:
 def parse(formatted) -> F.Column:
     """The turns of a formatted conversation as array<struct<role,text>>; null if the grammar doesn't fit.
 
-    Pieces between free control strings come in fours: nothing, role, text, nothing.
+    Pieces between free control strings come in fours: nothing, role, text, nothing. The functions over pieces see one
+    piece at a time, so a conversation is cut a fixed number of times, whatever its number of turns.
     """
     pieces = F.split(formatted, _FREE)
     found = F.regexp_extract_all(formatted, F.lit(_FREE), F.lit(1))
     n = (F.size(found) / _PIECES).cast("int")
     expected = F.flatten(F.array_repeat(F.array(*[F.lit(c) for c in ("<s>", "[INST]", "[/INST]", "</s>")]), n))
-
-    def content(i, k):
-        piece = F.get(pieces, i * _PIECES + k)
-        return unescape(F.substring(piece, F.lit(1), F.length(piece) - 1))
-
-    turns = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(content(i, 1).alias("role"), content(i, 2).alias("text")))
-    fits = (F.size(found) % _PIECES == 0) & (found == expected) & F.forall(F.transform(F.sequence(F.lit(0), n), lambda i: F.get(pieces, i * _PIECES)), lambda p: p == "")
-    return F.when(n == 0, F.when(formatted == "", F.array().cast("array<struct<role:string,text:string>>"))).when(fits, turns)
+    outside = F.filter(pieces, lambda p, i: (i % _PIECES == 0) | (i % _PIECES == 3))
+    content = lambda piece: unescape(F.substring(piece, F.lit(1), F.length(piece) - 1))
+    roles, texts = F.filter(pieces, lambda p, i: i % _PIECES == 1), F.filter(pieces, lambda p, i: i % _PIECES == 2)
+    turns = F.zip_with(roles, texts, lambda r, t: F.struct(content(r).alias("role"), content(t).alias("text")))
+    fits = (F.size(found) % _PIECES == 0) & (found == expected) & F.forall(outside, lambda p: p == "")
+    return F.when(fits, turns)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (offset from 1 and length in code points of each assistant text), n_turns, source_turns."""
+    """conv_id, formatted, loss_spans (offset from 1 and length, in UTF-8 bytes, of each assistant text), n_turns, source_turns."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumns({"level": F.lit(0), "r": F.col("role"), "t": F.col("text")})
     for level in range(1, LEVELS):
@@ -76,7 +75,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         turns = turns.withColumn("level", F.when(~same, F.lit(level)).otherwise(F.col("level")))
         escaped = F.col("level") == level
         turns = turns.withColumns({"r": F.when(escaped, escape(F.col("role"))).otherwise(F.col("r")), "t": F.when(escaped, escape(F.col("text"))).otherwise(F.col("t"))})
-    row = F.struct("turn", "role", "text", render(F.col("r"), F.col("t")).alias("shown"), F.length("r").alias("r_size"), F.length("t").alias("t_size"))
+    row = F.struct("turn", "role", "text", render(F.col("r"), F.col("t")).alias("shown"), F.octet_length("r").alias("r_size"), F.octet_length("t").alias("t_size"))
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
     empty = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,size:int>>").alias("spans"))
     opening, closing = F.lit(len("<s>") + len(" [INST]")), F.lit(len(" [/INST]</s>"))
@@ -99,7 +98,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say: parsed turns, and the text under the loss mask."""
     turns = parse(F.col("formatted"))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["size"]))), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted").cast("binary"), s["start"], s["size"]).cast("string"))), "")
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"), (turns == F.col("source_turns")).alias("identical"))
 
 
