@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, langid, neardup, repeats, shard, url_filter
+from . import bpe, chat, decontaminate, fingerprint, langid, license, neardup, repeats, shard, url_filter
 from ._common import read_table
 
 
@@ -42,6 +42,10 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.license_report(read_table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Place of an installed public vocabulary."""
     import public_tokenizers
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_shard": op3_shard,
         "op4_langid": op4_langid,
         "op5_neardup": op5_neardup,
+        "op6_license_scan": op6_license_scan,
         "op7_bpe": op7_bpe,
         "op8_fingerprint": op8_fingerprint,
         "op9_repeats": op9_repeats,
