@@ -74,7 +74,7 @@ def half_up(x: Column, digits: int = 2) -> Column:
 
 
 def latency_text(ms: Column) -> Column:
-    return F.when(ms < 1, F.concat(F.floor(ms * 1000 + 0.5).cast("string"), F.lit(" μs"))).when(ms < 1000, F.concat(F.format_number(ms, "0.0"), F.lit(" ms"))).otherwise(F.concat(F.format_number(ms / 1000, "0.00"), F.lit(" s")))
+    return F.when(ms < 1, F.concat(F.floor(ms * 1000 + 0.5).cast("string"), F.lit(" μs"))).when(ms < 1000, F.concat(F.format_string("%.1f", ms), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))
 
 
 def uptime_text(seconds: Column) -> Column:
