@@ -62,7 +62,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_report(read_table(spark, sf_dir, "documents"))
+    return repeats.repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

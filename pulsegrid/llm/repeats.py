@@ -253,6 +253,11 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     return find_repeats(docs).select("doc_id", "n_words", _words_in("spans").alias("n_repeated"), _words_in("cuts").alias("n_cut"), F.size("spans").cast("long").alias("n_passages"))
 
 
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """One row for each repeated passage of a document: doc_id, n_words (of the document), start and end (word numbers)."""
+    return find_repeats(docs).where(F.size("spans") > 0).select("doc_id", "n_words", F.inline("spans"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []

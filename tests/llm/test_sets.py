@@ -136,6 +136,17 @@ def test_repeats_equal_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_passages_of_the_table(spark, sf):
+    """The query lists the documents with repeats, and their words add up."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
+    expected = {r.doc_id: x[1] for r, x in zip(rows, brute_repeats([r.text for r in rows]), strict=True) if x[1]}
+    got = defaultdict(int)
+    for r in queries.op9_repeats(spark, sf).collect():
+        assert r.end - r.start >= 50
+        got[r.doc_id] += r.end - r.start
+    assert got == expected
+
+
 def test_cut_leaves_each_passage_once(spark):
     texts = passages(9)
     d = documents(spark, texts)
