@@ -11,10 +11,10 @@ No bucket is ever expanded into all its pairs at first:
 
 1. Each member of a bucket meets the bucket's smallest id only, and of all such leaders the one with the nearest sketch.
    Confirmed links give components.
-2. Buckets whose members lie in different components still may hide links. There, members of different components meet;
-   members of a bucket with more than ``WIDE`` of them are dealt anew by pairs of bands first (a pair at 0.75 shares only
-   one band with a probability of 2e-5 or less, and then meets in any narrower bucket), so common passages that fill one
-   band don't bring strangers together.
+2. Buckets whose members lie in different components still may hide links. Their documents get finer odd sketches of
+   ``FINE_SAMPLES`` samples, whose bound lies at a similarity of 0.67 (again five deviations), and two members of different
+   components become a pair where the fine sketches allow it, in the first bucket that they share. So only pairs close to
+   the threshold are listed, once each, before they are confirmed.
 
 Components come from alternating large-star and small-star steps over written tables. Shuffled are band keys, sketches and
 the sets of documents that have a candidate; no group is gathered in a task or on the driver.
@@ -43,14 +43,14 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Bits in which sketches of a pair at 0.75 differ: 100 +- 13. Five deviations more are about a similarity of 0.5.
 MOST_ODD = 165
-#: Members of a bucket that meet without being dealt anew.
-WIDE = 256
+#: The same for documents of open buckets: bits differ by 453 +- 26 at 0.75.
+FINE_SAMPLES, FINE_BITS, FINE_MOST_ODD = 1024, 4096, 576
 #: Ids that are broadcast at most (8 bytes each, under 100 MB as a hash table); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(51)
-_FLIP = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-_TIMES = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32)
+_TIMES = _RNG.integers(0, 2**31, FINE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = _RNG.integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -71,12 +71,12 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE_WORDS) -> list[n
     return out
 
 
-def samples(sets: list[np.ndarray]) -> np.ndarray:
+def samples(sets: list[np.ndarray], count: int = SAMPLES) -> np.ndarray:
     """MinHash samples of non-empty sets, one row each."""
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)]).astype(np.int64)
-    out = np.empty((len(sets), SAMPLES), np.uint32)
-    for i in range(SAMPLES):
+    out = np.empty((len(sets), count), np.uint32)
+    for i in range(count):
         out[:, i] = np.minimum.reduceat((x ^ _FLIP[i]) * _TIMES[i], at)
     return out
 
@@ -91,12 +91,12 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketches(mins: np.ndarray) -> np.ndarray:
+def odd_sketches(mins: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     """Bit parities of the hashed samples, packed into 64-bit words."""
-    bits = np.zeros((len(mins), SKETCH_BITS), np.uint8)
+    bits = np.zeros((len(mins), size), np.uint8)
     rows = np.arange(len(mins))
-    for i in range(SAMPLES):
-        bits[rows, (mix(mins[:, i].astype(np.uint64) + (np.uint64(i) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
+    for i in range(mins.shape[1]):
+        bits[rows, (mix(mins[:, i].astype(np.uint64) + (np.uint64(i) << np.uint64(32))) % np.uint64(size)).astype(np.int64)] ^= 1
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -137,6 +137,17 @@ def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], names=["id", "items"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = text_bytes(batch.column("text"))
+        for a, b in chunks(texts):
+            sets = shingle_sets(texts[a:b])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            full = [s for s in sets if len(s)]
+            sketches = odd_sketches(samples(full, FINE_SAMPLES), FINE_BITS) if full else np.zeros((0, FINE_BITS // 64), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(sizes), _lists(sketches, sizes > 0)], names=["id", "n", "sketch"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -152,14 +163,20 @@ def small_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if row_count_at_most(ids, BROADCAST_IDS) else ids
 
 
-def _odd_bits(x: str, y: str) -> F.Column:
-    return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SKETCH_BITS // 64)))
+def _odd_bits(size: int = SKETCH_BITS) -> F.Column:
+    """Bits in which the sketches of a pair differ."""
+    return F.expr(" + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(size // 64)))
 
 
-def _near(x: str, y: str) -> F.Column:
+def _near(size: int = SKETCH_BITS, most: int = MOST_ODD) -> F.Column:
     """By size and sketch, may this pair be linked?"""
-    sizes = (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * PERCENT) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * PERCENT)
-    return sizes & (_odd_bits(f"{x}.sketch", f"{y}.sketch") <= MOST_ODD)
+    sizes = (F.col("a_n") * 100 >= F.col("b_n") * PERCENT) & (F.col("b_n") * 100 >= F.col("a_n") * PERCENT)
+    return sizes & (_odd_bits(size) <= most)
+
+
+def _side(docs: DataFrame, name: str) -> DataFrame:
+    """docs (id, ...) as one side of a pair: id becomes the name, other columns get it as prefix."""
+    return docs.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in docs.columns if c != "id"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -208,8 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def near_pairs(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that pass sizes and sketches, with the differing bits."""
-        x, y = held.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), held.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_near("x", "y")).select("a", "b", _odd_bits("x.sketch", "y.sketch").alias("odd"))
+        return pairs.join(_side(held, "a"), "a").join(_side(held, "b"), "b").where(_near()).select("a", "b", _odd_bits().alias("odd"))
 
     # 1: each member with its nearest leader
     led = near_pairs(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
@@ -223,15 +239,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_linked(nearest, first_sets), "linked")
     component = connected_components(links)
     placed = buckets.select("key", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
-    open_rows = materialize(placed.join(mixed.select("key", "size"), "key"), "open")
-    narrow = open_rows.where(F.col("size") <= WIDE).select("key", "id", "component")
-    wide = open_rows.where(F.col("size") > WIDE).select(F.col("key").alias("wide"), "id", "component")
-    again = wide.join(buckets.select("id", "key"), "id").where("key != wide").select(F.xxhash64("wide", "key").alias("key"), "id", "component")
-    dealt = narrow.unionByName(again).join(held, "id")
-    left = dealt.select("key", F.col("id").alias("a"), F.col("component").alias("a_of"), F.struct("n", "sketch").alias("x"))
-    right = dealt.select("key", F.col("id").alias("b"), F.col("component").alias("b_of"), F.struct("n", "sketch").alias("y"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & _near("x", "y")).select("a", "b").distinct()
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_rows = materialize(placed.join(mixed.select("key"), "key"), "open")
+    open_docs = open_rows.groupBy("id", "component").agg(F.collect_set("key").alias("keys"))
+    open_texts = source.withColumnRenamed("doc_id", "id").join(small_side(open_docs.select("id")), "id", "left_semi")
+    fine = open_texts.mapInArrow(_fine, "id long, n long, sketch array<long>").dropDuplicates(["id"]).join(open_docs, "id")
+    fine = materialize(fine.select("id", "n", "sketch", "component", "keys"), "fine")
+    dealt = open_rows.select("key", "id").join(fine, "id")
+    left, right = _side(dealt, "a"), _side(dealt, "b")
+    apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
+    first_met = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")
+    met = left.join(right, (F.col("a_key") == F.col("b_key")) & apart & _near(FINE_BITS, FINE_MOST_ODD) & first_met).select("a", "b")
     met = materialize(met.join(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "met")
     if met.limit(1).count():
         more = met.select(F.col("a").alias("id")).union(met.select("b")).distinct().join(first_sets.select("id"), "id", "left_anti")
