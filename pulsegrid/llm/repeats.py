@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, word_bounds, word_hashes
 
@@ -42,7 +43,8 @@ _PLACE_BITS = np.uint64(26)
 SORT_WORDS = 1 << 20
 BROADCAST_IDS = 1_000_000
 _LAST = 2**63 - 1
-_BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SOME_WORD = r"[^\x20\x09-\x0D]"
+_BLANK_WORD = re.compile(_SOME_WORD + "+")
 _UP, _DOWN = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64)
 
 
@@ -259,29 +261,41 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the cuts of their own word sequence."""
     for batch in batches:
-        texts = []
-        for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
-            if text and cuts:
-                starts = [m.start() for m in _BLANK_WORD.finditer(text)]
-                ends = [*starts, len(text)]
-                kept, at = [], 0
-                for c in cuts:
-                    kept.append(text[at : ends[c["start"]]])
-                    at = ends[c["end"]]
-                text = "".join(kept) + text[at:]
-            texts.append(text)
-        names = [n for n in batch.schema.names if n != "cuts"]
+        listed = batch.column(_CUTS).to_pylist()
+        texts = batch.column("text").to_pylist()
+        rows = [i for i, found in enumerate(listed) if found and texts[i]]
+        for k, words in _texts(batch.take(pa.array(rows, pa.int64()))) if rows else ():
+            i = rows[k]
+            digest = _digest(words)
+            cuts = next((f["cuts"] for f in listed[i] if (f["d1"], f["d2"]) == digest), [])
+            starts = [m.start() for m in _BLANK_WORD.finditer(texts[i])]
+            ends = [*starts, len(texts[i])]
+            kept, at = [], 0
+            for c in cuts:
+                kept.append(texts[i][at : ends[c["start"]]])
+                at = ends[c["end"]]
+            texts[i] = "".join(kept) + texts[i][at:]
+        names = [n for n in batch.schema.names if n != _CUTS]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
 
+_CUTS, _KEY = "_pulsegrid_cuts", "_pulsegrid_key"
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut but for their first occurrence; documents of which nothing is left go."""
+    """docs with repeated passages cut but for their first occurrence, n_chars as it is then; documents of which nothing is
+    left go. Texts without a word to begin with stay."""
     prepare(docs.sparkSession)
-    cuts = find_repeats(docs).where(F.size("cuts") > 0).select(F.col("doc_id").alias("_id"), "cuts").dropDuplicates(["_id"])
-    cuts = materialize(cuts, "cuts")
+    cuts = find_repeats(docs).where(F.size("cuts") > 0).select(F.col("doc_id").alias(_KEY), "d1", "d2", "cuts").dropDuplicates([_KEY, "d1", "d2"])
+    cuts = materialize(cuts.groupBy(_KEY).agg(F.collect_list(F.struct("d1", "d2", "cuts")).alias(_CUTS)), "cuts")
     few = row_count_at_most(cuts, BROADCAST_IDS // 10)
-    held = docs.join(F.broadcast(cuts) if few else cuts, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    changed = held.select(*docs.columns, "cuts").mapInArrow(_cut, docs.schema)
-    left = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.length("text") == 0)
-    return changed.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
+    held = docs.join(F.broadcast(cuts) if few else cuts, F.col("doc_id").cast("long").eqNullSafe(F.col(_KEY)), "left")
+    changed = held.select(*docs.columns, _CUTS, F.coalesce(F.col("text").rlike(_SOME_WORD), F.lit(False)).alias(_KEY))
+    schema = T.StructType([*docs.schema.fields, T.StructField(_KEY, T.BooleanType())])
+    out = changed.mapInArrow(_cut, schema).where(~F.col(_KEY) | F.col("text").rlike(_SOME_WORD))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(_KEY), size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -240,6 +240,30 @@ def test_registry():
     assert "pipeline" in known
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, odd texts, repeated rows, clashing columns and empty tables don't stop a stage; columns stay."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, LONG[:300]), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = odd(spark).union(odd(spark)).union(odd(spark).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")}))
+    for name in ("cuts", "lang_pred", "component_id", "key", "place", "spans", "d1", "decoded", "id"):
+        d = d.withColumn(name, F.lit(7))
+    d = d.withColumn("lang", F.when(F.col("doc_id") > 3, F.col("lang")))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == [c for c in d.columns if c != "N_WORDS"] or out.columns == d.columns
+        assert out.count() <= d.count()
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[4][1](spark, d, str(tmp_path))
+    assert last.where("round_trip").count() == d.count()
+
+
+def test_cut_tells_texts_with_one_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    d = spark.createDataFrame([(1, a), (2, a + " own"), (2, b)], "doc_id long, text string")
+    assert sorted(r.text for r in repeats.without_repeats(d).collect()) == sorted([a, "own", b])
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's decisions, on a small folder with cases planted."""
     import corpus_pipeline
