@@ -42,7 +42,7 @@ RESULT = ("lang_pred", "score")
 _SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers.
-_KNOWN = 300_000
+_KNOWN = 800_000
 
 
 def words_of(text: str) -> list[str]:
@@ -104,7 +104,7 @@ class Model:
             logs = np.log((table + _SMOOTH) / (totals + _SMOOTH * (len(items) + 1)))
             self.index |= {f"{k}{x}": len(rows) + i for x, i in items.items()}
             rows += list(logs)
-        self.logs = np.array(rows, np.float32).reshape(-1, len(languages))
+        self.logs = np.array(rows, np.float32).reshape(len(rows), len(languages))
 
     def vector(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, known or by its n-grams; None for what has no letter."""
