@@ -1,9 +1,7 @@
-"""Shared pieces: durable tables, Arrow batches of texts, vectorised word hashes."""
+"""Shared pieces: Arrow batches of texts, vectorised word hashes, values that workers keep."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.session import ship_package
+from pulsegrid.session import materialize, ship_package
 
 #: Rows in an Arrow batch. Texts are long, so the default of 10,000 rows would let memory follow the longest texts.
 BATCH_ROWS = 512
@@ -25,26 +23,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="spark-pulsegrid-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulsegrid-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -146,6 +124,17 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+_KEPT: dict[type, tuple] = {}
+
+
+def kept(shared, make: type):
+    """make(shared.value), built once in a worker process for as long as tasks use the same broadcast value."""
+    value, own = shared.value, _KEPT.get(make)
+    if own is None or own[0] is not value:
+        own = _KEPT[make] = (value, make(value))
+    return own[1]
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads no more than limit + 1."""
     return df.limit(limit + 1).select(F.lit(1)).count() <= limit

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import prepare, reserved
+from ._common import kept, prepare, reserved
 
 RESULT = ("ids", "decoded")
 #: Words whose tokens a worker remembers.
@@ -221,16 +221,9 @@ class Codec:
         return "".join(out) + machine.decode(b"", True)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """One codec for each vocabulary and worker."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+    return kept(shared, Codec)
 
 
 def _run(shared, text: str, carry: list[str], decode: bool):
