@@ -64,7 +64,7 @@ def fan_out(sinks: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFram
             for name, sink in sinks.items():
                 try:
                     sink(batch)
-                except Exception:  # noqa: BLE001  a sink's failure is counted, as the contract says
+                except Exception:  # noqa: BLE001  a failure is counted and the other sinks go on
                     failures[name] = failures.get(name, 0) + 1
         finally:
             batch.unpersist()
@@ -107,3 +107,22 @@ def rate_limited(requests: DataFrame, by: str, window_us: int = RATE_WINDOW_US,
             yield part.assign(window_start_us=starts, number=numbers)
 
     return ordered.mapInPandas(windows, "key string, seq long, ts_us long, window_start_us long, number long").withColumn("allowed", F.col("number") <= limit)
+
+
+# Column names that hold a time.
+TIME_NAMES = ("timestamp", "time", "ts")
+
+
+def typed_frame(rows: DataFrame) -> DataFrame:
+    """Columns as a dashboard frame wants them: times from ms or ns by size, numbers as doubles, the rest as text."""
+    out = []
+    for name, kind in rows.dtypes:
+        c = F.col(name)
+        if name.lower() in TIME_NAMES:
+            micros = F.when(c.cast("double") > 1e15, F.expr(f"cast(`{name}` as long) div 1000")).otherwise(c.cast("long") * 1000)
+            out.append(F.timestamp_micros(micros).alias(name))
+        elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal"):
+            out.append(c.cast("double").alias(name))
+        else:
+            out.append(c.cast("string").alias(name))
+    return rows.select(*out)

@@ -70,13 +70,8 @@ def project(events: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def query(spark: SparkSession, events: DataFrame, sql: str, **args) -> DataFrame:
-    """Any Spark SQL over the view ``events``; named parameters replace template variables."""
-    return spark.sql(sql, args=args or None, events=events) if "{events}" in sql else _with_view(spark, events, sql, args)
-
-
-def _with_view(spark: SparkSession, events: DataFrame, sql: str, args: dict) -> DataFrame:
-    events.createOrReplaceTempView("events")
-    return spark.sql(sql, args=args or None)
+    """Any Spark SQL over ``{events}``; named parameters (``:name``) replace template variables."""
+    return spark.sql(sql, args=args or None, events=events)
 
 
 _SELECT = re.compile(r"^SELECT (.+?) FROM", re.I)

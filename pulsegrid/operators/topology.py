@@ -121,3 +121,40 @@ def merge_signals(signals: DataFrame) -> DataFrame:
 def drop_totals(drops: DataFrame) -> DataFrame:
     """Per-CPU drop counters by severity."""
     return drops.groupBy("severity").agg(F.sum("dropped").alias("dropped"))
+
+
+def admitted(own: DataFrame, most: int = 512) -> DataFrame:
+    """The first edges to appear, as a table of fixed size would hold."""
+    return own.orderBy("first_seq").limit(most)
+
+
+def of_service(own: DataFrame, name: str) -> DataFrame:
+    """Edges from or to a service, of any letter case."""
+    wanted = name.lower()
+    return own.where((F.lower("source") == wanted) | (F.lower("target") == wanted))
+
+
+def containing(services: DataFrame, text: str, column: str = "service") -> DataFrame:
+    """Rows whose service name contains a text, of any letter case."""
+    return services.where(F.lower(column).contains(text.lower()))
+
+
+def labelled(own: DataFrame) -> DataFrame:
+    """Edges with protocol: grpc where a gRPC service is known, else tcp; and drawing weights."""
+    hits = F.col("hit_count")
+    return own.select("source", "target", "dest_port", F.when(F.col("grpc_service").isNotNull(), "grpc").otherwise("tcp").alias("protocol"), S.edge_weight(hits).alias("weight"), S.edge_alpha(hits).alias("alpha"))
+
+
+def connects(calls: DataFrame) -> DataFrame:
+    """Entries (phase 0) and exits (phase 1) of connect calls by thread: an exit takes the latest entry since the exit before."""
+    by_thread = Window.partitionBy("thread").orderBy("seq")
+    before = F.lag(F.struct("phase", "ts_us")).over(by_thread)
+    return calls.withColumn("before", before).where("phase = 1 and before.phase = 0").select("thread", "seq", (F.col("ts_us") - F.col("before.ts_us")).alias("latency_us"))
+
+
+def net_spans(net: DataFrame) -> DataFrame:
+    """Spans of the network events that carry a trace id, each once."""
+    rows = net.where("trace_id is not null").withColumn("packed", F.col("http_meta"))
+    first = rows.groupBy("trace_id", "span_id").agg(F.min_by(F.struct("seq", "ts_us", "status", "packed", "path"), "seq").alias("s"))
+    http = S.http_status(F.col("s.packed"))
+    return first.select("trace_id", "span_id", "s.seq", "s.ts_us", http.alias("status_code"), S.http_method(F.col("s.packed")).alias("method"), S.span_is_error(F.col("s.status"), http).alias("is_error"))

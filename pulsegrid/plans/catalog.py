@@ -96,7 +96,7 @@ def project_alias(spark, d):
 @query
 def query_sql(spark, d):
     sql = "SELECT service, count(*) AS n, avg(status_code) AS mean_status FROM {events} WHERE duration_ms > :slow GROUP BY service"
-    return spark.sql(sql, args={"slow": 50.0}, events=tables.events(spark, d))
+    return scan.query(spark, tables.events(spark, d), sql, slow=50.0)
 
 
 @query
@@ -225,6 +225,43 @@ def topology_counts(spark, d):
     return own.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source").alias("sources"), F.sum("hit_count").alias("hits"), F.sum("total_bytes").alias("bytes"))
 
 
+@query
+def edges_admitted(spark, d):
+    return topology.admitted(topology.edges(tables.net_events(spark, d)), 100).select("source_ip", "dest_ip", "dest_port", "first_seq")
+
+
+@query
+def edges_of_service(spark, d):
+    own = topology.resolve_targets(topology.edges(tables.net_events(spark, d)))
+    return topology.of_service(own, "SVC-3").select("source", "target", "dest_ip", "dest_port", "hit_count")
+
+
+@query
+def edge_labels(spark, d):
+    own = topology.labelled(topology.resolve_targets(topology.edges(tables.net_events(spark, d))))
+    return own.withColumns({"weight": S.half_up(F.col("weight"), 4), "alpha": S.half_up(F.col("alpha"), 4)})
+
+
+@query
+def services_containing(spark, d):
+    return topology.containing(tables.events(spark, d), "C-1").groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def connect_latency(spark, d):
+    e = tables.events(spark, d)
+    calls = e.where("kind in ('view', 'click')").select(F.col("user_id").alias("thread"), "seq", "ts_us", (F.col("kind") == "click").cast("int").alias("phase"))
+    return topology.connects(calls)
+
+
+@query
+def net_spans(spark, d):
+    e = tables.events(spark, d)
+    meta = F.shiftleft(F.col("status_code"), 16) + F.shiftleft(F.col("k") % 7, 8)
+    net = e.select("seq", "ts_us", F.when(F.col("k") % 4 != 0, F.col("trace_id")).alias("trace_id"), F.expr("concat('s', cast(seq div 2 as string))").alias("span_id"), F.when(F.col("k") % 3 == 0, 3).otherwise(5).alias("status"), meta.alias("http_meta"), F.lit(None).cast("string").alias("path"))
+    return topology.net_spans(net)
+
+
 # clusters
 
 
@@ -474,6 +511,13 @@ def per_request_forward(spark, d):
     return export.per_request(tables.events(spark, d))
 
 
+@query
+def typed_frame(spark, d):
+    e = tables.events(spark, d)
+    rows = e.select(F.when(F.col("k") % 2 == 0, F.expr("ts_us div 1000")).otherwise(F.col("ts_us") * 1000).alias("time"), "service", "duration_ms", "is_error", "status_code")
+    return export.typed_frame(rows).withColumn("time", F.unix_micros("time"))
+
+
 @query
 def archive_chunks(spark, d):
     return export.archive_chunks(tables.events(spark, d), 300)

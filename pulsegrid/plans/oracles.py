@@ -181,6 +181,16 @@ def oracle_sql() -> dict[str, str]:
         "retransmit_rate": w(_NET, f"SELECT CAST(sum(retransmit_count) AS BIGINT) AS retransmits, CAST(sum(hit_count) AS BIGINT) AS hits, {_r2('sum(retransmit_count)::DOUBLE / sum(hit_count)::DOUBLE * 100', 1)} AS retransmit_pct FROM edge2"),
         "topology_nodes": w(_NET, "SELECT source AS node FROM resolved UNION SELECT target FROM resolved"),
         "topology_counts": w(_NET, "SELECT count(*) AS edges, count(DISTINCT source) AS sources, CAST(sum(hit_count) AS BIGINT) AS hits, CAST(sum(total_bytes) AS BIGINT) AS bytes FROM edge2"),
+        "edges_admitted": w(_NET, "SELECT source_ip, dest_ip, dest_port, first_seq FROM edge ORDER BY first_seq LIMIT 100"),
+        "edges_of_service": w(_NET, "SELECT source, target, dest_ip, dest_port, hit_count FROM resolved WHERE source = 'svc-3' OR target = 'svc-3'"),
+        "edge_labels": w(_NET, f"SELECT source, target, dest_port, CASE WHEN grpc_service IS NOT NULL THEN 'grpc' ELSE 'tcp' END AS protocol, {_r2('log2(hit_count + 1)', 4)} AS weight, {_r2('least(1.0::DOUBLE, hit_count::DOUBLE / 100)', 4)} AS alpha FROM resolved"),
+        "services_containing": w(_EV, "SELECT service, count(*) AS n FROM ev WHERE contains(lower(service), 'c-1') GROUP BY service"),
+        "connect_latency": w(_EV, "SELECT thread, seq, ts_us - before_us AS latency_us FROM (SELECT user_id AS thread, seq, ts_us, kind, lag(kind) OVER v AS before_kind, lag(ts_us) OVER v AS before_us FROM ev WHERE kind IN ('view', 'click') WINDOW v AS (PARTITION BY user_id ORDER BY seq)) WHERE kind = 'click' AND before_kind = 'view'"),
+        "net_spans": w(
+            _EV,
+            "SELECT trace_id, 's' || (seq // 2) AS span_id, min(seq) AS seq, min_by(ts_us, seq) AS ts_us, min_by(status_code, seq) AS status_code, min_by(['UNKNOWN', 'GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'HEAD'][k % 7 + 1], seq) AS method, min_by(k % 3 = 0 OR status_code >= 400, seq) AS is_error FROM ev WHERE k % 4 <> 0 GROUP BY trace_id, seq // 2",
+        ),
+        "typed_frame": w(_EV, "SELECT CASE WHEN k % 2 = 0 THEN ts_us // 1000 * 1000 ELSE ts_us END AS time, service, duration_ms, CAST(is_error AS DOUBLE) AS is_error, CAST(status_code AS DOUBLE) AS status_code FROM ev"),
         "cluster_latest": w(_SNAP, "SELECT * FROM latest"),
         "cluster_edges": w(_SNAP, "SELECT source, target, dest_port, CAST(sum(hit_count) AS BIGINT) AS hit_count, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(floor(sum(avg_latency_us * hit_count)::DOUBLE / sum(hit_count)::DOUBLE + 0.5) AS BIGINT) AS avg_latency_us FROM latest GROUP BY ALL"),
         "cluster_signals": w(

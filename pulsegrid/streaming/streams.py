@@ -58,7 +58,7 @@ def distinct_spans(spans: DataFrame, late: str = WATERMARK) -> DataFrame:
 def live_edges(net: DataFrame) -> DataFrame:
     """Edges folded from network events from the first connection on, with a state for each edge key.
 
-    Within a batch the rows of a key are taken by seq; across batches arrival counts, as in the reference model.
+    Within a batch the rows of a key are taken by seq; across batches arrival counts.
     """
     key = ["source_ip", "dest_ip", "dest_port", "comm"]
     out = "source_ip string, dest_ip string, dest_port int, comm string, hit_count long, total_latency_ns long, total_bytes long, error_count long, retransmit_count long"
