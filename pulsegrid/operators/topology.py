@@ -24,12 +24,14 @@ def edges(net: DataFrame) -> DataFrame:
     """One edge for each key from the first successful connection on: hits, latency, bytes, errors, retransmits, label.
 
     Status 1 connects, 2 sends, 3 fails, 4 retransmits, 5 and 6 carry a path. The comm takes part in the key only where
-    there is no container, cut to 15 characters.
+    there is no container, cut to 15 characters. First connections are aggregated before they meet the rows again, so an
+    edge with most of the traffic is never gathered.
     """
     rows = net.where((F.col("dest_ip") != NO_ADDRESS) & F.col("status").between(1, 6))
-    rows = rows.withColumn("comm", F.when(F.col("container_id") == "", F.substring("comm", 1, 15)).otherwise(""))
-    created = F.min(F.when(F.col("status") == 1, F.col("seq"))).over(Window.partitionBy(*EDGE_KEY))
-    alive = rows.withColumn("created", created).where("seq >= created")
+    container = F.coalesce("container_id", F.lit(""))
+    rows = rows.withColumns({"container_id": container, "comm": F.when(container == "", F.coalesce(F.substring("comm", 1, 15), F.lit(""))).otherwise("")})
+    created = rows.where("status = 1").groupBy(*EDGE_KEY).agg(F.min("seq").alias("created"))
+    alive = rows.join(small(created), EDGE_KEY).where("seq >= created")
     agg = alive.groupBy(*EDGE_KEY).agg(
         F.count_if(F.col("status") == 1).alias("hit_count"),
         F.coalesce(F.sum(F.when(F.col("status") == 1, F.col("latency_ns"))), F.lit(0)).alias("total_latency_ns"),
