@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
+from pulsegrid.session import materialize
 
-#: A dimension is broadcast if it has at most so many rows; else the join shuffles.
-BROADCAST_ROWS = 100_000
 NO_ADDRESS = "0.0.0.0"
 
 
-def small(dimension: DataFrame) -> DataFrame:
-    """Broadcast a dimension whose size is checked."""
-    return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
+def written(small: DataFrame, label: str = "dimension") -> DataFrame:
+    """An aggregate as a written table: computed once, and of a size that the planner knows, so that a join broadcasts it
+    only below spark.sql.autoBroadcastJoinThreshold and shuffles beyond."""
+    return materialize(small, label)
 
 
 EDGE_KEY = ["dest_ip", "dest_port", "source_ip", "container_id", "comm"]
@@ -31,7 +31,7 @@ def edges(net: DataFrame) -> DataFrame:
     container = F.coalesce("container_id", F.lit(""))
     rows = rows.withColumns({"container_id": container, "comm": F.when(container == "", F.coalesce(F.substring("comm", 1, 15), F.lit(""))).otherwise("")})
     created = rows.where("status = 1").groupBy(*EDGE_KEY).agg(F.min("seq").alias("created"))
-    alive = rows.join(small(created), EDGE_KEY).where("seq >= created")
+    alive = rows.join(written(created), EDGE_KEY).where("seq >= created")
     agg = alive.groupBy(*EDGE_KEY).agg(
         F.count_if(F.col("status") == 1).alias("hit_count"),
         F.coalesce(F.sum(F.when(F.col("status") == 1, F.col("latency_ns"))), F.lit(0)).alias("total_latency_ns"),
@@ -51,14 +51,15 @@ def edges(net: DataFrame) -> DataFrame:
 
 def resolve_targets(own: DataFrame) -> DataFrame:
     """Targets by the service that was last seen at their address; other targets keep their label."""
+    own = written(own, "edges")
     names = own.where(F.col("source_ip") != NO_ADDRESS).groupBy(F.col("source_ip").alias("dest_ip")).agg(F.max_by("source", "first_seq").alias("resolved"))
-    return own.join(small(names), "dest_ip", "left").withColumn("target", F.coalesce("resolved", "target")).drop("resolved")
+    return own.join(names, "dest_ip", "left").withColumn("target", F.coalesce("resolved", "target")).drop("resolved")
 
 
 def enrich(own: DataFrame, pods: DataFrame) -> DataFrame:
     """Source and target pod, namespace and deployment; of pods with one address the last counts."""
-    latest = pods.groupBy("pod_ip").agg(F.max_by(F.struct("name", "namespace", "deployment"), "seq").alias("pod"))
-    side = lambda ip, p: small(latest.select(F.col("pod_ip").alias(ip), *[F.col(f"pod.{c}").alias(f"{p}_{n}") for c, n in (("name", "pod"), ("namespace", "namespace"), ("deployment", "deployment"))]))
+    latest = written(pods.groupBy("pod_ip").agg(F.max_by(F.struct("name", "namespace", "deployment"), "seq").alias("pod")))
+    side = lambda ip, p: latest.select(F.col("pod_ip").alias(ip), *[F.col(f"pod.{c}").alias(f"{p}_{n}") for c, n in (("name", "pod"), ("namespace", "namespace"), ("deployment", "deployment"))])
     return own.join(side("source_ip", "source"), "source_ip", "left").join(side("dest_ip", "target"), "dest_ip", "left")
 
 
@@ -101,7 +102,7 @@ def latest_snapshots(snapshots: DataFrame, now_us: int | None = None, ttl_us: in
     last = snapshots.groupBy("node_id").agg(F.max("pushed_at").alias("pushed_at"))
     if now_us is not None:
         last = last.where(F.col("pushed_at") >= now_us - ttl_us)
-    return snapshots.join(small(last), ["node_id", "pushed_at"], "left_semi")
+    return snapshots.join(written(last), ["node_id", "pushed_at"], "left_semi")
 
 
 def merge_edges(own: DataFrame) -> DataFrame:
