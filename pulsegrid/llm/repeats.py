@@ -14,7 +14,9 @@ Of all suffixes only those at minimisers are retained: in each run of that many
    that each repeated passage stays whole once.
 
 A suffix is at most 92 word hashes of 32 bits, and a sorted task holds a bounded number of them at a time, cut between
-different first words. Groups of exact copies are one class, and counts are pre-aggregated before shuffling.
+different first words. Groups of exact copies are one class, and counts are pre-aggregated before shuffling. First words
+with more than ``HOT_SUFFIXES`` suffixes never meet in one task: their runs are aggregated by content, partly before the
+shuffle, and the repeated contents are joined back, with the same result.
 
 Defined cases: null, empty and short texts (under ``LEAST_WORDS`` words) have no repeats; null doc_ids count as greater
 than any other for "first"; rows with equal doc_id and text are one document; an empty table gives no rows.
@@ -41,6 +43,8 @@ REACH = LEAST_WORDS - GRAM_WORDS + 1
 _PLACE_BITS = np.uint64(26)
 #: Words of suffixes that a task sorts at once.
 SORT_WORDS = 1 << 20
+#: Suffixes with equal first words that are sorted together.
+HOT_SUFFIXES = 20_000
 BROADCAST_IDS = 1_000_000
 _LAST = 2**63 - 1
 _SOME_WORD = r"[^\x20\x09-\x0D]"
@@ -108,7 +112,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffixes of each text whose first words are listed, with the words of their runs."""
     for batch in batches:
         rows: list[tuple] = []
-        keys, wanted = batch.column("place").to_pylist(), batch.column("wanted")
+        keys, wanted, hot = batch.column("place").to_pylist(), batch.column("wanted"), batch.column("hot")
         digests = batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
         for row, words in _texts(batch):
             d1, d2 = digests[0][row], digests[1][row]
@@ -116,16 +120,17 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # another text with the same doc_id
             first, place, low, high = retained(words)
             chosen = np.isin(first.view(np.int64), wanted[row].values.to_numpy())
+            heated = np.isin(first[chosen].view(np.int64), hot[row].values.to_numpy()) if hot[row].is_valid and len(hot[row]) else np.zeros(chosen.sum(), bool)
             short = (words >> np.uint64(32)).astype(np.uint32)
-            for f, a, b in zip(first[chosen].view(np.int64).tolist(), low[chosen].tolist(), high[chosen].tolist(), strict=True):
-                rows.append((f, keys[row], d1, d2, a, b - a + 1, short[a : b + LEAST_WORDS].tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["first", "place", "d1", "d2", "start", "runs", "words"])
+            for f, a, b, h in zip(first[chosen].view(np.int64).tolist(), low[chosen].tolist(), high[chosen].tolist(), heated.tolist(), strict=True):
+                rows.append((f, keys[row], d1, d2, a, b - a + 1, short[a : b + LEAST_WORDS].tobytes(), h))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["first", "place", "d1", "d2", "start", "runs", "words", "hot"])
 
 
-def _judge(place: np.ndarray, start: np.ndarray, runs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix two bit sets over its runs: repeated, and repeated but not the first."""
+def _contents(runs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of the suffixes: the suffix, the run's number in it, the hash of its words."""
     flat = np.frombuffer(b"".join(words), np.uint32).astype(np.uint64)
     size = runs + LEAST_WORDS - 1
     base = np.cumsum(size) - size
@@ -138,7 +143,12 @@ def _judge(place: np.ndarray, start: np.ndarray, runs: np.ndarray, words: list[b
     owner = np.repeat(np.arange(len(runs)), runs)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
     at = base[owner] + offset
-    content = mix((sums[at + LEAST_WORDS] - sums[at]) * down[at])
+    return owner, offset, mix((sums[at + LEAST_WORDS] - sums[at]) * down[at])
+
+
+def _judge(place: np.ndarray, start: np.ndarray, runs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix two bit sets over its runs: repeated, and repeated but not the first."""
+    owner, offset, content = _contents(runs, words)
     order = np.lexsort((start[owner] + offset, place[owner], content))
     ordered = content[order]
     as_before = np.concatenate([[False], ordered[1:] == ordered[:-1]])
@@ -150,6 +160,26 @@ def _judge(place: np.ndarray, start: np.ndarray, runs: np.ndarray, words: list[b
     return gather(repeated), gather(later)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of suffixes, one row each, with the hash of their words."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            owner, offset, content = _contents(part.column("runs").to_numpy().astype(np.int64), part.column("words").to_pylist())
+            start = part.column("start").to_numpy()[owner] + offset
+            kept = part.select(["place", "d1", "d2"]).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(start.astype(np.int32)), pa.array(content.view(np.int64))], names=["place", "d1", "d2", "start", "content"])
+
+
+def _hot_judged(suffixes: DataFrame) -> DataFrame:
+    """Hot suffixes judged by aggregation: each repeated run as a suffix of its own."""
+    runs = suffixes.select("place", "d1", "d2", "start", "runs", "words").mapInArrow(_runs, "place long, d1 long, d2 long, start int, content long")
+    known = runs.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "start")).alias("head")).where("n > 1").drop("n")
+    met = runs.join(known, "content")
+    later = F.struct("place", "start") != F.col("head")
+    return met.select("place", "d1", "d2", "start", F.lit(1).cast("long").alias("repeated"), later.cast("long").alias("later"))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Judge sorted suffixes, some with different first words at a time."""
     held: list[pa.RecordBatch] = []
@@ -220,15 +250,21 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     classes = long.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.count_distinct("place").alias("copies"), F.max("n_words").alias("size"))
     heads = long.join(classes.select("d1", "d2", "place"), ["d1", "d2", "place"]).dropDuplicates(["d1", "d2"])
     firsts = heads.select("place", "d1", "d2", F.explode("firsts").alias("first"))
-    common = firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
-    wanted = firsts.join(common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"))
+    common = firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    heated = F.when(F.col("n") > HOT_SUFFIXES, F.col("first"))
+    wanted = firsts.join(common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"), F.collect_set(heated).alias("hot"))
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("place").distinct()
     few = row_count_at_most(ids, BROADCAST_IDS)
     texts = source.select(place.alias("place"), "text").join(F.broadcast(ids) if few else ids, "place", "left_semi").join(wanted, "place")
-    suffixes = texts.mapInArrow(_suffixes, "first long, place long, d1 long, d2 long, start int, runs int, words binary")
-    ordered = suffixes.repartition("first").sortWithinPartitions("first", "words")
+    suffixes = texts.mapInArrow(_suffixes, "first long, place long, d1 long, d2 long, start int, runs int, words binary, hot boolean")
+    any_hot = wanted.where(F.size("hot") > 0).limit(1).count() > 0
+    if any_hot:
+        suffixes = materialize(suffixes, "suffixes")
+    ordered = suffixes.where("not hot").drop("hot").repartition("first").sortWithinPartitions("first", "words")
     judged = ordered.mapInArrow(_compare, "place long, d1 long, d2 long, start int, repeated long, later long")
+    if any_hot:
+        judged = judged.unionByName(_hot_judged(suffixes.where("hot")))
     found = judged.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "repeated", "later")).alias("found")).join(classes.select("d1", "d2", "copies", "size"), ["d1", "d2"])
     spans = found.mapInArrow(_spans, "d1 long, d2 long, spans array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>")
     told = classes.withColumnRenamed("place", "head").drop("size").join(spans, ["d1", "d2"], "left").where("copies > 1 or spans is not null")

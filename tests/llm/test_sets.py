@@ -176,6 +176,15 @@ def test_small_sort_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("hot", [1, 5])
+def test_hot_first_words(spark, monkeypatch, hot):
+    """Suffixes of hot first words are judged by aggregation, with the same result."""
+    monkeypatch.setattr(repeats, "HOT_SUFFIXES", hot)
+    texts = passages(6)
+    got = {r.doc_id: (r.n_words, r.n_repeated, r.n_cut) for r in repeats.repeat_report(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
 # URL filters
 
 
