@@ -1,23 +1,31 @@
-"""Licence scans: segments of a text against licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: word windows of a text against licence templates by the Dice coefficient over word bigrams.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z like a-z. A segment is a sentence, a line or a paragraph
-of a text; its bigrams and a template's are multisets, and their Dice coefficient is twice the common bigrams by all. At a
-threshold t only templates with between t / (2 - t) and (2 - t) / t times a segment's bigrams can reach it, and the common
-ones must be t / (2 - t) of the template's at least; these bounds are exact. They are checked first for whole texts, on
-arrays of hashed bigrams, then for each segment, and only what is left is compared word by word. A segment takes its best
-template; of equal ones the first by name.
+Words are runs of letters, digits and non-ASCII characters, A-Z like a-z; so line breaks and comment signs are in no word,
+and a notice is the same wrapped, in a comment block or inside a paragraph. The segments of a text are windows of
+consecutive words; a window's bigrams and a template's are multisets, and their Dice coefficient is twice the common bigrams
+by all. At a threshold t only windows with between t / (2 - t) and (2 - t) / t times a template's bigrams can reach it, and
+the common ones must be t / (2 - t) of the template's at least; these bounds are exact. They are checked first for whole
+batches, on arrays of hashed bigrams: a text is compared word by word with a template only if so many of the template's
+bigrams stand within the longest window. A window that loses no common bigram without its first or last word is worse than
+the shorter one, so only windows that lose one on either side are compared.
+
+Of the windows at or above the threshold the best is taken, then the next best that has less than half of its words in
+windows taken before, and so on: a notice is one match, and what else a text says is found beside it. Equal ones go by
+length, the longer first, then by place. A window takes its best template; of equal ones the first by name.
 
 A text is scanned whole where it lies; the templates are a fixed list, so nothing is shuffled or gathered.
 
-Defined cases: null, empty and wordless texts have no matches; a segment of one word has no bigram and matches nothing;
-repeated lines are separate matches; columns with the name of the result column are replaced.
+Defined cases: null, empty and wordless texts have no matches; one word has no bigram and matches nothing; repeated
+notices are separate matches; columns with the name of the result column are replaced; thresholds are above 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +68,6 @@ RESULT = "licenses"
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_PARAGRAPH = re.compile(r"(?:[^\n]*[^\s][^\n]*(?:\n|$))+")
-_LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?:](?=\s)|$)", re.S)
 #: Bytes that are in no word.
 _APART = np.ones(256, bool)
 _APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -79,15 +84,8 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Character spans of a text's sentences, lines and paragraphs, each once."""
-    out: dict[tuple[int, int], None] = {}
-    for line in _LINE.finditer(text):
-        out[line.span()] = None
-        for s in _SENTENCE.finditer(line.group()):
-            out[line.start() + s.start(), line.start() + s.end()] = None
-    for p in _PARAGRAPH.finditer(text):
-        out[p.start(), p.start() + len(p.group().rstrip("\n"))] = None
-    return sorted(out)
+    """Character spans of the word windows that match one of the fixed templates, by start."""
+    return [m[2:] for m in _fixed().matches(text)]
 
 
 def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,52 +96,92 @@ def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        if not 0 < threshold <= 1:
+            raise ValueError("a threshold is above 0 and at most 1")
         self.names = [n for n, _ in templates]
         self.grams = [bigrams(t) for _, t in templates]
         self.sizes = [g.total() for g in self.grams]
         self.threshold = threshold
-        self.share = threshold / (2 - threshold)
+        share = threshold / (2 - threshold)
+        #: The fewest common bigrams of a match with each template, and the most bigrams of its window.
+        self.least = [max(1, math.ceil(share * n - 1e-9)) for n in self.sizes]
+        self.most = [math.floor(n / share + 1e-9) for n in self.sizes]
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k, grams in enumerate(self.grams):
+            for g in grams:
+                self.having[g].append(k)
         own = [np.unique(gram_hashes(_hashed(joined([t.encode()])[0])[1], 2)) for _, t in templates]
         self.known = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-        #: known bigram x template
-        self.has = np.array([np.isin(self.known, o) for o in own]).T.astype(np.int32) if own else np.zeros((0, 0), np.int32)
-        self.need = np.array([self.share * n for n in self.sizes])
+        #: template x known bigram
+        self.has = np.array([np.isin(self.known, o) for o in own]) if own else np.zeros((0, 0), bool)
 
     def candidates(self, texts: list[bytes | None]) -> np.ndarray:
-        """For each text the templates of which it has bigrams enough in all."""
+        """For each text the templates of which it has bigrams enough within the longest window."""
+        out = np.zeros((len(texts), len(self.names)), bool)
         data, places = joined(texts)
         starts, words = _hashed(data)
         grams = gram_hashes(words, 2)
-        first = np.searchsorted(starts, places)
+        if not len(grams) or not len(self.known):
+            return out
         at = np.searchsorted(self.known, grams)
         at[at == len(self.known)] = 0
-        hit = np.flatnonzero(self.known[at] == grams) if len(grams) else np.zeros(0, np.int64)
-        text = np.searchsorted(first, hit, "right") - 1
-        counts = np.zeros((len(texts), len(self.names)), np.int64)
-        cells, n = np.unique(text * len(self.known) + at[hit], return_counts=True)
-        np.add.at(counts, cells // len(self.known), self.has[cells % len(self.known)] * n[:, None])
-        return counts >= self.need - 1e-9
-
-    def matches(self, text: str, candidates: list[int]) -> list[tuple[str, float, int, int]]:
-        """(licence, dice, start, end) of the segments that match a template."""
+        hit = np.flatnonzero(self.known[at] == grams)
+        at = at[hit]
+        text = np.searchsorted(np.searchsorted(starts, places), hit, "right") - 1
+        for k, least in enumerate(self.least):
+            own = np.flatnonzero(self.has[k][at])
+            if self.sizes[k] and len(own) >= least:
+                a, b = own[: len(own) - least + 1], own[least - 1 :]
+                out[text[a[(hit[b] - hit[a] < self.most[k]) & (text[a] == text[b])]], k] = True
+        return out
+
+    def windows(self, grams: list[tuple[str, str]], candidates: list[int] | None = None) -> list[tuple[float, int, int, str]]:
+        """(-dice, -bigrams, first bigram, licence) of the windows that match a template and lose common bigrams at both ends if cut."""
+        places: dict[int, list[int]] = defaultdict(list)
+        for i, g in enumerate(grams):
+            for k in self.having.get(g, ()):
+                places[k].append(i)
         out = []
-        for a, b in segments(text):
-            own = None
-            best = None
-            length = b - a
-            for k in candidates:
-                if length < self.sizes[k] * self.share * 2:  # a bigram more takes two characters at least
+        for k in places if candidates is None else candidates:
+            at, least, most, size, own = places[k], self.least[k], self.most[k], self.sizes[k], self.grams[k]
+            for i in range(len(at) - least + 1):
+                first = at[i]
+                if at[i + least - 1] - first >= most:
                     continue
-                own = own or bigrams(text[a:b])
-                n = own.total()
-                if self.share * n <= self.sizes[k] + 1e-9 and self.share * self.sizes[k] <= n + 1e-9:
-                    found = (-dice(own, self.grams[k]), self.names[k])
-                    if -found[0] >= self.threshold and (best is None or found < best):
-                        best = found
-            if best:
-                out.append((best[1], -best[0], a, b))
+                left = dict(own)
+                common = 0
+                for j in range(i, len(at)):
+                    n = at[j] - first + 1
+                    if n > most:
+                        break
+                    g = grams[at[j]]
+                    if left[g]:
+                        left[g] -= 1
+                        common += 1
+                        if 2 * common / (n + size) >= self.threshold:
+                            out.append((-2 * common / (n + size), -n, first, self.names[k]))
+                    elif g == grams[first]:  # this one stands in for the first
+                        break
         return out
 
+    def matches(self, text: str, candidates: list[int] | None = None) -> list[tuple[str, float, int, int]]:
+        """(licence, dice, start, end) of the best windows, by start; all templates are candidates by default."""
+        words = list(_WORD.finditer(text.translate(_LOWER)))
+        texts = [w.group() for w in words]
+        taken = bytearray(len(words))
+        out = []
+        for d, n, first, name in sorted(self.windows(list(zip(texts, texts[1:])), candidates)):
+            end = first - n + 1
+            if 2 * taken.count(1, first, end) < end - first:
+                taken[first:end] = b"\1" * (end - first)
+                out.append((name, -d, words[first].start(), words[end - 1].end()))
+        return sorted(out, key=lambda m: m[2:])
+
+
+@cache
+def _fixed() -> Templates:
+    return Templates(TEMPLATES, THRESHOLD)
+
 
 _MATCH = pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 _SQL = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -5,6 +5,7 @@ import json
 import re
 import zlib
 from collections import Counter
+from textwrap import wrap
 
 import pytest
 from hypothesis import given, settings
@@ -295,3 +296,42 @@ def test_licenses_of_the_table(spark, sf):
     got = {r.doc_id: r.licenses for r in queries.op6_license_scan(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
         assert got[r.doc_id] == ",".join(sorted({m[0] for m in brute_licenses(r.text)}))
+
+
+def brute_windows(text):
+    """The best of all word windows, then the best of those with less than half of their words in taken ones, and so on."""
+    places = list(re.finditer(WORD, text.translate({c: c + 32 for c in range(65, 91)})))
+    grams = list(zip([w.group() for w in places], [w.group() for w in places[1:]]))
+    common = lambda a, b, t: (Counter(grams[a:b]) & t).total()
+    found = []
+    for name, t in [(n, license.bigrams(t)) for n, t in license.TEMPLATES]:
+        for a in range(len(grams)):
+            for b in range(a + 1, len(grams) + 1):
+                c = common(a, b, t)
+                d = 2 * c / (b - a + t.total())
+                if d >= license.THRESHOLD and common(a + 1, b, t) < c and common(a, b - 1, t) < c:
+                    found.append((-d, a - b, a, name, b + 1))
+    taken, out = set(), []
+    for d, _, a, name, b in sorted(found):
+        if 2 * len(taken & set(range(a, b))) < b - a:
+            taken |= set(range(a, b))
+            out.append((name, -d, places[a].start(), places[b - 1].end()))
+    return sorted(out, key=lambda m: m[2:])
+
+
+def test_licenses_in_all_word_windows(spark):
+    """Notices wrapped over lines, in comment blocks and inside paragraphs, altered and next to each other."""
+    texts, names = [], []
+    for i, (name, t) in enumerate(license.TEMPLATES):
+        sign = ["# ", " * ", "// ", "", "-- "][i % 5]
+        before, after = ("Copyright 2024 Some Body and the others. ", " See the file for more of the terms.") if i % 2 else ("", "")
+        words = t.split()
+        for w in (words, words[: len(words) // 2] + ["really"] + words[len(words) // 2 :]):
+            texts.append("\n".join(sign + line for line in wrap(before + " ".join(w) + after, 40)))
+            names.append(name if w is words else None)
+    texts += ["This work is licensed under the GNU General\nPublic License, version 3. Released under the MIT\nLicense. Released under the MIT License.", "of the the of the " * 9 + "Licensed under\nCC BY 4.0. Licensed under CC\nBY"]
+    names += ["GPL-3.0", "CC-BY-4.0"]
+    got = {r.doc_id: [tuple(m) for m in r.licenses] for r in license.scan_licenses(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_windows(t) for t in texts]
+    assert all(n is None or n in {m[0] for m in got[i]} for i, n in enumerate(names))
+    assert [m[0] for m in got[len(texts) - 2]] == ["GPL-3.0", "MIT", "MIT"]
