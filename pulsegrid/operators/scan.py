@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_ROWS = 100_000
-DEFAULT_ROWS = 50_000
 ROW_BYTES = 13
 # Names that a projection accepts.
 ALIASES = {"timestamp": "ts_us", "time": "ts_us", "ts": "ts_us", "duration": "duration_ms", "duration_ms": "duration_ms", "is_error": "is_error", "error": "is_error"}
 
 
 def scan(events: DataFrame, start: int = 0, end: int = 0, errors_only: bool = False, limit: int | None = None, by: str = "ts_us") -> DataFrame:
-    """Rows in [start, end], both inclusive and 0 for none, oldest first; a limit keeps the oldest and is at most 100,000."""
+    """Rows in [start, end], both inclusive and 0 for none, oldest first: all of them, or the oldest up to a limit of at most 100,000."""
     out = events
     if start:
         out = out.where(F.col(by) >= start)
@@ -23,7 +22,8 @@ def scan(events: DataFrame, start: int = 0, end: int = 0, errors_only: bool = Fa
         out = out.where(F.col(by) <= end)
     if errors_only:
         out = out.where("is_error")
-    return out.orderBy("seq").limit(min(DEFAULT_ROWS if limit is None else limit, MOST_ROWS))
+    out = out.orderBy("seq")
+    return out if limit is None else out.limit(min(limit, MOST_ROWS))
 
 
 def duration_max(events: DataFrame) -> DataFrame:

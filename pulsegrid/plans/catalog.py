@@ -41,6 +41,11 @@ def scan_errors_range(spark, d):
     return scan.scan(tables.events(spark, d), BASE_US + 2 * DAY_US, BASE_US + 20 * DAY_US, True, 1000).select(*_EVENT)
 
 
+@query
+def scan_errors_range_whole(spark, d):
+    return scan.scan(tables.events(spark, d), BASE_US + 2 * DAY_US, BASE_US + 20 * DAY_US, True).select(*_EVENT)
+
+
 @query
 def scan_limit(spark, d):
     return scan.scan(tables.events(spark, d), limit=50).select(*_EVENT)
@@ -104,6 +109,11 @@ def query_compat(spark, d):
     return scan.query_compat(tables.events(spark, d), "SELECT  timestamp, duration, is_error, other FROM events WHERE is_error = 1 ORDER BY 2", limit=300)
 
 
+@query
+def query_compat_whole(spark, d):
+    return scan.query_compat(tables.events(spark, d), "SELECT  timestamp, duration, is_error, other FROM events WHERE is_error = 1 ORDER BY 2")
+
+
 @query
 def group_by_service(spark, d):
     return tables.events(spark, d).groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors"))

@@ -135,6 +135,7 @@ def oracle_sql() -> dict[str, str]:
     buckets = (1, 5, 10, 50, 100, 250, 500)
     return {
         "scan_errors_range": w(_EV, f"SELECT {_EVENT} FROM ev WHERE is_error AND ts_us BETWEEN {BASE_US + 2 * DAY_US} AND {BASE_US + 20 * DAY_US} ORDER BY seq LIMIT 1000"),
+        "scan_errors_range_whole": w(_EV, f"SELECT {_EVENT} FROM ev WHERE is_error AND ts_us BETWEEN {BASE_US + 2 * DAY_US} AND {BASE_US + 20 * DAY_US}"),
         "scan_limit": w(_EV, f"SELECT {_EVENT} FROM ev ORDER BY seq LIMIT 50"),
         "scan_max": w(_EV, "SELECT coalesce(max(duration_ms), 0.0) AS max_duration_ms FROM ev"),
         "scan_error_count": w(_EV, "SELECT count(*) FILTER (is_error) AS errors FROM ev"),
@@ -147,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "project_alias": w(_EV, 'SELECT ts_us AS "time", duration_ms AS duration, CAST(is_error AS INT) AS error, CAST(NULL AS VARCHAR) AS nothing FROM ev'),
         "query_sql": w(_EV, "SELECT service, count(*) AS n, avg(status_code) AS mean_status FROM ev WHERE duration_ms > 50 GROUP BY service"),
         "query_compat": w(_EV, 'SELECT ts_us AS "timestamp", duration_ms AS duration, CAST(is_error AS INT) AS is_error, CAST(NULL AS VARCHAR) AS other FROM ev WHERE is_error ORDER BY seq LIMIT 300'),
+        "query_compat_whole": w(_EV, 'SELECT ts_us AS "timestamp", duration_ms AS duration, CAST(is_error AS INT) AS is_error, CAST(NULL AS VARCHAR) AS other FROM ev WHERE is_error'),
         "group_by_service": w(_EV, "SELECT service, count(*) AS n, count(*) FILTER (is_error) AS errors FROM ev GROUP BY service"),
         "latency_ranks": w(_EV, "SELECT service, list_sort(list(duration_ms))[count(*) // 2 + 1] AS median_ms, list_sort(list(duration_ms))[count(*) * 99 // 100 + 1] AS p99_ms FROM ev GROUP BY service"),
         "rules_drop": w(_EV, f"SELECT {_EVENT} FROM ev WHERE NOT {_DROPPED}"),

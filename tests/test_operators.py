@@ -34,6 +34,14 @@ def test_scans(spark):
     assert scan.scan(e, limit=2).count() == 2
 
 
+def test_scan_without_a_limit_is_whole(spark):
+    e = scan.benchmark_events(spark, 130_000)
+    assert scan.scan(e).count() == 130_000
+    assert scan.scan(e, 1, 0, True).count() == 130_000 // 19
+    assert scan.query_compat(e, "SELECT * FROM events").count() == 130_000
+    assert scan.scan(e, limit=120_000).count() == scan.MOST_ROWS
+
+
 def test_scan_nan_and_empty(spark):
     e = events(spark, [(0, 0, math.nan, False), (1, 1, math.inf, True), (2, 2, -1.0, True)])
     assert scan.duration_max(e).first()[0] == math.inf
