@@ -83,6 +83,27 @@ def extract_from_ring(spark, d):
     return scan.extract(tables.events(spark, d), 9_200, 500, capacity=600).select(*_EVENT)
 
 
+def _head(events: DataFrame) -> int:
+    """The write index after the newest row."""
+    return events.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+
+
+@query
+def extract_middle(spark, d):
+    """The middle half of the table by write index."""
+    events = tables.events(spark, d)
+    head = _head(events)
+    return scan.extract(events, head // 4, head // 2).select(*_EVENT)
+
+
+@query
+def extract_middle_from_ring(spark, d):
+    """The same from a ring that holds the newest half, so that the range straddles its start."""
+    events = tables.events(spark, d)
+    head = _head(events)
+    return scan.extract(events, head // 4, head // 2, capacity=(head + 1) // 2).select(*_EVENT)
+
+
 @query
 def store_stats(spark, d):
     return scan.store_stats(tables.events(spark, d), 16_000_000)

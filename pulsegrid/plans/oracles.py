@@ -143,6 +143,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_lineitem": "SELECT max(l_extendedprice) AS max_duration_ms, count(*) FILTER (l_returnflag = 'R') AS errors, count(*) FILTER (l_extendedprice > 50000) AS slow FROM lineitem",
         "extract_range": w(_EV, f"SELECT {_EVENT} FROM ev WHERE seq >= 400 AND seq < 900"),
         "extract_from_ring": w(_EV, f"SELECT {_EVENT} FROM ev WHERE seq >= greatest(9200, (SELECT max(seq) + 1 FROM ev) - 600) AND seq < 9700"),
+        "extract_middle": w(_EV + ", h AS (SELECT max(seq) + 1 AS head FROM ev)", f"SELECT {_EVENT} FROM ev, h WHERE seq >= head // 4 AND seq < head // 4 + head // 2"),
+        "extract_middle_from_ring": w(_EV + ", h AS (SELECT max(seq) + 1 AS head FROM ev)", f"SELECT {_EVENT} FROM ev, h WHERE seq >= greatest(head // 4, head - (head + 1) // 2) AND seq < head // 4 + head // 2"),
         "store_stats": w(_EV, "SELECT count(*) AS rows, coalesce(max(seq) + 1, 0) AS head, CAST(16000000 AS BIGINT) AS capacity, CAST(208000000 AS BIGINT) AS byte_size FROM ev"),
         "retention_last_n": w(_EV, f"SELECT {_EVENT} FROM ev ORDER BY seq DESC LIMIT 777"),
         "project_alias": w(_EV, 'SELECT ts_us AS "time", duration_ms AS duration, CAST(is_error AS INT) AS error, CAST(NULL AS VARCHAR) AS nothing FROM ev'),

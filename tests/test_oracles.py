@@ -33,3 +33,9 @@ def test_query(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(oracles.oracle_sql()) <= set(entry.queries())
+
+
+def test_extraction_grows_with_the_table(spark, sf):
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert catalog.queries()["extract_middle"](spark, sf).count() >= n // 2 - 1
+    assert catalog.queries()["extract_middle_from_ring"](spark, sf).count() >= n // 4 - 1
