@@ -106,6 +106,29 @@ def _lists(values: np.ndarray, present: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64)))
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit digests of sets in two rows; 0 for empty ones."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((2, len(sets)), np.int64)
+    if sizes.any():
+        flat = np.concatenate([s for s in sets if len(s)])
+        at = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
+        for k in range(2):
+            out[k, sizes > 0] = np.add.reduceat(mix(flat ^ _SALT[60 + k]), at).view(np.int64)
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and sets of the texts that have the digest asked for; others only share a doc_id."""
+    for batch in batches:
+        texts = text_bytes(batch.column("text"))
+        asked = np.stack([batch.column(c).to_numpy() for c in ("d1", "d2")])
+        for a, b in chunks(texts):
+            sets = shingle_sets(texts[a:b])
+            own = np.flatnonzero((_digests(sets) == asked[:, a:b]).all(axis=0))
+            yield batch.column("id").slice(a, b - a).take(pa.array(own)), [sets[i] for i in own]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_bytes(batch.column("text"))
@@ -114,14 +137,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(s) for s in sets], np.int64)
             present = sizes > 0
             full = [s for s in sets if len(s)]
-            digest = np.zeros((2, len(sets)), np.int64)
+            digest = _digests(sets)
             if full:
                 mins = samples(full)
                 keys, sketches = band_keys(mins), odd_sketches(mins)
-                flat = np.concatenate(full)
-                at = np.concatenate([[0], np.cumsum(sizes[present])[:-1]]).astype(np.int64)
-                for k in range(2):
-                    digest[k, present] = np.add.reduceat(mix(flat ^ _SALT[60 + k]), at).view(np.int64)
             else:
                 keys, sketches = np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_BITS // 64), np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -131,21 +150,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = text_bytes(batch.column("text"))
-        for a, b in chunks(texts):
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], names=["id", "items"])
+    for ids, sets in _sets(batches):
+        yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = text_bytes(batch.column("text"))
-        for a, b in chunks(texts):
-            sets = shingle_sets(texts[a:b])
-            sizes = np.array([len(s) for s in sets], np.int64)
-            full = [s for s in sets if len(s)]
-            sketches = odd_sketches(samples(full, FINE_SAMPLES), FINE_BITS) if full else np.zeros((0, FINE_BITS // 64), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(sizes), _lists(sketches, sizes > 0)], names=["id", "n", "sketch"])
+    for ids, sets in _sets(batches):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        full = [s for s in sets if len(s)]
+        sketches = odd_sketches(samples(full, FINE_SAMPLES), FINE_BITS) if full else np.zeros((0, FINE_BITS // 64), np.int64)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), _lists(sketches, sizes > 0)], names=["id", "n", "sketch"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +172,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def small_side(ids: DataFrame) -> DataFrame:
+def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """ids, broadcast if there are few enough."""
-    return F.broadcast(ids) if row_count_at_most(ids, BROADCAST_IDS) else ids
+    return F.broadcast(ids) if row_count_at_most(ids, most) else ids
 
 
 def _odd_bits(size: int = SKETCH_BITS) -> F.Column:
@@ -213,15 +227,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(source.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"), "signatures")
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    heads = known.join(classes.withColumnRenamed("id", "doc_id"), ["d1", "d2", "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    # Nodes are numbers of classes and not doc_ids: a doc_id may have several texts.
+    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    heads = known.join(classes, ["d1", "d2", "doc_id"]).select("id", "bands")
 
     members = heads.select("id", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count(F.lit(1)).alias("size")).where("leader < other").drop("other")
     buckets = materialize(members.join(leaders, "key"), "buckets")
-    sketches = signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
-    in_buckets = buckets.select("id").distinct()
-    held = materialize(sketches.join(small_side(in_buckets), "id", "left_semi").dropDuplicates(["id"]), "sketches")
+
+    def wanted(ids: DataFrame) -> DataFrame:
+        """The nodes ids with digest and smallest doc_id."""
+        return small_side(classes.join(small_side(ids), "id", "left_semi"), BROADCAST_IDS // 4)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """id, d1, d2 and all texts with the smallest doc_id of each node."""
+        return source.join(wanted(ids), "doc_id").select("id", "d1", "d2", "text")
+
+    sketches = known.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n"), "sketch")
+    held = sketches.join(wanted(buckets.select("id").distinct()), ["doc_id", "d1", "d2"]).select("id", "n", "sketch")
+    held = materialize(held.dropDuplicates(["id"]), "sketches")
 
     def near_pairs(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that pass sizes and sketches, with the differing bits."""
@@ -231,19 +256,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = near_pairs(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     led = materialize(led, "led")
     ends = led.select(F.col("a").alias("id")).union(led.select("b")).distinct()
-    texts = source.withColumnRenamed("doc_id", "id").join(small_side(ends), "id", "left_semi")
     nearest = led.groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")
 
     # 2: members of different components in one bucket
-    first_sets = materialize(texts.mapInArrow(_collect_sets, "id long, items binary"), "sets")
-    links = materialize(_linked(nearest, first_sets), "linked")
+    first_sets = materialize(texts_of(ends).mapInArrow(_collect_sets, "id long, items binary"), "sets")
+    links = _linked(nearest, first_sets)
+    told = F.struct("n_shingles", "d1", "d2")
+    shared = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(told).alias("low"), F.max(told).alias("high")).where("low != high").select("doc_id")
+    shared = materialize(shared, "shared")
+    any_shared = shared.limit(1).count() > 0
+    if any_shared:
+        own_nodes = known.select("doc_id", "d1", "d2").join(shared, "doc_id", "left_semi").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id").distinct()
+        own_nodes = materialize(own_nodes, "shared-nodes")
+        least = own_nodes.groupBy("doc_id").agg(F.min("id").alias("a"))
+        links = links.unionByName(own_nodes.join(least, "doc_id").where("a != id").select("a", F.col("id").alias("b")))
+    links = materialize(links, "linked")
     component = connected_components(links)
     placed = buckets.select("key", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     open_rows = materialize(placed.join(mixed.select("key"), "key"), "open")
     open_docs = open_rows.groupBy("id", "component").agg(F.collect_set("key").alias("keys"))
-    open_texts = source.withColumnRenamed("doc_id", "id").join(small_side(open_docs.select("id")), "id", "left_semi")
-    fine = open_texts.mapInArrow(_fine, "id long, n long, sketch array<long>").dropDuplicates(["id"]).join(open_docs, "id")
+    fine = texts_of(open_docs.select("id")).mapInArrow(_fine, "id long, n long, sketch array<long>").dropDuplicates(["id"]).join(open_docs, "id")
     fine = materialize(fine.select("id", "n", "sketch", "component", "keys"), "fine")
     dealt = open_rows.select("key", "id").join(fine, "id")
     left, right = _side(dealt, "a"), _side(dealt, "b")
@@ -253,12 +286,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = materialize(met.join(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "met")
     if met.limit(1).count():
         more = met.select(F.col("a").alias("id")).union(met.select("b")).distinct().join(first_sets.select("id"), "id", "left_anti")
-        more_texts = source.withColumnRenamed("doc_id", "id").join(small_side(more), "id", "left_semi")
-        sets = first_sets.unionByName(more_texts.mapInArrow(_collect_sets, "id long, items binary"))
+        sets = first_sets.unionByName(texts_of(more).mapInArrow(_collect_sets, "id long, items binary"))
         component = connected_components(links.unionByName(_linked(met, sets)))
 
-    of_class = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(of_class, ["d1", "d2"], "left")
+    component = component.withColumnRenamed("node", "id")
+    inside = component.select("id", "component").union(component.select("component", "component")).distinct()
+    named = inside.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = inside.join(named, "component").select("id", "component_id")
+    of_class = classes.join(named, "id", "left").select("d1", "d2", "id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(of_class.drop("id"), ["d1", "d2"], "left")
+    if any_shared:  # texts without words are in no class
+        of_doc = own_nodes.join(of_class.select("id", "component_id"), "id").groupBy("doc_id").agg(F.min("component_id").alias("doc_component"))
+        out = out.join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 

@@ -68,6 +68,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i].kept for i in range(len(texts))] == [r == i for i, r in enumerate(roots)]
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Each text of a doc_id is compared, and its texts are linked, those without words too."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        short, long = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(n)) for n in (40, 300))
+        rows += [(10 * i + 5, short), (10 * i + 5, long), (10 * i + 6, short + " end"), (10 * i + 7, long + " end"), (10 * i + 7, None)]
+        rows += [(10 * i + 4, short)] if i % 3 == 0 else []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got} == {d: d // 10 * 10 + (4 if d // 10 % 3 == 0 else 5) for d, _ in rows}
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+        assert len({(r.doc_id, r.component_id) for r in got}) == len({d for d, _ in rows})
+
+
 def test_near_duplicates_odd_tables(spark):
     d = odd(spark).union(odd(spark)).union(odd(spark).withColumn("doc_id", F.lit(None).cast("long")))
     got = neardup.near_duplicates(d).collect()
