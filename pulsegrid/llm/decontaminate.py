@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, prepare, reserved, text_bytes
+from ._common import chunks, materialize, prepare, reserved, text_bytes
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 2 << 20
+#: Blocks whose tables the executors hold together; after as many the result is written.
+CHAINED_BLOCKS = 8
 RESULT = ("n_words", "hit_spans", "items")
 
 #: Lower case for A-Z, a blank for bytes that are in no word.
@@ -215,10 +217,12 @@ def _search(scanner, text: str, carry: list[str]):
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about limit bytes, one block at a time on the driver."""
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
+    """The distinct items in blocks of about limit bytes, one block at a time on the driver."""
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-2 * total // limit) if total > limit else 1)
+    if n > 1:
+        rows = materialize(rows, "benchmark")
     for k in range(n):
         yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
@@ -230,14 +234,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     docs = reserved(docs, *RESULT)
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULT]
     source = docs.select(*dict.fromkeys([*carry, text]))
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes)) if benchmark.columns else [[]]
+    blocks = _blocks(benchmark, item, item_text, block_bytes) if benchmark.columns else iter([[]])
     out, fields = source, [source.schema[c] for c in dict.fromkeys([*carry, text])]
     result = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPAN_SQL), T.StructField("items", T.ArrayType(T.StringType()))]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        names = carry if last else list(dict.fromkeys([*carry, text]))
+    block, chained = next(blocks), []
+    while block is not None:
+        after = next(blocks, None)
+        names = carry if after is None else list(dict.fromkeys([*carry, text]))
         shared = spark.sparkContext.broadcast(Scanner(block, window))
         out = out.mapInArrow(_search(shared, text, names), T.StructType([f for f in fields if f.name in names] + result))
+        block, chained = after, [*chained, shared]
+        if block is not None and len(chained) == CHAINED_BLOCKS:
+            out = materialize(out, "contamination")
+            while chained:
+                chained.pop().unpersist()
     return out
 
 

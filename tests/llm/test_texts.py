@@ -73,6 +73,18 @@ def test_contamination_in_blocks(spark, sf):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+def test_contamination_bounds_blocks(spark, sf):
+    """A repeated item is held once, and no more than CHAINED_BLOCKS tables stand in one plan."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    copies = bench.limit(1).crossJoin(spark.range(200)).drop("id")
+    assert sum(map(len, decontaminate._blocks(copies, "item_id", "text", 500))) == 1
+    many = decontaminate.find_contamination(docs, bench, carry=["doc_id"], block_bytes=200)
+    assert sum(1 for _ in decontaminate._blocks(bench, "item_id", "text", 200)) > 8
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 8
+    one = decontaminate.find_contamination(docs, bench, carry=["doc_id"])
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
 def test_contamination_odd_tables(spark):
     d = odd(spark)
     bench = spark.createDataFrame([(1, LONG[:400]), (1, "word"), (None, None), (2, ""), (3, "🙂")], "item_id long, text string")
