@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from textwrap import wrap
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,11 +126,46 @@ def test_bpe_equals_library(codec, library, parts):
     assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abetinghro", min_size=300, max_size=4000), st.integers(1, 200))
-def test_transducer_equals_whole_merge(codec, text, step):
-    data = text.encode()
-    assert list(codec.transduce(data[i : i + step] for i in range(0, len(data), step))) == codec._merged(data)
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(alphabet="abetinghro' ", min_size=50, max_size=900)), max_size=12), st.integers(1, 700))
+def test_stream_equals_library(codec, library, parts, step):
+    """A text that comes in blocks, cut anywhere: words, contractions, blanks and added tokens across blocks."""
+    text = "".join(parts)
+    got = [int(i) for ids in codec.stream(text[i : i + step] for i in range(0, len(text), step)) for i in ids]
+    assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_stream_holds_a_window(codec):
+    """A run without end is emitted while it comes in, and what is held stays under two windows."""
+    held, context, out = b"", "", []
+    for _ in range(40):
+        ids, _, held, context = codec.block(["ab" * 500], {}, held, context, False)
+        out += ids.tolist()
+        assert len(held) < 2 * codec.window
+    assert len(out) > 9 * codec.lookahead
+    ids, _, held, _ = codec.block(["!"], {}, held, context)
+    assert codec.decode(out + ids.tolist()) == "ab" * 20_000 + "!" and held == b""
+
+
+def test_every_word_is_transduced(codec, spark, sf, monkeypatch):
+    """Every word of a real text is a cursor of the transducer, or equals one in its block."""
+    moved = []
+    whole = bpe.Codec.transduce
+    monkeypatch.setattr(bpe.Codec, "transduce", lambda self, data, start, end, out, final=True: moved.append({data[a:b].tobytes() for a, b in zip(start, end)}) or whole(self, data, start, end, out, final))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").where("length(text) > 0").limit(60).collect():
+        moved.clear()
+        ids = codec.encode(r.text)
+        seen = set().union(*moved)
+        assert seen and len(ids) >= len(seen) and {w.decode() for w in r.text.encode().split() if w.isalpha()} <= {x.decode().strip() for x in seen if x.strip()}
+
+
+def test_long_texts_in_blocks(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(bpe, "STEP_TOKENS", 77)
+    texts = [LONG[:7000], "", "  " * 3000 + "é漢" * 900 + "<|endoftext|>" * 200, "it's " * 999, "x" * 5000]
+    ids, counts = codec.encode_texts(texts)
+    assert [library.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert codec.decode_texts(ids, counts) == texts
 
 
 def test_lookahead_of_a_small_list():
