@@ -124,6 +124,26 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows, cut between groups of equal names; the batches are sorted by these."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            columns = [batch.column(n).to_numpy() for n in names]
+            cut = int(np.argmax(np.all([c == c[-1] for c in columns], axis=0)))  # the last group may go on
+            if cut:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+                size = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _KEPT: dict[type, tuple] = {}
 
 

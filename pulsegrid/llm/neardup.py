@@ -9,12 +9,13 @@ sketch bound with about the same. What stays is confirmed on the full sets.
 
 No bucket is ever expanded into all its pairs at first:
 
-1. Each member of a bucket meets the bucket's smallest id only, and of all such leaders the one with the nearest sketch.
-   Confirmed links give components.
-2. Buckets whose members lie in different components still may hide links. Their documents get finer odd sketches of
-   ``FINE_SAMPLES`` samples, whose bound lies at a similarity of 0.67 (again five deviations), and two members of different
-   components become a pair where the fine sketches allow it, in the first bucket that they share. So only pairs close to
-   the threshold are listed, once each, before they are confirmed.
+1. Each member of a bucket meets one leader: the member with the most neighbours over all its buckets, which is the centre
+   of a family of copies rather than one of its ends. Of all its leaders a document takes the one with the nearest sketch.
+   Confirmed links give components. A further round does the same with leaders outside a bucket's largest component.
+2. Buckets whose members still lie in different components may hide links. Their documents get finer odd sketches of
+   ``FINE_SAMPLES`` samples, whose bound lies at a similarity of 0.67 (again five deviations), and a member outside the
+   largest component meets members of other components where the fine sketches allow it, in the first bucket that they
+   share. The nearest of each document is confirmed first, the others only if their components are still apart.
 
 Components come from alternating large-star and small-star steps over written tables. Shuffled are band keys, sketches and
 the sets of documents that have a candidate; no group is gathered in a task or on the driver.
@@ -27,13 +28,14 @@ document, whose texts are linked; an empty table gives no rows; other columns do
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, word_bounds, word_hashes
+from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, whole_groups, word_bounds, word_hashes
 
 SHINGLE_WORDS = 5
 #: Similarity in hundredths.
@@ -45,9 +47,16 @@ SKETCH_BITS = 512
 MOST_ODD = 165
 #: The same for documents of open buckets: bits differ by 453 +- 26 at 0.75.
 FINE_SAMPLES, FINE_BITS, FINE_MOST_ODD = 1024, 4096, 576
+#: Rounds of bucket leaders; members in a part of a bucket that leaders leave open.
+LEADER_ROUNDS, PART_MEMBERS = 2, 256
+#: Rows of cells, and pairs of them, that a task compares at once.
+MEET_ROWS, MEET_PAIRS = 4096, 1 << 18
 #: Ids that are broadcast at most (8 bytes each, under 100 MB as a hash table); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
+_KEY = "_pulsegrid_document"
+#: Documents without an id count as greater than this.
+_NO_ID = 2**62
 _RNG = np.random.default_rng(51)
 _FLIP = _RNG.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 2**31, FINE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -159,7 +168,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(s) for s in sets], np.int64)
         full = [s for s in sets if len(s)]
         sketches = odd_sketches(samples(full, FINE_SAMPLES), FINE_BITS) if full else np.zeros((0, FINE_BITS // 64), np.int64)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), _lists(sketches, sizes > 0)], names=["id", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), _lists(sketches, sizes > 0)], names=["id", "n", "fine"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +181,50 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of one cell that lie in different components, not both in the largest, and that sizes and sketches
+    allow, in the first band that they share."""
+    wide = lambda table, name: np.stack(table.column(name).to_numpy()).view(np.uint64)
+    for table in whole_groups(batches, ["key", "low", "high"], MEET_ROWS):
+        key, low, high, ids, component, led, part, n = (table.column(c).to_numpy() for c in ("key", "low", "high", "id", "component", "led", "part", "n"))
+        sketch, fine, bands = (wide(table, c) for c in ("sketch", "fine", "bands"))
+        rows = np.arange(len(key))
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        end = np.append(np.flatnonzero(first)[1:], len(key))[np.cumsum(first) - 1]
+        band = np.argmax(bands == key.view(np.uint64)[:, None], axis=1)
+        upto = np.cumsum(end - rows - 1)
+        for cut in np.split(rows, np.unique(np.searchsorted(upto, np.arange(MEET_PAIRS, upto[-1], MEET_PAIRS)) + 1)) if len(rows) else ():
+            counts = (end - rows - 1)[cut]
+            a = np.repeat(cut, counts)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + a + 1
+            go = (component[a] != component[b]) & ~(led[a] & led[b]) & ((low == high)[a] | (part[a] != part[b]))
+            go &= (100 * n[a] >= PERCENT * n[b]) & (100 * n[b] >= PERCENT * n[a])
+            a, b = a[go], b[go]
+            go = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= MOST_ODD
+            a, b = a[go], b[go]
+            go = np.argmax(bands[a] == bands[b], axis=1) == band[a]
+            a, b = a[go], b[go]
+            odd = np.bitwise_count(fine[a] ^ fine[b]).sum(axis=1, dtype=np.int64)
+            go = odd <= FINE_MOST_ODD
+            a, b, odd = a[go], b[go], odd[go]
+            a, b = np.where(led[a], b, a), np.where(led[a], a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(odd)], names=["a", "b", "odd"])
+
+
 def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """ids, broadcast if there are few enough."""
     return F.broadcast(ids) if row_count_at_most(ids, most) else ids
 
 
-def _odd_bits(size: int = SKETCH_BITS) -> F.Column:
+def _odd_bits() -> F.Column:
     """Bits in which the sketches of a pair differ."""
-    return F.expr(" + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(size // 64)))
+    return F.expr(" + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(SKETCH_BITS // 64)))
 
 
-def _near(size: int = SKETCH_BITS, most: int = MOST_ODD) -> F.Column:
+def _near() -> F.Column:
     """By size and sketch, may this pair be linked?"""
     sizes = (F.col("a_n") * 100 >= F.col("b_n") * PERCENT) & (F.col("b_n") * 100 >= F.col("a_n") * PERCENT)
-    return sizes & (_odd_bits(size) <= most)
+    return sizes & (_odd_bits() <= MOST_ODD)
 
 
 def _side(docs: DataFrame, name: str) -> DataFrame:
@@ -221,6 +260,57 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "a_items", "b_items").mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
+def _placed(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """rows (key, id) of the buckets whose members lie in several components, with the component and whether it is the
+    largest of the bucket; a node without a link is its own component."""
+    if component is None:
+        return rows.withColumn("component", F.col("id")).withColumn("led", F.lit(False))
+    rows = rows.join(small_side(component.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return materialize(rows.join(largest, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("led")), "open")
+
+
+def _grown(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after further links (a, b)."""
+    return connected_components(links if component is None else links.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _nodes_of_ids(signed: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """doc_id and nodes of the doc_ids that have several texts, if there are any."""
+    told = F.struct("n_shingles", "d1", "d2")
+    shared = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(told).alias("low"), F.max(told).alias("high")).where("low != high").select("doc_id")
+    shared = materialize(shared, "shared")
+    if not shared.limit(1).count():
+        return None
+    nodes = known.select("doc_id", "d1", "d2").join(shared, "doc_id", "left_semi").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id").distinct()
+    return materialize(nodes, "shared-nodes")
+
+
+def _stragglers(open_rows: DataFrame, component: DataFrame, held: DataFrame, texts_of, linked) -> DataFrame:
+    """The components after links between members of open buckets that leaders did not find."""
+    open_ids = open_rows.select("id").distinct()
+    fine = texts_of(open_ids).mapInArrow(_fine, "id long, n long, fine array<long>").dropDuplicates(["id"]).join(held.drop("n"), "id")
+    fine = materialize(fine.select("id", "n", "sketch", "fine", "bands"), "fine")
+    # A large bucket is dealt to parts, and each two parts meet in a cell, so that it is work for many tasks of bounded size.
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART_MEMBERS).alias("parts"))
+    dealt = open_rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    cells = dealt.join(small_side(fine, 10_000), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    names = ["key", "low", "high", "id", "component", "led", "part", "n", "sketch", "fine", "bands"]
+    met = materialize(cells.select(*names).mapInArrow(_meet, "a long, b long, odd long"), "met")
+    if not met.limit(1).count():
+        return component
+    # The nearest of each first, the others only where components are still apart.
+    nearest = met.groupBy("a").agg(F.min_by("b", F.struct("odd", "b")).alias("b")).select("a", "b")
+    component = _grown(component, linked(nearest))
+    for side in ("a", "b"):
+        met = met.join(small_side(component.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))), side, "left")
+    rest = met.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    return _grown(component, linked(rest))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     prepare(docs.sparkSession)
@@ -233,8 +323,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = known.join(classes, ["d1", "d2", "doc_id"]).select("id", "bands")
 
     members = heads.select("id", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count(F.lit(1)).alias("size")).where("leader < other").drop("other")
-    buckets = materialize(members.join(leaders, "key"), "buckets")
+    shared_keys = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    buckets = materialize(members.join(shared_keys.select("key", "size"), "key"), "buckets")
+    degrees = materialize(buckets.groupBy("id").agg(F.sum("size").alias("degree")), "degrees")
 
     def wanted(ids: DataFrame) -> DataFrame:
         """The nodes ids with digest and smallest doc_id."""
@@ -244,50 +335,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """id, d1, d2 and all texts with the smallest doc_id of each node."""
         return source.join(wanted(ids), "doc_id").select("id", "d1", "d2", "text")
 
-    sketches = known.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n"), "sketch")
-    held = sketches.join(wanted(buckets.select("id").distinct()), ["doc_id", "d1", "d2"]).select("id", "n", "sketch")
+    sketches = known.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n"), "sketch", "bands")
+    held = sketches.join(wanted(buckets.select("id").distinct()), ["doc_id", "d1", "d2"]).select("id", "n", "sketch", "bands")
     held = materialize(held.dropDuplicates(["id"]), "sketches")
 
-    def near_pairs(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) that pass sizes and sketches, with the differing bits."""
-        return pairs.join(_side(held, "a"), "a").join(_side(held, "b"), "b").where(_near()).select("a", "b", _odd_bits().alias("odd"))
+    sets: list[DataFrame] = []
 
-    # 1: each member with its nearest leader
-    led = near_pairs(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    led = materialize(led, "led")
-    ends = led.select(F.col("a").alias("id")).union(led.select("b")).distinct()
-    nearest = led.groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked by their full sets."""
+        pairs = materialize(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        for have in sets:
+            ids = ids.join(have.select("id"), "id", "left_anti")
+        sets.append(materialize(texts_of(ids).mapInArrow(_collect_sets, "id long, items binary").dropDuplicates(["id"]), "sets"))
+        return materialize(_linked(pairs, reduce(DataFrame.unionByName, sets)), "linked")
 
-    # 2: members of different components in one bucket
-    first_sets = materialize(texts_of(ends).mapInArrow(_collect_sets, "id long, items binary"), "sets")
-    links = _linked(nearest, first_sets)
-    told = F.struct("n_shingles", "d1", "d2")
-    shared = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(told).alias("low"), F.max(told).alias("high")).where("low != high").select("doc_id")
-    shared = materialize(shared, "shared")
-    any_shared = shared.limit(1).count() > 0
-    if any_shared:
-        own_nodes = known.select("doc_id", "d1", "d2").join(shared, "doc_id", "left_semi").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id").distinct()
-        own_nodes = materialize(own_nodes, "shared-nodes")
+    component = None
+    own_nodes = _nodes_of_ids(signed, known, classes)
+    if own_nodes is not None:
         least = own_nodes.groupBy("doc_id").agg(F.min("id").alias("a"))
-        links = links.unionByName(own_nodes.join(least, "doc_id").where("a != id").select("a", F.col("id").alias("b")))
-    links = materialize(links, "linked")
-    component = connected_components(links)
-    placed = buckets.select("key", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_rows = materialize(placed.join(mixed.select("key"), "key"), "open")
-    open_docs = open_rows.groupBy("id", "component").agg(F.collect_set("key").alias("keys"))
-    fine = texts_of(open_docs.select("id")).mapInArrow(_fine, "id long, n long, sketch array<long>").dropDuplicates(["id"]).join(open_docs, "id")
-    fine = materialize(fine.select("id", "n", "sketch", "component", "keys"), "fine")
-    dealt = open_rows.select("key", "id").join(fine, "id")
-    left, right = _side(dealt, "a"), _side(dealt, "b")
-    apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
-    first_met = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")
-    met = left.join(right, (F.col("a_key") == F.col("b_key")) & apart & _near(FINE_BITS, FINE_MOST_ODD) & first_met).select("a", "b")
-    met = materialize(met.join(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "met")
-    if met.limit(1).count():
-        more = met.select(F.col("a").alias("id")).union(met.select("b")).distinct().join(first_sets.select("id"), "id", "left_anti")
-        sets = first_sets.unionByName(texts_of(more).mapInArrow(_collect_sets, "id long, items binary"))
-        component = connected_components(links.unionByName(_linked(met, sets)))
+        component = _grown(None, own_nodes.join(least, "doc_id").where("a != id").select("a", F.col("id").alias("b")))
+
+    open_rows = _placed(buckets.select("key", "id"), component)
+    for _ in range(LEADER_ROUNDS):
+        rank = F.struct("degree", -F.col("id"))
+        leaders = open_rows.where("not led").join(small_side(degrees), "id").groupBy("key").agg(F.max_by("id", rank).alias("a"), F.max_by("component", rank).alias("a_component"))
+        led = open_rows.join(leaders, "key").where("component != a_component").select("a", F.col("id").alias("b")).distinct()
+        led = led.join(_side(held.drop("bands"), "a"), "a").join(_side(held.drop("bands"), "b"), "b").where(_near()).select("a", "b", _odd_bits().alias("odd"))
+        component = _grown(component, linked(led.groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")))
+        open_rows = _placed(open_rows.select("key", "id"), component)
+        if not open_rows.limit(1).count():
+            break
+    else:
+        component = _stragglers(open_rows, component, held, texts_of, linked)
 
     component = component.withColumnRenamed("node", "id")
     inside = component.select("id", "component").union(component.select("component", "component")).distinct()
@@ -295,7 +375,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = inside.join(named, "component").select("id", "component_id")
     of_class = classes.join(named, "id", "left").select("d1", "d2", "id", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(of_class.drop("id"), ["d1", "d2"], "left")
-    if any_shared:  # texts without words are in no class
+    if own_nodes is not None:  # texts without words are in no class
         of_doc = own_nodes.join(of_class.select("id", "component_id"), "id").groupBy("doc_id").agg(F.min("component_id").alias("doc_component"))
         out = out.join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -303,6 +383,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of docs."""
-    gone = materialize(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, with the columns of docs: that of the smallest doc_id, and of its rows that of the
+    smallest text. Rows without a doc_id take part and give way to others; equal texts among them count as one document.
+    Texts without words stay, once for each doc_id."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(_NO_ID // 2 - 1)))
+    keyed = docs.withColumn(_KEY, key)
+    found = near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text"))
+    told = materialize(found.groupBy(F.col("doc_id").alias(_KEY)).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "told")
+    left = keyed.join(small_side(told.where("not kept").select(_KEY)), _KEY, "left_anti")
+    several = told.where("kept").select(_KEY)
+    if several.limit(1).count():
+        row = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").cast("string"), F.xxhash64(*docs.columns)))
+        one = left.join(small_side(several), _KEY).groupBy(_KEY).agg(row.alias("row")).select("row.*")
+        return left.join(small_side(several), _KEY, "left_anti").select(*docs.columns).unionByName(one)
+    return left.select(*docs.columns)

@@ -85,6 +85,43 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
         assert len({(r.doc_id, r.component_id) for r in got}) == len({d for d, _ in rows})
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_one_id_with_two_texts(spark, seed):
+    rng = random.Random(7)
+    a, b = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(n)) for n in (60, 200))
+    rows = [(1, a), (1, b), (5, b + " tail"), (6, a + " more")]
+    random.Random(seed).shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (5, 1, False), (6, 1, False)}
+    left = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in left] == [(1, min(a, b))]
+
+
+def test_near_duplicates_of_stragglers(spark, monkeypatch):
+    """Copies of one text at similarities on both sides of the threshold, in buckets of several parts."""
+    monkeypatch.setattr(neardup, "PART_MEMBERS", 20)
+    monkeypatch.setattr(neardup, "MEET_PAIRS", 500)
+    texts = []
+    for seed, edits in ((41, 7), (42, 9), (43, 11)):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+        for c in range(110):
+            w = list(base)
+            for k in rng.sample(range(150), edits):
+                w[k] = f"e{seed}-{c}-{k}"
+            texts.append(" ".join(w))
+    random.Random(6).shuffle(texts)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
+
+
+def test_deduplicated_leaves_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text, "a"), (3, text, "b"), (4, text + " x", "c"), (None, text, "d"), (None, "other words here", "e"), (None, "other words here", "f"), (9, None, "g"), (9, None, "g"), (10, "", "h")]
+    left = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, TEXTS string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, "other words here"), (3, text), (9, ""), (10, "")]
+
+
 def test_near_duplicates_odd_tables(spark):
     d = odd(spark).union(odd(spark)).union(odd(spark).withColumn("doc_id", F.lit(None).cast("long")))
     got = neardup.near_duplicates(d).collect()
