@@ -6,20 +6,24 @@ Of all suffixes only those at minimisers are retained: in each run of that many
 
 1. Texts with equal word sequences form a class; its smallest doc_id goes on, the others repeat as a whole.
 2. Retained suffixes whose first words occur once are dropped after counting hashes.
-3. The rest are written with the words that their runs cover: up to ``LEAST_WORDS - GRAM_WORDS`` to the left and
-   ``LEAST_WORDS`` to the right. Suffixes are sorted by first words and content; within the suffixes of equal first words
-   the matches are extended to the left and to the right: the runs that hold the suffix at each offset are sorted, and
-   equal neighbours are repeats. The run of the smallest (doc_id, place) is the first; the others are later ones.
-4. A document's repeated words are those in any repeated run; words in later runs, and in no first run, can be cut, so
-   that each repeated passage stays whole once.
-
-A suffix is at most 92 word hashes of 32 bits, and a sorted task holds a bounded number of them at a time, cut between
-different first words. Groups of exact copies are one class, and counts are pre-aggregated before shuffling. First words
-with more than ``HOT_SUFFIXES`` suffixes never meet in one task: their runs are aggregated by content, partly before the
-shuffle, and the repeated contents are joined back, with the same result.
+3. The rest are written with the words of their runs, to the right and, backwards, to the left, and sorted by content.
+   Neighbours in suffix order are compared word by word, which gives the longest match to the right of each suffix and the
+   stretches of suffixes that agree on so many words. Matches are then extended to the left: the words before the suffixes
+   are sorted and compared with their neighbours in the same way, and two suffixes that agree on ``LEAST_WORDS - p`` words to
+   the right and on p to the left share the run that begins p words before. The run of the smallest (doc_id, place) is the
+   first; the others are later ones.
+4. A document's repeated words are those in any repeated run, that is its maximal matches; words in later runs, and in no
+   first run, can be cut, so that each repeated passage stays whole once.
+
+Words are compared by their 64-bit hashes, each of the ``LEAST_WORDS`` for itself. A task holds a bounded number of sorted
+suffixes at a time, cut between different first words. Groups of exact copies are one class, and counts are
+pre-aggregated before shuffling. First words with more than ``HOT_SUFFIXES`` suffixes never meet in one task: each of their
+runs is a row, with a 128-bit hash of its words; equal ones are aggregated, partly before the shuffle, and joined back. The
+result is the same.
 
 Defined cases: null, empty and short texts (under ``LEAST_WORDS`` words) have no repeats; null doc_ids count as greater
-than any other for "first"; rows with equal doc_id and text are one document; an empty table gives no rows.
+than any other for "first"; rows with equal doc_id and text are one document; an empty table gives no rows; other columns
+don't take part.
 """
 
 from __future__ import annotations
@@ -33,41 +37,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, word_bounds, word_hashes
+from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, whole_groups, word_bounds, word_hashes
 
-LEAST_WORDS = 50
+#: A passage is of over 50 words.
+LEAST_WORDS = 51
 GRAM_WORDS = 8
 #: Places of a run at which its suffix can be retained.
 REACH = LEAST_WORDS - GRAM_WORDS + 1
-#: Word numbers in minimiser order take this many bits; the hash takes the others.
-_PLACE_BITS = np.uint64(26)
-#: Words of suffixes that a task sorts at once.
-SORT_WORDS = 1 << 20
+#: Runs whose minimisers are searched at once, and bits for their numbers in minimiser order; the hash takes the others.
+_BLOCK, _PLACE_BITS = 1 << 20, np.uint64(21)
+#: Suffixes that a task sorts at once, and bytes of them that it writes at once.
+SORT_ROWS, WRITE_BYTES = 1 << 13, 1 << 21
 #: Suffixes with equal first words that are sorted together.
 HOT_SUFFIXES = 20_000
 BROADCAST_IDS = 1_000_000
 _LAST = 2**63 - 1
 _SOME_WORD = r"[^\x20\x09-\x0D]"
 _BLANK_WORD = re.compile(_SOME_WORD + "+")
-_UP, _DOWN = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64)
+_UP = 0x9E3779B97F4A7C15 | 1
 
 
-def retained(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Retained suffixes of a text's word hashes: first-words hash, place, first and last run (by start) that select it."""
-    runs = len(words) - LEAST_WORDS + 1
-    if runs <= 0:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    grams = gram_hashes(words, GRAM_WORDS)
+def _minimisers(grams: np.ndarray, runs: int) -> np.ndarray:
+    """For each run the place of its least gram, the leftmost of equals."""
     low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
-    order = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
+    order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= REACH:
         order = np.minimum(order[:-span], order[span:])
         span *= 2
     if span < REACH:
         order = np.minimum(order[: len(order) - (REACH - span)], order[REACH - span :])
-    at = (order[:runs] & low).astype(np.int64)
+    return (order[:runs] & low).astype(np.int64)
+
+
+def retained(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Retained suffixes of a text's word hashes: first-words hash, place, first and last run (by start) that select it."""
+    runs = len(words) - LEAST_WORDS + 1
+    if runs <= 0:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    grams = gram_hashes(words, GRAM_WORDS)
+    blocks = range(0, runs, _BLOCK)
+    at = np.concatenate([b + _minimisers(grams[b : b + min(_BLOCK, runs - b) + REACH - 1], min(_BLOCK, runs - b)) for b in blocks])
     change = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     place = at[change]
     return grams[place], place, change, np.concatenate([change[1:], [runs]]) - 1
@@ -108,108 +119,142 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_SUFFIX = {"first": pa.int64(), "place": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "start": pa.int32(), "runs": pa.int32(), "right": pa.binary(), "left": pa.binary(), "hot": pa.bool_()}
+
+
+def _slices(words: np.ndarray, start: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
+    """The words start, start + step, ... (count of each) as bytes."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(start - step * ends[:-1], count) + step * np.arange(ends[-1])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words[at])])
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of each text whose first words are listed, with the words of their runs."""
+    """The suffixes of each text whose first words are listed: the words of their runs from the suffix on, and backwards
+    before it."""
+    parts: list[pa.RecordBatch] = []
     for batch in batches:
-        rows: list[tuple] = []
         keys, wanted, hot = batch.column("place").to_pylist(), batch.column("wanted"), batch.column("hot")
         digests = batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
         for row, words in _texts(batch):
             d1, d2 = digests[0][row], digests[1][row]
             if _digest(words) != (d1, d2):
                 continue  # another text with the same doc_id
-            first, place, low, high = retained(words)
-            chosen = np.isin(first.view(np.int64), wanted[row].values.to_numpy())
-            heated = np.isin(first[chosen].view(np.int64), hot[row].values.to_numpy()) if hot[row].is_valid and len(hot[row]) else np.zeros(chosen.sum(), bool)
-            short = (words >> np.uint64(32)).astype(np.uint32)
-            for f, a, b, h in zip(first[chosen].view(np.int64).tolist(), low[chosen].tolist(), high[chosen].tolist(), heated.tolist(), strict=True):
-                rows.append((f, keys[row], d1, d2, a, b - a + 1, short[a : b + LEAST_WORDS].tobytes(), h))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["first", "place", "d1", "d2", "start", "runs", "words", "hot"])
-
-
-def _contents(runs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of the suffixes: the suffix, the run's number in it, the hash of its words."""
-    flat = np.frombuffer(b"".join(words), np.uint32).astype(np.uint64)
-    size = runs + LEAST_WORDS - 1
-    base = np.cumsum(size) - size
-    steps = np.full(len(flat) + 1, _UP, np.uint64)
-    steps[0] = 1
-    up = np.multiply.accumulate(steps)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(1)) * up[:-1])])
-    steps[1:] = _DOWN
-    down = np.multiply.accumulate(steps)
-    owner = np.repeat(np.arange(len(runs)), runs)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-    at = base[owner] + offset
-    return owner, offset, mix((sums[at + LEAST_WORDS] - sums[at]) * down[at])
-
-
-def _judge(place: np.ndarray, start: np.ndarray, runs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix two bit sets over its runs: repeated, and repeated but not the first."""
-    owner, offset, content = _contents(runs, words)
-    order = np.lexsort((start[owner] + offset, place[owner], content))
-    ordered = content[order]
-    as_before = np.concatenate([[False], ordered[1:] == ordered[:-1]])
-    as_after = np.concatenate([as_before[1:], [False]])
-    repeated, later = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-    repeated[order], later[order] = as_before | as_after, as_before
-    bit = np.uint64(1) << offset.astype(np.uint64)
-    gather = lambda flags: np.bitwise_or.reduceat(np.where(flags, bit, np.uint64(0)), np.cumsum(runs) - runs).view(np.int64)
-    return gather(repeated), gather(later)
+            first, place, low, high = (x.view(np.int64) for x in retained(words))
+            chosen = np.isin(first, wanted[row].values.to_numpy())
+            first, place, low, high = first[chosen], place[chosen], low[chosen], high[chosen]
+            heated = np.isin(first, hot[row].values.to_numpy()) if hot[row].is_valid and len(hot[row]) else np.zeros(len(first), bool)
+            same = [np.full(len(first), x, np.int64) for x in (keys[row], d1, d2)]
+            columns = [first, *same, low.astype(np.int32), (high - low + 1).astype(np.int32), _slices(words, place, high + LEAST_WORDS - place, 1), _slices(words, place - 1, place - low, -1), heated]
+            parts.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=pa.schema(_SUFFIX)))
+            if sum(p.nbytes for p in parts) > WRITE_BYTES:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts = []
+    if parts:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row, filled up with zeros, and their number."""
+    values = column.combine_chunks()
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).astype(np.int64) // 8
+    flat = np.frombuffer(values.buffers()[2], np.uint64) if values.buffers()[2] and values.buffers()[2].size else np.zeros(0, np.uint64)
+    size = np.diff(ends)
+    out = np.zeros((len(values), width), np.uint64)
+    out[np.arange(width) < size[:, None]] = flat[ends[0] : ends[-1]]
+    return out, size
+
+
+def _agreement(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Leading words on which each row agrees with the row before it."""
+    out = np.zeros(len(words), np.int64)
+    unequal = words[1:] != words[:-1]
+    count = np.where(unequal.any(axis=1), unequal.argmax(axis=1), words.shape[1])
+    out[1:] = np.minimum(count, np.minimum(size[1:], size[:-1]))
+    return out
+
+
+def _judge(first: np.ndarray, right: tuple, left: tuple, runs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix two bit sets over its runs: repeated, and repeated but not the first.
+
+    The suffixes are in suffix order. rank orders their places in the corpus.
+    """
+    n = len(first)
+    repeated, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    after = _agreement(*right)
+    after[1:][first[1:] != first[:-1]] = 0
+    words, size = left
+    leftwards = np.argsort(words.view(f"V{8 * words.shape[1]}").ravel(), kind="stable")
+    before = _agreement(words[leftwards], size[leftwards])
+    # the longest matches of each suffix in both orders bound what any match can reach
+    reach_right = np.maximum(after, np.append(after[1:], 0))
+    reach_left = np.empty(n, np.int64)
+    reach_left[leftwards] = np.maximum(before, np.append(before[1:], 0))
+    open_rows = np.flatnonzero(reach_right + reach_left >= LEAST_WORDS)
+    open_rows = open_rows[np.argsort(rank[open_rows], kind="stable")]
+    for p in range(REACH):
+        bit = size[open_rows] - p  # of the run that begins p words before the suffix
+        own = open_rows[(bit >= 0) & (bit < runs[open_rows]) & (reach_right[open_rows] >= LEAST_WORDS - p) & (reach_left[open_rows] >= p)]
+        if not len(own):
+            continue
+        stretch = np.cumsum(after < LEAST_WORDS - p)
+        context = np.empty(n, np.int64)
+        context[leftwards] = np.cumsum(before < p)
+        key = stretch[own] * (n + 1) + context[own]
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        as_before = np.concatenate([[False], key[1:] == key[:-1]])
+        as_after = np.append(as_before[1:], False)
+        flag = np.int64(1) << (size[own] - p)
+        repeated[own] |= np.where(as_before | as_after, flag, 0)
+        later[own] |= np.where(as_before, flag, 0)
+    return repeated, later
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Judge suffixes in suffix order, some with different first words at a time."""
+    for table in whole_groups(batches, ["first"], SORT_ROWS):
+        first, place, d1, d2, start, runs = (table.column(c).to_numpy() for c in ("first", "place", "d1", "d2", "start", "runs"))
+        left = _matrix(table.column("left"), REACH - 1)
+        rank = np.empty(len(first), np.int64)
+        rank[np.lexsort((start + left[1], d2, d1, place))] = np.arange(len(first))
+        repeated, later = _judge(first, _matrix(table.column("right"), LEAST_WORDS), left, runs, rank)
+        keep = pa.array(np.flatnonzero(repeated))
+        taken = table.select(["place", "d1", "d2", "start"]).append_column("repeated", pa.array(repeated)).append_column("later", pa.array(later)).take(keep)
+        yield from taken.combine_chunks().to_batches()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of suffixes, one row each, with the hash of their words."""
+    """The runs of suffixes, one row each, with two hashes of their words."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 4096):
-            part = batch.slice(a, 4096)
-            owner, offset, content = _contents(part.column("runs").to_numpy().astype(np.int64), part.column("words").to_pylist())
-            start = part.column("start").to_numpy()[owner] + offset
-            kept = part.select(["place", "d1", "d2"]).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(start.astype(np.int32)), pa.array(content.view(np.int64))], names=["place", "d1", "d2", "start", "content"])
+        for a in range(0, batch.num_rows, 1024):
+            table = pa.Table.from_batches([batch.slice(a, 1024)])
+            (right, after), (left, before) = _matrix(table.column("right"), LEAST_WORDS), _matrix(table.column("left"), REACH - 1)
+            words = np.concatenate([left[:, ::-1], right], axis=1)  # the suffix begins in column REACH - 1
+            runs = table.column("runs").to_numpy()
+            row = np.repeat(np.arange(len(runs)), runs)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+            at = REACH - 1 - before[row] + offset
+            both = [np.zeros(len(row), np.uint64) for _ in range(2)]
+            for i in range(LEAST_WORDS):
+                word = words[row, at + i]
+                for k in range(2):
+                    both[k] = mix(both[k] * np.uint64(_UP) + word + np.uint64(k))
+            start = table.column("start").to_numpy()[row] + offset
+            kept = table.select(["place", "d1", "d2"]).take(pa.array(row)).combine_chunks()
+            columns = [kept.column(c).combine_chunks() for c in ("place", "d1", "d2")]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(start.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in both)], names=["place", "d1", "d2", "start", "c1", "c2"])
 
 
 def _hot_judged(suffixes: DataFrame) -> DataFrame:
     """Hot suffixes judged by aggregation: each repeated run as a suffix of its own."""
-    runs = suffixes.select("place", "d1", "d2", "start", "runs", "words").mapInArrow(_runs, "place long, d1 long, d2 long, start int, content long")
-    known = runs.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "start")).alias("head")).where("n > 1").drop("n")
-    met = runs.join(known, "content")
-    later = F.struct("place", "start") != F.col("head")
-    return met.select("place", "d1", "d2", "start", F.lit(1).cast("long").alias("repeated"), later.cast("long").alias("later"))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Judge sorted suffixes, some with different first words at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
-        if table.num_rows:
-            place, start, runs = (table.column(c).to_numpy() for c in ("place", "start", "runs"))
-            repeated, later = _judge(place, start.astype(np.int64), runs.astype(np.int64), table.column("words").to_pylist())
-            keep = np.flatnonzero(repeated)
-            taken = table.select(["place", "d1", "d2", "start"]).take(pa.array(keep))
-            taken = taken.append_column("repeated", pa.array(repeated[keep])).append_column("later", pa.array(later[keep]))
-            yield from taken.combine_chunks().to_batches()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column("words").nbytes // 4
-        if size >= SORT_WORDS:
-            first = batch.column("first").to_numpy()
-            cut = int(np.searchsorted(first, first[-1], "left"))  # the last first words may go on
-            if cut:
-                held[-1] = batch.slice(0, cut)
-                yield from out(held)
-                held = [batch.slice(cut)]
-                size = held[0].column("words").nbytes // 4
-    if held:
-        yield from out(held)
+    runs = suffixes.select("place", "d1", "d2", "start", "runs", "right", "left").mapInArrow(_runs, "place long, d1 long, d2 long, start int, c1 long, c2 long")
+    here = F.struct("place", "d1", "d2", "start")
+    known = runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("head")).where("n > 1").drop("n")
+    met = runs.join(known, ["c1", "c2"])
+    return met.select("place", "d1", "d2", "start", F.lit(1).cast("long").alias("repeated"), (here != F.col("head")).cast("long").alias("later"))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,18 +295,19 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     classes = long.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.count_distinct("place").alias("copies"), F.max("n_words").alias("size"))
     heads = long.join(classes.select("d1", "d2", "place"), ["d1", "d2", "place"]).dropDuplicates(["d1", "d2"])
     firsts = heads.select("place", "d1", "d2", F.explode("firsts").alias("first"))
-    common = firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = materialize(firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
     heated = F.when(F.col("n") > HOT_SUFFIXES, F.col("first"))
-    wanted = firsts.join(common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"), F.collect_set(heated).alias("hot"))
+    few = row_count_at_most(common, BROADCAST_IDS // 2)
+    wanted = firsts.join(F.broadcast(common) if few else common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"), F.collect_set(heated).alias("hot"))
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("place").distinct()
     few = row_count_at_most(ids, BROADCAST_IDS)
     texts = source.select(place.alias("place"), "text").join(F.broadcast(ids) if few else ids, "place", "left_semi").join(wanted, "place")
-    suffixes = texts.mapInArrow(_suffixes, "first long, place long, d1 long, d2 long, start int, runs int, words binary, hot boolean")
+    suffixes = texts.mapInArrow(_suffixes, "first long, place long, d1 long, d2 long, start int, runs int, right binary, left binary, hot boolean")
     any_hot = wanted.where(F.size("hot") > 0).limit(1).count() > 0
     if any_hot:
         suffixes = materialize(suffixes, "suffixes")
-    ordered = suffixes.where("not hot").drop("hot").repartition("first").sortWithinPartitions("first", "words")
+    ordered = suffixes.where("not hot").drop("hot").repartition("first").sortWithinPartitions("first", "right")
     judged = ordered.mapInArrow(_compare, "place long, d1 long, d2 long, start int, repeated long, later long")
     if any_hot:
         judged = judged.unionByName(_hot_judged(suffixes.where("hot")))

@@ -152,7 +152,7 @@ def test_components(spark):
     assert all(got.get(n, n) == up[n] for n in near)
 
 
-def brute_repeats(texts, least=50):
+def brute_repeats(texts, least=51):
     places = defaultdict(list)
     words = [split(t) for t in texts]
     for i, w in enumerate(words):
@@ -171,7 +171,7 @@ def brute_repeats(texts, least=50):
 def passages(seed):
     rng = random.Random(seed)
     word = lambda: f"v{rng.randrange(5000)}"
-    shared = [[word() for _ in range(n)] for n in (49, 50, 51, 70, 130)]
+    shared = [[word() for _ in range(n)] for n in (49, 50, 51, 52, 70, 130)]
     texts = []
     for _ in range(60):
         w = [word() for _ in range(rng.randrange(5, 200))]
@@ -196,7 +196,7 @@ def test_passages_of_the_table(spark, sf):
     expected = {r.doc_id: x[1] for r, x in zip(rows, brute_repeats([r.text for r in rows]), strict=True) if x[1]}
     got = defaultdict(int)
     for r in queries.op9_repeats(spark, sf).collect():
-        assert r.end - r.start >= 50
+        assert r.end - r.start > 50
         got[r.doc_id] += r.end - r.start
     assert got == expected
 
@@ -224,7 +224,9 @@ def test_repeats_odd_tables(spark):
 
 def test_small_sort_blocks(spark, monkeypatch):
     """Suffixes judged in small blocks give the same as in one."""
-    monkeypatch.setattr(repeats, "SORT_WORDS", 500)
+    monkeypatch.setattr(repeats, "SORT_ROWS", 5)
+    monkeypatch.setattr(repeats, "_BLOCK", 37)
+    monkeypatch.setattr(repeats, "WRITE_BYTES", 1000)
     texts = passages(4)
     got = {r.doc_id: (r.n_words, r.n_repeated, r.n_cut) for r in repeats.repeat_report(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
