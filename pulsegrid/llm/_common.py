@@ -101,17 +101,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, A-Z like a-z: polynomial prefix sums over the bytes, then a finaliser."""
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of values: polynomial prefix sums, then a finaliser."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = len(data)
+    n = len(values)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * _power("up", _BASE, n), out=sums[1:])
+    np.cumsum(values * _power("up", _BASE, n), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power("down", _INVERSE, n)[starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of bytes, A-Z like a-z."""
+    return range_hashes(_BYTE_VALUE[data], starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of each k consecutive word hashes (len(words) - k + 1 of them)."""
     n = len(words) - k + 1

@@ -2,47 +2,47 @@
 
 A word of the vocabulary adds its log frequency in each language. A word outside it falls back to the longest n for which
 at least one of its character n-grams (with the word's ends marked) is known, and adds their mean log frequency. The
-language with the largest sum wins; the score is its share after a soft-max over the evidence, counted as at most
-``EVIDENCE_WORDS`` words, so that it is a confidence and not 0 or 1 for any longer text.
+language with the largest sum wins; the score is its share of the likelihood of all languages.
 
 The model is fitted on a bounded sample of labelled rows: at most about ``FIT_ROWS`` of them, chosen by a hash of their id,
-with whole texts. Counting is Spark work; what reaches the driver are the most frequent ``WORDS`` words and ``GRAMS``
-n-grams of each length for each language. Every text is scored whole.
+with whole texts. Counting is Spark work; what reaches the driver are hashes and counts of all words and n-grams of the
+sample, so their number is bounded by the sample and not by the table. Every text is scored whole. Workers score a block
+of texts at a time: words and n-grams are 64-bit hashes, looked up in sorted tables.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no labelled row every text is ``und``;
 a text whose letters are all unknown takes the first language in order, with an even share as score; ties go to the
-first language in order; rows with a null id are never learned from and count as held out = false; other columns don't
-take part.
+first language in order; rows with a null id are never learned from and count as held out = false; repeated rows count as
+they are and are scored alike; an empty table gives no rows; other columns don't take part, those with the name of a
+result column, in any letter case, are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import prepare, reserved
+from ._common import chunks, materialize, mix, prepare, range_hashes, reserved
 
 #: Labelled rows that the model is fitted on, at most (about: they are chosen by hash).
-FIT_ROWS = 20_000
-#: Vocabulary words of each language, and n-grams of each length and language.
-WORDS, GRAMS = 20_000, 6_000
+FIT_ROWS = 5_000
 #: Longest n-gram.
 LONGEST = 5
-EVIDENCE_WORDS = 20
+#: Characters of texts that are scored at once; one longer text is scored alone.
+BLOCK_CHARS = 1 << 19
 UNDETERMINED = "und"
 RESULT = ("lang_pred", "score")
 _SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers.
-_KNOWN = 800_000
+_TIMES = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def words_of(text: str) -> list[str]:
@@ -85,107 +85,164 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """For each code point whether it is part of words, and whether it is a letter."""
+    if not _TABLES:
+        signs = [chr(c) for c in range(sys.maxunicode + 1)]
+        _TABLES.append(np.fromiter((c.isalnum() and not c.isdecimal() for c in signs), bool, len(signs)))
+        _TABLES.append(np.fromiter((c.isalpha() for c in signs), bool, len(signs)))
+    return _TABLES
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _values(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(np.uint64) + np.uint64(1))
+
+
+def _item_hashes(items: list[str]) -> np.ndarray:
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    ends = np.cumsum(sizes)
+    return range_hashes(_values(_points("".join(items))), ends - sizes, ends)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of each), one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = _item_hashes(batch.column("item").to_pylist()).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("k"), pa.array(hashes), batch.column("n")], names=["lang", "k", "hash", "n"])
+
+
 class Model:
     """Log frequencies by language of known words (k = 0) and n-grams of each length."""
 
     def __init__(self, languages: list[str], counts: pd.DataFrame):
-        """counts: lang, k, item, n and total (of lang and k)."""
+        """counts: lang, k, item (or its hash), n and total (of lang and k)."""
         self.languages = languages
-        self.index: dict[str, int] = {}
-        rows: list[np.ndarray] = []
+        self.keys = [np.zeros(0, np.uint64) for _ in range(LONGEST + 1)]
+        self.logs = [np.zeros((0, len(languages)), np.float32) for _ in range(LONGEST + 1)]
         of = {x: i for i, x in enumerate(languages)}
         for k, part in counts.groupby("k"):
-            items = {x: i for i, x in enumerate(dict.fromkeys(part["item"]))}
-            table = np.zeros((len(items), len(languages)))
-            np.add.at(table, (part["item"].map(items).to_numpy(), part["lang"].map(of).to_numpy()), part["n"].to_numpy())
+            hashes = part["hash"].to_numpy().view(np.uint64) if "hash" in part else _item_hashes(part["item"].tolist())
+            self.keys[k], item = np.unique(hashes, return_inverse=True)
+            table = np.zeros((len(self.keys[k]), len(languages)))
+            np.add.at(table, (item, part["lang"].map(of).to_numpy()), part["n"].to_numpy())
             totals = np.zeros(len(languages))
             for lang, total in part.groupby("lang")["total"].first().items():
                 totals[of[lang]] = total
-            logs = np.log((table + _SMOOTH) / (totals + _SMOOTH * (len(items) + 1)))
-            self.index |= {f"{k}{x}": len(rows) + i for x, i in items.items()}
-            rows += list(logs)
-        self.logs = np.array(rows, np.float32).reshape(len(rows), len(languages))
-
-    def vector(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a word, known or by its n-grams; None for what has no letter."""
-        if not any(map(str.isalpha, word)):
-            return None
-        at = self.index.get(f"0{word}")
-        if at is not None:
-            return self.logs[at]
+            self.logs[k] = np.log((table + _SMOOTH) / (totals + _SMOOTH * (len(table) + 1))).astype(np.float32)
+
+    def _find(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        """Rows of the items in the table of k, -1 for unknown ones."""
+        keys = self.keys[k]
+        if not len(keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at, -1)
+
+    def _back_off(self, values: np.ndarray, start: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """Vectors of unknown words, given by the values of their characters: put to the rows of out."""
+        left, right = _values(_points("<>"))
+        rows = np.arange(len(start))
         for k in range(LONGEST, 0, -1):
-            found = [i for g in grams_of(word, k) if (i := self.index.get(f"{k}{g}")) is not None]
-            if found:
-                return self.logs[found].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
-
-
-class Scorer(dict):
-    """Numbers of words in a table of vectors; 0 is for what has no letter."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.table = np.zeros((_KNOWN + 1, max(1, len(model.languages))), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        v = self.model.vector(word)
-        if v is None:
-            self[word] = 0
-            return 0
-        self.used += 1
-        if self.used >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table[: len(self.table) // 2])])
-        self.table[self.used] = v
-        self[word] = self.used
-        return self.used
-
-    used = 0
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages:
-            return UNDETERMINED, 0.0
-        if len(self) > _KNOWN:  # between texts only: the numbers of a text's words stay valid
-            self.clear()
-            self.used, self.table = 0, self.table[: _KNOWN + 1]
-        words = words_of(text)
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        numbers = numbers[numbers > 0]
-        if not len(numbers):
-            return UNDETERMINED, 0.0
-        sums = self.table[numbers].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(sums))
-        odds = np.exp((sums - sums[best]) * min(1.0, EVIDENCE_WORDS / len(numbers)))
-        return self.model.languages[best], float(1 / odds.sum())
+            if not len(rows):
+                return
+            begin, count = start[rows], size[rows]
+            if k == 1:
+                flat = values[_ranges(begin, count)]
+            else:
+                count = count + 2
+                flat = values[np.clip(_ranges(begin - 1, count), 0, len(values) - 1)]
+                flat[np.cumsum(count) - count], flat[np.cumsum(count) - 1] = left, right
+            grams = np.maximum(0, count - k + 1)
+            at = _ranges(np.cumsum(count) - count, grams)
+            h, times = np.zeros(len(at), np.uint64), np.uint64(1)
+            for i in range(k):
+                h += flat[at + i] * times
+                times = np.uint64(int(times) * int(_TIMES) % 2**64)
+            found = self._find(k, mix(h))
+            hit = np.flatnonzero(found >= 0)
+            owner = np.repeat(np.arange(len(rows)), grams)[hit]
+            known = np.bincount(owner, minlength=len(rows))
+            mine = np.flatnonzero(known)
+            if len(mine):
+                first = np.searchsorted(owner, mine)
+                out[rows[mine]] = np.add.reduceat(self.logs[k][found[hit]].astype(np.float64), first, axis=0) / known[mine, None]
+            rows = rows[known == 0]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not self.languages:
+            return names, scores
+        lower = [(t or "").lower() for t in texts]
+        sizes = np.fromiter(map(len, lower), np.int64, len(lower)) + 1
+        points = _points("\n".join(lower) + "\n")
+        inside, letters = (t[points] for t in _tables())
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        if len(start):
+            some = np.add.reduceat(letters, np.stack([start, end], 1).ravel().clip(max=len(points) - 1), dtype=np.int64)[::2] > 0
+            start, end = start[some], end[some]
+        if not len(start):
+            return names, scores
+        values = _values(points)
+        found = self._find(0, range_hashes(values, start, end))
+        vectors = np.zeros((len(start), len(self.languages)))
+        vectors[found >= 0] = self.logs[0][found[found >= 0]]
+        new = np.flatnonzero(found < 0)
+        # equal unknown words of a block are scored once
+        _, one, same = np.unique(range_hashes(values, start[new], end[new]), return_index=True, return_inverse=True)
+        scored = np.zeros((len(one), len(self.languages)))
+        self._back_off(values, start[new[one]], (end - start)[new[one]], scored)
+        vectors[new] = scored[same]
+        owner = np.searchsorted(np.cumsum(sizes), start, "right")
+        texts_with, first = np.unique(owner, return_index=True)
+        sums = np.add.reduceat(vectors, first, axis=0)
+        best = sums.argmax(axis=1)
+        share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, b, s in zip(texts_with.tolist(), best.tolist(), share.tolist(), strict=True):
+            names[i], scores[i] = self.languages[b], s
+        return names, scores
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of the labelled rows (text and lang not null), or of about fit_rows of them."""
+    """A model of the labelled rows (text, lang and key not null), or of about fit_rows of them."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    n = labelled.where(F.col(lang).isNotNull()).count()
+    n = rows.count()
     if n > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     words = rows.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
+    words = materialize(words, "words")
     grams = words.mapInArrow(_grams, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n"))
-    items = words.select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n").unionByName(grams)
-    totals = items.groupBy("lang", "k").agg(F.sum("n").alias("total"))
-    top = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "item")
-    kept = items.withColumn("rank", F.row_number().over(top)).where((F.col("rank") <= F.when(F.col("k") == 0, WORDS).otherwise(GRAMS)))
-    counts = kept.drop("rank").join(F.broadcast(totals), ["lang", "k"]).toPandas()
-    words.unpersist()
-    counts = counts.sort_values(["k", "lang", "item"])
-    return Model(sorted(counts["lang"].unique()), counts)
+    items = materialize(words.select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n").unionByName(grams), "items")
+    totals = items.groupBy("lang", "k").agg(F.sum("n").alias("total")).toPandas()
+    counts = items.mapInArrow(_hashed, "lang string, k int, hash long, n long").toPandas().merge(totals, on=["lang", "k"])
+    return Model(sorted(totals["lang"].unique()), counts)
 
 
 def _predict(shared, text: str, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        model = shared.value
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*carry, *RESULT])
+            texts = batch.column(text).to_pylist()
+            names, scores = [], [np.zeros(0)]
+            for a, b in chunks(texts, BLOCK_CHARS):
+                found = model.predict(texts[a:b])
+                names += found[0]
+                scores.append(found[1])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*carry, *RESULT])
 
     return run
 

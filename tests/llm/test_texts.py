@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -220,13 +222,68 @@ def test_language_odd_tables(spark):
     assert langid.predict(d.limit(0), model).count() == 0
 
 
-def test_language_backs_off():
+def model_of(rows, languages):
     import pandas as pd
 
+    return langid.Model(languages, pd.DataFrame(rows, columns=["lang", "k", "item", "n", "total"]))
+
+
+def test_language_backs_off():
     rows = [("en", 0, "the", 9, 9), ("de", 0, "der", 9, 9), ("en", 2, "<t", 5, 10), ("en", 2, "th", 5, 10), ("de", 2, "<d", 5, 10), ("de", 2, "er", 5, 10)]
-    s = langid.Scorer(langid.Model(["de", "en"], pd.DataFrame(rows, columns=["lang", "k", "item", "n", "total"])))
-    assert s.predict("the")[0] == "en" and s.predict("ther")[0] == "en" and s.predict("dxer")[0] == "de"
-    assert s.predict("qqq") == ("de", 0.5)
+    names, scores = model_of(rows, ["de", "en"]).predict(["the", "ther", "dxer", "qqq", "²²", None])
+    assert names == ["en", "en", "de", "de", "und", "und"]
+    assert scores[3] == 0.5 and scores[4] == scores[5] == 0
+
+
+def plain_score(text, counts, languages):
+    """The same model word by word, with dictionaries."""
+    logs = {}
+    for k in {r[1] for r in counts}:
+        part = [r for r in counts if r[1] == k]
+        items = {r[2] for r in part}
+        total = {lang: max([r[4] for r in part if r[0] == lang], default=0) for lang in languages}
+        for item in items:
+            n = {r[0]: r[3] for r in part if r[2] == item}
+            logs[k, item] = [math.log((n.get(x, 0) + 0.5) / (total[x] + 0.5 * (len(items) + 1))) for x in languages]
+    sums, some = [0.0] * len(languages), False
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        if not any(map(str.isalpha, w)):
+            continue
+        some, vector = True, logs.get((0, w))
+        for k in range(5, 0, -1):
+            if vector is None:
+                marked = w if k == 1 else f"<{w}>"
+                found = [logs[k, g] for i in range(len(marked) - k + 1) if (k, g := marked[i : i + k]) in logs]
+                vector = [sum(x) / len(found) for x in zip(*found)] if found else None
+        sums = [a + b for a, b in zip(sums, vector or [0.0] * len(languages))]
+    if not some:
+        return "und", 0.0
+    best = sums.index(max(sums))
+    return languages[best], 1 / sum(math.exp(s - sums[best]) for s in sums)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abcdeéß² <>.1_\nAB", max_size=80)), min_size=1, max_size=8), st.integers(0, 10_000))
+def test_language_equals_plain_scorer(texts, seed):
+    rng = random.Random(seed)
+    made = {}
+    for lang in ("de", "en", "fr"):
+        for w in re.findall(r"[^\W\d_]+", " ".join(t or "" for t in texts).lower()) + ["ab", "cde"]:
+            for k in range(6):
+                for g in [w] if k == 0 else langid.grams_of(w, k):
+                    if rng.random() < 0.3:
+                        made[lang, k, g] = rng.randrange(1, 9)
+    totals = Counter()
+    for (lang, k, _), n in made.items():
+        totals[lang, k] += n
+    counts = [(lang, k, g, n, totals[lang, k]) for (lang, k, g), n in made.items()]
+    if not counts:
+        return
+    names, scores = model_of(counts, ["de", "en", "fr"]).predict(texts)
+    for t, name, s in zip(texts, names, scores, strict=True):
+        expected = plain_score(t, counts, ["de", "en", "fr"])
+        assert s == pytest.approx(expected[1], abs=1e-4)
+        assert name == expected[0] or expected[1] < 0.5001
 
 
 # fingerprints
