@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, materialize, prepare, reserved, text_bytes
+from ._common import chunks, materialize, prepare, reserved, shielded, text_bytes
 
 WINDOW_WORDS = 13
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Blocks whose tables the executors hold together; after as many the result is written.
-CHAINED_BLOCKS = 8
+CHAINED_BLOCKS = 2
 RESULT = ("n_words", "hit_spans", "items")
 
 #: Lower case for A-Z, a blank for bytes that are in no word.
@@ -263,8 +263,8 @@ def contaminated(n_hit, n_words) -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with the columns of docs."""
-    found = find_contamination(docs, benchmark).where(~contaminated(hit_words(F.col("hit_spans")), F.col("n_words")))
-    return found.select(*[c for c in docs.columns if c.lower() not in RESULT])
+    inner, restored = shielded(docs, "text")
+    return restored(find_contamination(inner, benchmark).where(~contaminated(hit_words(F.col("hit_spans")), F.col("n_words"))))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

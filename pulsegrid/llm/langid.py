@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, materialize, mix, prepare, range_hashes, reserved
+from ._common import chunks, materialize, mix, prepare, range_hashes, reserved, shielded
 
 #: Labelled rows that the model is fitted on, at most (about: they are chosen by hash).
 FIT_ROWS = 5_000
@@ -258,6 +258,15 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[st
     return source.mapInArrow(_predict(spark.sparkContext.broadcast(model), text, carry), T.StructType(fields))
 
 
+def identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The documents whose language is known with the least score, with the columns of docs; a null lang is filled in."""
+    inner, restored = shielded(docs, "text", "lang")
+    found = predict(inner, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    if "lang" in docs.columns:
+        found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return restored(found)
+
+
 def held_out(key) -> F.Column:
     """A quarter of the rows, never learned from."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, whole_groups, word_bounds, word_hashes
+from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, shielded, text_bytes, whole_groups, word_bounds, word_hashes
 
 SHINGLE_WORDS = 5
 #: Similarity in hundredths.
@@ -387,6 +387,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     smallest text. Rows without a doc_id take part and give way to others; equal texts among them count as one document.
     Texts without words stay, once for each doc_id."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(_NO_ID // 2 - 1)))
+    docs, restored = shielded(docs, "doc_id", "text")
     keyed = docs.withColumn(_KEY, key)
     found = near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text"))
     told = materialize(found.groupBy(F.col("doc_id").alias(_KEY)).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "told")
@@ -395,5 +396,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if several.limit(1).count():
         row = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").cast("string"), F.xxhash64(*docs.columns)))
         one = left.join(small_side(several), _KEY).groupBy(_KEY).agg(row.alias("row")).select("row.*")
-        return left.join(small_side(several), _KEY, "left_anti").select(*docs.columns).unionByName(one)
-    return left.select(*docs.columns)
+        left = left.join(small_side(several), _KEY, "left_anti").select(*docs.columns).unionByName(one)
+    return restored(left)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, text_bytes, whole_groups, word_bounds, word_hashes
+from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, shielded, text_bytes, whole_groups, word_bounds, word_hashes
 
 #: A passage is of over 50 words.
 LEAST_WORDS = 51
@@ -370,6 +370,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut but for their first occurrence, n_chars as it is then; documents of which nothing is
     left go. Texts without a word to begin with stay."""
     prepare(docs.sparkSession)
+    docs, restored = shielded(docs, "doc_id", "text", "n_chars")
     cuts = find_repeats(docs).where(F.size("cuts") > 0).select(F.col("doc_id").alias(_KEY), "d1", "d2", "cuts").dropDuplicates([_KEY, "d1", "d2"])
     cuts = materialize(cuts.groupBy(_KEY).agg(F.collect_list(F.struct("d1", "d2", "cuts")).alias(_CUTS)), "cuts")
     few = row_count_at_most(cuts, BROADCAST_IDS // 10)
@@ -380,4 +381,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(_KEY), size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return restored(out)

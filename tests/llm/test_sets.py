@@ -1,6 +1,8 @@
 """Near-duplicates, repeats, URL filters, chat formats and the pipeline against brute force and on odd tables."""
 
+import math
 import random
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -316,7 +318,8 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     d = d.withColumn("lang", F.when(F.col("doc_id") > 3, F.col("lang")))
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, d, str(tmp_path))
-        assert out.columns == [c for c in d.columns if c != "N_WORDS"] or out.columns == d.columns
+        assert out.columns == d.columns
+        assert all(r.N_WORDS == "clash" and r.score == "s" and r.lang_pred == r.key == r.id == 7 for r in out.collect())
         assert out.count() <= d.count()
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
     last = corpus_pipeline.STAGES[4][1](spark, d, str(tmp_path))
@@ -358,3 +361,67 @@ def test_pipeline(spark, tmp_path):
     last = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
     assert last.where("round_trip and n_tokens = size(ids)").count() == len(ids[4])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
+
+
+def brute_cut(texts):
+    """Texts without the words of later runs that are in no first run; None where nothing is left of some words."""
+    import re
+
+    places = defaultdict(list)
+    words = [split(t) for t in texts]
+    for i, w in enumerate(words):
+        for k in range(len(w) - 50):
+            places[tuple(w[k : k + 51])].append((i, k))
+    later, first = ([set() for _ in texts] for _ in range(2))
+    for i, w in enumerate(words):
+        for k in range(len(w) - 50):
+            found = places[tuple(w[k : k + 51])]
+            if len(found) > 1:
+                (first if (i, k) == min(found) else later)[i].update(range(k, k + 51))
+    out = []
+    for i, t in enumerate(texts):
+        starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        ends = [*starts[1:], len(t)]
+        gone = later[i] - first[i] if later[i] else set()
+        left = t[: starts[0]] + "".join(t[a:b] for k, (a, b) in enumerate(zip(starts, ends, strict=True)) if k not in gone) if gone else t
+        out.append(left if left.split() or not gone else None)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, sf):
+    """All stages over the smallest tables: plain scorer, all pairs, all runs, all windows, the library's tokens."""
+    import corpus_pipeline
+    from pulsegrid.llm import langid
+    from tests.llm.test_texts import brute_contamination, plain_score
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    counts = defaultdict(int)
+    for r in rows:
+        if r.lang and r.text and not zlib.crc32(str(r.doc_id).encode()) % 4 == 2:
+            for w in langid.words_of(r.text):
+                for k in range(6):
+                    for g in [w] if k == 0 else langid.grams_of(w, k):
+                        counts[r.lang, k, g] += 1
+    totals = defaultdict(int)
+    for (lang, k, _), n in counts.items():
+        totals[lang, k] += n
+    items, logs = defaultdict(set), {}
+    languages = sorted({lang for lang, _, _ in counts})
+    for _, k, g in counts:
+        items[k].add(g)
+    for k, known in items.items():
+        for g in known:
+            logs[k, g] = [math.log((counts.get((x, k, g), 0) + 0.5) / (totals[x, k] + 0.5 * (len(known) + 1))) for x in languages]
+    named = [plain_score(r.text, None, languages, logs) for r in rows]
+    kept = [(r, name) for r, (name, score) in zip(rows, named, strict=True) if name != "und" and score >= corpus_pipeline.LEAST_SCORE]
+    roots, _ = brute_components([r.text for r, _ in kept])
+    kept = [x for i, x in enumerate(kept) if roots[i] == i]
+    cut = [(r, name, t) for (r, name), t in zip(kept, brute_cut([r.text for r, _ in kept]), strict=True) if t is not None]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = [x for x, (n, hit, _) in zip(cut, brute_contamination([t for _, _, t in cut], bench), strict=True) if not (hit and 20 * hit >= n)]
+    library = Tokenizer.from_file(queries.vocabulary())
+    expected = {r.doc_id: (r.lang or name, r.source, library.encode(t, add_special_tokens=False).ids) for r, name, t in clean}
+    got = {r.doc_id: (r.lang, r.source, r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert len(rows) > len(kept) > len(clean) and got == expected
