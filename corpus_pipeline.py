@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents; the last returns doc_id, lang, source, n_tokens, ids and round_trip.
+
+Defined cases, for each stage: null, empty and blank texts are no language and go in the first stage (alone, the other
+stages keep them); a very long text is read whole; of repeated rows one stays after near-dedup; a null doc_id takes part;
+ties go to the smallest doc_id; an empty table gives an empty one; extra columns, whatever their names, are kept as they are
+by all stages but the last, which has columns of its own.
 """
 
 from __future__ import annotations
@@ -15,15 +20,14 @@ from pulsegrid.llm.queries import vocabulary
 
 #: Documents whose language is less certain go.
 LEAST_SCORE = 0.5
-#: DuckDB can't express language ID and BPE; tests/llm/test_pipeline.py compares with brute force.
+#: DuckDB can't express language ID and BPE; test_pipeline_equals_brute_force in tests/llm/test_sets.py compares all stages.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a certain language; those without a letter go."""
+    """Documents with a certain language, which fills a null lang; those without a letter go."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return langid.identified(docs, model, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that occur before are cut; texts of which nothing is left go."""
+    """Passages of over 50 words that occur before are cut; texts of which nothing is left go."""
     return repeats.without_repeats(docs)
 
 
