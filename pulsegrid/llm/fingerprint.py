@@ -5,12 +5,15 @@ position. Chunking is normalised: up to a usual length the mask is strict, beyon
 the usual one. A fingerprint is the set of a text's chunk digests, each with its chunk's length; containment is the shared
 length by the own length.
 
-For likeness to the next document, texts are dealt by ranges of doc_id once; the first row of a range also goes to the
-range before, so each range knows the document that follows its last one. Ranges come from quantiles of doc_id: no more
-than one number a range reaches the driver.
+For likeness to the next document, texts are dealt once by ranges of (doc_id, text hash), each of about ``RANGE_BYTES``, so
+that a task stays as large as it is when the table grows, and one doc_id with many texts is dealt like many. The bounds
+come from running sums over sorted keys and sizes: no text takes part, and one bound for each range reaches the driver. The
+first row of a range also goes to the range before it, so each range knows the document that follows its last one.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint, contained in an empty one only; null doc_ids
-come last; rows with equal doc_id are ordered by text; a single document is its own next.
+come last; rows with equal doc_id are ordered by a hash of the text and follow each other, repeated rows too; the last
+document is followed by the first, a single one by itself; a very long text is a range of its own; an empty table gives
+no rows; other columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import prepare
+from ._common import materialize, prepare
 
 #: Bytes of a chunk: least, usual, most; bits of the strict and the loose mask.
 LEAST, USUAL, MOST = 12, 48, 160
 STRICT, LOOSE = np.uint32(0x7F << 25), np.uint32(0x7 << 29)
 _GEAR = np.random.default_rng(48).integers(0, 2**32, 256, dtype=np.uint32)
 _DIGEST = 12
+#: Bytes of the texts of a range.
+RANGE_BYTES = 32 << 20
 _LAST = 2**63 - 1
 
 
@@ -123,23 +128,67 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def _bounds(limit: int):
+    """The least key of each stretch of about limit bytes in a sorted part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, done = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                sums = done + np.cumsum(batch.column("size").to_numpy())
+                done = int(sums[-1])
+                number = (sums - 1) // limit
+                fresh = np.diff(number, prepend=-1 if stretch is None else stretch) != 0
+                stretch = int(number[-1])
+                keep = pa.array(np.flatnonzero(fresh))
+                yield batch.select(["place", "told"]).take(keep)
+
+    return run
+
+
+def _range_of(bounds: list[tuple[int, int]]) -> F.Column:
+    """The number of bounds at or below (place, told): a binary search, one step for each bit of their number."""
+    places, tolds = (F.array(*[F.lit(b[i]).cast("long") for b in bounds]) for i in range(2))
+
+    def further(low: F.Column, step: F.Column) -> F.Column:
+        at = low + step - 1
+        below = (F.get(places, at) < F.col("place")) | ((F.get(places, at) == F.col("place")) & (F.get(tolds, at) <= F.col("told")))
+        return F.when((at < len(bounds)) & below, low + step).otherwise(low)
+
+    steps = F.array(*[F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def _numbers(spark: SparkSession, ranges: int) -> list[int]:
+    """For each range a number that hash partitioning deals to the partition of the range, so that none has two."""
+    tried = spark.range(24 * ranges + 64)
+    found = tried.groupBy(F.pmod(F.hash("id"), F.lit(ranges)).alias("to")).agg(F.min("id").alias("id")).collect()
+    of = {r.to: r.id for r in found}
+    return [of.get(i, i) for i in range(ranges)]
+
+
+def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
     spark = docs.sparkSession
     prepare(spark)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("place"))
-    found = keyed.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    lows = sorted(set(found))
-    part = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda low: low <= F.col("place"))) if lows else F.lit(0)
-    keyed = keyed.withColumn("part", part)
-    firsts = {r.part: r.first for r in keyed.groupBy("part").agg(F.min("place").alias("first")).collect()}
-    used = sorted(firsts)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    by_part = lambda values: F.get(F.array(*[F.lit(values.get(p)).cast("long") for p in range(len(lows) + 1)]), F.col("part"))
-    own = F.struct(F.col("part").cast("long").alias("part"), F.lit(False).alias("tail"))
-    copies = F.when(F.col("place") == by_part(firsts), F.array(own, F.struct(by_part(before).alias("part"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    dealt = keyed.select("doc_id", "text", "place", F.explode(copies).alias("to")).select("to.part", "to.tail", "doc_id", "place", "text")
-    ordered = dealt.repartition(ranges, "part").sortWithinPartitions("part", "tail", "place", "text")
+    key = F.col("doc_id").cast("long")
+    keyed = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = keyed.withColumns({"place": F.coalesce("doc_id", F.lit(_LAST)), "told": F.xxhash64("text")})
+    sizes = materialize(keyed.select("place", "told", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0]
+    if total is None:
+        return spark.createDataFrame([], SCHEMA)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(1, min(range_bytes, -(-total // parts)))
+    cuts = sizes.repartitionByRange(parts, "place", "told").sortWithinPartitions("place", "told").mapInArrow(_bounds(limit), "place long, told long")
+    bounds = sorted({(r.place, r.told) for r in cuts.collect()})
+    ranges = len(bounds)
+    keyed = keyed.withColumn("part", _range_of(bounds) - 1)
+    low = [F.get(F.array(*[F.lit(b[i]).cast("long") for b in bounds]), F.col("part")) for i in range(2)]
+    own = F.struct("part", F.lit(False).alias("tail"))
+    before = F.struct(F.pmod(F.col("part") - 1, F.lit(ranges)).alias("part"), F.lit(True).alias("tail"))
+    copies = F.when((F.col("place") == low[0]) & (F.col("told") == low[1]), F.array(own, before)).otherwise(F.array(own))
+    dealt = keyed.select("doc_id", "text", "place", "told", F.explode(copies).alias("to")).select("to.part", "to.tail", "doc_id", "place", "told", "text")
+    number = F.get(F.array(*[F.lit(x).cast("long") for x in _numbers(spark, ranges)]), F.col("part"))
+    ordered = dealt.withColumn("number", number).repartition(ranges, "number").sortWithinPartitions("part", "tail", "place", "told")
     return ordered.select("part", "tail", "doc_id", "text").mapInArrow(_follow, SCHEMA)

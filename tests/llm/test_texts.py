@@ -11,6 +11,7 @@ from textwrap import wrap
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -290,6 +291,43 @@ def test_language_equals_plain_scorer(texts, seed):
 # fingerprints
 
 
+def plain_chunks(data):
+    """Byte by byte: the gear hash of the last 32 bytes, a strict mask up to the usual length, a loose one beyond."""
+    out, start = {}, 0
+    while start < len(data):
+        end = len(data)
+        for i in range(start + fingerprint.LEAST, len(data)):
+            h = 0
+            for b in data[max(0, i - 32) : i]:
+                h = (2 * h + int(fingerprint._GEAR[b])) % 2**32
+            mask = fingerprint.STRICT if i < start + fingerprint.USUAL else fingerprint.LOOSE
+            if h & int(mask) == 0 or i == start + fingerprint.MOST:
+                end = i
+                break
+        out[xxhash.xxh3_64_hexdigest(data[start:end])[: fingerprint._DIGEST]] = end - start
+        start = end
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text(alphabet="abcdefgh é", max_size=900))
+def test_chunks_equal_a_byte_at_a_time(text):
+    own, other = plain_chunks(text.encode()), plain_chunks(text[::2].encode())
+    assert fingerprint.chunk_digests(text) == own
+    share = sum(n for d, n in own.items() if d in other) / sum(own.values()) if own else float(not other)
+    assert fingerprint.containment(fingerprint.chunk_digests(text), fingerprint.chunk_digests(text[::2])) == share
+
+
+def test_fingerprint_ranges(spark, sf):
+    """One range to one task, and as many ranges as the bytes ask for."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = fingerprint.fingerprint_documents(docs, 20_000)
+    numbers = fingerprint._numbers(spark, 57)
+    placed = spark.createDataFrame([(n,) for n in numbers], "n long").select(F.pmod(F.hash("n"), F.lit(57)).alias("to")).collect()
+    assert [r.to for r in placed] == list(range(57))
+    assert out.rdd.getNumPartitions() >= docs.agg(F.sum(F.octet_length("text"))).first()[0] // 20_000
+
+
 def test_fingerprints_equal_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in queries.op8_fingerprint(spark, sf).collect()}
@@ -312,7 +350,8 @@ def test_fingerprints_equal_brute_force(spark, sf):
 
 def test_fingerprint_odd_tables(spark):
     d = odd(spark).union(documents(spark, ["dup"]).withColumns({"N_WORDS": F.lit("c"), "ids": F.lit(1), "score": F.lit("s")})).union(odd(spark).limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    assert fingerprint.fingerprint_documents(d, 3).count() == d.count()
+    got = [fingerprint.fingerprint_documents(d, n).collect() for n in (1, 2000, 1 << 30)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) == sorted(map(str, got[2])) and len(got[0]) == d.count()
     assert fingerprint.fingerprint_documents(d.limit(0)).count() == 0
     one = fingerprint.fingerprint_documents(documents(spark, ["abcdefgh"])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1.0
