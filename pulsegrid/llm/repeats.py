@@ -133,6 +133,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffixes of each text whose first words are listed: the words of their runs from the suffix on, and backwards
     before it."""
     parts: list[pa.RecordBatch] = []
+    held = 0
     for batch in batches:
         keys, wanted, hot = batch.column("place").to_pylist(), batch.column("wanted"), batch.column("hot")
         digests = batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
@@ -142,14 +143,17 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # another text with the same doc_id
             first, place, low, high = (x.view(np.int64) for x in retained(words))
             chosen = np.isin(first, wanted[row].values.to_numpy())
+            if not chosen.any():
+                continue
             first, place, low, high = first[chosen], place[chosen], low[chosen], high[chosen]
             heated = np.isin(first, hot[row].values.to_numpy()) if hot[row].is_valid and len(hot[row]) else np.zeros(len(first), bool)
             same = [np.full(len(first), x, np.int64) for x in (keys[row], d1, d2)]
             columns = [first, *same, low.astype(np.int32), (high - low + 1).astype(np.int32), _slices(words, place, high + LEAST_WORDS - place, 1), _slices(words, place - 1, place - low, -1), heated]
             parts.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=pa.schema(_SUFFIX)))
-            if sum(p.nbytes for p in parts) > WRITE_BYTES:
+            held += parts[-1].nbytes
+            if held > WRITE_BYTES:
                 yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
-                parts = []
+                parts, held = [], 0
     if parts:
         yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
@@ -253,7 +257,8 @@ def _hot_judged(suffixes: DataFrame) -> DataFrame:
     runs = suffixes.select("place", "d1", "d2", "start", "runs", "right", "left").mapInArrow(_runs, "place long, d1 long, d2 long, start int, c1 long, c2 long")
     here = F.struct("place", "d1", "d2", "start")
     known = runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("head")).where("n > 1").drop("n")
-    met = runs.join(known, ["c1", "c2"])
+    known = materialize(known, "hot")
+    met = runs.join(F.broadcast(known) if row_count_at_most(known, BROADCAST_IDS // 10) else known, ["c1", "c2"])
     return met.select("place", "d1", "d2", "start", F.lit(1).cast("long").alias("repeated"), (here != F.col("head")).cast("long").alias("later"))
 
 
@@ -297,7 +302,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     firsts = heads.select("place", "d1", "d2", F.explode("firsts").alias("first"))
     common = materialize(firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
     heated = F.when(F.col("n") > HOT_SUFFIXES, F.col("first"))
-    few = row_count_at_most(common, BROADCAST_IDS // 2)
+    few = row_count_at_most(common, BROADCAST_IDS // 10)
     wanted = firsts.join(F.broadcast(common) if few else common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"), F.collect_set(heated).alias("hot"))
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("place").distinct()
