@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,7 +118,14 @@ def parse_headers(text: Column) -> Column:
     """A map from ``k=v,k=v``; '+' is a blank; malformed pairs are skipped."""
     pairs = F.filter(F.split(text, ","), lambda p: (F.instr(p, "=") > 1))
     entry = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.replace(F.trim(F.regexp_replace(p, "^[^=]*=", "")), F.lit("+"), F.lit(" ")).alias("v"))
-    return F.map_from_entries(F.transform(pairs, entry))
+    return map_of_last(F.transform(pairs, entry))
+
+
+def map_of_last(entries: Column) -> Column:
+    """A map of entries (k, v); of several with one key the last counts, and those without a key don't."""
+    named = F.filter(entries, lambda e: e["k"].isNotNull())
+    later = lambda e, i: F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda x: x["k"] == e["k"])
+    return F.map_from_entries(F.filter(named, lambda e, i: ~later(e, i)))
 
 
 def replica_set_owner(name: Column) -> Column:
@@ -159,8 +168,8 @@ def xor_span_id(a: Column, b: Column) -> Column:
 
 
 def container_id(cgroup: Column) -> Column:
-    """The last part of a cgroup path up to a dot, if it has 12 characters at least."""
-    last = F.regexp_extract(cgroup, r"([^/.]+)(?:\.[^/]*)?$", 1)
+    """The last part of a cgroup line's path up to a dot or the line's end, if it has 12 characters at least."""
+    last = F.regexp_extract(cgroup, r"(?s)([^/.\r\n]*)[^/]*$", 1)
     return F.when(F.length(last) >= 12, last)
 
 
@@ -187,6 +196,40 @@ def edge_alpha(hits: Column) -> Column:
     return F.least(F.lit(1.0), hits / 100)
 
 
+#: What stands for itself in a service pattern: signs of regular expressions, and a bracket that isn't closed.
+_PLAIN = r"[\\^$|(){}+]|\[(?![^\]]+\])"
+
+
+def checked_pattern(pattern: str) -> str:
+    """A service pattern that glob_matches can take, else a ValueError that names it."""
+    try:
+        re.compile(re.sub(_PLAIN, r"\\\g<0>", pattern).replace("?", ".").replace("*", ".*"))
+    except re.error as e:
+        raise ValueError(f"not a pattern: {pattern!r} ({e})") from e
+    return pattern
+
+
 def glob_matches(value: Column, pattern: Column) -> Column:
-    """A pattern with * and ?, anchored, of any letter case; other regex signs keep their meaning."""
-    return F.rlike(value, F.concat(F.lit("(?i)^"), F.replace(F.replace(pattern, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*")), F.lit("$")))
+    """A pattern with * and ? and classes in brackets, anchored, of any letter case. A dot stands for any character; other
+    signs of regular expressions stand for themselves."""
+    plain = F.regexp_replace(pattern, _PLAIN, r"\\$0")
+    return F.rlike(value, F.concat(F.lit("(?i)^"), F.replace(F.replace(plain, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*")), F.lit("$")))
+
+
+def number_text(x: Column) -> Column:
+    """A number as text, whole ones without a point."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def pod_container_id(lines: Column) -> Column:
+    """The container id of a process from the lines of its cgroup file: that of the first line that names a pod, else of the
+    last line that has one."""
+    found = F.filter(F.transform(lines, lambda x: F.struct(x.contains("pod").alias("pod"), container_id(x).alias("id"))), lambda f: f["id"].isNotNull())
+    pods = F.filter(found, lambda f: f["pod"])
+    return F.coalesce(F.get(pods, F.lit(0))["id"], F.get(found, F.size(found) - 1)["id"])
+
+
+def trace_link(base_url: str, service: Column) -> Column:
+    """A link to a service's status page."""
+    base = base_url.rstrip("/")
+    return F.when(F.coalesce(service, F.lit("")) != "", F.concat(F.lit(f"{base}/status?service="), F.url_encode(service))).otherwise(F.lit(f"{base}/status"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
+from pulsegrid.session import materialize
 
 
 class AlertRule(NamedTuple):
@@ -42,6 +43,8 @@ def rate_drops(cycles: DataFrame) -> DataFrame:
 
 def evaluations(cycles: DataFrame, rules: list[AlertRule]) -> DataFrame:
     """One row for each rule, service and cycle in which the rule has a value: breached or not."""
+    for r in rules:
+        S.checked_pattern(r.service)
     wide = rate_drops(cycles) if any(r.metric == "rate_drop_pct" for r in rules) else cycles
     rows = [
         F.when(
@@ -85,20 +88,64 @@ def new_services(cycles: DataFrame) -> DataFrame:
 def vanished(cycles: DataFrame, after_s: int = GONE_AFTER_S) -> DataFrame:
     """Cycles at which a known service has been silent for after_s seconds or more.
 
-    A service's silences lie between its own cycles, so each such gap is joined to the cycles inside it; only services
-    with a gap take part, and no grid of all services by all cycles is built.
+    A service's silences lie between its own cycles. The distinct cycles are numbered, so a gap is a range of numbers, and the
+    cycles inside it are met by number; no grid of all services by all cycles is built.
     """
-    by_service = Window.partitionBy("service").orderBy("cycle_s")
-    gaps = cycles.select("service", F.col("cycle_s").alias("seen_s"), F.lead("cycle_s").over(by_service).alias("back_s"))
     times = cycles.select(F.col("cycle_s").alias("at_s")).distinct()
-    last = times.agg(F.max("at_s").alias("end_s"))
-    gaps = gaps.crossJoin(F.broadcast(last)).where((F.coalesce("back_s", F.col("end_s") + 1) - F.col("seen_s")) > after_s)
-    met = gaps.join(F.broadcast(times) if times.limit(100_001).count() <= 100_000 else times, (F.col("at_s") >= F.col("seen_s") + after_s) & (F.col("at_s") < F.coalesce("back_s", F.col("end_s") + 1)))
+    # one row for each cycle of the clock, however many services there are
+    times = materialize(times.withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at_s"))), "cycles")
+    numbered = cycles.select("service", "cycle_s").distinct().join(times, F.col("cycle_s") == F.col("at_s"))
+    by_service = Window.partitionBy("service").orderBy("cycle_s")
+    end = F.lit(times.count() + 1)
+    gaps = numbered.select("service", F.col("cycle_s").alias("seen_s"), (F.col("number") + 1).alias("low"), (F.coalesce(F.lead("number").over(by_service), end) - 1).alias("high"))
+    inside = gaps.where("low <= high").select("service", "seen_s", F.explode(F.sequence("low", "high")).alias("number"))
+    met = inside.join(times, "number").where(F.col("at_s") - F.col("seen_s") >= after_s)
     return met.select("service", F.col("at_s").alias("cycle_s"), (F.col("at_s") - F.col("seen_s")).alias("silent_s"))
 
 
-def sparkline(cycles: DataFrame, points: int = 120) -> DataFrame:
-    """The last rates of each service, oldest first, by number."""
+# Colours of a message by severity, and of one that resolves.
+COLOURS = {"critical": "#dc2626", "warning": "#f59e0b", "info": "#3b82f6"}
+RESOLVED_COLOUR = "#22c55e"
+
+
+def notifications(moved: DataFrame, rules: list[AlertRule], base_url: str, runbook: str | None = None, footer: str = "alerting") -> DataFrame:
+    """A message for each transition (rule, service, cycle_s, status, value, severity): rule, service, cycle_s, kind (fire or
+    resolve), line (one line of text) and payload (JSON of a chat webhook). Delivery is left to a foreachBatch sink."""
+    told = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.struct(F.lit(r.metric).alias("metric"), F.lit(r.op).alias("op"), F.lit(float(r.threshold)).alias("threshold")))])
+    known = moved.withColumn("r", told[F.col("rule")])
+    service = F.coalesce("service", F.lit(""))
+    link = S.trace_link(base_url, service)
+    at = F.date_format(F.timestamp_seconds("cycle_s"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    value, threshold = S.number_text(F.col("value")), S.number_text(F.col("r.threshold"))
+    fires = F.col("status") == "firing"
+    own = F.when(service != "", F.concat(F.lit(" service="), service)).otherwise("")
+    fired = F.concat(F.lit("[ALERT] "), F.upper("severity"), F.lit(" "), "rule", F.lit(" metric="), value, F.lit(" threshold="), "r.op", F.lit(" "), threshold, own, F.when(service != "", F.concat(F.lit(" trace="), link)).otherwise(""), F.lit(" at "), at)
+    resolved = F.concat(F.lit("[RESOLVED] "), "rule", own, F.lit(" trace="), link, F.lit(" at "), at)
+    field = lambda title, text, short: F.struct(F.lit(title).alias("title"), text.alias("value"), F.lit(short).alias("short"))
+    named = F.when(service != "", service).otherwise("global")
+    first = [field("Service", named, True)]
+    book = [field("Runbook", S.runbook_link(runbook, F.col("rule"), service), False)] if runbook else []
+    measured = F.concat("r.metric", F.lit(" = "), value)
+    on_fire = F.array(*first, field("Metric", F.concat(measured, F.lit(" (threshold: "), "r.op", F.lit(" "), threshold, F.lit(")")), True), field("Trace link", link, False), *book, field("Firing since", at, False))
+    on_clear = F.array(*first, field("Current value", measured, True), field("Trace link", link, False), field("Resolved at", at, False))
+    colours = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+    attachment = F.struct(
+        F.when(fires, F.coalesce(F.try_element_at(colours, F.col("severity")), F.lit(COLOURS["info"]))).otherwise(RESOLVED_COLOUR).alias("color"),
+        F.when(fires, F.concat(F.lit("\U0001f6a8 "), F.upper("severity"), F.lit(": "), "rule")).otherwise(F.concat(F.lit("RESOLVED: "), "rule")).alias("title"),
+        F.when(fires, on_fire).otherwise(on_clear).alias("fields"),
+        F.lit(footer).alias("footer"),
+        F.col("cycle_s").alias("ts"),
+    )
+    return known.select("rule", "service", "cycle_s", F.when(fires, "fire").otherwise("resolve").alias("kind"), F.when(fires, fired).otherwise(resolved).alias("line"), F.to_json(F.struct(F.array(attachment).alias("attachments"))).alias("payload"))
+
+
+def sparkline(cycles: DataFrame, points: int = 120, gone_s: int | None = None) -> DataFrame:
+    """The last rates of each service, oldest first, by number; with gone_s without the services that have been silent for
+    as long at the last cycle."""
+    if gone_s is not None:
+        end = cycles.agg(F.max("cycle_s")).first()[0]
+        last = cycles.groupBy("service").agg(F.max("cycle_s").alias("last_s")).where(F.lit(end) - F.col("last_s") < gone_s)
+        cycles = cycles.join(last.select("service"), "service", "left_semi")
     newest = F.row_number().over(Window.partitionBy("service").orderBy(F.desc("cycle_s")))
     kept = cycles.withColumn("age", newest).where(F.col("age") <= points)
     return kept.select("service", "cycle_s", "rate_rps", F.row_number().over(Window.partitionBy("service").orderBy("cycle_s")).alias("point"))

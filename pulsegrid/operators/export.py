@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
+from pulsegrid.operators.ranks import running_totals
 
 PREFIX = "telemetry"
 # Measure name, signal column, series type (2 rate, 3 gauge), unit.
@@ -28,16 +30,38 @@ def metric_series(signals: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return signals.select("service", F.inline(F.array(*rows)))
 
 
+def tagged_series(signals: DataFrame, at_s: int, host: str, prefix: str = PREFIX) -> DataFrame:
+    """The series with their time and tags: service, host and, for percentiles, which one."""
+    own = metric_series(signals, prefix)
+    percentile = F.regexp_extract("metric", r"\.(p[0-9]+)$", 1)
+    tags = F.array(F.concat(F.lit("service:"), "service"), F.lit(f"host:{host}"), F.when(percentile != "", F.concat(F.lit("percentile:"), percentile)))
+    return own.select("*", F.lit(at_s).cast("long").alias("at_s"), F.filter(tags, lambda t: t.isNotNull()).alias("tags"))
+
+
+def edge_texts(edges: DataFrame, at_s: int) -> DataFrame:
+    """Edge events with text, time and tags."""
+    text = F.concat_ws(", ", *[F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for label, c in (("hits", "hit_count"), ("latency us", "avg_latency_us"), ("bytes", "total_bytes"), ("errors", "error_count"))])
+    tags = F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("target:"), "target"))
+    return edges.select(F.concat_ws(" ", "source", F.lit("->"), "target").alias("title"), text.alias("text"), F.when(F.col("error_count") > 0, "warning").otherwise("info").alias("alert_type"), F.lit(at_s).cast("long").alias("at_s"), tags.alias("tags"))
+
+
+def chunked(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """rows with the number of the request (chunk) that they go out in, size rows each, and their place in it."""
+    numbered = running_totals(rows, [], order, F.lit(1), "at")
+    return numbered.withColumns({"chunk": F.expr(f"cast(at div {size} as int)"), "place": F.expr(f"cast(at % {size} as int)")}).drop("at")
+
+
 def edge_events(edges: DataFrame) -> DataFrame:
     """One event for each edge: a warning if it has errors."""
     return edges.select(F.concat_ws(" ", F.col("source"), F.lit("->"), F.col("target")).alias("title"), F.when(F.col("error_count") > 0, "warning").otherwise("info").alias("alert_type"), "hit_count", "error_count")
 
 
-def feed(signals: DataFrame, edges: DataFrame, chunk: int = 500) -> DataFrame:
-    """Signals and edges as one list of JSON events."""
+def feed(signals: DataFrame, edges: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Signals and edges as one list of JSON events; with chunk also the number of the request and the place in it."""
     m = signals.select(F.lit("metric").alias("kind"), F.col("service").alias("subject"), F.to_json(F.struct("service", "rate_rps", "error_pct")).alias("event"))
     e = edges.select(F.lit("edge").alias("kind"), F.concat_ws(":", "source", "target").alias("subject"), F.to_json(F.struct("source", "target", "hit_count", "error_count")).alias("event"))
-    return m.unionByName(e)
+    out = m.unionByName(e)
+    return chunked(out, ["kind", "subject", "event"], chunk) if chunk else out
 
 
 def export_spans(signals: DataFrame, edges: DataFrame, at_s: int) -> DataFrame:
@@ -55,8 +79,10 @@ def per_request(events: DataFrame) -> DataFrame:
 
 
 def fan_out(sinks: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that gives each batch to all sinks; one that fails doesn't stop the others."""
+    """A foreachBatch function that gives each batch to all sinks; one that fails doesn't stop the others. Its failures and
+    rejected tell, for each sink, the failed batches and the rows that they held."""
     failures: dict[str, int] = {}
+    rejected: dict[str, int] = {}
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch.persist()
@@ -66,10 +92,11 @@ def fan_out(sinks: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFram
                     sink(batch)
                 except Exception:  # noqa: BLE001  a failure is counted and the other sinks go on
                     failures[name] = failures.get(name, 0) + 1
+                    rejected[name] = rejected.get(name, 0) + batch.count()
         finally:
             batch.unpersist()
 
-    run.failures = failures
+    run.failures, run.rejected = failures, rejected
     return run
 
 
@@ -91,22 +118,33 @@ RATE_WINDOW_US, RATE_LIMIT = 60_000_000, 1000
 
 def rate_limited(requests: DataFrame, by: str, window_us: int = RATE_WINDOW_US, limit: int = RATE_LIMIT) -> DataFrame:
     """Requests (seq, ts_us) with window_start_us, number in it and allowed: a window starts at a key's first request after
-    the window before has passed. The start depends on the data, so each key's times are walked in order, batch by batch."""
-    ordered = requests.select(F.col(by).alias("key"), "seq", "ts_us").repartition("key").sortWithinPartitions("key", "ts_us", "seq")
+    the window before has passed. The start depends on the data, so a key's distinct times, with their counts, are walked in
+    order, a step for each window; the requests take their numbers from these."""
+    own = requests.select(F.col(by).alias("key"), "seq", "ts_us")
+    times = own.groupBy("key", "ts_us").agg(F.count(F.lit(1)).alias("n")).repartition("key").sortWithinPartitions("key", "ts_us")
 
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, n = None, 0, 0
+        key, start, before = None, 0, 0
         for part in parts:
-            starts, numbers = [], []
-            for k, t in zip(part["key"].tolist(), part["ts_us"].tolist(), strict=True):
-                if k != key or t - start > window_us:
-                    key, start, n = k, t, 0
-                n += 1
-                starts.append(start)
-                numbers.append(n)
-            yield part.assign(window_start_us=starts, number=numbers)
-
-    return ordered.mapInPandas(windows, "key string, seq long, ts_us long, window_start_us long, number long").withColumn("allowed", F.col("number") <= limit)
+            names, at, n = part["key"].to_numpy(), part["ts_us"].to_numpy(), part["n"].to_numpy()
+            starts, firsts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                i = a
+                while i < b:
+                    if names[i] != key or at[i] - start > window_us:
+                        key, start, before = names[i], at[i], 0
+                    stop = i + int(np.searchsorted(at[i:b], start + window_us, "right"))
+                    sums = np.cumsum(n[i:stop])
+                    starts[i:stop], firsts[i:stop] = start, before + sums - n[i:stop]
+                    before += int(sums[-1])
+                    i = stop
+            yield pd.DataFrame({"key": names, "ts_us": at, "window_start_us": starts, "first": firsts})
+
+    walked = times.mapInPandas(windows, "key string, ts_us long, window_start_us long, first long")
+    same_time = F.row_number().over(Window.partitionBy("key", "ts_us").orderBy("seq"))
+    met = own.withColumn("same", same_time).join(walked, ["key", "ts_us"]).withColumn("number", F.col("first") + F.col("same"))
+    return met.select("key", "seq", "ts_us", "window_start_us", "number", (F.col("number") <= limit).alias("allowed"))
 
 
 # Column names that hold a time.

@@ -9,7 +9,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 64
 # Columns and operators that a rule may name.
 COLUMNS = {"duration": "duration_ms", "is_error": "is_error", "timestamp": "ts_us"}
 OPERATORS = {"lt": "<", "gt": ">", "eq": "==", "neq": "!=", "lte": "<=", "gte": ">="}
@@ -27,7 +26,7 @@ def load_rules(path: str | Path) -> list[Rule]:
     if not Path(path).exists():
         return []
     with open(path, "rb") as f:
-        return [checked(Rule(r["column"], r["op"], float(r["threshold"]), r.get("action", "drop"))) for r in tomllib.load(f).get("filters", [])][:MOST_RULES]
+        return [checked(Rule(r["column"], r["op"], float(r["threshold"]), r.get("action", "drop"))) for r in tomllib.load(f).get("filters", [])]
 
 
 def checked(rule: Rule) -> Rule:
@@ -49,7 +48,7 @@ def matches(rule: Rule) -> Column:
 
 def dropped(rules: list[Rule]) -> Column:
     out = F.lit(False)
-    for r in rules[:MOST_RULES]:
+    for r in rules:
         if r.action == "drop":
             out = out | F.coalesce(matches(r), F.lit(False))
     return out

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
+from pulsegrid.operators.ranks import exact_quantiles
 
 
 def golden_signals(edges: DataFrame, uptime_s: float, *, by: str = "target", rounded: bool = True, percentiles: bool = False) -> DataFrame:
-    """Rate, error share of hits + errors, latency weighted by hits and throughput of each service, busiest first.
+    """Rate, error share of hits + errors, latency weighted by hits and throughput of each service.
 
     uptime is 1 s at least. percentiles adds the estimates 1, 2 and 4 times the mean.
     """
@@ -25,7 +26,7 @@ def golden_signals(edges: DataFrame, uptime_s: float, *, by: str = "target", rou
     )
     if percentiles:
         out = out.withColumns({f"{p}_ms": F.col("avg_latency_ms") * k for p, k in (("p50", 1.0), ("p95", 2.0), ("p99", 4.0))})
-    return out.orderBy(F.desc("rate_rps"), "service")
+    return out
 
 
 def sorted_signals(signals: DataFrame, by: str = "p99_ms") -> DataFrame:
@@ -40,14 +41,17 @@ def sorted_signals(signals: DataFrame, by: str = "p99_ms") -> DataFrame:
 def red_windows(events: DataFrame, seconds: int = 3600, by: tuple[str, ...] = ("service", "endpoint")) -> DataFrame:
     """Rate, errors and exact latency percentiles by window, service and endpoint."""
     start = F.expr(f"(ts_us div 1000000) div {seconds} * {seconds}")
-    return events.groupBy(start.alias("window_start_s"), *by).agg(
+    rows = events.select(start.alias("window_start_s"), *by, "duration_ms", "is_error")
+    keys = ["window_start_s", *by]
+    counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"),
         (F.count(F.lit(1)) / seconds).alias("rate_rps"),
         F.count_if("is_error").alias("errors"),
         F.min("duration_ms").alias("min_ms"),
         F.max("duration_ms").alias("max_ms"),
-        *[F.percentile("duration_ms", q).alias(f"p{round(q * 100)}_ms") for q in (0.5, 0.95, 0.99)],
     )
+    tails = exact_quantiles(rows, keys, "duration_ms", {f"p{round(q * 100)}_ms": q for q in (0.5, 0.95, 0.99)})
+    return counts.join(tails, keys, "left")
 
 
 def http_classes(events: DataFrame) -> DataFrame:
@@ -77,11 +81,7 @@ def counters(events: DataFrame) -> DataFrame:
 
 def prometheus_lines(rows: DataFrame) -> DataFrame:
     """Exposition lines of name, labels and value."""
-    return rows.select("name", F.concat(F.col("name"), S.label_text(F.col("labels")), F.lit(" "), _number(F.col("value"))).alias("line"))
-
-
-def _number(x: Column) -> Column:
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    return rows.select("name", F.concat(F.col("name"), S.label_text(F.col("labels")), F.lit(" "), S.number_text(F.col("value"))).alias("line"))
 
 
 def worst(signals: DataFrame, *metrics: str) -> DataFrame:
@@ -97,9 +97,4 @@ def health_summary(events: DataFrame, uptime_s: float) -> DataFrame:
 
 def latency_ranks(events: DataFrame, by: str = "service") -> DataFrame:
     """Median as sorted[n div 2] and p99 as sorted[floor(0.99 n)] of each service: nearest ranks."""
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    ranked = events.select(by, "duration_ms", (F.row_number().over(Window.partitionBy(by).orderBy("duration_ms", "seq")) - 1).alias("i"), n.alias("n"))
-    pick = lambda k: F.max(F.when(F.col("i") == k, F.col("duration_ms")))
-    return ranked.groupBy(by).agg(pick(F.floor(F.col("n") / 2)).alias("median_ms"), pick(F.floor(F.col("n") * 99 / 100)).alias("p99_ms"))
+    return exact_quantiles(events, [by], "duration_ms", {"median_ms": 0.5, "p99_ms": 0.99}, nearest=True)

@@ -20,6 +20,13 @@ def written(small: DataFrame, label: str = "dimension") -> DataFrame:
 EDGE_KEY = ["dest_ip", "dest_port", "source_ip", "container_id", "comm"]
 
 
+def edge_rows(net: DataFrame) -> DataFrame:
+    """The rows of net that edges are made of, with container_id and comm as they take part in the key."""
+    rows = net.where((F.col("dest_ip") != NO_ADDRESS) & F.col("status").between(1, 6))
+    container = F.coalesce("container_id", F.lit(""))
+    return rows.withColumns({"container_id": container, "comm": F.when(container == "", F.coalesce(F.substring("comm", 1, 15), F.lit(""))).otherwise("")})
+
+
 def edges(net: DataFrame) -> DataFrame:
     """One edge for each key from the first successful connection on: hits, latency, bytes, errors, retransmits, label.
 
@@ -27,9 +34,7 @@ def edges(net: DataFrame) -> DataFrame:
     there is no container, cut to 15 characters. First connections are aggregated before they meet the rows again, so an
     edge with most of the traffic is never gathered.
     """
-    rows = net.where((F.col("dest_ip") != NO_ADDRESS) & F.col("status").between(1, 6))
-    container = F.coalesce("container_id", F.lit(""))
-    rows = rows.withColumns({"container_id": container, "comm": F.when(container == "", F.coalesce(F.substring("comm", 1, 15), F.lit(""))).otherwise("")})
+    rows = edge_rows(net)
     created = rows.where("status = 1").groupBy(*EDGE_KEY).agg(F.min("seq").alias("created"))
     alive = rows.join(written(created), EDGE_KEY).where("seq >= created")
     agg = alive.groupBy(*EDGE_KEY).agg(
@@ -131,6 +136,25 @@ def admitted(own: DataFrame, most: int = 512) -> DataFrame:
     return own.orderBy("first_seq").limit(most)
 
 
+def admitted_services(accepts: DataFrame, most: int = 256) -> DataFrame:
+    """The first processes to accept a connection, as a table of fixed size would hold: pid and first_seq."""
+    return accepts.where("status in (0, 1)").groupBy("pid").agg(F.min("seq").alias("first_seq")).orderBy("first_seq").limit(most)
+
+
+def all_services(by_node: DataFrame) -> DataFrame:
+    """Services of all nodes, each with its node; one of several nodes is listed for each of them."""
+    return by_node.select("node_id", F.col("source").alias("service")).union(by_node.select("node_id", "target")).distinct()
+
+
+def with_containers(net: DataFrame, cgroups: DataFrame) -> DataFrame:
+    """Network events with the container of their process, from lines (pid, seq, line) of cgroup files, a few for each
+    process. A container id that an event has already stays."""
+    files = cgroups.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("rows"))
+    known = files.select("pid", S.pod_container_id(F.transform("rows", lambda r: r["line"])).alias("found"))
+    out = net.join(written(known, "containers"), "pid", "left")
+    return out.withColumn("container_id", F.coalesce(F.nullif("container_id", F.lit("")), "found", F.lit(""))).drop("found")
+
+
 def of_service(own: DataFrame, name: str) -> DataFrame:
     """Edges from or to a service, of any letter case."""
     wanted = name.lower()

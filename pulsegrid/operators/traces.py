@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranks import running_totals
 from pulsegrid.session import materialize
 
+#: Spans at this depth or deeper don't count for a trace's duration.
 DEEPEST = 100
 
 
@@ -27,44 +29,65 @@ def latest_by_span(spans: DataFrame) -> DataFrame:
     return agg.select("trace_id", "span_id", "seq", *[f"last.{c}" for c in rest])
 
 
-def trace_tree(spans: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """Spans with depth and position in pre-order (siblings by time); orphans are roots, cycles are left out.
+def _above(links: DataFrame, others: list[str], combined: dict[str, Column]) -> DataFrame:
+    """Pointer doubling over links (trace_id, span_id, up, ...): each round a span takes the place of the span that it
+    points to, so a tree of depth n needs log2 n rounds. Spans in cycles never arrive and are left out."""
+    before = None
+    while True:
+        seen = Observation()
+        links = materialize(links.observe(seen, F.count_if(F.col("up").isNotNull()).alias("open")), "links")
+        left = seen.get["open"]
+        if left in (0, before):
+            return links.where("up is null").drop("up")
+        before = left
+        over = links.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("over_up"), *[F.col(c).alias(f"over_{c}") for c in others])
+        moved = links.where("up is not null").join(over, ["trace_id", "up"])
+        moved = moved.select("trace_id", "span_id", F.col("over_up").alias("up"), *[e.alias(c) for c, e in combined.items()])
+        links = links.where("up is null").unionByName(moved)
+
+
+def _placed(spans: DataFrame) -> DataFrame:
+    """The latest spans with up, the parent's id if the trace has it, and depth under their root; without those in cycles."""
+    own = latest_by_span(spans)
+    known = own.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
+    own = materialize(own.join(known, ["trace_id", "parent_span_id"], "left").withColumn("up", F.when(F.col("known"), F.col("parent_span_id"))).drop("known"), "spans")
+    links = own.select("trace_id", "span_id", "up", F.col("up").isNotNull().cast("int").alias("depth"))
+    depths = _above(links, ["depth"], {"depth": F.col("depth") + F.col("over_depth")})
+    return own.join(depths, ["trace_id", "span_id"])
+
+
+def trace_tree(spans: DataFrame) -> DataFrame:
+    """Spans with depth and path (the order keys from the root to the span): pre-order is the order of paths, siblings by
+    time; orphans are roots, cycles are left out. A parent that isn't in the trace makes a root.
 
-    A parent that isn't in the trace makes a root. Each level is one join of the level above with the spans by (trace,
-    parent), so the number of joins is the tree's depth, at most ``deepest``, and a trace never lies in one task as a whole.
+    Joins are by (trace, span), so a trace never lies in one task as a whole.
     """
-    own = latest_by_span(spans).withColumn("key", F.concat(F.lpad(F.col("ts_us").cast("string"), 20, "0"), F.lpad(F.col("seq").cast("string"), 20, "0")))
-    known = own.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
-    own = own.join(known, ["trace_id", "parent_span_id"], "left")
-    own = materialize(own, "spans")
-    level = own.where("known is null").drop("known").withColumns({"depth": F.lit(0), "path": F.col("key")})
-    rest = own.where("known").drop("known")
-    out = level
-    for depth in range(1, deepest + 1):
-        above = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("above"))
-        level = rest.join(above, ["trace_id", "parent_span_id"]).withColumns({"depth": F.lit(depth), "path": F.concat("above", "key")}).drop("above").select(*out.columns)
-        level = materialize(level, "level")
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out
+    placed = materialize(_placed(spans).withColumn("key", F.concat(F.lpad(F.col("ts_us").cast("string"), 20, "0"), F.lpad(F.col("seq").cast("string"), 20, "0"))), "placed")
+    paths = _above(placed.select("trace_id", "span_id", "up", F.col("key").alias("path")), ["path"], {"path": F.concat("over_path", "path")})
+    return placed.drop("up").join(paths, ["trace_id", "span_id"])
 
 
 def flattened(tree: DataFrame) -> DataFrame:
-    """Pre-order position of each span of a tree."""
-    return tree.withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy("path"))).drop("path", "key")
+    """Pre-order position of each span of a tree, from 1."""
+    before = running_totals(tree, ["trace_id"], ["path"], F.lit(1))
+    return before.withColumn("position", (F.col("before") + 1).cast("int")).drop("path", "key", "before")
 
 
-def trace_durations(tree: DataFrame) -> DataFrame:
-    """Of each trace: last end less first start in ms (0 if not positive) and spans."""
-    agg = tree.where(F.col("depth") < DEEPEST).groupBy("trace_id").agg(F.max(F.col("ts_us") / 1000 + F.col("duration_ms")).alias("end"), F.min(F.col("ts_us") / 1000).alias("start"), F.count(F.lit(1)).alias("spans"))
-    return agg.select("trace_id", F.greatest(F.col("end") - F.col("start"), F.lit(0.0)).alias("total_ms"), "spans")
+def trace_durations(spans: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """Of each trace: last end less first start in ms (0 if not positive) of the spans of its tree above depth ``deepest``,
+    and the number of its span records, repeated ones too."""
+    placed = _placed(spans).where(F.col("depth") < deepest)
+    start = F.col("ts_us") / 1000
+    range_ms = placed.groupBy("trace_id").agg(F.max(start + F.col("duration_ms")).alias("end"), F.min(start).alias("start"))
+    records = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))
+    total = F.greatest(F.coalesce(F.col("end") - F.col("start"), F.lit(0.0)), F.lit(0.0))
+    return records.join(range_ms, "trace_id", "left").select("trace_id", total.alias("total_ms"), "spans")
 
 
 def waterfall(tree: DataFrame, least_width: float = 0.5) -> DataFrame:
     """Start and width of each span in per cent of its trace's range (1 ms at least)."""
-    by_trace = Window.partitionBy("trace_id")
     start = F.col("ts_us") / 1000
-    low = F.min(start).over(by_trace)
-    span = F.greatest(F.max(start + F.col("duration_ms")).over(by_trace) - low, F.lit(1.0))
-    return tree.select("trace_id", "span_id", "depth", ((start - low) / span * 100).alias("start_pct"), F.greatest(F.col("duration_ms") / span * 100, F.lit(least_width)).alias("width_pct"))
+    ranges = tree.groupBy("trace_id").agg(F.min(start).alias("low"), F.max(start + F.col("duration_ms")).alias("high"))
+    span = F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
+    met = tree.join(ranges, "trace_id")
+    return met.select("trace_id", "span_id", "depth", ((start - F.col("low")) / span * 100).alias("start_pct"), F.greatest(F.col("duration_ms") / span * 100, F.lit(least_width)).alias("width_pct"))

@@ -171,8 +171,12 @@ def trace_first_span(spark, d):
     return traces.first_spans(tables.events(spark, d)).select("trace_id", "span_id", "seq", "ts_us", "service")
 
 
+def _spans(spark, d):
+    return tables.spans(spark, d).select("trace_id", "span_id", "parent_span_id", "seq", "ts_us", "duration_ms", "service", "is_error")
+
+
 def _tree(spark, d):
-    return traces.trace_tree(tables.spans(spark, d).select("trace_id", "span_id", "parent_span_id", "seq", "ts_us", "duration_ms", "service", "is_error"))
+    return traces.trace_tree(_spans(spark, d))
 
 
 @query
@@ -182,7 +186,15 @@ def trace_tree_flat(spark, d):
 
 @query
 def trace_duration(spark, d):
-    return traces.trace_durations(_tree(spark, d)).select("trace_id", S.half_up(F.col("total_ms"), 3).alias("total_ms"), "spans")
+    return traces.trace_durations(_spans(spark, d)).select("trace_id", S.half_up(F.col("total_ms"), 3).alias("total_ms"), "spans")
+
+
+@query
+def trace_duration_repeats(spark, d):
+    """Every seventh span is recorded again, later and longer; every fiftieth is its own parent."""
+    own = _spans(spark, d).withColumn("parent_span_id", F.when(F.col("seq") % 50 == 0, F.col("span_id")).otherwise(F.col("parent_span_id")))
+    again = own.where("seq % 7 = 0").withColumns({"seq": F.col("seq") + 10_000_000, "duration_ms": F.col("duration_ms") + 1000})
+    return traces.trace_durations(own.unionByName(again)).select("trace_id", S.half_up(F.col("total_ms"), 3).alias("total_ms"), "spans")
 
 
 @query
@@ -226,7 +238,7 @@ def services_registry(spark, d):
 
 @query
 def golden_signals(spark, d):
-    return signals.golden_signals(topology.resolve_targets(topology.edges(tables.net_events(spark, d))), UPTIME_S)
+    return signals.golden_signals(topology.resolve_targets(topology.edges(tables.net_events(spark, d))), UPTIME_S).orderBy(F.desc("rate_rps"), "service")
 
 
 @query
@@ -261,6 +273,23 @@ def edges_admitted(spark, d):
     return topology.admitted(topology.edges(tables.net_events(spark, d)), 100).select("source_ip", "dest_ip", "dest_port", "first_seq")
 
 
+@query
+def services_admitted(spark, d):
+    return topology.admitted_services(tables.net_events(spark, d), 256)
+
+
+@query
+def edges_in_containers(spark, d):
+    """Edges of network events with the containers of their processes, from the lines of cgroup files."""
+    net = tables.net_events(spark, d)
+    pid = F.col("c_custkey")
+    name = F.lower(F.hex(pid * 7919 + (1 << 50)))
+    lines = F.array(F.concat(F.lit("0::/system/"), name, F.lit(".scope")), F.lit("1:cpu:/short"), F.when(pid % 3 == 0, F.concat(F.lit("2:mem:/kubepods/pod"), pid.cast("string"), F.lit("/"), F.reverse(name), F.lit("\n"))))
+    cgroups = tables.table(spark, d, "customer").where(pid % 2 == 0).select(pid.alias("pid"), F.posexplode(lines).alias("seq", "line")).where("line is not null")
+    own = topology.edges(topology.with_containers(net, cgroups))
+    return own.groupBy("container_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("hit_count").alias("hits"), F.sum("error_count").alias("errors"))
+
+
 @query
 def edges_of_service(spark, d):
     own = topology.resolve_targets(topology.edges(tables.net_events(spark, d)))
@@ -375,6 +404,14 @@ def alert_transitions(spark, d):
     return alerts.transitions(_evaluated(spark, d)).select("rule", "service", "cycle_s", "before", "status")
 
 
+@query
+def alert_notifications(spark, d):
+    moved = alerts.transitions(_evaluated(spark, d)).withColumn("value", S.half_up(F.col("value"), 1))
+    out = alerts.notifications(moved, _RULES, "http://localhost", "http://localhost/runbook/{rule}")
+    payload = lambda path: F.get_json_object("payload", f"$.attachments[0].{path}")
+    return out.select("rule", "service", "cycle_s", "kind", "line", payload("color").alias("color"), payload("fields[1].value").alias("measured"), payload("fields[2].value").alias("link"))
+
+
 @query
 def new_services(spark, d):
     e = tables.events(spark, d)
@@ -526,6 +563,25 @@ def export_feed(spark, d):
     return export.feed(signals.golden_signals(own, UPTIME_S), own).groupBy("kind", "subject").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def export_tagged_series(spark, d):
+    own = signals.golden_signals(topology.resolve_targets(topology.edges(tables.net_events(spark, d))), UPTIME_S, percentiles=True)
+    return export.tagged_series(own, BASE_US // 1_000_000, "host-1").withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def edge_texts(spark, d):
+    own = topology.resolve_targets(topology.edges(tables.net_events(spark, d)))
+    return export.edge_texts(own, BASE_US // 1_000_000).withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def export_requests(spark, d):
+    """The feed's events by request of 500."""
+    own = topology.resolve_targets(topology.edges(tables.net_events(spark, d)))
+    return export.feed(signals.golden_signals(own, UPTIME_S), own, 500).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+
+
 @query
 def export_spans(spark, d):
     own = topology.resolve_targets(topology.edges(tables.net_events(spark, d)))
@@ -564,6 +620,23 @@ def rate_limited(spark, d):
 # scalar functions
 
 
+@query
+def http_lines(spark, d):
+    """Request and response lines, protocols and trace context headers, read back."""
+    e = tables.events(spark, d)
+    method = F.when(F.col("k") % 3 == 0, "POST").when(F.col("k") % 3 == 1, "GET").otherwise("FETCH")
+    request = F.concat(method, F.lit(" /api/"), "kind", F.lit("?k="), F.col("k").cast("string"), F.lit(" HTTP/1.1"))
+    response = F.concat(F.when(F.col("k") % 5 == 0, "HTTP/2 ").otherwise("HTTP/1.1 "), F.col("status_code").cast("string"), F.lit(" OK"))
+    first = F.when(F.col("k") % 4 == 0, F.lit("PRI * HTTP/2.0")).when(F.col("k") % 4 == 1, F.lit("content-type: application/gRPC")).when(F.col("k") % 4 == 2, request).otherwise(F.lit("hello"))
+    header = F.concat(F.lit("00-"), F.lpad(F.lower(F.hex("seq")), 32, "0"), F.lit("-"), F.lpad(F.lower(F.hex("user_id")), 16, "0"), F.when(F.col("k") % 6 == 0, "").otherwise("-01"))
+    pairs = F.concat(F.lit("a="), F.col("k").cast("string"), F.lit(",bad,b=x+y,a="), "kind")
+    return e.select(
+        "seq", S.request_method(request).alias("method"), S.request_path(request).alias("path"), S.response_status(response).alias("status"), S.protocol(first).alias("protocol"),
+        S.traceparent(header)["trace_id"].alias("trace_id"), S.traceparent(header)["span_id"].alias("span_id"), S.parse_headers(pairs)["a"].alias("a"), S.parse_headers(pairs)["b"].alias("b"),
+        S.xor_span_id(F.col("seq"), F.col("user_id")).alias("xor_id"), S.trace_link("http://localhost/", F.col("service")).alias("link"),
+    )
+
+
 @query
 def scalar_functions(spark, d):
     e = tables.events(spark, d)

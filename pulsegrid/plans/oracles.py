@@ -162,6 +162,17 @@ def oracle_sql() -> dict[str, str]:
         "trace_first_span": w(_EV, "SELECT trace_id, min_by(span_id, seq) AS span_id, min(seq) AS seq, min_by(ts_us, seq) AS ts_us, min_by(service, seq) AS service FROM ev GROUP BY trace_id"),
         "trace_tree_flat": w(_SPANS, "SELECT trace_id, span_id, parent_span_id, depth, row_number() OVER (PARTITION BY trace_id ORDER BY path) AS position FROM tree", True),
         "trace_duration": w(_SPANS, f"SELECT trace_id, {_r2('greatest(max(ts_us / 1000 + duration_ms) - min(ts_us / 1000), 0)', 3)} AS total_ms, count(*) AS spans FROM tree GROUP BY trace_id", True),
+        "trace_duration_repeats": w(
+            _SPANS.split("tree AS (")[0].rstrip().rstrip(",")
+            + """, own AS (SELECT trace_id, span_id, CASE WHEN seq % 50 = 0 THEN span_id ELSE parent_span_id END AS parent_span_id, seq, ts_us, duration_ms FROM spans),
+rec AS (SELECT * FROM own UNION ALL SELECT trace_id, span_id, parent_span_id, seq + 10000000, ts_us, duration_ms + 1000 FROM own WHERE seq % 7 = 0),
+last AS (SELECT trace_id, span_id, max_by(parent_span_id, seq) FILTER (parent_span_id IS NOT NULL) AS parent_span_id, max_by(ts_us, seq) AS ts_us, max_by(duration_ms, seq) AS duration_ms FROM rec GROUP BY ALL),
+tree AS (SELECT trace_id, span_id, ts_us, duration_ms FROM last WHERE parent_span_id IS NULL
+  UNION ALL SELECT c.trace_id, c.span_id, c.ts_us, c.duration_ms FROM last c JOIN tree t ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id),
+n AS (SELECT trace_id, count(*) AS spans FROM rec GROUP BY 1)""",
+            f"SELECT n.trace_id, {_r2('greatest(coalesce(max(ts_us / 1000 + duration_ms) - min(ts_us / 1000), 0.0::DOUBLE), 0.0::DOUBLE)', 3)} AS total_ms, any_value(spans) AS spans FROM n LEFT JOIN tree ON n.trace_id = tree.trace_id GROUP BY n.trace_id",
+            True,
+        ),
         "trace_waterfall": w(
             _SPANS,
             "SELECT trace_id, span_id, depth, CAST(floor((ts_us / 1000 - lo) / rng * 100 * 1000 + 0.5) AS BIGINT) AS start_milli, CAST(floor(greatest(duration_ms / rng * 100, 0.5) * 1000 + 0.5) AS BIGINT) AS width_milli FROM (SELECT *, min(ts_us / 1000) OVER v AS lo, greatest(max(ts_us / 1000 + duration_ms) OVER v - min(ts_us / 1000) OVER v, 1.0::DOUBLE) AS rng FROM tree WINDOW v AS (PARTITION BY trace_id))",
@@ -186,6 +197,15 @@ def oracle_sql() -> dict[str, str]:
         "topology_nodes": w(_NET, "SELECT source AS node FROM resolved UNION SELECT target FROM resolved"),
         "topology_counts": w(_NET, "SELECT count(*) AS edges, count(DISTINCT source) AS sources, CAST(sum(hit_count) AS BIGINT) AS hits, CAST(sum(total_bytes) AS BIGINT) AS bytes FROM edge2"),
         "edges_admitted": w(_NET, "SELECT source_ip, dest_ip, dest_port, first_seq FROM edge ORDER BY first_seq LIMIT 100"),
+        "services_admitted": w(_NET, "SELECT pid, min(seq) AS first_seq FROM net WHERE status IN (0, 1) GROUP BY pid ORDER BY first_seq LIMIT 256"),
+        "edges_in_containers": w(
+            _NET
+            + """, id AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 3 = 0 THEN reverse(lower(to_hex(c_custkey * 7919 + (1::BIGINT << 50)))) ELSE lower(to_hex(c_custkey * 7919 + (1::BIGINT << 50))) END AS container_id FROM customer WHERE c_custkey % 2 = 0),
+row AS (SELECT net.*, coalesce(id.container_id, '') AS cid, CASE WHEN id.container_id IS NULL THEN substring(comm, 1, 15) ELSE '' END AS who FROM net LEFT JOIN id ON net.pid = id.pid WHERE status BETWEEN 1 AND 6),
+created AS (SELECT dest_ip, dest_port, source_ip, cid, who, min(seq) AS created FROM row WHERE status = 1 GROUP BY ALL),
+e AS (SELECT cid, count(*) FILTER (status = 1) AS hits, count(*) FILTER (status = 3) AS errors FROM row JOIN created USING (dest_ip, dest_port, source_ip, cid, who) WHERE seq >= created GROUP BY dest_ip, dest_port, source_ip, cid, who)""",
+            "SELECT cid AS container_id, count(*) AS edges, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(errors) AS BIGINT) AS errors FROM e GROUP BY 1",
+        ),
         "edges_of_service": w(_NET, "SELECT source, target, dest_ip, dest_port, hit_count FROM resolved WHERE source = 'svc-3' OR target = 'svc-3'"),
         "edge_labels": w(_NET, f"SELECT source, target, dest_port, CASE WHEN grpc_service IS NOT NULL THEN 'grpc' ELSE 'tcp' END AS protocol, {_r2('log2(hit_count + 1)', 4)} AS weight, {_r2('least(1.0::DOUBLE, hit_count::DOUBLE / 100)', 4)} AS alpha FROM resolved"),
         "services_containing": w(_EV, "SELECT service, count(*) AS n FROM ev WHERE contains(lower(service), 'c-1') GROUP BY service"),
@@ -208,6 +228,17 @@ def oracle_sql() -> dict[str, str]:
         "breach_streaks": w(_ALERT, "SELECT rule, service, cycle_s, breached, CASE WHEN breached THEN s ELSE 0 END AS breach_streak, CASE WHEN breached THEN 0 ELSE s END AS clear_streak FROM streak"),
         "alert_states": w(_ALERT, "SELECT rule, service, cycle_s, breached, status FROM state"),
         "alert_transitions": w(_ALERT, "SELECT rule, service, cycle_s, before, status FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY rule, service ORDER BY cycle_s), 'ok') AS before FROM state) WHERE status <> before"),
+        "alert_notifications": w(
+            _ALERT
+            + """, v AS (SELECT 'errors' AS rule, service, cycle_s, error_pct AS x, 'error_pct' AS metric, '20' AS t, 'CRITICAL' AS sev FROM wide
+  UNION ALL SELECT 'slow', service, cycle_s, avg_latency_ms, 'avg_latency_ms', '50', 'WARNING' FROM wide UNION ALL SELECT 'drop', service, cycle_s, rate_drop_pct, 'rate_drop_pct', '20', 'WARNING' FROM wide),
+moved AS (SELECT * FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY rule, service ORDER BY cycle_s), 'ok') AS before FROM state) WHERE status <> before),
+told AS (SELECT rule, service, cycle_s, status = 'firing' AS fires, metric, v.t, sev, """
+            + _r2("x", 1)
+            + """ AS y, strftime(make_timestamp(cycle_s * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS told_at FROM moved JOIN v USING (rule, service, cycle_s)),
+shown AS (SELECT *, CASE WHEN y = floor(y) THEN CAST(CAST(y AS BIGINT) AS VARCHAR) ELSE CAST(y AS VARCHAR) END AS z, 'http://localhost/status?service=' || service AS link FROM told)""",
+            "SELECT rule, service, cycle_s, CASE WHEN fires THEN 'fire' ELSE 'resolve' END AS kind, CASE WHEN fires THEN '[ALERT] ' || sev || ' ' || rule || ' metric=' || z || ' threshold=gt ' || t || ' service=' || service || ' trace=' || link || ' at ' || told_at ELSE '[RESOLVED] ' || rule || ' service=' || service || ' trace=' || link || ' at ' || told_at END AS line, CASE WHEN NOT fires THEN '#22c55e' WHEN sev = 'CRITICAL' THEN '#dc2626' ELSE '#f59e0b' END AS color, metric || ' = ' || z || CASE WHEN fires THEN ' (threshold: gt ' || t || ')' ELSE '' END AS measured, link FROM shown",
+        ),
         "new_services": w(_EV, "SELECT trace_id AS service, min((ts_us // 1000000) // 3600 * 3600) AS first_cycle_s FROM ev GROUP BY 1"),
         "disappeared": w(
             _cycle(3600),
@@ -243,6 +274,25 @@ def oracle_sql() -> dict[str, str]:
         "binary_round_trip": w(_EV, f"SELECT trace_id || '/' || (seq // 1000) AS batch_id, row_number() OVER (PARTITION BY trace_id, seq // 1000 ORDER BY seq) - 1 AS place, ts_us, {_r2('CAST(CAST(duration_ms AS FLOAT) AS DOUBLE)')} AS duration_ms, status_code, status_code >= 400 AS is_error FROM ev"),
         "export_series": w(_SIGNALS, " UNION ALL ".join(f"SELECT service, 'telemetry.{m}' AS metric, {t} AS type, CAST({c} AS DOUBLE) AS value, '{u}' AS unit FROM signal2" for m, c, t, u in series)),
         "export_feed": w(_SIGNALS, "SELECT 'metric' AS kind, service AS subject, count(*) AS n FROM signal GROUP BY ALL UNION ALL SELECT 'edge', source || ':' || target, count(*) FROM resolved GROUP BY ALL"),
+        "export_tagged_series": w(_SIGNALS, " UNION ALL ".join(f"SELECT service, 'telemetry.{m}' AS metric, {t} AS type, CAST({c} AS DOUBLE) AS value, '{u}' AS unit, {BASE_US // 1_000_000} AS at_s, 'service:' || service || ',host:host-1{',percentile:' + m[-3:] if m[-3] == 'p' and m[-1].isdigit() else ''}' AS tags FROM signal2" for m, c, t, u in series)),
+        "edge_texts": w(_NET, f"SELECT source || ' -> ' || target AS title, 'hits: ' || hit_count || ', latency us: ' || avg_latency_us || ', bytes: ' || total_bytes || ', errors: ' || error_count AS text, CASE WHEN error_count > 0 THEN 'warning' ELSE 'info' END AS alert_type, {BASE_US // 1_000_000} AS at_s, 'source:' || source || ',target:' || target AS tags FROM resolved"),
+        "export_requests": w(_SIGNALS + ", n AS (SELECT (SELECT count(*) FROM signal) + (SELECT count(*) FROM resolved) AS n)", "SELECT CAST(i // 500 AS INTEGER) AS chunk, count(*) AS n, CAST(min(i % 500) AS INTEGER) AS first, CAST(max(i % 500) AS INTEGER) AS last FROM (SELECT unnest(range(n)) AS i FROM n) GROUP BY 1"),
+        "rate_limited": w(
+            _EV
+            + """, win AS (SELECT service, min(ts_us) AS s FROM ev GROUP BY 1
+  UNION ALL SELECT win.service, min(ev.ts_us) FROM win JOIN ev ON ev.service = win.service AND ev.ts_us > win.s + 21600000000 GROUP BY win.service, win.s),
+placed AS (SELECT service, ts_us, seq, (SELECT max(s) FROM win WHERE win.service = ev.service AND win.s <= ev.ts_us) AS s FROM ev),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY service, s ORDER BY ts_us, seq) AS number FROM placed)""",
+            "SELECT service AS key, count(*) AS requests, count(*) FILTER (number <= 5) AS allowed, count(DISTINCT s) AS windows FROM numbered GROUP BY 1",
+            True,
+        ),
+        "http_lines": w(
+            _EV,
+            """SELECT seq, CASE k % 3 WHEN 0 THEN 'POST' WHEN 1 THEN 'GET' END AS method, '/api/' || kind || '?k=' || k AS path, CASE WHEN k % 5 <> 0 THEN CAST(status_code AS INTEGER) END AS status,
+  CASE k % 4 WHEN 0 THEN 'http2' WHEN 1 THEN 'grpc' WHEN 2 THEN CASE WHEN k % 3 = 2 THEN 'tcp' ELSE 'http1' END ELSE 'tcp' END AS protocol,
+  CASE WHEN k % 6 <> 0 THEN lpad(lower(to_hex(seq)), 32, '0') END AS trace_id, CASE WHEN k % 6 <> 0 THEN lpad(lower(to_hex(user_id)), 16, '0') END AS span_id,
+  kind AS a, 'x y' AS b, xor(seq, user_id) AS xor_id, 'http://localhost/status?service=' || service AS link FROM ev""",
+        ),
         "export_spans": w(
             _SIGNALS,
             f"SELECT {_HEX(_hash('service'))} AS trace_id, 'service.' || service AS name, 1 AS kind, 0 AS status, {BASE_US * 1000} AS start_ns, {BASE_US * 1000 + 1_000_000_000} AS end_ns FROM signal UNION ALL SELECT {_HEX(_hash('pair'))}, 'connection.' || source || '.' || target, 3, CASE WHEN error_count > 0 THEN 2 ELSE 0 END, {BASE_US * 1000}, {BASE_US * 1000 + 1_000_000_000} FROM (SELECT *, source || ':' || target AS pair FROM resolved)",

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import ship_package
+from pulsegrid.functions.scalars import map_of_last
+from pulsegrid.session import materialize, ship_package
 
 from . import wire
 
@@ -29,7 +30,8 @@ def from_json(lines: DataFrame, body: str = "body") -> tuple[DataFrame, DataFram
 
     A missing span id is a hash of the event, so the same input gives the same ids.
     """
-    parsed = lines.withColumn("e", F.from_json(body, EVENT_SCHEMA))
+    # A generated column is computed once for a row; a projected one would be parsed again for each of its uses.
+    parsed = lines.select("*", F.explode(F.array(F.from_json(body, EVENT_SCHEMA))).alias("e"))
     whole = F.col("e").isNotNull()
     for c in REQUIRED:
         whole = whole & F.col(f"e.{c}").isNotNull()
@@ -71,7 +73,7 @@ def from_otlp(requests: DataFrame, body: str = "body") -> DataFrame:
     r = requests.select(F.explode(F.from_json(body, OTLP_SCHEMA)["resourceSpans"]).alias("r"))
     s = r.select(service_name(F.col("r.resource.attributes")).alias("service"), F.explode("r.scopeSpans").alias("ss")).select("service", F.explode("ss.spans").alias("s"))
     start, end = F.col("s.startTimeUnixNano").cast("long"), F.col("s.endTimeUnixNano").cast("long")
-    attrs = F.map_from_entries(F.transform(F.coalesce("s.attributes", F.array().cast(_ATTRS)), lambda a: F.struct(a["key"].alias("k"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")).alias("v"))))
+    attrs = map_of_last(F.transform(F.coalesce("s.attributes", F.array().cast(_ATTRS)), lambda a: F.struct(a["key"].alias("k"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")).alias("v"))))
     return s.select(
         "service",
         F.col("s.traceId").alias("trace_id"),
@@ -127,12 +129,13 @@ def to_binary(events: DataFrame, by: str = "trace_id") -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, rows in zip(batch.column("batch_id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                own = np.zeros(len(rows), wire.EVENT)
-                for name, field in (("timestamp", "ts_us"), ("duration_ms", "duration_ms"), ("status_code", "status_code")):
-                    own[name] = [r[field] for r in rows]
-                out.append(wire.encode_batch(key, own))
+            lists = batch.column("rows")
+            rows = lists.flatten()
+            own = np.zeros(len(rows), wire.EVENT)
+            for name, field in (("timestamp", "ts_us"), ("duration_ms", "duration_ms"), ("status_code", "status_code")):
+                own[name] = rows.field(field).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            out = [wire.encode_batch(key, own[a:b]) for key, a, b in zip(batch.column("batch_id").to_pylist(), ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("batch_id"), pa.array(out, pa.binary())], names=["batch_id", "body"])
 
     grouped = events.groupBy(F.col(by).alias("batch_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "ts_us", "duration_ms", "status_code"))).alias("rows"))
@@ -157,7 +160,8 @@ MOST_TAGS = 65_535
 
 
 def tag_dictionary(events: DataFrame, column: str = "service") -> DataFrame:
-    """Dense ids from 1 in order of first appearance, 0 beyond 65,535; numbered after aggregation to distinct values."""
-    first = events.groupBy(F.col(column).alias("tag")).agg(F.min("seq").alias("first_seq"))
+    """Dense ids from 1 in order of first appearance, 0 beyond 65,535. Only the first so many distinct values are numbered."""
+    first = materialize(events.groupBy(F.col(column).alias("tag")).agg(F.min("seq").alias("first_seq")), "tags")
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_seq"))
-    return first.select("tag", "first_seq", F.when(number <= MOST_TAGS, number).otherwise(0).alias("tag_id"))
+    early = first.orderBy("first_seq").limit(MOST_TAGS).select(F.col("first_seq").alias("at"), number.alias("number"))
+    return first.join(early, F.col("first_seq") == F.col("at"), "left").select("tag", "first_seq", F.coalesce("number", F.lit(0)).alias("tag_id"))

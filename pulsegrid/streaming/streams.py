@@ -15,8 +15,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.operators.alerts import AlertRule, _breach
 from pulsegrid.operators.rules import Rule, dropped
+from pulsegrid.operators.topology import EDGE_KEY, edge_rows
 
 WATERMARK = "10 minutes"
+#: Milliseconds without a row after which a key's state goes, and after which a node counts as stale.
+IDLE_MS, STALE_MS = 86_400_000, 60_000
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -55,39 +58,48 @@ def distinct_spans(spans: DataFrame, late: str = WATERMARK) -> DataFrame:
     return spans.withWatermark("ts", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
 
 
-def live_edges(net: DataFrame) -> DataFrame:
-    """Edges folded from network events from the first connection on, with a state for each edge key.
+def live_edges(net: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Edges folded from network events from the first connection on, with a state for each edge key, by the same keys and
+    rows as topology.edges; an edge without an event for idle_ms is forgotten.
 
     Within a batch the rows of a key are taken by seq; across batches arrival counts.
     """
-    key = ["source_ip", "dest_ip", "dest_port", "comm"]
-    out = "source_ip string, dest_ip string, dest_port int, comm string, hit_count long, total_latency_ns long, total_bytes long, error_count long, retransmit_count long"
+    out = "dest_ip string, dest_port int, source_ip string, container_id string, comm string, source string, hit_count long, total_latency_ns long, total_bytes long, error_count long, retransmit_count long, last_seen_us long"
 
     def fold(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, hits, latency, size, errors, again = state.get if state.exists else (False, 0, 0, 0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        source, hits, latency, size, errors, again, seen = state.get if state.exists else (None, 0, 0, 0, 0, 0, 0)
         rows = pd.concat(list(parts)).sort_values("seq")
-        if not created:
+        if source is None:
             rows = rows[(rows["status"] == 1).cumsum() > 0]
-            created = len(rows) > 0
+            source = rows["name"].iloc[0] if len(rows) else None
         by = rows["status"]
         hits += int((by == 1).sum())
         latency += int(rows.loc[by == 1, "latency_ns"].sum())
         size += int(rows.loc[by == 2, "bytes"].sum())
         errors += int((by == 3).sum())
         again += int((by == 4).sum())
-        state.update((created, hits, latency, size, errors, again))
-        if created:
-            yield pd.DataFrame([[*k, hits, latency, size, errors, again]], columns=[x.split()[0] for x in out.split(", ")])
+        seen = max([seen, *rows.loc[by == 1, "ts_us"].tolist()])
+        state.update((source, hits, latency, size, errors, again, seen))
+        state.setTimeoutDuration(idle_ms)
+        if source is not None:
+            yield pd.DataFrame([[*k, source, hits, latency, size, errors, again, seen]], columns=[x.split()[0] for x in out.split(", ")])
 
-    rows = net.select(*key, "seq", "status", "latency_ns", "bytes")
-    return rows.groupBy(*key).applyInPandasWithState(fold, out, "created boolean, hits long, latency long, size long, errors long, again long", "update", GroupStateTimeout.NoTimeout)
+    rows = edge_rows(net).select(*EDGE_KEY, F.col("comm").alias("name"), "seq", "ts_us", "status", "latency_ns", "bytes")
+    return rows.groupBy(*EDGE_KEY).applyInPandasWithState(fold, out, "source string, hits long, latency long, size long, errors long, again long, seen long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_alerts(signals: DataFrame, rule: AlertRule) -> DataFrame:
-    """Transitions of one rule over a stream of (service, cycle_s, metric) rows, a cycle at most once for each service."""
+def live_alerts(signals: DataFrame, rule: AlertRule, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Transitions of one rule over a stream of (service, cycle_s, metric) rows, a cycle at most once for each service; a
+    service without a row for idle_ms is forgotten and starts anew."""
     out = "service string, cycle_s long, status string"
 
     def walk(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         breaches, clears, firing = state.get if state.exists else (0, 0, False)
         moved = []
         for r in pd.concat(list(parts)).sort_values("cycle_s").itertuples(index=False):
@@ -97,17 +109,22 @@ def live_alerts(signals: DataFrame, rule: AlertRule) -> DataFrame:
             if firing != before:
                 moved.append([k[0], r.cycle_s, "firing" if firing else "ok"])
         state.update((breaches, clears, firing))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(moved, columns=["service", "cycle_s", "status"])
 
     rows = signals.select("service", "cycle_s", _breach(rule.op, F.col(rule.metric), rule.threshold).alias("breached"))
-    return rows.groupBy("service").applyInPandasWithState(walk, out, "breaches long, clears long, firing boolean", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("service").applyInPandasWithState(walk, out, "breaches long, clears long, firing boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_limiter(requests: DataFrame, window_us: int = 60_000_000, limit: int = 1000) -> DataFrame:
-    """Requests (key, seq, ts_us) with allowed: a key's window starts at its first request after the last has passed."""
+    """Requests (key, seq, ts_us) with allowed: a key's window starts at its first request after the last has passed. A key
+    without a request for two windows is forgotten."""
     out = "key string, seq long, ts_us long, allowed boolean"
 
     def walk(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         rows = pd.concat(list(parts)).sort_values(["ts_us", "seq"])
         allowed = []
@@ -117,9 +134,32 @@ def live_limiter(requests: DataFrame, window_us: int = 60_000_000, limit: int =
             n += 1
             allowed.append(n <= limit)
         state.update((start, n))
+        state.setTimeoutDuration(max(1, 2 * window_us // 1000))
         yield rows.assign(allowed=allowed)[["key", "seq", "ts_us", "allowed"]]
 
-    return requests.select("key", "seq", "ts_us").groupBy("key").applyInPandasWithState(walk, out, "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return requests.select("key", "seq", "ts_us").groupBy("key").applyInPandasWithState(walk, out, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def live_nodes(pushes: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
+    """The latest push of each node (node_id, pushed_at, edges), and a row with stale = true once it has sent none for
+    stale_ms."""
+    out = "node_id string, pushed_at long, edges long, stale boolean"
+
+    def follow(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            pushed, edges = state.get
+            state.remove()
+            yield pd.DataFrame([[k[0], pushed, edges, True]], columns=["node_id", "pushed_at", "edges", "stale"])
+            return
+        last = state.get if state.exists else (-1, 0)
+        for part in parts:
+            newest = part.loc[part["pushed_at"].idxmax()]
+            last = max(last, (int(newest["pushed_at"]), int(newest["edges"])))
+        state.update(last)
+        state.setTimeoutDuration(stale_ms)
+        yield pd.DataFrame([[k[0], *last, False]], columns=["node_id", "pushed_at", "edges", "stale"])
+
+    return pushes.select("node_id", "pushed_at", "edges").groupBy("node_id").applyInPandasWithState(follow, out, "pushed_at long, edges long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def archive(events: DataFrame, path: str, checkpoint: str, chunk: int = 1_000_000):

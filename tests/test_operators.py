@@ -93,10 +93,11 @@ def test_tree(spark):
         ("u", "a", None, 8, 5_000, 1.0),
         ("u", "a", None, 9, 6_000, 2.0),
     ]
-    tree = traces.trace_tree(spark.createDataFrame(rows, SPAN))
+    own = spark.createDataFrame(rows, SPAN)
+    tree = traces.trace_tree(own)
     flat = [(r.trace_id, r.span_id, r.depth) for r in traces.flattened(tree).orderBy("trace_id", "position").collect()]
     assert flat == [("t", "root", 0), ("t", "c1", 1), ("t", "g", 2), ("t", "c2", 1), ("t", "orphan", 0), ("u", "a", 0)]
-    assert values(traces.trace_durations(tree), "trace_id", "total_ms", "spans") == [("t", 305.0, 5), ("u", 2.0, 1)]
+    assert values(traces.trace_durations(own), "trace_id", "total_ms", "spans") == [("t", 305.0, 8), ("u", 2.0, 2)]
     assert min(r.width_pct for r in traces.waterfall(tree).collect()) >= 0.5
 
 
