@@ -24,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,21 +124,18 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies by language of known words (k = 0) and n-grams of each length."""
 
-    def __init__(self, languages: list[str], counts: pd.DataFrame):
-        """counts: lang, k, item (or its hash), n and total (of lang and k)."""
+    def __init__(self, languages: list[str], lang: np.ndarray, k: np.ndarray, hashes: np.ndarray, n: np.ndarray):
+        """Counts n of the items with these hashes, of length k, by language (a number in languages)."""
         self.languages = languages
         self.keys = [np.zeros(0, np.uint64) for _ in range(LONGEST + 1)]
         self.logs = [np.zeros((0, len(languages)), np.float32) for _ in range(LONGEST + 1)]
-        of = {x: i for i, x in enumerate(languages)}
-        for k, part in counts.groupby("k"):
-            hashes = part["hash"].to_numpy().view(np.uint64) if "hash" in part else _item_hashes(part["item"].tolist())
-            self.keys[k], item = np.unique(hashes, return_inverse=True)
-            table = np.zeros((len(self.keys[k]), len(languages)))
-            np.add.at(table, (item, part["lang"].map(of).to_numpy()), part["n"].to_numpy())
-            totals = np.zeros(len(languages))
-            for lang, total in part.groupby("lang")["total"].first().items():
-                totals[of[lang]] = total
-            self.logs[k] = np.log((table + _SMOOTH) / (totals + _SMOOTH * (len(table) + 1))).astype(np.float32)
+        for i in np.unique(k).tolist():
+            own = np.flatnonzero(k == i)
+            self.keys[i], item = np.unique(hashes[own], return_inverse=True)
+            table = np.zeros((len(self.keys[i]), len(languages)), np.float32)
+            np.add.at(table, (item, lang[own]), n[own])
+            totals = np.bincount(lang[own], n[own], len(languages))
+            self.logs[i] = np.log((table + _SMOOTH) / (totals + _SMOOTH * (len(table) + 1))).astype(np.float32)
 
     def _find(self, k: int, hashes: np.ndarray) -> np.ndarray:
         """Rows of the items in the table of k, -1 for unknown ones."""
@@ -227,9 +223,13 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     words = materialize(words, "words")
     grams = words.mapInArrow(_grams, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n"))
     items = materialize(words.select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n").unionByName(grams), "items")
-    totals = items.groupBy("lang", "k").agg(F.sum("n").alias("total")).toPandas()
-    counts = items.mapInArrow(_hashed, "lang string, k int, hash long, n long").toPandas().merge(totals, on=["lang", "k"])
-    return Model(sorted(totals["lang"].unique()), counts)
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())
+    if not languages:
+        return Model([], *(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.int64)))
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
+    found = items.select(number.alias("lang"), "k", "item", "n").mapInArrow(_hashed, "lang int, k int, hash long, n long").toArrow()
+    lang, k, hashes, n = (found.column(c).to_numpy() for c in ("lang", "k", "hash", "n"))
+    return Model(languages, lang, k, hashes.view(np.uint64), n)
 
 
 def _predict(shared, text: str, carry: list[str]):

@@ -225,9 +225,9 @@ def test_language_odd_tables(spark):
 
 
 def model_of(rows, languages):
-    import pandas as pd
-
-    return langid.Model(languages, pd.DataFrame(rows, columns=["lang", "k", "item", "n", "total"]))
+    """A model of rows (lang, k, item, n, total of lang and k)."""
+    lang, k, item, n = (list(x) for x in list(zip(*rows))[:4])
+    return langid.Model(languages, np.array([languages.index(x) for x in lang]), np.array(k), langid._item_hashes(item), np.array(n))
 
 
 def test_language_backs_off():
