@@ -443,13 +443,17 @@ def test_licenses_of_the_table(spark, sf):
         assert got[r.doc_id] == ",".join(sorted({m[0] for m in brute_licenses(r.text)}))
 
 
+#: Whole licence texts have too many windows to try all.
+NOTICES = [(n, t) for n, t in license.TEMPLATES if len(t) < 600]
+
+
 def brute_windows(text):
     """The best of all word windows, then the best of those with less than half of their words in taken ones, and so on."""
     places = list(re.finditer(WORD, text.translate({c: c + 32 for c in range(65, 91)})))
     grams = list(zip([w.group() for w in places], [w.group() for w in places[1:]]))
     common = lambda a, b, t: (Counter(grams[a:b]) & t).total()
     found = []
-    for name, t in [(n, license.bigrams(t)) for n, t in license.TEMPLATES]:
+    for name, t in [(n, Counter(zip(words(t), words(t)[1:]))) for n, t in NOTICES]:
         for a in range(len(grams)):
             for b in range(a + 1, len(grams) + 1):
                 c = common(a, b, t)
@@ -467,16 +471,35 @@ def brute_windows(text):
 def test_licenses_in_all_word_windows(spark):
     """Notices wrapped over lines, in comment blocks and inside paragraphs, altered and next to each other."""
     texts, names = [], []
-    for i, (name, t) in enumerate(license.TEMPLATES):
+    for i, (name, t) in enumerate(NOTICES):
         sign = ["# ", " * ", "// ", "", "-- "][i % 5]
         before, after = ("Copyright 2024 Some Body and the others. ", " See the file for more of the terms.") if i % 2 else ("", "")
-        words = t.split()
-        for w in (words, words[: len(words) // 2] + ["really"] + words[len(words) // 2 :]):
+        own = t.split()
+        for w in (own, own[: len(own) // 2] + ["really"] + own[len(own) // 2 :]):
             texts.append("\n".join(sign + line for line in wrap(before + " ".join(w) + after, 40)))
-            names.append(name if w is words else None)
+            names.append(name if w is own else None)
     texts += ["This work is licensed under the GNU General\nPublic License, version 3. Released under the MIT\nLicense. Released under the MIT License.", "of the the of the " * 9 + "Licensed under\nCC BY 4.0. Licensed under CC\nBY"]
     names += ["GPL-3.0", "CC-BY-4.0"]
-    got = {r.doc_id: [tuple(m) for m in r.licenses] for r in license.scan_licenses(documents(spark, texts)).collect()}
+    got = {r.doc_id: [tuple(m) for m in r.licenses] for r in license.scan_licenses(documents(spark, texts), templates=NOTICES).collect()}
     assert [got[i] for i in range(len(texts))] == [brute_windows(t) for t in texts]
     assert all(n is None or n in {m[0] for m in got[i]} for i, n in enumerate(names))
     assert [m[0] for m in got[len(texts) - 2]] == ["GPL-3.0", "MIT", "MIT"]
+
+
+def test_whole_licence_texts(spark):
+    """A licence file of several paragraphs, as it is and in a comment block, is one match of it all; altered in some words, it is
+    a match beside paragraphs that are still exact."""
+    texts = []
+    for i, (_, paragraphs) in enumerate(license.WHOLE_TEXTS):
+        sign = ["# ", " * ", ""][i % 3]
+        body = "\n\n".join("\n".join(sign + line for line in wrap(p, 70)) for p in paragraphs)
+        altered = body.replace("THE SOFTWARE", "OUR WORK").replace("this software", "this library")
+        texts += [f"Copyright (c) 2024 Some Body\n\n{x}\n\nint main(void) {{ return 0; }}" for x in (body, altered)]
+    got = {r.doc_id: r.licenses for r in license.scan_licenses(documents(spark, texts)).collect()}
+    for i, (name, paragraphs) in enumerate(license.WHOLE_TEXTS):
+        exact, altered = got[2 * i], max(got[2 * i + 1], key=lambda m: m.end - m.start)
+        assert [(m.license, m.dice) for m in exact] == [(name, 1.0)]
+        found = words(texts[2 * i][exact[0].start : exact[0].end])
+        assert found == words(" ".join(paragraphs))
+        own, t = (Counter(zip(w, w[1:])) for w in (words(texts[2 * i + 1][altered.start : altered.end]), found))
+        assert altered.license == name and altered.dice == 2 * (own & t).total() / (own.total() + t.total()) >= license.THRESHOLD
