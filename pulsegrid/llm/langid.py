@@ -90,9 +90,9 @@ _TABLES: list[np.ndarray] = []
 def _tables() -> list[np.ndarray]:
     """For each code point whether it is part of words, and whether it is a letter."""
     if not _TABLES:
-        signs = [chr(c) for c in range(sys.maxunicode + 1)]
-        _TABLES.append(np.fromiter((c.isalnum() and not c.isdecimal() for c in signs), bool, len(signs)))
-        _TABLES.append(np.fromiter((c.isalpha() for c in signs), bool, len(signs)))
+        n = sys.maxunicode + 1
+        _TABLES.append(np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(n))), bool, n))
+        _TABLES.append(np.fromiter((c.isalpha() for c in map(chr, range(n))), bool, n))
     return _TABLES
 
 
