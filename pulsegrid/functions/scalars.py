@@ -66,7 +66,8 @@ def epoch_ns(value: Column) -> Column:
 
 
 def ns_to_ms(ns: Column) -> Column:
-    return ((ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000).cast("long")
+    """Whole milliseconds; the division of doubles is off by less than a half, so it is rounded."""
+    return F.round((ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000).cast("long")
 
 
 def half_up(x: Column, digits: int = 2) -> Column:
@@ -76,7 +77,7 @@ def half_up(x: Column, digits: int = 2) -> Column:
 
 
 def latency_text(ms: Column) -> Column:
-    return F.when(ms < 1, F.concat(F.floor(ms * 1000 + 0.5).cast("string"), F.lit(" μs"))).when(ms < 1000, F.concat(F.format_string("%.1f", ms), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))
+    return F.when(ms < 1, F.concat(F.floor(ms * 1000 + 0.5).cast("string"), F.lit(" μs"))).when(ms < 1000, F.concat(F.format_string("%.1f", ms.cast("double")), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", ms.cast("double") / 1000), F.lit(" s")))
 
 
 def uptime_text(seconds: Column) -> Column:
@@ -96,6 +97,11 @@ def burn_label(rate: Column) -> Column:
     return F.when(rate > 10, "CRITICAL").when(rate > 2, "HIGH").when(rate > 1, "ELEVATED").otherwise("NORMAL")
 
 
+def budget_band(remaining: Column) -> Column:
+    """Colour of an error budget's remaining share: above a half, above a fifth, and less."""
+    return F.when(remaining > 0.5, "green").when(remaining > 0.2, "yellow").otherwise("red")
+
+
 def multiplier_hash(text: Column) -> Column:
     """The 31-multiplier hash over code points, kept in 32 bits, as an unsigned long."""
     mask = F.lit(0xFFFFFFFF).cast("long")

@@ -26,6 +26,12 @@ def scan(events: DataFrame, start: int = 0, end: int = 0, errors_only: bool = Fa
     return out if limit is None else out.limit(min(limit, MOST_ROWS))
 
 
+def by_trace(spans: DataFrame) -> DataFrame:
+    """Rows grouped by trace, traces in order of their first row, with the trace's first write index."""
+    first = spans.groupBy("trace_id").agg(F.min("seq").alias("first_seq"))
+    return spans.join(first, "trace_id").orderBy("first_seq", "seq")
+
+
 def duration_max(events: DataFrame) -> DataFrame:
     """Largest duration, NaN left out; 0 for no rows."""
     return events.agg(F.coalesce(F.max(F.when(~F.isnan("duration_ms"), F.col("duration_ms"))), F.lit(0.0)).alias("max_duration_ms"))

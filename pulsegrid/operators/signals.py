@@ -9,12 +9,16 @@ from pulsegrid.functions import scalars as S
 from pulsegrid.operators.ranks import exact_quantiles
 
 
-def golden_signals(edges: DataFrame, uptime_s: float, *, by: str = "target", rounded: bool = True, percentiles: bool = False) -> DataFrame:
+#: Units of uptime in a second. A system that takes milliseconds for seconds has rates a thousandth of these.
+UPTIME_UNITS = {"s": 1, "ms": 1000}
+
+
+def golden_signals(edges: DataFrame, uptime_s: float, *, by: str = "target", rounded: bool = True, percentiles: bool = False, unit: str = "s") -> DataFrame:
     """Rate, error share of hits + errors, latency weighted by hits and throughput of each service.
 
-    uptime is 1 s at least. percentiles adds the estimates 1, 2 and 4 times the mean.
+    uptime is 1 s at least; rates are by its unit. percentiles adds the estimates 1, 2 and 4 times the mean.
     """
-    up = max(float(uptime_s), 1.0)
+    up = max(float(uptime_s), 1.0) * UPTIME_UNITS[unit]
     hits, errors = F.sum("hit_count"), F.sum("error_count")
     cut = S.half_up if rounded else (lambda c: c)
     mean = F.when(hits > 0, F.sum(F.col("avg_latency_us") * F.col("hit_count")) / hits / 1000).otherwise(0.0)
@@ -38,6 +42,12 @@ def sorted_signals(signals: DataFrame, by: str = "p99_ms") -> DataFrame:
     return signals.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(keys[by], "service")))
 
 
+def with_sparkline(signals: DataFrame, points: DataFrame) -> DataFrame:
+    """Signals with the array of their service's last rates (service, point, rate_rps), which alerts.sparkline bounds."""
+    lists = points.groupBy("service").agg(F.transform(F.sort_array(F.collect_list(F.struct("point", "rate_rps"))), lambda p: p["rate_rps"]).alias("sparkline"))
+    return signals.join(lists, "service", "left").withColumn("sparkline", F.coalesce("sparkline", F.array().cast("array<double>")))
+
+
 def red_windows(events: DataFrame, seconds: int = 3600, by: tuple[str, ...] = ("service", "endpoint")) -> DataFrame:
     """Rate, errors and exact latency percentiles by window, service and endpoint."""
     start = F.expr(f"(ts_us div 1000000) div {seconds} * {seconds}")

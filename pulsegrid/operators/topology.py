@@ -155,6 +155,11 @@ def with_containers(net: DataFrame, cgroups: DataFrame) -> DataFrame:
     return out.withColumn("container_id", F.coalesce(F.nullif("container_id", F.lit("")), "found", F.lit(""))).drop("found")
 
 
+def last_edges(own: DataFrame, most: int = 20) -> DataFrame:
+    """The edges last seen, the newest last."""
+    return own.where("last_seen_us is not null").orderBy(F.desc("last_seen_us"), F.desc("first_seq")).limit(most).orderBy("last_seen_us", "first_seq")
+
+
 def of_service(own: DataFrame, name: str) -> DataFrame:
     """Edges from or to a service, of any letter case."""
     wanted = name.lower()

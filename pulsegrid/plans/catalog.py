@@ -73,6 +73,11 @@ def scan_lineitem(spark, d):
     return rows.agg(F.max("duration_ms").alias("max_duration_ms"), F.count_if("is_error").alias("errors"), F.count_if(F.col("duration_ms") > 50_000).alias("slow"))
 
 
+@query
+def scan_by_trace(spark, d):
+    return scan.by_trace(tables.events(spark, d)).select("first_seq", "seq", "trace_id")
+
+
 @query
 def extract_range(spark, d):
     return scan.extract(tables.events(spark, d), 400, 500).select(*_EVENT)
@@ -252,6 +257,33 @@ def signals_sorted_p99(spark, d):
     return signals.sorted_signals(own).where("position <= 20").select("position", "service", "p99_ms")
 
 
+@query
+def signals_sorted_errors(spark, d):
+    own = signals.golden_signals(topology.resolve_targets(topology.edges(tables.net_events(spark, d))), UPTIME_S)
+    return signals.sorted_signals(own, "error_pct").where("position <= 20").select("position", "service", "error_pct")
+
+
+@query
+def signals_by_milliseconds(spark, d):
+    """Rates by millisecond of uptime, as alert rules of the reference see them."""
+    own = topology.resolve_targets(topology.edges(tables.net_events(spark, d)))
+    out = signals.golden_signals(own, UPTIME_S, rounded=False, unit="ms")
+    return out.select("service", S.half_up(F.col("rate_rps"), 9).alias("rate_per_ms"), S.half_up(F.col("error_pct"), 6).alias("error_pct"))
+
+
+@query
+def signals_with_sparkline(spark, d):
+    c = tables.cycles(spark, d)
+    own = c.groupBy("service").agg(F.sum("hits").alias("hits"))
+    out = signals.with_sparkline(own, alerts.sparkline(c, 5))
+    return out.select("service", "hits", F.array_join(F.transform("sparkline", lambda r: F.floor(r * 86_400 + 0.5).cast("string")), ",").alias("sparkline"))
+
+
+@query
+def edges_last_seen(spark, d):
+    return topology.last_edges(topology.edges(tables.net_events(spark, d))).select("source_ip", "dest_ip", "dest_port", "last_seen_us")
+
+
 @query
 def retransmit_rate(spark, d):
     return topology.retransmit_rate(topology.edges(tables.net_events(spark, d)))
@@ -362,6 +394,11 @@ def cluster_signals(spark, d):
     return merged.select("service", S.half_up(F.col("rate_rps")).alias("rate_rps"), S.half_up(F.col("throughput_kbps")).alias("throughput_kbps"), "error_pct", "p50_ms", "p95_ms", "p99_ms", "nodes")
 
 
+@query
+def cluster_services(spark, d):
+    return topology.all_services(topology.latest_snapshots(_snapshots(spark, d)))
+
+
 @query
 def drop_totals(spark, d):
     e = tables.events(spark, d)
@@ -376,6 +413,13 @@ def sparkline_points(spark, d):
     return alerts.sparkline(tables.cycles(spark, d, "hour"))
 
 
+@query
+def sparkline_of_present(spark, d):
+    """Without the sources that the last six hours don't have."""
+    c = tables.cycles(spark, d, "hour").withColumn("service", F.concat_ws("/", "service", F.expr("cast(hits % 3 as string)")))
+    return alerts.sparkline(c, 10, 6 * 3600).select("service", "cycle_s", "point")
+
+
 @query
 def rate_drop(spark, d):
     c = alerts.rate_drops(tables.cycles(spark, d))
@@ -491,6 +535,11 @@ def prom_lines(spark, d):
     return signals.prometheus_lines(signals.counters(tables.events(spark, d)).where("name = 'events_total'"))
 
 
+@query
+def prom_gauges(spark, d):
+    return signals.counters(tables.events(spark, d)).where("name = 'last_duration_ms'").select("name", F.col("labels")["service"].alias("service"), "value")
+
+
 @query
 def health_summary(spark, d):
     return signals.health_summary(tables.events(spark, d), UPTIME_S)
@@ -543,6 +592,43 @@ def otlp_events(spark, d):
     return out.select("service", "trace_id", "span_id", "name", "ts_ms", S.half_up(F.col("duration_ms"), 3).alias("duration_ms"), "is_error", F.col("attrs")["k"].alias("attr_k"))
 
 
+@query
+def otlp_repeated_attributes(spark, d):
+    """The last of several attributes with one key counts."""
+    e = tables.events(spark, d)
+    attr = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.array(attr("k", F.lit("first")), attr("other", F.col("kind")), attr("k", F.col("k").cast("string"))).alias("attributes"))
+    resource = F.struct(F.array(attr("service.name", F.lit("")), attr("service.name", F.col("service"))).alias("attributes"))
+    request = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    out = ingest.from_otlp(e.select(request.alias("body")))
+    return out.select("service", "span_id", F.size("attrs").alias("n_attrs"), F.col("attrs")["k"].alias("attr_k"), F.col("attrs")["other"].alias("attr_other"))
+
+
+@query
+def otlp_binary_round_trip(spark, d):
+    """Events as OTLP protobuf requests, one for each, and read back."""
+    e = tables.events(spark, d)
+    start = F.col("ts_us") * 1000
+    end = start + F.floor(F.col("duration_ms") * 1_000_000 + 0.5).cast("long")
+    hexed = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
+    rows = e.select(F.when(F.col("k") % 10 != 0, F.col("service")).alias("service"), hexed("user_id", 32).alias("trace_id"), hexed("seq", 16).alias("span_id"), F.when(F.col("k") % 2 == 0, hexed("k", 16)).alias("parent_span_id"), F.col("kind").alias("name"), start.alias("start_ns"), end.alias("end_ns"), F.when(F.col("is_error"), 2).otherwise(0).alias("status"), F.col("k").cast("string").alias("attr_k"))
+    out = ingest.from_otlp_binary(ingest.to_otlp_binary(rows))
+    return out.select("service", "trace_id", "span_id", "parent_span_id", "name", "ts_ms", S.half_up(F.col("duration_ms"), 3).alias("duration_ms"), "is_error", F.col("attrs")["k"].alias("attr_k"))
+
+
+@query
+def pod_list(spark, d):
+    """Suppliers as pod lists, one for each nation, and read back; every seventh has no address yet."""
+    s = tables.table(spark, d, "supplier")
+    key = F.col("s_suppkey")
+    owner = F.when(key % 4 == 0, F.struct(F.lit("ReplicaSet").alias("kind"), F.concat(F.lit("web-"), (key % 5).cast("string"), F.lit("-7d8f9")).alias("name"))).when(key % 4 == 1, F.struct(F.lit("DaemonSet").alias("kind"), F.lit("agent").alias("name"))).when(key % 4 == 2, F.struct(F.lit("Job").alias("kind"), F.lit("once").alias("name")))
+    labels = F.when(key % 3 == 0, F.create_map(F.lit("app"), F.concat(F.lit("app-"), (key % 2).cast("string")))).when(key % 3 == 1, F.create_map(F.lit("k8s-app"), F.lit("dns")))
+    meta = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("ns-"), F.col("s_nationkey").cast("string")).alias("namespace"), labels.alias("labels"), F.array(owner).alias("ownerReferences"))
+    pod = F.struct(meta.alias("metadata"), F.struct(F.when(key % 7 != 0, F.concat(F.lit("10.0.1."), key.cast("string"))).alias("podIP")).alias("status"))
+    lists = s.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(pod).alias("items"))).alias("body"))
+    return ingest.from_pods(lists).select("pod_ip", "name", "namespace", "app", "deployment")
+
+
 @query
 def binary_round_trip(spark, d):
     e = tables.events(spark, d)
@@ -637,6 +723,24 @@ def http_lines(spark, d):
     )
 
 
+@query
+def scalar_texts(spark, d):
+    e = tables.events(spark, d)
+    ms = F.col("duration_ms")
+    ns = F.col("ts_us") * 1000 + F.col("k")
+    return e.select(
+        "seq",
+        S.base64_hex(F.base64(F.col("span_id").cast("binary"))).alias("decoded"),
+        S.ns_to_ms(ns).alias("ms"),
+        S.epoch_ns(F.when(F.col("k") % 2 == 0, ns).otherwise(F.expr("ts_us div 1000"))).alias("ns"),
+        S.latency_text(F.floor(ms)).alias("latency"),
+        S.error_band(F.floor(ms / 10)).alias("error_band"),
+        S.budget_band((F.col("k") % 10) / 10).alias("budget_band"),
+        S.runbook_link("http://localhost/{rule}?s={service}", F.col("kind"), F.concat_ws(" ", "service", F.lit("a&b"))).alias("runbook"),
+        S.is_error_status(F.col("status_code")).alias("is_error"),
+    )
+
+
 @query
 def scalar_functions(spark, d):
     e = tables.events(spark, d)

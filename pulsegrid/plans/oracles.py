@@ -190,6 +190,32 @@ n AS (SELECT trace_id, count(*) AS spans FROM rec GROUP BY 1)""",
             "SELECT comm, coalesce(exact.p, loose.p).name AS pod, coalesce(exact.p, loose.p).namespace AS namespace, coalesce(exact.p, loose.p).deployment AS deployment, CASE WHEN exact.p IS NOT NULL THEN 1 WHEN loose.p IS NOT NULL THEN 2 END AS match_rank FROM comm LEFT JOIN exact USING (comm) LEFT JOIN loose USING (comm)",
         ),
         "services_registry": w(_NET, f"SELECT pid, max_by(dest_port, seq) AS port, max_by(comm, seq) AS comm, count(*) AS accept_count, {_r2('sum(latency_ns)::DOUBLE / count(*) / 1000000', 6)} AS avg_latency_ms, max(ts_us) AS last_seen_us FROM net WHERE status IN (0, 1) GROUP BY pid"),
+        "signals_sorted_errors": w(_SIGNALS, "SELECT position, service, error_pct FROM (SELECT *, row_number() OVER (ORDER BY error_pct DESC, service) AS position FROM signal) WHERE position <= 20"),
+        "signals_by_milliseconds": w(_NET, f"SELECT target AS service, {_r2('sum(hit_count)::DOUBLE / 3600000.0::DOUBLE', 9)} AS rate_per_ms, {_r2('CASE WHEN sum(hit_count) + sum(error_count) > 0 THEN sum(error_count)::DOUBLE / (sum(hit_count) + sum(error_count))::DOUBLE * 100 ELSE 0.0::DOUBLE END', 6)} AS error_pct FROM resolved GROUP BY target"),
+        "signals_with_sparkline": w(_cycle(86400), "SELECT service, CAST(sum(hits) AS BIGINT) AS hits, array_to_string(list_transform(list_sort(list({'c': cycle_s, 'h': hits}))[-5:], lambda x: CAST(x.h AS VARCHAR)), ',') AS sparkline FROM cycle GROUP BY service"),
+        "edges_last_seen": w(_NET, "SELECT source_ip, dest_ip, dest_port, last_seen_us FROM edge2 WHERE last_seen_us IS NOT NULL ORDER BY last_seen_us DESC, first_seq DESC LIMIT 20"),
+        "scan_by_trace": w(_EV, "SELECT min(seq) OVER (PARTITION BY trace_id) AS first_seq, seq, trace_id FROM ev"),
+        "cluster_services": w(_SNAP, "SELECT node_id, source AS service FROM latest UNION SELECT node_id, target FROM latest"),
+        "sparkline_of_present": w(
+            _cycle(3600) + ", c AS (SELECT service || '/' || (hits % 3) AS service, cycle_s FROM cycle), p AS (SELECT service, cycle_s FROM c QUALIFY row_number() OVER (PARTITION BY service ORDER BY cycle_s DESC) <= 10)",
+            "SELECT service, cycle_s, row_number() OVER (PARTITION BY service ORDER BY cycle_s) AS point FROM p WHERE service IN (SELECT service FROM c GROUP BY 1 HAVING (SELECT max(cycle_s) FROM c) - max(cycle_s) < 21600)",
+        ),
+        "prom_gauges": w(_EV, "SELECT 'last_duration_ms' AS name, service, max_by(duration_ms, seq) AS value FROM ev GROUP BY service"),
+        "otlp_repeated_attributes": w(_EV, "SELECT service, span_id, 2 AS n_attrs, CAST(k AS VARCHAR) AS attr_k, kind AS attr_other FROM ev"),
+        "otlp_binary_round_trip": w(
+            _EV,
+            f"SELECT CASE WHEN k % 10 <> 0 THEN service ELSE 'unknown' END AS service, lpad(lower(to_hex(user_id)), 32, '0') AS trace_id, lpad(lower(to_hex(seq)), 16, '0') AS span_id, CASE WHEN k % 2 = 0 THEN lpad(lower(to_hex(k)), 16, '0') END AS parent_span_id, kind AS name, ts_us // 1000 AS ts_ms, {_r2('CAST(floor(duration_ms * 1000000 + 0.5) AS BIGINT) / 1000000', 3)} AS duration_ms, is_error, CAST(k AS VARCHAR) AS attr_k FROM ev",
+        ),
+        "pod_list": """SELECT '10.0.1.' || s_suppkey AS pod_ip, s_name AS name, 'ns-' || s_nationkey AS namespace, CASE WHEN s_suppkey % 3 = 0 THEN 'app-' || (s_suppkey % 2) END AS app,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'web-' || (s_suppkey % 5) WHEN s_suppkey % 4 = 1 THEN 'agent' WHEN s_suppkey % 3 = 0 THEN 'app-' || (s_suppkey % 2) WHEN s_suppkey % 3 = 1 THEN 'dns' END AS deployment FROM supplier WHERE s_suppkey % 7 <> 0""",
+        "scalar_texts": w(
+            _EV,
+            """SELECT seq, lower(hex(span_id)) AS decoded, (ts_us * 1000 + k) // 1000000 AS ms, CASE WHEN k % 2 = 0 THEN ts_us * 1000 + k ELSE ts_us // 1000 * 1000000 END AS ns,
+  CASE WHEN floor(duration_ms) < 1 THEN CAST(CAST(floor(floor(duration_ms) * 1000 + 0.5) AS BIGINT) AS VARCHAR) || ' μs' WHEN floor(duration_ms) < 1000 THEN printf('%.1f ms', floor(duration_ms)) ELSE printf('%.2f s', floor(duration_ms) / 1000) END AS latency,
+  CASE WHEN floor(duration_ms / 10) = 0 THEN 'green' WHEN floor(duration_ms / 10) < 5 THEN 'yellow' ELSE 'red' END AS error_band,
+  CASE WHEN (k % 10)::DOUBLE / 10 > 0.5 THEN 'green' WHEN (k % 10)::DOUBLE / 10 > 0.2 THEN 'yellow' ELSE 'red' END AS budget_band,
+  'http://localhost/' || kind || '?s=' || service || '+a%26b' AS runbook, status_code >= 400 AS is_error FROM ev""",
+        ),
         "golden_signals": w(_SIGNALS, "SELECT * FROM signal"),
         "golden_signals_percentiles": w(_SIGNALS, "SELECT * FROM signal2"),
         "signals_sorted_p99": w(_SIGNALS, "SELECT position, service, p99_ms FROM (SELECT *, row_number() OVER (ORDER BY p99_ms DESC, service) AS position FROM signal2) WHERE position <= 20"),

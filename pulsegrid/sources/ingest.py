@@ -104,6 +104,21 @@ def from_otlp_binary(requests: DataFrame, body: str = "body") -> DataFrame:
     return requests.select(F.col(body).cast("binary").alias("body")).mapInArrow(_otlp_binary, "service string, trace_id string, span_id string, parent_span_id string, name string, ts_ms long, duration_ms double, is_error boolean, attrs map<string,string>")
 
 
+def to_otlp_binary(spans: DataFrame) -> DataFrame:
+    """Spans (service, trace_id, span_id, parent_span_id, name, start_ns, end_ns, status, attr_*) as OTLP protobuf requests,
+    one for each span; ids are hex."""
+    ship_package(spans.sparkSession)
+    attrs = [c for c in spans.columns if c.startswith("attr_")]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            bodies = [wire.encode_trace_request(r["service"], [r | {"attrs": {a[5:]: r[a] for a in attrs if r[a] is not None}}]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["body"])
+
+    return spans.mapInArrow(encode, "body binary")
+
+
 def _binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [wire.decode_batch(b) for b in batch.column("body").to_pylist()]

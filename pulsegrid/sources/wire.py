@@ -75,16 +75,50 @@ def _fields(data: bytes):
 
 
 def _attributes(items: list[bytes]) -> dict[str, str]:
+    """Attributes as text; of several with one key the last counts."""
     out: dict[str, str] = {}
     for item in items:
         pair = {n: v for n, _, v in _fields(item)}
         for n, _, v in _fields(pair.get(2, b"")):
             text = v.decode() if n == 1 else str(bool(v)).lower() if n == 2 else str(v - (1 << 64) if v >> 63 else v) if n == 3 else str(struct.unpack("<d", v.to_bytes(8, "little"))[0]) if n == 4 else None
             if text is not None:
-                out.setdefault(pair.get(1, b"").decode(), text)
+                out[pair.get(1, b"").decode()] = text
     return out
 
 
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _field(number: int, value: bytes | int, fixed: bool = False) -> bytes:
+    """A field of a protobuf message: bytes with their length, or a number, of 8 bytes if fixed."""
+    if isinstance(value, bytes):
+        return _varint(number << 3 | 2) + _varint(len(value)) + value
+    return _varint(number << 3 | 1) + value.to_bytes(8, "little") if fixed else _varint(number << 3) + _varint(value)
+
+
+def _pair(key: str, value: str) -> bytes:
+    return _field(1, key.encode()) + _field(2, _field(1, value.encode()))
+
+
+def encode_trace_request(service: str | None, spans: list[dict]) -> bytes:
+    """An OTLP trace request of one service; spans as decode_trace_request gives them."""
+    out = b""
+    for s in spans:
+        own = _field(1, bytes.fromhex(s["trace_id"])) + _field(2, bytes.fromhex(s["span_id"]))
+        own += _field(4, bytes.fromhex(s["parent_span_id"])) if s.get("parent_span_id") else b""
+        own += _field(5, s["name"].encode()) + _field(7, s["start_ns"], True) + _field(8, s["end_ns"], True)
+        own += b"".join(_field(9, _pair(k, v)) for k, v in s["attrs"].items()) + _field(15, _field(3, s["status"]))
+        out += _field(2, own)
+    resource = _field(1, _field(1, _pair("service.name", service))) if service else b""
+    return _field(1, resource + _field(2, out))
+
+
 def decode_trace_request(data: bytes | None) -> list[dict]:
     """The spans of a request, with their resource's service name; a malformed request has none."""
     out: list[dict] = []
@@ -94,7 +128,7 @@ def decode_trace_request(data: bytes | None) -> list[dict]:
                 continue
             parts = list(_fields(resource_spans))
             resource = [v for k, _, r in parts if k == 1 for j, _, v in _fields(r) if j == 1]
-            service = _attributes(resource).get("service.name") or "unknown"
+            service = next((name for r in resource if (name := _attributes([r]).get("service.name"))), "unknown")
             for scope in (v for k, _, v in parts if k == 2):
                 for span in (v for k, _, v in _fields(scope) if k == 2):
                     fields = list(_fields(span))

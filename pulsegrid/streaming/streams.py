@@ -18,7 +18,7 @@ from pulsegrid.operators.rules import Rule, dropped
 from pulsegrid.operators.topology import EDGE_KEY, edge_rows
 
 WATERMARK = "10 minutes"
-#: Milliseconds without a row after which a key's state goes, and after which a node counts as stale.
+#: Milliseconds of the stream's time without a row after which a key's state goes, and after which a node counts as stale.
 IDLE_MS, STALE_MS = 86_400_000, 60_000
 
 
@@ -58,7 +58,12 @@ def distinct_spans(spans: DataFrame, late: str = WATERMARK) -> DataFrame:
     return spans.withWatermark("ts", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
 
 
-def live_edges(net: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def _keep(state: GroupState, at_ms: int, idle_ms: int) -> None:
+    """Let the state go once the watermark is idle_ms past the last row."""
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs()) + max(1, idle_ms))
+
+
+def live_edges(net: DataFrame, idle_ms: int = IDLE_MS, late: str = WATERMARK) -> DataFrame:
     """Edges folded from network events from the first connection on, with a state for each edge key, by the same keys and
     rows as topology.edges; an edge without an event for idle_ms is forgotten.
 
@@ -72,6 +77,7 @@ def live_edges(net: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
             return
         source, hits, latency, size, errors, again, seen = state.get if state.exists else (None, 0, 0, 0, 0, 0, 0)
         rows = pd.concat(list(parts)).sort_values("seq")
+        rows_end = int(rows["ts_us"].max()) // 1000
         if source is None:
             rows = rows[(rows["status"] == 1).cumsum() > 0]
             source = rows["name"].iloc[0] if len(rows) else None
@@ -83,15 +89,15 @@ def live_edges(net: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         again += int((by == 4).sum())
         seen = max([seen, *rows.loc[by == 1, "ts_us"].tolist()])
         state.update((source, hits, latency, size, errors, again, seen))
-        state.setTimeoutDuration(idle_ms)
+        _keep(state, rows_end, idle_ms)
         if source is not None:
             yield pd.DataFrame([[*k, source, hits, latency, size, errors, again, seen]], columns=[x.split()[0] for x in out.split(", ")])
 
-    rows = edge_rows(net).select(*EDGE_KEY, F.col("comm").alias("name"), "seq", "ts_us", "status", "latency_ns", "bytes")
-    return rows.groupBy(*EDGE_KEY).applyInPandasWithState(fold, out, "source string, hits long, latency long, size long, errors long, again long, seen long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = edge_rows(net).select(*EDGE_KEY, F.col("comm").alias("name"), "seq", "ts_us", "status", "latency_ns", "bytes", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", late)
+    return rows.groupBy(*EDGE_KEY).applyInPandasWithState(fold, out, "source string, hits long, latency long, size long, errors long, again long, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_alerts(signals: DataFrame, rule: AlertRule, idle_ms: int = IDLE_MS) -> DataFrame:
+def live_alerts(signals: DataFrame, rule: AlertRule, idle_ms: int = IDLE_MS, late: str = WATERMARK) -> DataFrame:
     """Transitions of one rule over a stream of (service, cycle_s, metric) rows, a cycle at most once for each service; a
     service without a row for idle_ms is forgotten and starts anew."""
     out = "service string, cycle_s long, status string"
@@ -102,21 +108,22 @@ def live_alerts(signals: DataFrame, rule: AlertRule, idle_ms: int = IDLE_MS) ->
             return
         breaches, clears, firing = state.get if state.exists else (0, 0, False)
         moved = []
-        for r in pd.concat(list(parts)).sort_values("cycle_s").itertuples(index=False):
+        rows = pd.concat(list(parts)).sort_values("cycle_s")
+        for r in rows.itertuples(index=False):
             breaches, clears = (breaches + 1, 0) if r.breached else (0, clears + 1)
             before = firing
             firing = True if breaches >= rule.fire_after else False if clears >= rule.clear_after else firing
             if firing != before:
                 moved.append([k[0], r.cycle_s, "firing" if firing else "ok"])
         state.update((breaches, clears, firing))
-        state.setTimeoutDuration(idle_ms)
+        _keep(state, int(rows["cycle_s"].max()) * 1000, idle_ms)
         yield pd.DataFrame(moved, columns=["service", "cycle_s", "status"])
 
-    rows = signals.select("service", "cycle_s", _breach(rule.op, F.col(rule.metric), rule.threshold).alias("breached"))
-    return rows.groupBy("service").applyInPandasWithState(walk, out, "breaches long, clears long, firing boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = signals.select("service", "cycle_s", _breach(rule.op, F.col(rule.metric), rule.threshold).alias("breached"), F.timestamp_seconds("cycle_s").alias("at")).withWatermark("at", late)
+    return rows.groupBy("service").applyInPandasWithState(walk, out, "breaches long, clears long, firing boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_limiter(requests: DataFrame, window_us: int = 60_000_000, limit: int = 1000) -> DataFrame:
+def live_limiter(requests: DataFrame, window_us: int = 60_000_000, limit: int = 1000, late: str = WATERMARK) -> DataFrame:
     """Requests (key, seq, ts_us) with allowed: a key's window starts at its first request after the last has passed. A key
     without a request for two windows is forgotten."""
     out = "key string, seq long, ts_us long, allowed boolean"
@@ -134,15 +141,16 @@ def live_limiter(requests: DataFrame, window_us: int = 60_000_000, limit: int =
             n += 1
             allowed.append(n <= limit)
         state.update((start, n))
-        state.setTimeoutDuration(max(1, 2 * window_us // 1000))
+        _keep(state, int(rows["ts_us"].max()) // 1000, 2 * window_us // 1000)
         yield rows.assign(allowed=allowed)[["key", "seq", "ts_us", "allowed"]]
 
-    return requests.select("key", "seq", "ts_us").groupBy("key").applyInPandasWithState(walk, out, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.select("key", "seq", "ts_us", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(walk, out, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_nodes(pushes: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
-    """The latest push of each node (node_id, pushed_at, edges), and a row with stale = true once it has sent none for
-    stale_ms."""
+def live_nodes(pushes: DataFrame, stale_ms: int = STALE_MS, late: str = WATERMARK) -> DataFrame:
+    """The latest push of each node (node_id, pushed_at in microseconds, edges), and a row with stale = true once the stream has
+    gone on for stale_ms without it."""
     out = "node_id string, pushed_at long, edges long, stale boolean"
 
     def follow(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -156,10 +164,11 @@ def live_nodes(pushes: DataFrame, stale_ms: int = STALE_MS) -> DataFrame:
             newest = part.loc[part["pushed_at"].idxmax()]
             last = max(last, (int(newest["pushed_at"]), int(newest["edges"])))
         state.update(last)
-        state.setTimeoutDuration(stale_ms)
+        _keep(state, last[0] // 1000, stale_ms)
         yield pd.DataFrame([[k[0], *last, False]], columns=["node_id", "pushed_at", "edges", "stale"])
 
-    return pushes.select("node_id", "pushed_at", "edges").groupBy("node_id").applyInPandasWithState(follow, out, "pushed_at long, edges long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = pushes.select("node_id", "pushed_at", "edges", F.timestamp_micros("pushed_at").alias("at")).withWatermark("at", late)
+    return rows.groupBy("node_id").applyInPandasWithState(follow, out, "pushed_at long, edges long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def archive(events: DataFrame, path: str, checkpoint: str, chunk: int = 1_000_000):
