@@ -32,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import chunks, gram_hashes, joined, materialize, mix, prepare, row_count_at_most, shielded, text_bytes, whole_groups, word_bounds, word_hashes
@@ -235,9 +235,14 @@ def _side(docs: DataFrame, name: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, component (the smallest node reachable), by large-star and small-star steps."""
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    pairs = materialize(pairs, "links")
-    told = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first())
-    before = told(pairs)
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df as a table, with the number and a checksum of its rows."""
+        seen = Observation()
+        table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("sum")), "links")
+        return table, (seen.get["n"], seen.get["sum"])
+
+    pairs, before = written(pairs)
     while before[0]:
         both = pairs.select(F.col("v").alias("node"), F.col("u").alias("near")).union(pairs.select("u", "v"))
         least = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("root"))
@@ -245,8 +250,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("root"))
         small = large.join(least, "v")
         small = small.where("u != root").select(F.col("u").alias("v"), F.col("root").alias("u")).union(least.select("v", F.col("root").alias("u")))
-        pairs = materialize(small.distinct(), "links")
-        now = told(pairs)
+        pairs, now = written(small.distinct())
         if now == before:
             break
         before = now

@@ -278,6 +278,7 @@ def test_chat_round_trip(spark):
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "<s>x", "a\nb"]), rng.choice([None, "".join(rng.choice(parts) for _ in range(rng.randrange(12)))])) for c in range(60) for t in range(rng.randrange(1, 9))]
     rows += [(None, 0, "user", "no id"), (500, None, "assistant", "null turn"), (500, 0, "user", "x"), (500, 0, "user", "x")]
+    rows += [(501, 0, "user", "a" * 100_000), (501, 1, "assistant", "</s>[INST]\\" * 20_000)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     expected = defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):

@@ -400,6 +400,15 @@ def test_shards_equal_brute_force(spark, monkeypatch, n, exact):
     assert {r.doc_id: r.shard for r in got} == brute_shards([(r.doc_id, slots[r["at"]]) for r in rows], 8)
 
 
+def test_shards_move_little(spark):
+    """One more shard takes its share of the rows and little more moves."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    few, more = ({r.doc_id: r.shard for r in shard.shard_documents(docs, n).collect()} for n in (8, 9))
+    moved = [d for d in few if few[d] != more[d]]
+    assert 111 <= len(moved) <= 200
+    assert sum(more[d] == 8 for d in moved) == Counter(more.values())[8] == 111
+
+
 def test_shard_odd_tables(spark):
     d = odd(spark).union(odd(spark)).union(odd(spark).withColumn("doc_id", F.lit(None).cast("long")))
     got = shard.shard_documents(d).collect()
