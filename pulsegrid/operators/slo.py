@@ -22,6 +22,9 @@ class Slo(NamedTuple):
 DEFAULT_SLOS = [Slo("API Latency", "*", 99.9, 672, "latency", 100.0, "ms"), Slo("Error Rate", "*", 99.95, 672, "error_rate", 1.0, "%")]
 BURN_ALERTS = [(1, 14.4, "critical-1h"), (6, 6.0, "warning-6h")]
 
+#: Objectives that are broadcast at most; more are joined by metric and service.
+BROADCAST_SLOS = 100_000
+
 
 def observations(events: DataFrame) -> DataFrame:
     """Each request as a latency and an error-rate observation (0 or 100)."""
@@ -31,8 +34,12 @@ def observations(events: DataFrame) -> DataFrame:
 
 def measured(observed: DataFrame, slos: DataFrame) -> DataFrame:
     """Observations with each objective that applies to them (its service or ``*``, its metric), good or bad."""
-    s = F.broadcast(slos.select("name", F.col("service").alias("wanted"), "target_pct", F.col("metric").alias("of"), "threshold"))
-    met = observed.join(s, (F.col("metric") == F.col("of")) & ((F.col("wanted") == "*") | (F.col("wanted") == F.col("service"))))
+    s = slos.select("name", F.col("service").alias("wanted"), "target_pct", F.col("metric").alias("of"), "threshold")
+    if s.limit(BROADCAST_SLOS + 1).count() <= BROADCAST_SLOS:
+        met = observed.join(F.broadcast(s), (F.col("metric") == F.col("of")) & ((F.col("wanted") == "*") | (F.col("wanted") == F.col("service"))))
+    else:
+        wants = observed.withColumn("wants", F.explode(F.array_distinct(F.array("service", F.lit("*")))))
+        met = wants.join(s, (F.col("metric") == F.col("of")) & (F.col("wants") == F.col("wanted"))).drop("wants")
     return met.withColumn("bad", F.col("value") > F.col("threshold"))
 
 

@@ -269,3 +269,43 @@ def test_scalars(spark):
     assert one(S.base64_hex(F.lit("AQID"))) == "010203"
     assert one(S.span_is_error(F.lit(5), F.lit(404))) is True
     assert one(S.latency_text(F.lit(0.5))) == "500 μs"
+
+
+def test_many_objectives(spark, sf, monkeypatch):
+    """Objectives that are too many to broadcast give the same."""
+    from pulsegrid.plans import catalog
+    from pulsegrid.sources import tables
+
+    observed = slo.observations(tables.events(spark, sf))
+    few = slo.measured(observed, catalog._slos(spark))
+    monkeypatch.setattr(slo, "BROADCAST_SLOS", 0)
+    many = slo.measured(observed, catalog._slos(spark))
+    assert few.columns == many.columns and few.exceptAll(many).count() == many.exceptAll(few).count() == 0
+
+
+def test_patterns_and_repeated_keys(spark):
+    """No pattern fails a query, and of several keys the last counts."""
+    rows = spark.createDataFrame([("svc(1", "svc(*"), ("svc-2", "svc-[0-3]"), ("a[b", "a[b"), ("A.b", "a?b"), ("x", "y")], "s string, p string")
+    assert [r.m for r in rows.select(S.glob_matches(F.col("s"), F.col("p")).alias("m")).collect()] == [True, True, True, True, False]
+    assert S.checked_pattern("svc(*") == "svc(*"
+    with pytest.raises(ValueError, match="not a pattern"):
+        S.checked_pattern("[z-a]")
+    assert rows.limit(1).select(S.parse_headers(F.lit("a=1,b=x+y,a=2,=z")).alias("m")).first().m == {"a": "2", "b": "x y"}
+
+
+def test_quantiles_and_totals_over_ranges(spark):
+    """Running totals and quantiles of groups that lie in several ranges."""
+    from pulsegrid.operators import ranks
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 613).cast("double").alias("v"))
+    got = {r.g: r for r in ranks.exact_quantiles(rows, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    near = {r.g: r for r in ranks.exact_quantiles(rows, ["g"], "v", {"m": 0.5, "p99": 0.99}, nearest=True).collect()}
+    for g in range(2):
+        own = sorted(float(i * 7919 % 613) for i in range(3000) if i % 2 == g)
+        assert got[g].p50 == pytest.approx(np.quantile(own, 0.5)) and got[g].p95 == pytest.approx(np.quantile(own, 0.95))
+        assert near[g].m == own[len(own) // 2] and near[g].p99 == own[len(own) * 99 // 100]
+    totals = ranks.running_totals(rows.distinct(), ["g"], ["v"], F.col("v")).orderBy("g", "v").collect()
+    before = {}
+    for r in totals:
+        assert r.before == before.get(r.g, 0)
+        before[r.g] = r.before + r.v
