@@ -1,11 +1,12 @@
 """Repeated passages by sparse suffix arrays.
 
-A passage repeats if ``LEAST_WORDS`` consecutive words (split at blanks, A-Z like a-z) occur at two places in the corpus.
+A passage repeats if ``LEAST_WORDS`` consecutive words (split at blanks, A-Z like a-z) occur in two documents; what only
+repeats inside one document is left alone.
 Of all suffixes only those at minimisers are retained: in each run of that many words, the place of the least hash of
 ``GRAM_WORDS`` words. Equal runs select equal places, so two equal runs always meet in one retained suffix.
 
 1. Texts with equal word sequences form a class; its smallest doc_id goes on, the others repeat as a whole.
-2. Retained suffixes whose first words occur once are dropped after counting hashes.
+2. Retained suffixes whose first words occur in one document only are dropped after counting hashes.
 3. The rest are written with the words of their runs, to the right and, backwards, to the left, and sorted by content.
    Neighbours in suffix order are compared word by word, which gives the longest match to the right of each suffix and the
    stretches of suffixes that agree on so many words. Matches are then extended to the left: the words before the suffixes
@@ -119,7 +120,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_SUFFIX = {"first": pa.int64(), "place": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "start": pa.int32(), "runs": pa.int32(), "right": pa.binary(), "left": pa.binary(), "hot": pa.bool_()}
+_SUFFIX = {"first": pa.int64(), "place": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "start": pa.int32(), "runs": pa.int32(), "right": pa.binary(), "left": pa.binary(), "many": pa.bool_(), "hot": pa.bool_()}
 
 
 def _slices(words: np.ndarray, start: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
@@ -136,7 +137,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
     for batch in batches:
         keys, wanted, hot = batch.column("place").to_pylist(), batch.column("wanted"), batch.column("hot")
-        digests = batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
+        digests, many = (batch.column("d1").to_pylist(), batch.column("d2").to_pylist()), batch.column("many").to_pylist()
         for row, words in _texts(batch):
             d1, d2 = digests[0][row], digests[1][row]
             if _digest(words) != (d1, d2):
@@ -148,7 +149,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, place, low, high = first[chosen], place[chosen], low[chosen], high[chosen]
             heated = np.isin(first, hot[row].values.to_numpy()) if hot[row].is_valid and len(hot[row]) else np.zeros(len(first), bool)
             same = [np.full(len(first), x, np.int64) for x in (keys[row], d1, d2)]
-            columns = [first, *same, low.astype(np.int32), (high - low + 1).astype(np.int32), _slices(words, place, high + LEAST_WORDS - place, 1), _slices(words, place - 1, place - low, -1), heated]
+            columns = [first, *same, low.astype(np.int32), (high - low + 1).astype(np.int32), _slices(words, place, high + LEAST_WORDS - place, 1), _slices(words, place - 1, place - low, -1), np.full(len(first), many[row]), heated]
             parts.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=pa.schema(_SUFFIX)))
             held += parts[-1].nbytes
             if held > WRITE_BYTES:
@@ -179,10 +180,11 @@ def _agreement(words: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(first: np.ndarray, right: tuple, left: tuple, runs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _judge(first: np.ndarray, right: tuple, left: tuple, runs: np.ndarray, rank: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix two bit sets over its runs: repeated, and repeated but not the first.
 
-    The suffixes are in suffix order. rank orders their places in the corpus.
+    The suffixes are in suffix order. rank orders their places in the corpus; doc numbers their documents, many tells which
+    of these stand for several equal ones.
     """
     n = len(first)
     repeated, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -209,7 +211,11 @@ def _judge(first: np.ndarray, right: tuple, left: tuple, runs: np.ndarray, rank:
         order = np.argsort(key, kind="stable")
         key, own = key[order], own[order]
         as_before = np.concatenate([[False], key[1:] == key[:-1]])
-        as_after = np.append(as_before[1:], False)
+        heads = np.flatnonzero(~as_before)
+        another = many[own] | (as_before & np.concatenate([[False], doc[own][1:] != doc[own][:-1]]))
+        across = np.repeat(np.logical_or.reduceat(another, heads), np.diff(np.append(heads, len(own))))
+        as_after = np.append(as_before[1:], False) & across
+        as_before &= across
         flag = np.int64(1) << (size[own] - p)
         repeated[own] |= np.where(as_before | as_after, flag, 0)
         later[own] |= np.where(as_before, flag, 0)
@@ -221,9 +227,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["first"], SORT_ROWS):
         first, place, d1, d2, start, runs = (table.column(c).to_numpy() for c in ("first", "place", "d1", "d2", "start", "runs"))
         left = _matrix(table.column("left"), REACH - 1)
-        rank = np.empty(len(first), np.int64)
-        rank[np.lexsort((start + left[1], d2, d1, place))] = np.arange(len(first))
-        repeated, later = _judge(first, _matrix(table.column("right"), LEAST_WORDS), left, runs, rank)
+        order = np.lexsort((start + left[1], d2, d1, place))
+        rank, doc = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        rank[order] = np.arange(len(first))
+        doc[order] = np.cumsum(np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (place, d1, d2)], axis=0)]))
+        many = table.column("many").to_numpy()
+        repeated, later = _judge(first, _matrix(table.column("right"), LEAST_WORDS), left, runs, rank, doc, many)
         keep = pa.array(np.flatnonzero(repeated))
         taken = table.select(["place", "d1", "d2", "start"]).append_column("repeated", pa.array(repeated)).append_column("later", pa.array(later)).take(keep)
         yield from taken.combine_chunks().to_batches()
@@ -246,17 +255,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(2):
                     both[k] = mix(both[k] * np.uint64(_UP) + word + np.uint64(k))
             start = table.column("start").to_numpy()[row] + offset
-            kept = table.select(["place", "d1", "d2"]).take(pa.array(row)).combine_chunks()
-            columns = [kept.column(c).combine_chunks() for c in ("place", "d1", "d2")]
+            kept = table.select(["place", "d1", "d2", "many"]).take(pa.array(row)).combine_chunks()
+            columns = [kept.column(c).combine_chunks() for c in ("place", "d1", "d2", "many")]
             columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(start.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in both)], names=["place", "d1", "d2", "start", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(start.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in both)], names=["place", "d1", "d2", "many", "start", "c1", "c2"])
 
 
 def _hot_judged(suffixes: DataFrame) -> DataFrame:
     """Hot suffixes judged by aggregation: each repeated run as a suffix of its own."""
-    runs = suffixes.select("place", "d1", "d2", "start", "runs", "right", "left").mapInArrow(_runs, "place long, d1 long, d2 long, start int, c1 long, c2 long")
-    here = F.struct("place", "d1", "d2", "start")
-    known = runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("head")).where("n > 1").drop("n")
+    runs = suffixes.select("place", "d1", "d2", "start", "runs", "right", "left", "many").mapInArrow(_runs, "place long, d1 long, d2 long, many boolean, start int, c1 long, c2 long")
+    here, doc = F.struct("place", "d1", "d2", "start"), F.struct("place", "d1", "d2")
+    known = runs.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("head"), (F.max("many") | (F.min(doc) != F.max(doc))).alias("across"))
+    known = known.where("n > 1 and across").select("c1", "c2", "head")
     known = materialize(known, "hot")
     met = runs.join(F.broadcast(known) if row_count_at_most(known, BROADCAST_IDS // 10) else known, ["c1", "c2"])
     return met.select("place", "d1", "d2", "start", F.lit(1).cast("long").alias("repeated"), (here != F.col("head")).cast("long").alias("later"))
@@ -298,17 +308,19 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     place = F.coalesce("doc_id", F.lit(_LAST))
     long = seen.where(F.col("n_words") >= LEAST_WORDS).withColumn("place", place)
     classes = long.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.count_distinct("place").alias("copies"), F.max("n_words").alias("size"))
-    heads = long.join(classes.select("d1", "d2", "place"), ["d1", "d2", "place"]).dropDuplicates(["d1", "d2"])
-    firsts = heads.select("place", "d1", "d2", F.explode("firsts").alias("first"))
-    common = materialize(firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    heads = long.join(classes.select("d1", "d2", "place", (F.col("copies") > 1).alias("many")), ["d1", "d2", "place"]).dropDuplicates(["d1", "d2"])
+    firsts = heads.select("place", "d1", "d2", "many", F.explode("firsts").alias("first"))
+    doc = F.struct("place", "d1", "d2")
+    common = firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n"), (F.max("many") | (F.min(doc) != F.max(doc))).alias("across"))
+    common = materialize(common.where("n > 1 and across").select("first", "n"), "common")
     heated = F.when(F.col("n") > HOT_SUFFIXES, F.col("first"))
     few = row_count_at_most(common, BROADCAST_IDS // 10)
-    wanted = firsts.join(F.broadcast(common) if few else common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"), F.collect_set(heated).alias("hot"))
+    wanted = firsts.join(F.broadcast(common) if few else common, "first").groupBy("place", "d1", "d2").agg(F.collect_set("first").alias("wanted"), F.collect_set(heated).alias("hot"), F.max("many").alias("many"))
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("place").distinct()
     few = row_count_at_most(ids, BROADCAST_IDS)
     texts = source.select(place.alias("place"), "text").join(F.broadcast(ids) if few else ids, "place", "left_semi").join(wanted, "place")
-    suffixes = texts.mapInArrow(_suffixes, "first long, place long, d1 long, d2 long, start int, runs int, right binary, left binary, hot boolean")
+    suffixes = texts.mapInArrow(_suffixes, "first long, place long, d1 long, d2 long, start int, runs int, right binary, left binary, many boolean, hot boolean")
     any_hot = wanted.where(F.size("hot") > 0).limit(1).count() > 0
     if any_hot:
         suffixes = materialize(suffixes, "suffixes")

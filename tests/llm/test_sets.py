@@ -162,7 +162,7 @@ def brute_repeats(texts, least=51):
             places[tuple(w[k : k + least])].append((i, k))
     rep, later, first = ([set() for _ in texts] for _ in range(3))
     for found in places.values():
-        if len(found) > 1:
+        if len({i for i, _ in found}) > 1:
             for i, k in found:
                 span = range(k, k + least)
                 rep[i].update(span)
@@ -377,7 +377,7 @@ def brute_cut(texts):
     for i, w in enumerate(words):
         for k in range(len(w) - 50):
             found = places[tuple(w[k : k + 51])]
-            if len(found) > 1:
+            if len({j for j, _ in found}) > 1:
                 (first if (i, k) == min(found) else later)[i].update(range(k, k + 51))
     out = []
     for i, t in enumerate(texts):
