@@ -121,7 +121,7 @@ def library():
 PIECES = ["a", "th", "ing", "é", "漢", " ", "  ", "\n", "'s", "'ll", "1", "²", "$", "<|endoftext|>", "🙂", "\x00", "\u3000", "===", "ab" * 400, "the" * 200]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=25))
 def test_bpe_equals_library(codec, library, parts):
     text = "".join(parts)
@@ -130,7 +130,7 @@ def test_bpe_equals_library(codec, library, parts):
     assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(PIECES), st.text(alphabet="abetinghro' ", min_size=50, max_size=900)), max_size=12), st.integers(1, 700))
 def test_stream_equals_library(codec, library, parts, step):
     """A text that comes in blocks, cut anywhere: words, contractions, blanks and added tokens across blocks."""
