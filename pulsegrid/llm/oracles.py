@@ -79,5 +79,45 @@ FROM told GROUP BY conv_id
 """
 
 
+def _op11(rounds: int = 6) -> str:
+    """Each round's distances, nearest entries and means, one after the other."""
+    near = """near{i} AS MATERIALIZED (
+  SELECT r, p, k, d FROM (
+    SELECT r, p, k, d, row_number() OVER (PARTITION BY r, p ORDER BY d, k) AS place FROM (
+      SELECT r, p, k, CAST(sum((cell.x - book{i}.x) * (cell.x - book{i}.x)) AS BIGINT) AS d FROM cell JOIN book{i} USING (p, i) GROUP BY r, p, k))
+  WHERE place = 1)"""
+    book = """book{j} AS MATERIALIZED (
+  SELECT p, k, i, coalesce(CAST(floor(mean.s / mean.n) AS BIGINT), x) AS x FROM book{i} LEFT JOIN (
+    SELECT p, k, i, CAST(sum(x) AS DOUBLE) AS s, count(*) AS n FROM near{i} JOIN cell USING (r, p) GROUP BY p, k, i) AS mean USING (p, k, i))"""
+    steps = ["""WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS r, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+cell AS MATERIALIZED (
+  SELECT r, i * 8 // len(v) AS p, i, v[i + 1] AS x FROM (SELECT r, v, unnest(range(len(v))) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT p, r AS k, i, x FROM cell WHERE r < 16)"""]
+    for i in range(rounds):
+        steps += [near.format(i=i), book.format(i=i, j=i + 1)]
+    steps.append(near.format(i=rounds))
+    return ",\n".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  sha256((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, i) FROM book{rounds})) AS codebooks_sha256
+FROM kept JOIN (SELECT r, string_agg(printf('%02x', CAST(k AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r) USING (r)
+"""
+
+
+OP12 = r"""
+WITH RECURSIVE vec AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN link ON a = other)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_url_filter": OP2, "op5_neardup": OP5, "op10_chat_format": OP10}
+    return {"op1_decontaminate": OP1, "op2_url_filter": OP2, "op5_neardup": OP5, "op10_chat_format": OP10, "op11_vector_codes": _op11()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, langid, license, neardup, repeats, shard, url_filter
+from . import bpe, chat, decontaminate, fingerprint, langid, license, neardup, repeats, shard, url_filter, vector_codes
 from ._common import read_table
 
 
@@ -72,6 +72,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -84,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprint": op8_fingerprint,
         "op9_repeats": op9_repeats,
         "op10_chat_format": op10_chat_format,
+        "op11_vector_codes": op11_vector_codes,
     }
