@@ -120,4 +120,4 @@ FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) LEFT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_url_filter": OP2, "op5_neardup": OP5, "op10_chat_format": OP10, "op11_vector_codes": _op11()}
+    return {"op1_decontaminate": OP1, "op2_url_filter": OP2, "op5_neardup": OP5, "op10_chat_format": OP10, "op11_vector_codes": _op11(), "op12_vector_dups": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, langid, license, neardup, periods, repeats, shard, url_filter, vector_codes
+from . import bpe, chat, decontaminate, fingerprint, langid, license, neardup, periods, repeats, shard, url_filter, vector_codes, vector_dups
 from ._common import read_table
 
 
@@ -76,6 +76,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_report(read_table(spark, sf_dir, "documents"))
 
@@ -93,5 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeats": op9_repeats,
         "op10_chat_format": op10_chat_format,
         "op11_vector_codes": op11_vector_codes,
+        "op12_vector_dups": op12_vector_dups,
         "op13_periodic_runs": op13_periodic_runs,
     }

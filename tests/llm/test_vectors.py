@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import periods, queries, vector_codes
+from pulsegrid.llm import periods, vector_codes, vector_dups
 from tests.llm.test_texts import documents, odd
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -179,3 +179,91 @@ def test_long_periodic_text():
     """A million equal words cost no more than n log n."""
     n = 1_000_000
     assert periods.runs_of(np.zeros(n, np.int64), np.array([0, n])) == [[(0, n, 1)]]
+
+
+def brute_links(rows, threshold=0.95):
+    """n_links and component_id of each row, in their order."""
+    good = [i for i, (_, v, _) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, up = [0] * len(rows), list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, i in enumerate(good):
+        a = np.array(rows[i][1], np.float32).astype(float)
+        for j in good[:n]:
+            b = np.array(rows[j][1], np.float32).astype(float)
+            if len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                up[root(i)] = root(j)
+    least = {}
+    for i, (key, _, _) in enumerate(rows):
+        if key is not None:
+            least[root(i)] = min(key, least.get(root(i), key))
+    return sorted((key is None, key or 0, links[i], least.get(root(i)), key is not None and key == least.get(root(i))) for i, (key, _, _) in enumerate(rows))
+
+
+def deduped(df):
+    return sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vector_dups.near_duplicates(df).collect())
+
+
+def near(rng, base, cosine):
+    """A vector at this cosine to base."""
+    other = rng.standard_normal(len(base))
+    other -= other @ base / (base @ base) * base
+    other *= np.linalg.norm(base) / np.linalg.norm(other)
+    return cosine * base + np.sqrt(1 - cosine**2) * other
+
+
+@pytest.mark.parametrize("work", [600, 1])
+def test_vector_links_equal_brute_force(spark, monkeypatch, work):
+    """Copies, chains, families and single vectors; with little work a table, in cells and parts of them."""
+    monkeypatch.setattr(vector_dups, "DEAL_WORK", work)
+    monkeypatch.setattr(vector_dups, "PART_ROWS", 16)
+    rng = np.random.default_rng(work)
+    own = [rng.standard_normal(24) for _ in range(60)]
+    for _ in range(3):
+        base = rng.standard_normal(24)
+        own += [near(rng, base, c) for c in rng.uniform(0.93, 0.999, 20)] + [base, base, base * 2, -base]
+    chain = [rng.standard_normal(24)]
+    for _ in range(8):
+        chain.append(near(rng, chain[-1], 0.96))
+    own += chain
+    keys = rng.permutation(len(own)).tolist()
+    rows = [(k, [float(np.float32(x)) for x in v], 1) for k, v in zip(keys, own, strict=True)]
+    rows += [(700, None, 1), (701, [0.0] * 24, 1), (702, [0.0] * 24, 1), (703, [float("nan")] * 24, 1), (704, [None] * 24, 1), (705, [], 1), (706, [float("inf")] * 24, 2), (707, [1.0] * 5, 1), (708, [1.0] * 6, 1), (709, [2.0] * 6, None)]
+    rows += [(None, rows[0][1], 1), (None, [9.0, 1.0, 0.0], 1), (800, rows[70][1], 3), (800, rows[70][1], 3), (801, [3e38] * 6, 1), (802, [1e-38] * 6, 1)]
+    df = vectors(spark, rows).withColumns({"n_links": F.lit("clash"), "kept": F.lit(1), "id": F.lit("x"), "d1": F.lit(0)})
+    assert deduped(df) == brute_links(rows)
+
+
+def test_vector_links_odd_tables(spark):
+    assert deduped(vectors(spark, [])) == []
+    assert deduped(vectors(spark, [(1, None, 1), (None, [0.0], 1)])) == [(False, 1, 0, 1, True), (True, 0, 0, None, False)]
+    with pytest.raises(ValueError, match="threshold"):
+        vector_dups.near_duplicates(vectors(spark, []), 0.0)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.0])
+def test_recall_at_the_threshold(spark, shift):
+    """Pairs just above the threshold are found by the cuts for a million vectors, also where all vectors lean to one side."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1500):
+        base = rng.standard_normal(64) + shift
+        rows += [(2 * i, base, 1), (2 * i + 1, near(rng, base, 0.9501), 1)]
+    table = vectors(spark, [(k, [float(x) for x in v], n) for k, v, n in rows])
+    plan = vector_dups.planned([list(v) for _, v, _ in rows], 1_000_000)
+    assert plan.cuts.shape[1] > 5
+    classes = table.selectExpr("vec_id AS id", "1L AS n", "embedding AS vector")
+    found = {r.id for r in vector_dups.linked_classes(classes, plan).where("links > 0").collect()}
+    assert len(found) >= 0.998 * len(rows)
+
+
+def test_deduplicated_vectors(spark):
+    rows = [(3, [1.0, 0.0], 1), (1, [1.0, 0.01], 2), (2, [0.0, 1.0], 3), (None, [1.0, 0.0], 4), (9, None, 5)]
+    left = vector_dups.deduplicated(vectors(spark, rows).withColumn("kept", F.col("label")))
+    assert left.columns == ["vec_id", "embedding", "label", "kept"] and sorted(r.kept for r in left.collect()) == [2, 3, 4, 5]
