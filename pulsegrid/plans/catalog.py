@@ -506,7 +506,35 @@ def burn_alerts(spark, d):
 
 @query
 def slo_hours(spark, d):
-    return slo.hourly_counts(slo.observations(tables.events(spark, d)), _slos(spark), BASE_US // 1_000_000)
+    return slo.hourly_counts(slo.observations(tables.events(spark, d)), _slos(spark), BASE_US // 1_000_000).select("name", "hour", "n", "previous")
+
+
+def _shared_slos(spark):
+    """Objectives of one name for several services, metrics and targets."""
+    of = [("svc-0", 90.0, "latency", 1.0), ("svc-1", 99.0, "latency", 10_000.0), ("svc-2", 90.0, "latency", 100.0), ("*", 95.0, "latency", 50.0), ("svc-1", 95.0, "error_rate", 1.0), ("*", 99.0, "error_rate", 1.0)]
+    return spark.createDataFrame([slo.Slo("api", s, t, 672, m, limit, "") for s, t, m, limit in of])
+
+
+@query
+def slo_status_shared(spark, d):
+    s = slo.status(slo.observations(tables.events(spark, d)), _shared_slos(spark))
+    return s.withColumn("remaining", S.half_up(F.col("remaining"), 6))
+
+
+@query
+def slo_burn_shared(spark, d):
+    b = slo.burn(slo.observations(tables.events(spark, d)), _shared_slos(spark), 6)
+    return b.withColumn("burn_rate", S.half_up(F.col("burn_rate"), 4))
+
+
+@query
+def burn_alerts_shared(spark, d):
+    return slo.burn_alerts(slo.observations(tables.events(spark, d)), _shared_slos(spark)).drop("burn_rate")
+
+
+@query
+def slo_hours_shared(spark, d):
+    return slo.hourly_counts(slo.observations(tables.events(spark, d)), _shared_slos(spark), BASE_US // 1_000_000)
 
 
 # windows and measures

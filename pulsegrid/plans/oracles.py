@@ -112,6 +112,22 @@ met AS (SELECT obs.*, goal.name, goal.target_pct, value > threshold AS bad FROM
 )
 
 
+_SLO_SHARED = (
+    _EV
+    + """, obs AS (
+  SELECT seq, ts_us, service, 'latency' AS metric, duration_ms AS value FROM ev
+  UNION ALL SELECT seq, ts_us, service, 'error_rate', CASE WHEN is_error THEN 100.0 ELSE 0.0 END FROM ev),
+goal(slo_service, target_pct, metric, threshold) AS (VALUES ('svc-0', 90.0::DOUBLE, 'latency', 1.0), ('svc-1', 99.0, 'latency', 10000.0), ('svc-2', 90.0, 'latency', 100.0), ('*', 95.0, 'latency', 50.0), ('svc-1', 95.0, 'error_rate', 1.0), ('*', 99.0, 'error_rate', 1.0)),
+met AS (SELECT obs.*, slo_service, 'api' AS name, target_pct, value > threshold AS bad FROM obs JOIN goal ON obs.metric = goal.metric AND (slo_service = '*' OR slo_service = service))"""
+)
+
+
+def _burn_shared(hours: int) -> str:
+    return f"""SELECT slo_service, metric, name, target_pct, bucket_s, CAST(sum(n) OVER w AS BIGINT) AS total, CAST(sum(b) OVER w AS BIGINT) AS bad
+  FROM (SELECT slo_service, metric, name, target_pct, (ts_us // 1000000) // 60 * 60 AS bucket_s, count(*) AS n, count(*) FILTER (bad) AS b FROM met GROUP BY ALL)
+  WINDOW w AS (PARTITION BY slo_service, metric, name ORDER BY bucket_s RANGE BETWEEN {hours * 3600} PRECEDING AND CURRENT ROW)"""
+
+
 def _burn(hours: int) -> str:
     return f"""SELECT name, target_pct, bucket_s, CAST(sum(n) OVER w AS BIGINT) AS total, CAST(sum(b) OVER w AS BIGINT) AS bad
   FROM (SELECT name, target_pct, (ts_us // 1000000) // 60 * 60 AS bucket_s, count(*) AS n, count(*) FILTER (bad) AS b FROM met GROUP BY ALL)
@@ -279,6 +295,19 @@ shown AS (SELECT *, CASE WHEN y = floor(y) THEN CAST(CAST(y AS BIGINT) AS VARCHA
         "slo_burn": w(_SLO, f"SELECT name, bucket_s, total, bad, {_r2(_RATE, 4)} AS burn_rate FROM ({_burn(6)})"),
         "burn_alerts": w(_SLO, f"SELECT name, bucket_s, 'critical-1h' AS alert, bad, total FROM ({_burn(1)}) WHERE {_RATE} >= 14.4 UNION ALL SELECT name, bucket_s, 'warning-6h', bad, total FROM ({_burn(6)}) WHERE {_RATE} >= 6.0"),
         "slo_hours": w(_SLO + f", h AS (SELECT name, CAST(floor((ts_us // 1000000 - {BASE_US // 1_000_000}) / 3600) AS BIGINT) AS hour, count(*) AS n FROM met GROUP BY ALL)", "SELECT a.name, a.hour, a.n, coalesce(b.n, 0) AS previous FROM h a LEFT JOIN h b ON a.name = b.name AND a.hour = b.hour + 1"),
+        "slo_status_shared": w(
+            _SLO_SHARED,
+            f"SELECT slo_service, metric, name, target_pct, total, bad, budget, {_r2('CASE WHEN budget > 0 THEN greatest(0.0, (budget - bad)::DOUBLE / budget) ELSE 1.0 END', 6)} AS remaining FROM (SELECT *, CAST(greatest(0, floor(total * (100 - target_pct) / 100 + 0.5)) AS BIGINT) AS budget FROM (SELECT slo_service, metric, name, target_pct, count(*) AS total, count(*) FILTER (bad) AS bad FROM met GROUP BY ALL))",
+        ),
+        "slo_burn_shared": w(_SLO_SHARED, f"SELECT slo_service, metric, name, target_pct, bucket_s, total, bad, {_r2(_RATE, 4)} AS burn_rate FROM ({_burn_shared(6)})"),
+        "burn_alerts_shared": w(
+            _SLO_SHARED,
+            f"SELECT slo_service, metric, name, bucket_s, 'critical-1h' AS alert, bad, total FROM ({_burn_shared(1)}) WHERE {_RATE} >= 14.4 UNION ALL SELECT slo_service, metric, name, bucket_s, 'warning-6h', bad, total FROM ({_burn_shared(6)}) WHERE {_RATE} >= 6.0",
+        ),
+        "slo_hours_shared": w(
+            _SLO_SHARED + f", h AS (SELECT slo_service, metric, name, CAST(floor((ts_us // 1000000 - {BASE_US // 1_000_000}) / 3600) AS BIGINT) AS hour, count(*) AS n FROM met GROUP BY ALL)",
+            "SELECT a.*, coalesce(b.n, 0) AS previous FROM h a LEFT JOIN h b ON a.slo_service = b.slo_service AND a.metric = b.metric AND a.name = b.name AND a.hour = b.hour + 1",
+        ),
         "red_windows": w(
             _EV,
             "SELECT (ts_us // 1000000) // 86400 * 86400 AS window_start_s, service, kind AS endpoint, count(*) AS requests, count(*) FILTER (is_error) AS errors, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, "

@@ -171,6 +171,18 @@ def test_alert_states(spark, flags, n, m):
     assert [r.status for r in alerts.states(e).orderBy("cycle_s").collect()] == machine(flags, n, m)
 
 
+def test_objectives_that_share_a_name(spark):
+    """Service, metric and name tell objectives apart, in status, burn, alerts and hours."""
+    rows = [(60_000_000 * i, s, "latency", v) for i in range(30) for s, v in (("svc-0", 1.0), ("svc-1", 500.0))]
+    observed = spark.createDataFrame(rows, "ts_us long, service string, metric string, value double")
+    goals = spark.createDataFrame([slo.Slo("latency", "svc-0", 90.0, 672, "latency", 100.0, "ms"), slo.Slo("latency", "svc-1", 99.0, 672, "latency", 100.0, "ms")])
+    assert {(r.slo_service, r.total, r.bad) for r in slo.status(observed, goals).collect()} == {("svc-0", 30, 0), ("svc-1", 30, 30)}
+    last = slo.burn(observed, goals, 1).where("bucket_s = 1740").collect()
+    assert {(r.slo_service, r.total, r.bad) for r in last} == {("svc-0", 30, 0), ("svc-1", 30, 30)}
+    assert {r.slo_service for r in slo.burn_alerts(observed, goals).collect()} == {"svc-1"}
+    assert {(r.slo_service, r.n) for r in slo.hourly_counts(observed, goals, 0).collect()} == {("svc-0", 30), ("svc-1", 30)}
+
+
 def test_slo(spark):
     budget = lambda t, n: spark.range(1).select(slo.error_budget(F.lit(n), F.lit(t))).first()[0]
     assert (budget(99.9, 1_000_000), budget(99.0, 10_000), budget(100.0, 5)) == (1000, 100, 0)
