@@ -1,6 +1,7 @@
 """Operators on small fixtures with values worked out by hand."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -101,6 +102,52 @@ def test_tree(spark):
     assert min(r.width_pct for r in traces.waterfall(tree).collect()) >= 0.5
 
 
+def brute_tree(rows):
+    """(trace, span, depth, position) by recursion over (trace, span, parent, seq, ts, duration), ids once each."""
+    out = []
+    for trace in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == trace), key=lambda r: (r[4], r[3]))
+        ids, below, n = {r[1] for r in own}, {}, 0
+        for r in own:
+            below.setdefault(r[2] if r[2] in ids else None, []).append(r[1])
+        stack = [(s, 0) for s in reversed(below.get(None, []))]
+        while stack:
+            span, depth = stack.pop()
+            n += 1
+            out.append((trace, span, depth, n))
+            stack += [(c, depth + 1) for c in reversed(below.get(span, []))]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("largest", [50_000, 30, 0])
+def test_tours_equal_recursion(spark, monkeypatch, largest):
+    """Placed whole or by joins: forests, orphans, cycles with trees on them, equal times, a chain."""
+    monkeypatch.setattr(traces, "LARGE_TRACE", largest)
+    monkeypatch.setattr(traces, "STEP_ROWS", 40)
+    rng = random.Random(7)
+    rows = []
+    for t in range(6):
+        n = rng.randrange(1, 80)
+        for i in range(n):
+            up = rng.choice([None, "gone", *[f"s{rng.randrange(n)}"] * 8]) if t < 4 else (f"s{i - 1}" if i else None)
+            rows.append((f"t{t}", f"s{i}", up, len(rows), rng.randrange(5), 1.0))
+    rng.shuffle(rows)
+    tree = traces.trace_tree(spark.createDataFrame(rows, SPAN))
+    assert sorted((r.trace_id, r.span_id, r.depth, r.position) for r in tree.collect()) == brute_tree(rows)
+
+
+def test_a_deep_chain(spark):
+    """A chain of 100,000 spans: fixed-width state, log2 rounds."""
+    n = 100_000
+    spans = spark.range(n).selectExpr("'t' AS trace_id", "concat('s', id) AS span_id", "CASE WHEN id > 0 THEN concat('s', id - 1) END AS parent_span_id", "id AS seq", "id AS ts_us", "1D AS duration_ms")
+    found = traces.trace_tree(spans).agg(F.count_if(F.col("depth") == F.col("seq")).alias("d"), F.count_if(F.col("position") == F.col("seq") + 1).alias("p")).first()
+    assert tuple(found) == (n, n)
+
+
+def test_tree_of_an_empty_table(spark):
+    assert traces.trace_tree(spark.createDataFrame([], SPAN)).collect() == []
+
+
 NET = "seq long, ts_us long, pid long, source_ip string, dest_ip string, dest_port int, status int, bytes long, latency_ns long, comm string, container_id string, path string"
 
 
