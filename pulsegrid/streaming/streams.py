@@ -13,13 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pulsegrid.operators.alerts import AlertRule, _breach
 from pulsegrid.operators.rules import Rule, dropped
-from pulsegrid.operators.topology import EDGE_KEY, edge_rows
+from pulsegrid.streaming.stateful import WATERMARK, live_alerts, live_burn, live_burn_alerts, live_connects, live_edges, live_limiter  # noqa: F401
 
-WATERMARK = "10 minutes"
-#: Milliseconds of the stream's time without a row after which a key's state goes, and after which a node counts as stale.
-IDLE_MS, STALE_MS = 86_400_000, 60_000
+#: Milliseconds of the stream's time after which a node without a push counts as stale.
+STALE_MS = 60_000
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -63,91 +61,6 @@ def _keep(state: GroupState, at_ms: int, idle_ms: int) -> None:
     state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs()) + max(1, idle_ms))
 
 
-def live_edges(net: DataFrame, idle_ms: int = IDLE_MS, late: str = WATERMARK) -> DataFrame:
-    """Edges folded from network events from the first connection on, with a state for each edge key, by the same keys and
-    rows as topology.edges; an edge without an event for idle_ms is forgotten.
-
-    Within a batch the rows of a key are taken by seq; across batches arrival counts.
-    """
-    out = "dest_ip string, dest_port int, source_ip string, container_id string, comm string, source string, hit_count long, total_latency_ns long, total_bytes long, error_count long, retransmit_count long, last_seen_us long"
-
-    def fold(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        source, hits, latency, size, errors, again, seen = state.get if state.exists else (None, 0, 0, 0, 0, 0, 0)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        rows_end = int(rows["ts_us"].max()) // 1000
-        if source is None:
-            rows = rows[(rows["status"] == 1).cumsum() > 0]
-            source = rows["name"].iloc[0] if len(rows) else None
-        by = rows["status"]
-        hits += int((by == 1).sum())
-        latency += int(rows.loc[by == 1, "latency_ns"].sum())
-        size += int(rows.loc[by == 2, "bytes"].sum())
-        errors += int((by == 3).sum())
-        again += int((by == 4).sum())
-        seen = max([seen, *rows.loc[by == 1, "ts_us"].tolist()])
-        state.update((source, hits, latency, size, errors, again, seen))
-        _keep(state, rows_end, idle_ms)
-        if source is not None:
-            yield pd.DataFrame([[*k, source, hits, latency, size, errors, again, seen]], columns=[x.split()[0] for x in out.split(", ")])
-
-    rows = edge_rows(net).select(*EDGE_KEY, F.col("comm").alias("name"), "seq", "ts_us", "status", "latency_ns", "bytes", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", late)
-    return rows.groupBy(*EDGE_KEY).applyInPandasWithState(fold, out, "source string, hits long, latency long, size long, errors long, again long, seen long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def live_alerts(signals: DataFrame, rule: AlertRule, idle_ms: int = IDLE_MS, late: str = WATERMARK) -> DataFrame:
-    """Transitions of one rule over a stream of (service, cycle_s, metric) rows, a cycle at most once for each service; a
-    service without a row for idle_ms is forgotten and starts anew."""
-    out = "service string, cycle_s long, status string"
-
-    def walk(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        breaches, clears, firing = state.get if state.exists else (0, 0, False)
-        moved = []
-        rows = pd.concat(list(parts)).sort_values("cycle_s")
-        for r in rows.itertuples(index=False):
-            breaches, clears = (breaches + 1, 0) if r.breached else (0, clears + 1)
-            before = firing
-            firing = True if breaches >= rule.fire_after else False if clears >= rule.clear_after else firing
-            if firing != before:
-                moved.append([k[0], r.cycle_s, "firing" if firing else "ok"])
-        state.update((breaches, clears, firing))
-        _keep(state, int(rows["cycle_s"].max()) * 1000, idle_ms)
-        yield pd.DataFrame(moved, columns=["service", "cycle_s", "status"])
-
-    rows = signals.select("service", "cycle_s", _breach(rule.op, F.col(rule.metric), rule.threshold).alias("breached"), F.timestamp_seconds("cycle_s").alias("at")).withWatermark("at", late)
-    return rows.groupBy("service").applyInPandasWithState(walk, out, "breaches long, clears long, firing boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def live_limiter(requests: DataFrame, window_us: int = 60_000_000, limit: int = 1000, late: str = WATERMARK) -> DataFrame:
-    """Requests (key, seq, ts_us) with allowed: a key's window starts at its first request after the last has passed. A key
-    without a request for two windows is forgotten."""
-    out = "key string, seq long, ts_us long, allowed boolean"
-
-    def walk(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts_us", "seq"])
-        allowed = []
-        for t in rows["ts_us"].tolist():
-            if start is None or t - start > window_us:
-                start, n = t, 0
-            n += 1
-            allowed.append(n <= limit)
-        state.update((start, n))
-        _keep(state, int(rows["ts_us"].max()) // 1000, 2 * window_us // 1000)
-        yield rows.assign(allowed=allowed)[["key", "seq", "ts_us", "allowed"]]
-
-    rows = requests.select("key", "seq", "ts_us", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", late)
-    return rows.groupBy("key").applyInPandasWithState(walk, out, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def live_nodes(pushes: DataFrame, stale_ms: int = STALE_MS, late: str = WATERMARK) -> DataFrame:
     """The latest push of each node (node_id, pushed_at in microseconds, edges), and a row with stale = true once the stream has
     gone on for stale_ms without it."""
