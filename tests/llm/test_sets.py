@@ -273,6 +273,18 @@ def test_urls_equal_brute_force(spark):
 # chat
 
 
+def test_urls_beside_clashing_columns(spark):
+    """Foreign columns of any name are kept, those of the result replaced; empty tables and no rules."""
+    rules = spark.createDataFrame([("a.com", "/x", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://www.a.com/x/y"), (2, None), (3, "http://b.com/" + "x/" * 100_000)], "page_id long, url string")
+    pages = pages.withColumns({c: F.lit(i) for i, c in enumerate(["best", "key", "digest", "RULE", "seen", "lead", "suffix", "a.b"])})
+    out = url_filter.filter_urls(pages, rules)
+    assert out.columns == ["page_id", "url", "best", "key", "digest", "seen", "lead", "suffix", "a.b", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r.best, r["a.b"], r.rule, r.verdict) for r in out.collect()) == [(1, 0, 7, "a.com/x", "block"), (2, 0, 7, None, "allow"), (3, 0, 7, None, "allow")]
+    assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
+    assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
 def test_chat_round_trip(spark):
     parts = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "s>", " ", "é🙂", "\n", "ok", "\\</s>", ""]
     rng = random.Random(2)
