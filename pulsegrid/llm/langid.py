@@ -4,8 +4,8 @@ A word of the vocabulary adds its log frequency in each language. A word outside
 at least one of its character n-grams (with the word's ends marked) is known, and adds their mean log frequency. The
 language with the largest sum wins; the score is its share of the likelihood of all languages.
 
-The model is fitted on a bounded sample of labelled rows: at most about ``FIT_ROWS`` of them, chosen by a hash of their id,
-with whole texts. Counting is Spark work; what reaches the driver are hashes and counts of all words and n-grams of the
+The model is fitted on a bounded sample of labelled rows: about ``FIT_ROWS`` of them at most, and ``FIT_BYTES`` of text, chosen
+by a hash of their id, with whole texts; texts of over ``FIT_LONGEST`` bytes are learned from only where there are no others. Counting is Spark work; what reaches the driver are hashes and counts of all words and n-grams of the
 sample, so their number is bounded by the sample and not by the table. Every text is scored whole. Workers score a block
 of texts at a time: words and n-grams are 64-bit hashes, looked up in sorted tables.
 
@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from ._common import chunks, materialize, mix, prepare, range_hashes, reserved, shielded
 
-#: Labelled rows that the model is fitted on, at most (about: they are chosen by hash).
-FIT_ROWS = 5_000
+#: Labelled rows, and bytes of their texts, that the model is fitted on, at most (about: they are chosen by hash); and the
+#: longest text that is chosen.
+FIT_ROWS, FIT_BYTES, FIT_LONGEST = 5_000, 64 << 20, 1 << 20
 #: Longest n-gram.
 LONGEST = 5
 #: Characters of texts that are scored at once; one longer text is scored alone.
@@ -211,14 +212,24 @@ class Model:
         return names, scores
 
 
+def sample_share(rows: int, size: int, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> float:
+    """Share of so many rows, with texts of so many bytes, that the model is fitted on."""
+    return min(1.0, fit_rows / max(1, rows), fit_bytes / max(1, size))
+
+
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of the labelled rows (text, lang and key not null), or of about fit_rows of them."""
+    """A model of the labelled rows (text, lang and key not null), or of a sample of about fit_rows of them."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
+    size = F.octet_length("text")
+    fits = size <= FIT_LONGEST
+    n, size_sum, n_fit, fit_sum = rows.agg(F.count(F.lit(1)), F.sum(size), F.count_if(fits), F.sum(F.when(fits, size))).first()
+    if n_fit:
+        rows, n, size_sum = rows.where(fits), n_fit, fit_sum
+    share = sample_share(n, size_sum or 0, fit_rows)
+    if share < 1:
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("key"), 1) < int(share * 2**63))
     words = rows.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
     grams = words.mapInArrow(_grams, "lang string, k int, item string, n long").groupBy("lang", "k", "item").agg(F.sum("n").alias("n"))
