@@ -5,10 +5,11 @@ position. Chunking is normalised: up to a usual length the mask is strict, beyon
 the usual one. A fingerprint is the set of a text's chunk digests, each with its chunk's length; containment is the shared
 length by the own length.
 
-For likeness to the next document, texts are dealt once by ranges of (doc_id, text hash), each of about ``RANGE_BYTES``, so
-that a task stays as large as it is when the table grows, and one doc_id with many texts is dealt like many. The bounds
-come from running sums over sorted keys and sizes: no text takes part, and one bound for each range reaches the driver. The
-first row of a range also goes to the range before it, so each range knows the document that follows its last one.
+For likeness to the next document, texts are dealt once by ranges of (doc_id, text hash), each of about ``RANGE_BYTES`` (more
+only beyond ``MOST_RANGES`` ranges; a task reads its range as a stream), and one doc_id with many texts is dealt like many. The
+bounds come from running sums over sorted keys and sizes, in which no text takes part; they are one row of a table, broadcast
+and searched by bisection, so the plan is the same for any number of ranges and no bound reaches the driver. The first row of a
+range also goes to the range before it, so each range knows the document that follows its last one.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint, contained in an empty one only; null doc_ids
 come last; rows with equal doc_id are ordered by a hash of the text and follow each other, repeated rows too; the last
@@ -35,8 +36,8 @@ LEAST, USUAL, MOST = 12, 48, 160
 STRICT, LOOSE = np.uint32(0x7F << 25), np.uint32(0x7 << 29)
 _GEAR = np.random.default_rng(48).integers(0, 2**32, 256, dtype=np.uint32)
 _DIGEST = 12
-#: Bytes of the texts of a range.
-RANGE_BYTES = 32 << 20
+#: Bytes of the texts of a range, and the ranges at which they grow beyond it: their bounds take under 40 bytes each.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 100_000
 _LAST = 2**63 - 1
 
 
@@ -146,27 +147,18 @@ def _bounds(limit: int):
     return run
 
 
-def _range_of(bounds: list[tuple[int, int]]) -> F.Column:
-    """The number of bounds at or below (place, told): a binary search, one step for each bit of their number."""
-    places, tolds = (F.array(*[F.lit(b[i]).cast("long") for b in bounds]) for i in range(2))
+def _range_of(bounds: F.Column) -> F.Column:
+    """The number of bounds at or below (place, told): a bisection, one step for each bit of their number."""
+    own = F.struct("place", "told")
 
     def further(low: F.Column, step: F.Column) -> F.Column:
         at = low + step - 1
-        below = (F.get(places, at) < F.col("place")) | ((F.get(places, at) == F.col("place")) & (F.get(tolds, at) <= F.col("told")))
-        return F.when((at < len(bounds)) & below, low + step).otherwise(low)
+        return F.when((at < F.size(bounds)) & (F.get(bounds, at) <= own), low + step).otherwise(low)
 
-    steps = F.array(*[F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)])
+    steps = F.array(*[F.lit(1 << i) for i in range(MOST_RANGES.bit_length(), -1, -1)])
     return F.aggregate(steps, F.lit(0), further)
 
 
-def _numbers(spark: SparkSession, ranges: int) -> list[int]:
-    """For each range a number that hash partitioning deals to the partition of the range, so that none has two."""
-    tried = spark.range(24 * ranges + 64)
-    found = tried.groupBy(F.pmod(F.hash("id"), F.lit(ranges)).alias("to")).agg(F.min("id").alias("id")).collect()
-    of = {r.to: r.id for r in found}
-    return [of.get(i, i) for i in range(ranges)]
-
-
 def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
     spark = docs.sparkSession
@@ -179,16 +171,14 @@ def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Da
     if total is None:
         return spark.createDataFrame([], SCHEMA)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(1, min(range_bytes, -(-total // parts)))
+    limit = max(1, min(range_bytes, -(-total // parts)), -(-total // MOST_RANGES))
     cuts = sizes.repartitionByRange(parts, "place", "told").sortWithinPartitions("place", "told").mapInArrow(_bounds(limit), "place long, told long")
-    bounds = sorted({(r.place, r.told) for r in cuts.collect()})
-    ranges = len(bounds)
-    keyed = keyed.withColumn("part", _range_of(bounds) - 1)
-    low = [F.get(F.array(*[F.lit(b[i]).cast("long") for b in bounds]), F.col("part")) for i in range(2)]
+    bounds = materialize(cuts.agg(F.sort_array(F.collect_set(F.struct("place", "told"))).alias("bounds")), "bounds")
+    ranges = bounds.select(F.size("bounds")).first()[0]
+    keyed = keyed.crossJoin(F.broadcast(bounds)).withColumn("part", _range_of(F.col("bounds")) - 1)
     own = F.struct("part", F.lit(False).alias("tail"))
     before = F.struct(F.pmod(F.col("part") - 1, F.lit(ranges)).alias("part"), F.lit(True).alias("tail"))
-    copies = F.when((F.col("place") == low[0]) & (F.col("told") == low[1]), F.array(own, before)).otherwise(F.array(own))
+    copies = F.when(F.get("bounds", F.col("part")) == F.struct("place", "told"), F.array(own, before)).otherwise(F.array(own))
     dealt = keyed.select("doc_id", "text", "place", "told", F.explode(copies).alias("to")).select("to.part", "to.tail", "doc_id", "place", "told", "text")
-    number = F.get(F.array(*[F.lit(x).cast("long") for x in _numbers(spark, ranges)]), F.col("part"))
-    ordered = dealt.withColumn("number", number).repartition(ranges, "number").sortWithinPartitions("part", "tail", "place", "told")
+    ordered = dealt.repartitionById(ranges, "part").sortWithinPartitions("part", "tail", "place", "told")
     return ordered.select("part", "tail", "doc_id", "text").mapInArrow(_follow, SCHEMA)

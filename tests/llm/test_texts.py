@@ -224,6 +224,27 @@ def test_language_odd_tables(spark):
     assert langid.predict(d.limit(0), model).count() == 0
 
 
+def test_a_sample_of_a_huge_table():
+    """The share of a sample never rounds down to nothing, and follows rows and bytes."""
+    assert langid.sample_share(3, 100) == 1.0
+    assert 4_900 < langid.sample_share(10**13, 10**13) * 10**13 < 5_100
+    assert langid.sample_share(10**13, 2 * 10**16) * 10**13 < 40_000 and langid.sample_share(1000, 2**40) * 2**40 <= langid.FIT_BYTES
+    assert int(langid.sample_share(10**13, 10**13) * 2**63) > 10**9
+
+
+def test_a_small_share_still_learns(spark):
+    """Rows by a million times the sample's: the model has languages."""
+    rows = spark.range(400_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the cat sat' ELSE 'der hund lief' END AS text", "CASE WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang")
+    assert set(langid.fit(rows, fit_rows=20).languages) <= {"en", "de"} and langid.fit(rows, fit_rows=20).languages
+
+
+def test_very_long_texts_are_learned_from_alone(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_LONGEST", 20)
+    rows = documents(spark, ["the cat " * 9, "der hund " * 9]).withColumn("lang", F.when(F.col("doc_id") == 0, "en").otherwise("de"))
+    assert langid.fit(rows).languages == ["de", "en"]
+    assert langid.fit(rows.union(rows.limit(1).selectExpr("5L", "'kurz'", "'xx'", "source", "n_chars"))).languages == ["xx"]
+
+
 def model_of(rows, languages):
     """A model of rows (lang, k, item, n, total of lang and k)."""
     lang, k, item, n = (list(x) for x in list(zip(*rows))[:4])
@@ -322,9 +343,9 @@ def test_fingerprint_ranges(spark, sf):
     """One range to one task, and as many ranges as the bytes ask for."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = fingerprint.fingerprint_documents(docs, 20_000)
-    numbers = fingerprint._numbers(spark, 57)
-    placed = spark.createDataFrame([(n,) for n in numbers], "n long").select(F.pmod(F.hash("n"), F.lit(57)).alias("to")).collect()
-    assert [r.to for r in placed] == list(range(57))
+    assert "RepartitionByExpression" in out._jdf.queryExecution().analyzed().toString()
+    placed = spark.range(57).selectExpr("cast(id AS int) AS id").repartitionById(57, "id").withColumn("at", F.spark_partition_id())
+    assert all(r.id == r.at for r in placed.collect())
     assert out.rdd.getNumPartitions() >= docs.agg(F.sum(F.octet_length("text"))).first()[0] // 20_000
 
 
@@ -357,6 +378,14 @@ def test_fingerprint_odd_tables(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1.0
 
 
+@pytest.mark.parametrize("size", [1 << 20, 200])
+def test_the_plan_does_not_grow_by_range(spark, sf, size):
+    """A few ranges or thousands: as many nodes and no longer a text."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = fingerprint.fingerprint_documents(d, size)._jdf.queryExecution().analyzed().toString()
+    assert len(plan.splitlines()) < 40 and len(plan) < 12_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000))
 def test_chunks_cover_the_text(data):
