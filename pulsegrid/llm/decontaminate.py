@@ -6,8 +6,11 @@ similar length share one Wu-Manber table: the block shift table skips positions
 the block at a window's minimum length selects a bucket of windows, and a direct comparison confirms each occurrence. The
 search moves one cursor for each segment of a batch of texts in step, so that the inner loop is vectorised.
 
-The benchmark is searched in blocks of at most ``block_bytes`` of item text (one longer item is a block of its own), each
-broadcast alone; a benchmark of any size takes more passes over a row, never a larger broadcast, and there is no shuffle.
+A block's tables are numpy arrays over one buffer of normalised items: windows are offsets into it, equal windows stand once,
+with the list of their items, so a block takes about four times its text. Blocks have at most ``block_bytes`` of item text (one
+longer item is a block of its own) and are broadcast one at a time. With one block there is no shuffle and nothing is written;
+each further block reads the texts once and writes only digests, spans and items of the texts that it hits, which then meet the
+documents by digest.
 
 Defined cases: a null or wordless text has n_words 0 and no hits; a null item text or one without words has no window;
 null item ids count as the empty string; repeated items and rows count as they are; an empty benchmark hits nothing;
@@ -16,8 +19,8 @@ columns of the documents that have the name of a result column are replaced.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, materialize, prepare, reserved, shielded, text_bytes
+from ._common import chunks, gram_hashes, materialize, prepare, reserved, shielded, text_bytes, word_hashes
 
 WINDOW_WORDS = 13
-BLOCK_BYTES = 1 << 20
-#: Blocks whose tables the executors hold together; after as many the result is written.
-CHAINED_BLOCKS = 2
+BLOCK_BYTES = 64 << 20
 RESULT = ("n_words", "hit_spans", "items")
 
 #: Lower case for A-Z, a blank for bytes that are in no word.
@@ -56,39 +57,29 @@ def normalised(texts: list[bytes | None]) -> np.ndarray:
     return data[keep]
 
 
-def windows(text: str | None, size: int = WINDOW_WORDS) -> set[bytes]:
-    """The normalised windows of one item."""
-    words = normalised([(text or "").encode()]).tobytes().split(b"\x01")[0].split()
-    if not words:
-        return set()
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))}
-
-
 def _loads(data: np.ndarray, width: int) -> np.ndarray:
     """Unaligned little-endian integers at each byte offset."""
     return np.ndarray((max(0, len(data) - width + 1),), f"<u{width}", data.data if data.flags.c_contiguous else data.copy().data, strides=(1,))
 
 
 class WuManber:
-    """Tables for patterns of at least ``shortest`` bytes."""
+    """Tables for windows (starts and sizes in data) of at least ``shortest`` bytes."""
 
-    BITS = 18
+    LEAST_BITS, MOST_BITS = 18, 26
 
-    def __init__(self, patterns: list[bytes]):
-        self.patterns = patterns
-        self.shortest = m = min(map(len, patterns))
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.data = data
+        self.shortest = m = int(sizes.min())
         self.block = b = 16 if m >= 32 else 8 if m >= 16 else 4 if m >= 8 else 2
-        self.shift = np.full(1 << self.BITS, m - b + 1, np.uint8 if m < 250 else np.int32)
-        heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
+        #: windows overlap, so the buffer has not many more blocks than windows
+        self.bits = min(self.MOST_BITS, max(self.LEAST_BITS, (8 * len(starts)).bit_length()))
+        self.shift = np.full(1 << self.bits, m - b + 1, np.uint8 if m < 250 else np.int32)
         for end in range(b, m + 1):
-            h = self._hash(np.ascontiguousarray(heads[:, end - b : end]).ravel(), np.arange(len(patterns)) * b)
-            np.minimum.at(self.shift, h, m - end)
-        bucket = self._hash(np.ascontiguousarray(heads[:, m - b :]).ravel(), np.arange(len(patterns)) * b)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket = bucket[self.order]
+            np.minimum.at(self.shift, self._hash(data, starts + (end - b)), m - end)
+        bucket = self._hash(data, starts + (m - b))
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.starts, self.sizes, self.number = bucket[order].astype(np.int32), starts[order], sizes[order].astype(np.int32), order.astype(np.int32)
         self.probe = min(8, 4 if m < 8 else 8, b if b < 8 else 8)
-        self.first = _loads(np.ascontiguousarray(heads[:, : self.probe]).ravel(), self.probe)[:: self.probe][self.order].copy()
-        self.last = _loads(np.ascontiguousarray(heads[:, m - self.probe :]).ravel(), self.probe)[:: self.probe][self.order].copy()
 
     def _hash(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Hashes of the blocks that start at ``at``."""
@@ -98,10 +89,10 @@ class WuManber:
         if self.block == 16:
             h ^= loads[at + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
             h *= np.uint64(0x9E3779B97F4A7C15)
-        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def search(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(start, pattern number) of each occurrence."""
+    def search(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start, size, window) of each occurrence."""
         m, b = self.shortest, self.block
         if len(data) < m:
             return
@@ -127,28 +118,73 @@ class WuManber:
         size = np.searchsorted(self.bucket, key, "right") - low
         which = np.repeat(np.arange(len(end)), size)
         slot = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
-        loads = _loads(data, self.probe)
+        loads, own = _loads(data, self.probe), _loads(self.data, self.probe)
         start = end[which] - m
-        same = (loads[start] == self.first[slot]) & (loads[end[which] - self.probe] == self.last[slot])
-        whole = data.tobytes()
-        for s, number in zip(start[same].tolist(), self.order[slot[same]].tolist(), strict=True):
-            if whole.startswith(self.patterns[number], s):
-                yield s, number
+        same = (loads[start] == own[self.starts[slot]]) & (loads[end[which] - self.probe] == own[self.starts[slot] + (m - self.probe)])
+        whole, known = memoryview(data), memoryview(self.data)
+        start, slot = start[same], slot[same]
+        for s, p, size, number in zip(start.tolist(), self.starts[slot].tolist(), self.sizes[slot].tolist(), self.number[slot].tolist(), strict=True):
+            if whole[s : s + size] == known[p : p + size]:
+                yield s, size, number
+
+
+def _item_windows(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Start, size, item and hash of all windows of normalised items."""
+    marks = np.flatnonzero(data == _MARK)
+    blanks = np.flatnonzero(data == 0x20)
+    first = blanks[:-1] + 1
+    first = first[data[first] != _MARK]  # where words start; a blank follows each
+    last = blanks[np.searchsorted(blanks, first)]
+    item = np.searchsorted(marks, first)
+    count = np.bincount(item, minlength=len(marks))
+    place = np.arange(len(first)) - (np.cumsum(count) - count)[item]
+    hashes = word_hashes(data, first, last)
+    out = [np.zeros((4, 0), np.int64)]
+    for k in range(1, size + 1):  # items of fewer words than a window are one
+        at = np.flatnonzero((place <= count[item] - k) & (count[item] >= size) if k == size else (place == 0) & (count[item] == k))
+        if len(at):
+            stop = last[at + k - 1] + 1
+            start = first[at] - 1
+            own = gram_hashes(hashes, k)[at]
+            out.append(np.stack([start, stop - start, item[at], own.view(np.int64)]))
+    return tuple(np.concatenate(out, axis=1))
 
 
 class Scanner:
     """Windows of a block of benchmark items, in Wu-Manber tables by length."""
 
     def __init__(self, items: Iterable[tuple[str, str | None]], size: int = WINDOW_WORDS):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            for w in windows(text, size):
-                owners[w].add(item)
-        classes: dict[int, list[bytes]] = defaultdict(list)
-        for w in sorted(owners):
-            classes[min(6, len(w).bit_length())].append(w)
-        self.tables = [WuManber(p) for _, p in sorted(classes.items())]
-        self.owners = [[sorted(owners[w]) for w in t.patterns] for t in self.tables]
+        told = list(items)
+        self.names = [i for i, _ in told]
+        texts = [(t or "").encode() for _, t in told]
+        pieces, parts, base = [], [np.zeros((4, 0), np.int64)], 0
+        for a, b in chunks(texts):
+            piece = normalised(texts[a:b])
+            start, length, item, key = _item_windows(piece, size)
+            parts.append(np.stack([start + base, length, item + a, key]))
+            pieces.append(piece)
+            base += len(piece)
+        self.data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
+        start, length, item, key = np.concatenate(parts, axis=1)
+        order = np.lexsort([start, length, key])
+        start, length, item, key = start[order], length[order], item[order], key[order]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (length[1:] != length[:-1])
+        whole = memoryview(self.data)
+        for i in np.flatnonzero(~fresh).tolist():  # equal by hash: are they by bytes?
+            fresh[i] = whole[start[i] : start[i] + length[i]] != whole[start[i - 1] : start[i - 1] + length[i - 1]]
+        head = np.flatnonzero(fresh)
+        self.owner, self.owners_at = item.astype(np.int32), np.append(head, len(start)).astype(np.int32)
+        start, length = start[head].astype(np.int32), length[head]
+        kind = np.minimum(6, np.ceil(np.log2(length + 1)).astype(np.int64))
+        self.tables, self.numbers = [], []
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            self.tables.append(WuManber(self.data, start[own], length[own]))
+            self.numbers.append(own.astype(np.int32))
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.owners_at[window] : self.owners_at[window + 1]].tolist()]
 
     def scan(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
         """For each text: words, hit spans of word numbers (end exclusive), items with an occurrence."""
@@ -161,13 +197,13 @@ class Scanner:
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
         cover = None
-        for table, owners in zip(self.tables, self.owners, strict=True):
-            for s, number in table.search(data):
+        for table, numbers in zip(self.tables, self.numbers, strict=True):
+            for s, length, number in table.search(data):
                 if cover is None:
                     cover = np.zeros(len(data) + 1, np.int32)
                 cover[s + 1] += 1
-                cover[s + len(table.patterns[number]) - 1] -= 1
-                items[int(np.searchsorted(marks, s))].update(owners[number])
+                cover[s + length - 1] -= 1
+                items[int(np.searchsorted(marks, s))].update(self.items_of(numbers[number]))
         if cover is not None:
             hit = np.concatenate([[False], np.cumsum(cover)[starts] > 0, [False]])
             for i, found in enumerate(items):
@@ -234,21 +270,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     docs = reserved(docs, *RESULT)
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULT]
     source = docs.select(*dict.fromkeys([*carry, text]))
+    result = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPAN_SQL), T.StructField("items", T.ArrayType(T.StringType()))])
     blocks = _blocks(benchmark, item, item_text, block_bytes) if benchmark.columns else iter([[]])
-    out, fields = source, [source.schema[c] for c in dict.fromkeys([*carry, text])]
-    result = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPAN_SQL), T.StructField("items", T.ArrayType(T.StringType()))]
-    block, chained = next(blocks), []
-    while block is not None:
-        after = next(blocks, None)
-        names = carry if after is None else list(dict.fromkeys([*carry, text]))
+    block, told = next(blocks), []
+    digests = {"_d1": F.xxhash64(text), "_d2": F.xxhash64(F.lit(WINDOW_WORDS), F.col(text))}
+    while (after := next(blocks, None)) is not None:
         shared = spark.sparkContext.broadcast(Scanner(block, window))
-        out = out.mapInArrow(_search(shared, text, names), T.StructType([f for f in fields if f.name in names] + result))
-        block, chained = after, [*chained, shared]
-        if block is not None and len(chained) == CHAINED_BLOCKS:
-            out = materialize(out, "contamination")
-            while chained:
-                chained.pop().unpersist()
-    return out
+        own = source.select(text).where(F.col(text).isNotNull()).withColumns(digests).mapInArrow(_search(shared, text, list(digests)), T.StructType([T.StructField(c, T.LongType()) for c in digests] + result.fields))
+        told.append(materialize(own.where(F.size("items") > 0).drop("n_words").dropDuplicates(list(digests)), "contamination"))
+        shared.unpersist()
+        block = after
+    if told:
+        both = reduce(DataFrame.unionByName, told).groupBy(*digests).agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("items")).alias("items"))
+        hits = materialize(both, "contamination")
+        source = source.withColumns(digests).join(hits, list(digests), "left").drop(*digests)
+        source = source.withColumns({c: F.coalesce(c, F.array().cast(result[c].dataType)) for c in ("hit_spans", "items")})
+    shared = spark.sparkContext.broadcast(Scanner(block, window))
+    return source.mapInArrow(_search(shared, text, carry), T.StructType([source.schema[c] for c in carry] + result.fields))
 
 
 def hit_words(spans) -> F.Column:

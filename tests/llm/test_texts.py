@@ -89,6 +89,30 @@ def test_contamination_bounds_blocks(spark, sf):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+def test_windows_that_many_items_share():
+    """Equal windows stand once, with all their items; windows with one hash are told apart by their bytes."""
+    words = [f"w{i}" for i in range(40)]
+    scanner = decontaminate.Scanner([(str(i), " ".join(words)) for i in range(50)] + [("x", " ".join(words[:5]))])
+    assert len(scanner.owners_at) - 1 == 28 + 1
+    n, spans, items = scanner.scan([" ".join(words).encode(), b"w0 w1 w2 w3 w4", None])
+    assert n.tolist() == [40, 5, 0] and spans == [[(0, 40)], [(0, 5)], []] and items == [{"x", *map(str, range(50))}, {"x"}, set()]
+
+
+def test_a_large_benchmark_in_one_pass(spark, sf):
+    """50 MB of items are one block, whose tables take a small multiple of their text."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"word{i}" for i in range(20_000)])
+    items = [(str(i), " ".join(vocabulary[rng.integers(0, 20_000, 7_000)])) for i in range(100)]
+    scanner = decontaminate.Scanner(items)
+    assert len(pickle.dumps(scanner, 5)) < 8 * sum(len(t) for _, t in items)
+    text = items[7][1].split()
+    n, spans, found = scanner.scan([" ".join(text[100:150]).encode()])
+    assert (n.tolist(), spans, found) == ([50], [[(0, 50)]], [{"7"}])
+    assert decontaminate.BLOCK_BYTES >= 50_000_000
+
+
 def test_contamination_odd_tables(spark):
     d = odd(spark)
     bench = spark.createDataFrame([(1, LONG[:400]), (1, "word"), (None, None), (2, ""), (3, "🙂")], "item_id long, text string")
