@@ -19,7 +19,7 @@ match from its first paragraph to its last.
 A text is scanned whole where it lies; the templates are a fixed list, so nothing is shuffled or gathered.
 
 Defined cases: null, empty and wordless texts have no matches; an empty table gives no rows; one word has no bigram and matches nothing; repeated
-notices are separate matches; columns with the name of the result column are replaced; thresholds are above 0.
+notices are separate matches; in a very long text as many windows are held as it has bigrams of templates; columns with the name of the result column are replaced; thresholds are above 0.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -196,46 +197,85 @@ class Templates:
                 out[text[a[(hit[b] - hit[a] < self.most[k]) & (text[a] == text[b])]], k] = True
         return out
 
-    def windows(self, grams: list[tuple[str, str]], candidates: list[int] | None = None) -> list[tuple[float, int, int, str]]:
-        """(-dice, -bigrams, first bigram, licence) of the windows that match a template and lose common bigrams at both ends if cut."""
+    def _starts(self, grams: list[tuple[str, str]], candidates: list[int] | None) -> dict[int, tuple[np.ndarray, ...]]:
+        """For each template that may match: where its bigrams stand, their numbers, the place from which on each is counted in
+        common (its own number of equal bigrams before it), and the next equal bigram."""
         places: dict[int, list[int]] = defaultdict(list)
         for i, g in enumerate(grams):
             for k in self.having.get(g, ()):
                 places[k].append(i)
-        out = []
+        out = {}
         for k in places if candidates is None else candidates:
-            at, least, most, size, own = places[k], self.least[k], self.most[k], self.sizes[k], self.grams[k]
-            for i in range(len(at) - least + 1):
-                first = at[i]
-                if at[i + least - 1] - first >= most:
-                    continue
-                left = dict(own)
-                common = 0
-                for j in range(i, len(at)):
-                    n = at[j] - first + 1
-                    if n > most:
-                        break
-                    g = grams[at[j]]
-                    if left[g]:
-                        left[g] -= 1
-                        common += 1
-                        if 2 * common / (n + size) >= self.threshold:
-                            out.append((-2 * common / (n + size), -n, first, self.names[k]))
-                    elif g == grams[first]:  # this one stands in for the first
-                        break
+            at, own = places[k], self.grams[k]
+            since, after = np.full(len(at), -1), np.full(len(at), len(at))
+            before: dict[tuple[str, str], list[int]] = defaultdict(list)
+            for j, i in enumerate(at):
+                seen = before[grams[i]]
+                if seen:
+                    after[seen[-1]] = j
+                if len(seen) >= own[grams[i]]:
+                    since[j] = seen[-own[grams[i]]]
+                seen.append(j)
+            out[k] = (np.array(at, np.int64), since, after)
         return out
 
+    def _best(self, k: int, told: tuple[np.ndarray, ...], i: int, below: tuple[float, int] | None, taken: np.ndarray) -> tuple[float, int] | None:
+        """(-dice, -bigrams) of the best window of template k from its i-th bigram on that comes after ``below`` and of which
+        less than half is taken. A window matches and loses common bigrams at both ends if cut."""
+        at, since, after = told
+        least, most, size = self.least[k], self.most[k], self.sizes[k]
+        if i + least > len(at) or at[i + least - 1] - at[i] >= most:
+            return None
+        stop = int(np.searchsorted(at, at[i] + most))
+        counted = since[i:stop] < i
+        j = int(after[i])
+        while j < stop and counted[j - i]:  # one that isn't counted stands in for the first
+            j = int(after[j])
+        stop = min(stop, j)
+        counted = counted[: stop - i]
+        n = at[i:stop] - at[i] + 1
+        dice = 2 * np.cumsum(counted) / (n + size)
+        good = counted & (dice >= self.threshold)
+        if below is not None:
+            good &= (-dice > below[0]) | ((-dice == below[0]) & (-n > below[1]))
+        if good.any():
+            words = n + 1
+            part = taken[at[i] : at[i] + most + 2]
+            if part.any():
+                good &= 2 * np.cumsum(part)[words - 1] < words
+            if good.any():
+                top = dice[good].max()
+                return -float(top), -int(n[good & (dice == top)].max())
+        return None
+
     def matches(self, text: str, candidates: list[int] | None = None) -> list[tuple[str, float, int, int]]:
-        """(licence, dice, start, end) of the best windows, by start; all templates are candidates by default."""
-        words = list(_WORD.finditer(text.translate(_LOWER)))
-        texts = [w.group() for w in words]
-        taken = bytearray(len(words))
+        """(licence, dice, start, end) of the best windows, by start; all templates are candidates by default.
+
+        The best window of all is taken first, then the best of which less than half is taken, and so on. Only the best one
+        that is still open is held for each first bigram; the next is looked for when that one falls to others.
+        """
+        lower = text.translate(_LOWER)
+        words = [(m.start(), m.end()) for m in _WORD.finditer(lower)]
+        texts = [lower[a:b] for a, b in words]
+        told = self._starts(list(zip(texts, texts[1:])), candidates)
+        taken = np.zeros(len(words), np.int8)
+        waiting = []
+        for k, own in told.items():
+            for i in range(len(own[0]) - self.least[k] + 1):
+                if (best := self._best(k, own, i, None, taken)) is not None:
+                    waiting.append((*best, int(own[0][i]), self.names[k], k, i))
+        heapify(waiting)
         out = []
-        for d, n, first, name in sorted(self.windows(list(zip(texts, texts[1:])), candidates)):
+        while waiting:
+            d, n, first, name, k, i = waiting[0]
             end = first - n + 1
-            if 2 * taken.count(1, first, end) < end - first:
-                taken[first:end] = b"\1" * (end - first)
-                out.append((name, -d, words[first].start(), words[end - 1].end()))
+            if 2 * int(taken[first:end].sum()) < end - first:
+                taken[first:end] = 1
+                out.append((name, -d, words[first][0], words[end - 1][1]))
+            if (best := self._best(k, told[k], i, (d, n), taken)) is None:
+                heappop(waiting)
+            else:
+                heapreplace(waiting, (*best, first, name, k, i))
         return sorted(out, key=lambda m: m[2:])
 
 
