@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
+from pulsegrid.operators.ranks import followers
 from pulsegrid.session import materialize
 
 
@@ -20,14 +21,16 @@ class AlertRule(NamedTuple):
     clear_after: int = 1
     severity: str = "warning"
     service: str = "*"
+    description: str = ""
 
 
 # The default rules.
 DEFAULT_RULES = [
-    AlertRule("high-error-rate", "error_pct", "gt", 5.0, 2, 2, "critical"),
-    AlertRule("p99-latency-spike", "avg_latency_ms", "gt", 500.0, 1, 2, "warning"),
-    AlertRule("throughput-drop", "rate_drop_pct", "gt", 50.0, 1, 1, "warning"),
+    AlertRule("high-error-rate", "error_pct", "gt", 5.0, 2, 2, "critical", description="Service error rate exceeds 5% for 2 consecutive evaluations"),
+    AlertRule("p99-latency-spike", "avg_latency_ms", "gt", 500.0, 1, 2, "warning", description="P99 latency exceeds 500ms for any service"),
+    AlertRule("throughput-drop", "rate_drop_pct", "gt", 50.0, 1, 1, "warning", description="Request rate dropped more than 50% compared to previous evaluation"),
 ]
+NEW_SERVICE, GONE_SERVICE = ("new-service-discovered", "info"), ("service-disappeared", "warning")
 GONE_AFTER_S = 300
 
 
@@ -56,6 +59,38 @@ def evaluations(cycles: DataFrame, rules: list[AlertRule]) -> DataFrame:
     return wide.select("cycle_s", "service", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("e")).select("cycle_s", "service", "e.*")
 
 
+#: Signs that end the literal start of a pattern, and as many characters of a service's start as are met with rules.
+_SIGNS, LONGEST_START = r"[*?\[.].*$", 64
+
+
+def compiled_rules(rules: DataFrame) -> DataFrame:
+    """A table of rules (rule, metric, op, threshold, fire_after, clear_after, severity, service) with start, the longest
+    literal start of the service pattern, in lower case."""
+    return rules.withColumnRenamed("service", "pattern").withColumn("start", F.substring(F.lower(F.regexp_replace("pattern", _SIGNS, "")), 1, LONGEST_START))
+
+
+def rules_of_services(services: DataFrame, rules: DataFrame) -> DataFrame:
+    """Which rules of a table hold for which of the distinct services: a service expands to its starts, an equi-join with the
+    literal starts of the patterns gives the candidates, and the pattern confirms. The plan doesn't grow by rule."""
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.length("service"), F.lit(LONGEST_START))), lambda n: F.lower(F.substring("service", F.lit(1), n)))
+    expanded = services.select("service").where("service is not null").distinct().select("service", F.explode(starts).alias("start"))
+    met = expanded.join(compiled_rules(rules), "start")
+    return met.where(S.glob_matches(F.col("service"), F.col("pattern"))).drop("start", "pattern")
+
+
+def evaluations_by_table(cycles: DataFrame, rules: DataFrame) -> DataFrame:
+    """evaluations for a table of rules of any number: each (service, cycle) meets the rules of its service by an equi-join."""
+    wide = rate_drops(cycles)
+    metrics = [f.name for f in wide.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer", "decimal") and f.name != "cycle_s"]
+    # written, so that the planner knows its size
+    held = materialize(rules_of_services(cycles, rules), "rules-of-services")
+    value = F.coalesce(*[F.when(F.col("metric") == m, F.col(m).cast("double")) for m in metrics])
+    met = wide.join(held, "service").withColumn("value", value).where("value is not null")
+    limit = F.col("threshold")
+    breached = F.when(F.col("op") == "gt", F.col("value") > limit).when(F.col("op") == "lt", F.col("value") < limit).when(F.col("op") == "gte", F.col("value") >= limit).when(F.col("op") == "lte", F.col("value") <= limit)
+    return met.select("cycle_s", "service", "rule", "severity", "fire_after", "clear_after", breached.alias("breached"), "value").where("breached is not null")
+
+
 def streaks(evaluated: DataFrame) -> DataFrame:
     """Lengths of the runs of breached and of clear cycles that end at each row: gaps and islands."""
     by_key = Window.partitionBy("rule", "service").orderBy("cycle_s")
@@ -103,6 +138,44 @@ def vanished(cycles: DataFrame, after_s: int = GONE_AFTER_S) -> DataFrame:
     return met.select("service", F.col("at_s").alias("cycle_s"), (F.col("at_s") - F.col("seen_s")).alias("silent_s"))
 
 
+def silences(cycles: DataFrame, after_s: int = GONE_AFTER_S) -> DataFrame:
+    """One event for each long silence of a service: ``gone`` at the first cycle of the clock that is after_s seconds or more
+    past its last one, and ``returned`` at its next own cycle, if there is one.
+
+    The first cycle that late is the same for all services that were last seen at one cycle, so it is looked up among the
+    distinct cycles; a silence gives two rows however long it is.
+    """
+    clock = materialize(followers(cycles.select(F.col("cycle_s").alias("at_s")).distinct(), [], "at_s", after_s, strict=False), "clock")
+    late = clock.join(clock.select(F.col("rank").alias("next"), F.col("at_s").alias("late_s")), "next").select(F.col("at_s").alias("cycle_s"), "late_s")
+    by_service = Window.partitionBy("service").orderBy("cycle_s")
+    gaps = cycles.select("service", "cycle_s").distinct().withColumn("back_s", F.lead("cycle_s").over(by_service)).join(late, "cycle_s")
+    gaps = gaps.where(F.col("back_s").isNull() | (F.col("late_s") < F.col("back_s")))
+    event = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.col(at).alias("cycle_s"), (F.col(at) - F.col("cycle_s")).alias("silent_s"))
+    return gaps.select("service", F.explode(F.array(event("gone", "late_s"), event("returned", "back_s"))).alias("e")).select("service", "e.*").where("cycle_s is not null")
+
+
+# Signs of a chat message by severity, of other severities, and of one that resolves.
+CHAT_SIGNS = {"critical": ":fire:", "warning": ":warning:"}
+CHAT_OTHER, CHAT_RESOLVED = ":information_source:", ":white_check_mark:"
+
+
+def chat_messages(moved: DataFrame, rules: list[AlertRule]) -> DataFrame:
+    """A message in chat markup for each transition (rule, service, cycle_s, status, value, severity): rule, service, cycle_s,
+    kind (fire or resolve) and text; the line forms are fixed values."""
+    told = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.struct(F.lit(r.metric).alias("metric"), F.lit(r.op).alias("op"), F.lit(float(r.threshold)).alias("threshold"), F.lit(r.description).alias("description")))])
+    known = moved.withColumn("r", told[F.col("rule")])
+    named = F.when(F.coalesce("service", F.lit("")) != "", F.col("service")).otherwise("global")
+    at = F.concat(F.lit("> Timestamp: "), F.date_format(F.timestamp_seconds("cycle_s"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    signs = F.create_map(*[F.lit(x) for pair in CHAT_SIGNS.items() for x in pair])
+    head = F.concat(F.coalesce(F.try_element_at(signs, F.col("severity")), F.lit(CHAT_OTHER)), F.lit(" *"), F.upper("severity"), F.lit(": "), "rule", F.lit("*"))
+    measured = F.concat(F.lit("> "), "r.metric", F.lit(" = "), S.number_text(F.col("value")), F.lit(" (threshold: "), "r.op", F.lit(" "), S.number_text(F.col("r.threshold")), F.lit(")"))
+    of = F.concat(F.lit("> Service: "), named)
+    fired = F.array_join(F.array(head, F.concat(F.lit("> "), "r.description"), of, measured, at), "\n")
+    resolved = F.array_join(F.array(F.concat(F.lit(f"{CHAT_RESOLVED} *RESOLVED: "), "rule", F.lit("*")), of, at), "\n")
+    fires = F.col("status") == "firing"
+    return known.select("rule", "service", "cycle_s", F.when(fires, "fire").otherwise("resolve").alias("kind"), F.when(fires, fired).otherwise(resolved).alias("text"))
+
+
 # Colours of a message by severity, and of one that resolves.
 COLOURS = {"critical": "#dc2626", "warning": "#f59e0b", "info": "#3b82f6"}
 RESOLVED_COLOUR = "#22c55e"
@@ -110,8 +183,9 @@ RESOLVED_COLOUR = "#22c55e"
 
 def notifications(moved: DataFrame, rules: list[AlertRule], base_url: str, runbook: str | None = None, footer: str = "alerting") -> DataFrame:
     """A message for each transition (rule, service, cycle_s, status, value, severity): rule, service, cycle_s, kind (fire or
-    resolve), line (one line of text) and payload (JSON of a chat webhook). Delivery is left to a foreachBatch sink."""
-    told = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.struct(F.lit(r.metric).alias("metric"), F.lit(r.op).alias("op"), F.lit(float(r.threshold)).alias("threshold")))])
+    resolve), line (one line of text) and payload (JSON of a chat webhook). Delivery is left to a foreachBatch sink. The forms of
+    lines and fields, and their titles, are fixed values."""
+    told = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.struct(F.lit(r.metric).alias("metric"), F.lit(r.op).alias("op"), F.lit(float(r.threshold)).alias("threshold"), F.lit(r.description).alias("description")))])
     known = moved.withColumn("r", told[F.col("rule")])
     service = F.coalesce("service", F.lit(""))
     link = S.trace_link(base_url, service)
@@ -132,6 +206,7 @@ def notifications(moved: DataFrame, rules: list[AlertRule], base_url: str, runbo
     attachment = F.struct(
         F.when(fires, F.coalesce(F.try_element_at(colours, F.col("severity")), F.lit(COLOURS["info"]))).otherwise(RESOLVED_COLOUR).alias("color"),
         F.when(fires, F.concat(F.lit("\U0001f6a8 "), F.upper("severity"), F.lit(": "), "rule")).otherwise(F.concat(F.lit("RESOLVED: "), "rule")).alias("title"),
+        F.when(fires, F.col("r.description")).alias("text"),
         F.when(fires, on_fire).otherwise(on_clear).alias("fields"),
         F.lit(footer).alias("footer"),
         F.col("cycle_s").alias("ts"),

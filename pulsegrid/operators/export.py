@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators.ranks import running_totals
+from pulsegrid.operators.ranks import followers, running_totals
+from pulsegrid.session import materialize
 
 PREFIX = "telemetry"
 # Measure name, signal column, series type (2 rate, 3 gauge), unit.
@@ -114,14 +116,13 @@ def write_archive(events: DataFrame, path: str, chunk: int = 1_000_000) -> None:
 
 
 RATE_WINDOW_US, RATE_LIMIT = 60_000_000, 1000
+#: Distinct times of the largest key whose windows are walked in one task.
+LARGE_KEY = 100_000
 
 
-def rate_limited(requests: DataFrame, by: str, window_us: int = RATE_WINDOW_US, limit: int = RATE_LIMIT) -> DataFrame:
-    """Requests (seq, ts_us) with window_start_us, number in it and allowed: a window starts at a key's first request after
-    the window before has passed. The start depends on the data, so a key's distinct times, with their counts, are walked in
-    order, a step for each window; the requests take their numbers from these."""
-    own = requests.select(F.col(by).alias("key"), "seq", "ts_us")
-    times = own.groupBy("key", "ts_us").agg(F.count(F.lit(1)).alias("n")).repartition("key").sortWithinPartitions("key", "ts_us")
+def _walked(times: DataFrame, window_us: int) -> DataFrame:
+    """Windows of whole keys (key, ts_us, n): window_start_us and first, the requests of the window before these."""
+    ordered = times.repartition("key").sortWithinPartitions("key", "ts_us")
 
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, start, before = None, 0, 0
@@ -141,7 +142,47 @@ def rate_limited(requests: DataFrame, by: str, window_us: int = RATE_WINDOW_US,
                     i = stop
             yield pd.DataFrame({"key": names, "ts_us": at, "window_start_us": starts, "first": firsts})
 
-    walked = times.mapInPandas(windows, "key string, ts_us long, window_start_us long, first long")
+    return ordered.mapInPandas(windows, f"key {dict(times.dtypes)['key']}, ts_us long, window_start_us long, first long")
+
+
+def _jumped(times: DataFrame, window_us: int) -> DataFrame:
+    """The same for keys of any size, by pointer jumping: each time points to the first one beyond its window; starting from a
+    key's first time, each round doubles the window starts that are known, so n windows take log2 n rounds of joins by (key,
+    rank). Sums and ranks run over ranges, so a key lies in as many tasks as it needs."""
+    ranked = materialize(followers(times, ["key"], "ts_us", window_us), "times")
+    jumps = ranked.select("key", "rank", F.col("next").alias("to"))
+    reached = [ranked.where("rank = 1").select("key", "rank")]
+    while True:
+        step = jumps.withColumnRenamed("to", "_to")
+        known = reduce(DataFrame.unionByName, reached)
+        found = known.join(step, ["key", "rank"]).select("key", F.col("_to").alias("rank"))
+        found = materialize(found.join(ranked.select("key", "rank"), ["key", "rank"], "left_semi"), "starts")
+        if not found.limit(1).count():
+            break
+        reached.append(found)
+        over = jumps.select("key", F.col("rank").alias("to"), F.col("to").alias("_to"))
+        jumps = materialize(jumps.join(over, ["key", "to"]).select("key", "rank", F.col("_to").alias("to")), "jumps")
+    starts = known.withColumn("starts", F.lit(1))
+    marked = ranked.select("key", "rank", "ts_us", "n").join(starts, ["key", "rank"], "left").withColumn("starts", F.coalesce("starts", F.lit(0)))
+    marked = running_totals(marked, ["key"], ["ts_us"], F.col("n"), "earlier")
+    marked = running_totals(marked, ["key"], ["ts_us"], F.col("starts"), "window").withColumn("window", F.col("window") + F.col("starts"))
+    marked = materialize(marked, "marked")
+    windows = marked.where("starts = 1").select("key", "window", F.col("ts_us").alias("window_start_us"), F.col("earlier").alias("base"))
+    return marked.join(windows, ["key", "window"]).select("key", "ts_us", "window_start_us", (F.col("earlier") - F.col("base")).alias("first"))
+
+
+def rate_limited(requests: DataFrame, by: str, window_us: int = RATE_WINDOW_US, limit: int = RATE_LIMIT) -> DataFrame:
+    """Requests (seq, ts_us) with window_start_us, number in it and allowed: a window starts at a key's first request after
+    the window before has passed. The start depends on the data, so it is found on a key's distinct times, with their counts:
+    of keys of up to ``LARGE_KEY`` times in order, of larger ones by pointer jumping over many tasks; the requests take their
+    numbers from these. Requests without a key are left out."""
+    own = requests.select(F.col(by).alias("key"), "seq", "ts_us").where("key is not null")
+    times = own.groupBy("key", "ts_us").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(times.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > LARGE_KEY).select("key"), "large-keys")
+    if large.limit(1).count():
+        walked = _walked(times.join(large, "key", "left_anti"), window_us).unionByName(_jumped(times.join(large, "key", "left_semi"), window_us))
+    else:
+        walked = _walked(times, window_us)
     same_time = F.row_number().over(Window.partitionBy("key", "ts_us").orderBy("seq"))
     met = own.withColumn("same", same_time).join(walked, ["key", "ts_us"]).withColumn("number", F.col("first") + F.col("same"))
     return met.select("key", "seq", "ts_us", "window_start_us", "number", (F.col("number") <= limit).alias("allowed"))
@@ -164,3 +205,14 @@ def typed_frame(rows: DataFrame) -> DataFrame:
         else:
             out.append(c.cast("string").alias(name))
     return rows.select(*out)
+
+
+def frame_meta(rows: DataFrame, duration_ns: int, total_rows: int | None = None, name: str = "telemetry") -> DataFrame:
+    """One row beside typed_frame: the frame's name, its fields with their kinds (time, number, string), and custom metadata as
+    JSON with durationNs and totalRows, which is counted if it isn't given."""
+    kinds = [F.struct(F.lit(f.name).alias("name"), F.lit("time" if f.dataType.typeName() == "timestamp" else "number" if f.dataType.typeName() == "double" else "string").alias("kind")) for f in typed_frame(rows).schema.fields]
+    fields = F.array(*kinds) if kinds else F.array().cast("array<struct<name: string, kind: string>>")
+    total = F.count(F.lit(1)) if total_rows is None else F.max(F.lit(total_rows).cast("long"))
+    told = rows.agg(total.alias("n"))
+    custom = F.to_json(F.struct(F.lit(duration_ns).cast("long").alias("durationNs"), F.col("n").alias("totalRows")))
+    return told.select(F.lit(name).alias("name"), fields.alias("fields"), custom.alias("custom"))

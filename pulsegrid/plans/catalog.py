@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators import alerts, export, rules, scan, signals, slo, topology, traces
-from pulsegrid.sources import ingest, tables
+from pulsegrid.operators import alerts, export, ranks, rules, scan, signals, slo, topology, traces
+from pulsegrid.session import temporary_path
+from pulsegrid.sources import ingest, layout, tables
 
 DAY_US = 86_400_000_000
 #: 2024-01-01 in microseconds.
@@ -171,6 +172,23 @@ def trace_lookup(spark, d):
     return traces.trace_spans(tables.spans(spark, d), "trace-7").select("trace_id", "span_id", "parent_span_id", "seq", "ts_us", "duration_ms")
 
 
+@query
+def trace_lookup_by_bucket(spark, d):
+    """The same over a table laid out by trace: one bucket is read."""
+    name = layout.write_by_trace(tables.spans(spark, d), temporary_path(spark, "by-trace"))
+    return layout.trace(spark, name, "trace-7").select("trace_id", "span_id", "parent_span_id", "seq", "ts_us", "duration_ms")
+
+
+@query
+def range_by_layout(spark, d):
+    """The second quarter of the table by write index, from files ranged by it."""
+    e = tables.events(spark, d)
+    head = _head(e)
+    path = temporary_path(spark, "by-index")
+    layout.write_by_index(e.select(*_EVENT), path)
+    return layout.index_range(spark, path, head // 4, head // 2)
+
+
 @query
 def trace_first_span(spark, d):
     return traces.first_spans(tables.events(spark, d)).select("trace_id", "span_id", "seq", "ts_us", "service")
@@ -399,6 +417,21 @@ def cluster_services(spark, d):
     return topology.all_services(topology.latest_snapshots(_snapshots(spark, d)))
 
 
+@query
+def cluster_percentiles(spark, d):
+    """Latencies of each service over the whole cluster: sketches of each node and day, merged, beside the exact quantiles; the
+    estimates lie within one per cent of ranks."""
+    e = tables.events(spark, d).withColumn("node_id", F.col("user_id") % tables.NODES)
+    day = F.expr("(ts_us div 1000000) div 86400").alias("day")
+    states = ranks.quantile_states(e.select("node_id", "service", day, "duration_ms"), ["node_id", "service", "day"], "duration_ms")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    told = ranks.sketch_quantiles(ranks.merged_states(states, ["service"]), shares)
+    near = {f"{n}_{side}": min(1.0, max(0.0, q + by)) for n, q in shares.items() for side, by in (("low", -0.01), ("high", 0.01))}
+    exact = ranks.exact_quantiles(e, ["service"], "duration_ms", shares | near).withColumnsRenamed({n: f"{n}_ms" for n in shares})
+    met = exact.join(told, "service")
+    return met.select("service", *[S.half_up(F.col(f"{n}_ms"), 4).alias(f"{n}_ms") for n in shares], *[F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high")).alias(f"{n}_near") for n in shares])
+
+
 @query
 def drop_totals(spark, d):
     e = tables.events(spark, d)
@@ -448,6 +481,24 @@ def alert_transitions(spark, d):
     return alerts.transitions(_evaluated(spark, d)).select("rule", "service", "cycle_s", "before", "status")
 
 
+@query
+def alert_transitions_by_table(spark, d):
+    """The same rules as a table, met by an equi-join on the literal starts of their patterns."""
+    table = spark.createDataFrame([r[:8] for r in _RULES], "rule string, metric string, op string, threshold double, fire_after int, clear_after int, severity string, service string")
+    return alerts.transitions(alerts.evaluations_by_table(tables.cycles(spark, d), table)).select("rule", "service", "cycle_s", "before", "status")
+
+
+@query
+def service_silences(spark, d):
+    return alerts.silences(tables.cycles(spark, d, "hour"), 3 * 3600)
+
+
+@query
+def alert_chat_messages(spark, d):
+    moved = alerts.transitions(_evaluated(spark, d)).withColumn("value", S.half_up(F.col("value"), 1))
+    return alerts.chat_messages(moved, [r._replace(description=f"about {r.name}") for r in _RULES])
+
+
 @query
 def alert_notifications(spark, d):
     moved = alerts.transitions(_evaluated(spark, d)).withColumn("value", S.half_up(F.col("value"), 1))
@@ -719,6 +770,14 @@ def typed_frame(spark, d):
     return export.typed_frame(rows).withColumn("time", F.unix_micros("time"))
 
 
+@query
+def frame_meta(spark, d):
+    e = tables.events(spark, d)
+    rows = e.select((F.expr("ts_us div 1000")).alias("time"), "service", "duration_ms", "is_error")
+    out = export.frame_meta(rows, 1_500_000)
+    return out.select("name", F.to_json("fields").alias("fields"), "custom")
+
+
 @query
 def archive_chunks(spark, d):
     return export.archive_chunks(tables.events(spark, d), 300)

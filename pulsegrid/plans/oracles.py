@@ -295,6 +295,24 @@ shown AS (SELECT *, CASE WHEN y = floor(y) THEN CAST(CAST(y AS BIGINT) AS VARCHA
         "slo_burn": w(_SLO, f"SELECT name, bucket_s, total, bad, {_r2(_RATE, 4)} AS burn_rate FROM ({_burn(6)})"),
         "burn_alerts": w(_SLO, f"SELECT name, bucket_s, 'critical-1h' AS alert, bad, total FROM ({_burn(1)}) WHERE {_RATE} >= 14.4 UNION ALL SELECT name, bucket_s, 'warning-6h', bad, total FROM ({_burn(6)}) WHERE {_RATE} >= 6.0"),
         "slo_hours": w(_SLO + f", h AS (SELECT name, CAST(floor((ts_us // 1000000 - {BASE_US // 1_000_000}) / 3600) AS BIGINT) AS hour, count(*) AS n FROM met GROUP BY ALL)", "SELECT a.name, a.hour, a.n, coalesce(b.n, 0) AS previous FROM h a LEFT JOIN h b ON a.name = b.name AND a.hour = b.hour + 1"),
+        "trace_lookup_by_bucket": w(_SPANS, "SELECT trace_id, span_id, parent_span_id, seq, ts_us, duration_ms FROM spans WHERE trace_id = 'trace-7'", True),
+        "range_by_layout": w(_EV, f"SELECT {_EVENT} FROM ev, (SELECT max(seq) + 1 AS head FROM ev) WHERE seq >= head // 4 AND seq < head // 2"),
+        "cluster_percentiles": w(
+            _EV,
+            "SELECT service, " + ", ".join(f"{_r2(f'quantile_cont(duration_ms, {q})', 4)} AS {n}_ms" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + ", true AS p50_near, true AS p95_near, true AS p99_near FROM ev GROUP BY service",
+        ),
+        "alert_transitions_by_table": w(_ALERT, "SELECT rule, service, cycle_s, before, status FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY rule, service ORDER BY cycle_s), 'ok') AS before FROM state) WHERE status <> before"),
+        "service_silences": w(
+            _cycle(3600)
+            + """, gap AS (SELECT service, cycle_s, lead(cycle_s) OVER (PARTITION BY service ORDER BY cycle_s) AS back FROM (SELECT DISTINCT service, cycle_s FROM cycle)),
+late AS (SELECT *, (SELECT min(c.cycle_s) FROM cycle c WHERE c.cycle_s >= gap.cycle_s + 10800) AS late_s FROM gap),
+kept AS (SELECT * FROM late WHERE late_s IS NOT NULL AND (back IS NULL OR late_s < back))""",
+            "SELECT service, 'gone' AS kind, late_s AS cycle_s, late_s - cycle_s AS silent_s FROM kept UNION ALL SELECT service, 'returned', back, back - cycle_s FROM kept WHERE back IS NOT NULL",
+        ),
+        "frame_meta": w(
+            _EV,
+            """SELECT 'telemetry' AS name, '[{"name":"time","kind":"time"},{"name":"service","kind":"string"},{"name":"duration_ms","kind":"number"},{"name":"is_error","kind":"number"}]' AS fields, '{"durationNs":1500000,"totalRows":' || count(*) || '}' AS custom FROM ev""",
+        ),
         "slo_status_shared": w(
             _SLO_SHARED,
             f"SELECT slo_service, metric, name, target_pct, total, bad, budget, {_r2('CASE WHEN budget > 0 THEN greatest(0.0, (budget - bad)::DOUBLE / budget) ELSE 1.0 END', 6)} AS remaining FROM (SELECT *, CAST(greatest(0, floor(total * (100 - target_pct) / 100 + 0.5)) AS BIGINT) AS budget FROM (SELECT slo_service, metric, name, target_pct, count(*) AS total, count(*) FILTER (bad) AS bad FROM met GROUP BY ALL))",

@@ -56,12 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def temporary_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/pulsegrid-{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors. The table goes when the
     driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulsegrid-{label}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
