@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators import alerts, export, ranks, rules, scan, signals, slo, topology, traces
 from pulsegrid.session import temporary_path
-from pulsegrid.sources import ingest, layout, tables
+from pulsegrid.sources import ingest, layout, table_functions, tables
 
 DAY_US = 86_400_000_000
 #: 2024-01-01 in microseconds.
@@ -281,6 +281,18 @@ def signals_sorted_errors(spark, d):
     return signals.sorted_signals(own, "error_pct").where("position <= 20").select("position", "service", "error_pct")
 
 
+@query
+def signals_sorted_rate(spark, d):
+    own = signals.golden_signals(topology.resolve_targets(topology.edges(tables.net_events(spark, d))), UPTIME_S)
+    return signals.sorted_signals(own, "rate_rps").select("service", "position")
+
+
+@query
+def signals_sorted_name(spark, d):
+    own = signals.golden_signals(topology.resolve_targets(topology.edges(tables.net_events(spark, d))), UPTIME_S)
+    return signals.sorted_signals(own, "service").select("service", "position")
+
+
 @query
 def signals_by_milliseconds(spark, d):
     """Rates by millisecond of uptime, as alert rules of the reference see them."""
@@ -645,6 +657,32 @@ def json_ingest(spark, d):
     return ok.select("trace_id", "span_id", "service", "duration_ms", "is_error", "ts_us")
 
 
+@query
+def json_variant_ingest(spark, d):
+    """Events with fields that no schema declares, some of other types: they survive in the VARIANT."""
+    e = tables.events(spark, d)
+    extra = F.struct(F.col("trace_id").alias("traceId"), F.col("service"), F.col("duration_ms").alias("durationMs"), F.expr("ts_us div 1000").alias("timestamp"), F.col("span_id").alias("spanId"), F.when(F.col("k") % 3 == 0, F.struct(F.col("k").alias("shard"), F.array("kind").alias("tags"))).alias("ext"))
+    v = ingest.from_json_variant(e.select(F.to_json(extra).alias("body")))
+    return v.select("spanId", "traceId", "service", "timestamp", "isError", F.try_variant_get("event", "$.ext.shard", "int").alias("shard"), F.try_variant_get("event", "$.ext.tags[0]", "string").alias("tag"))
+
+
+@query
+def json_unknown_fields(spark, d):
+    e = tables.events(spark, d)
+    body = F.to_json(F.struct(F.col("span_id").alias("spanId"), "service", F.when(F.col("k") % 3 == 0, F.col("k")).alias("shard"), F.when(F.col("k") % 2 == 0, F.col("kind")).alias("kind")))
+    return ingest.unknown_fields(ingest.from_json_variant(e.select(body.alias("body"))))
+
+
+@query
+def binary_batches_by_sql(spark, d):
+    """The table function in SQL over binary batches of the table's events."""
+    table_functions.register(spark)
+    e = tables.events(spark, d)
+    batches = ingest.to_binary(e.select("seq", "ts_us", "duration_ms", "status_code", F.concat_ws("/", "trace_id", F.expr("cast(seq div 1000 as string)")).alias("batch")), "batch")
+    out = spark.sql("SELECT * FROM decode_batches(TABLE(SELECT batch_id, body FROM {batches}) PARTITION BY batch_id)", batches=batches)
+    return out.select("batch_id", "place", F.col("timestamp").alias("ts_us"), S.half_up(F.col("duration_ms").cast("double")).alias("duration_ms"), "status_code", "is_error")
+
+
 @query
 def json_accounting(spark, d):
     bodies = _bodies(spark, d)

@@ -234,6 +234,8 @@ n AS (SELECT trace_id, count(*) AS spans FROM rec GROUP BY 1)""",
         ),
         "golden_signals": w(_SIGNALS, "SELECT * FROM signal"),
         "golden_signals_percentiles": w(_SIGNALS, "SELECT * FROM signal2"),
+        "signals_sorted_rate": w(_SIGNALS, "SELECT service, row_number() OVER (ORDER BY rate_rps DESC, service) AS position FROM signal"),
+        "signals_sorted_name": w(_SIGNALS, "SELECT service, row_number() OVER (ORDER BY service) AS position FROM signal"),
         "signals_sorted_p99": w(_SIGNALS, "SELECT position, service, p99_ms FROM (SELECT *, row_number() OVER (ORDER BY p99_ms DESC, service) AS position FROM signal2) WHERE position <= 20"),
         "retransmit_rate": w(_NET, f"SELECT CAST(sum(retransmit_count) AS BIGINT) AS retransmits, CAST(sum(hit_count) AS BIGINT) AS hits, {_r2('sum(retransmit_count)::DOUBLE / sum(hit_count)::DOUBLE * 100', 1)} AS retransmit_pct FROM edge2"),
         "topology_nodes": w(_NET, "SELECT source AS node FROM resolved UNION SELECT target FROM resolved"),
@@ -341,6 +343,12 @@ kept AS (SELECT * FROM late WHERE late_s IS NOT NULL AND (back IS NULL OR late_s
         "health_summary": w(_EV, "SELECT count(*) AS events, count(DISTINCT service) AS services, count(*) FILTER (is_error) AS errors, CAST(floor(count(*) / 3600.0 + 0.5) AS BIGINT) AS events_per_s FROM ev"),
         "tag_dictionary": w(_EV, "SELECT service AS tag, first_seq, row_number() OVER (ORDER BY first_seq) AS tag_id FROM (SELECT service, min(seq) AS first_seq FROM ev GROUP BY service)"),
         "json_ingest": w(_EV, "SELECT trace_id, span_id, service, duration_ms, is_error, ts_us // 1000 * 1000 AS ts_us FROM ev WHERE seq % 10 <> 0"),
+        "json_variant_ingest": w(
+            _EV,
+            "SELECT span_id AS \"spanId\", trace_id AS \"traceId\", service, ts_us // 1000 AS timestamp, CAST(NULL AS BOOLEAN) AS \"isError\", CASE WHEN k % 3 = 0 THEN CAST(k AS INTEGER) END AS shard, CASE WHEN k % 3 = 0 THEN kind END AS tag FROM ev",
+        ),
+        "json_unknown_fields": w(_EV, """SELECT span_id AS "spanId", 'shard' AS key, CAST(k AS VARCHAR) AS value FROM ev WHERE k % 3 = 0 UNION ALL SELECT span_id, 'kind', '"' || kind || '"' FROM ev WHERE k % 2 = 0"""),
+        "binary_batches_by_sql": w(_EV, f"SELECT trace_id || '/' || (seq // 1000) AS batch_id, row_number() OVER (PARTITION BY trace_id, seq // 1000 ORDER BY seq) - 1 AS place, ts_us, {_r2('CAST(CAST(duration_ms AS FLOAT) AS DOUBLE)')} AS duration_ms, status_code, status_code >= 400 AS is_error FROM ev"),
         "json_accounting": w(_EV, "SELECT count(*) AS total, count(*) FILTER (seq % 10 <> 0) AS accepted, count(*) FILTER (seq % 10 = 0) AS rejected FROM ev"),
         "envelope_events": w(_EV, "SELECT span_id AS trace_id, service, CASE WHEN k > 9 THEN duration_ms ELSE 0.0 END AS duration_ms, false AS is_error, ts_us * 1000 AS ts_ns, 'host-1' AS host, kind AS tag_kind FROM ev"),
         "otlp_events": w(_EV, f"SELECT CASE WHEN k % 10 <> 0 THEN service ELSE 'unknown' END AS service, trace_id, span_id, kind AS name, ts_us // 1000 AS ts_ms, {_r2('CAST(floor(duration_ms * 1000000 + 0.5) AS BIGINT) / 1000000', 3)} AS duration_ms, is_error, CAST(k AS VARCHAR) AS attr_k FROM ev"),

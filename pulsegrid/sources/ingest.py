@@ -50,6 +50,25 @@ def from_json(lines: DataFrame, body: str = "body") -> tuple[DataFrame, DataFram
     return ok, parsed.where(~F.coalesce(whole, F.lit(False))).select(body)
 
 
+#: The declared fields of an event, by name and type.
+DECLARED = [tuple(x.split(" ")) for x in EVENT_SCHEMA.split(", ")]
+
+
+def from_json_variant(lines: DataFrame, body: str = "body") -> DataFrame:
+    """Events of JSON bodies, parsed once into a VARIANT: the declared fields by type (null where a value doesn't fit), and the
+    whole event as ``event``, in which unknown fields live on with their types. Bodies that aren't JSON objects give no row."""
+    v = lines.select(F.explode(F.array(F.try_parse_json(body))).alias("event")).where("event is not null and startswith(schema_of_variant(event), 'OBJECT')")
+    fields = [F.try_variant_get("event", f"$.{n}", t).alias(n) for n, t in DECLARED]
+    return v.select(*fields, "event")
+
+
+def unknown_fields(events: DataFrame) -> DataFrame:
+    """The top-level fields of the events (spanId, event) that aren't declared: spanId, key, value (JSON text)."""
+    fields = F.expr("variant_get(event, '$', 'map<string, variant>')")
+    rows = events.select("spanId", F.explode(fields).alias("key", "v")).where(~F.col("key").isin([n for n, _ in DECLARED]))
+    return rows.select("spanId", "key", F.to_json("v").alias("value"))
+
+
 def accounting(total: DataFrame, accepted: DataFrame) -> DataFrame:
     """total, accepted and rejected rows."""
     n = total.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(accepted.agg(F.count(F.lit(1)).alias("accepted"))))
@@ -138,8 +157,13 @@ def from_binary(batches: DataFrame) -> DataFrame:
     return batches.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("body").cast("binary").alias("body")).mapInArrow(_binary, "batch_id string, place long, timestamp long, duration_ms float, status_code int, is_error boolean")
 
 
+#: Write indexes of a key's rows in one binary batch.
+BATCH_SPAN = 100_000
+
+
 def to_binary(events: DataFrame, by: str = "trace_id") -> DataFrame:
-    """Events (ts_us, duration_ms, status_code) as one binary batch for each key of a bounded group."""
+    """Events (seq, ts_us, duration_ms, status_code) as binary batches, one for each key and block of ``BATCH_SPAN`` write
+    indexes, so no batch has more rows than that."""
     ship_package(events.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +177,7 @@ def to_binary(events: DataFrame, by: str = "trace_id") -> DataFrame:
             out = [wire.encode_batch(key, own[a:b]) for key, a, b in zip(batch.column("batch_id").to_pylist(), ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("batch_id"), pa.array(out, pa.binary())], names=["batch_id", "body"])
 
-    grouped = events.groupBy(F.col(by).alias("batch_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "ts_us", "duration_ms", "status_code"))).alias("rows"))
+    grouped = events.groupBy(F.col(by).alias("batch_id"), F.expr(f"seq div {BATCH_SPAN}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("seq", "ts_us", "duration_ms", "status_code"))).alias("rows"))
     return grouped.mapInArrow(encode, "batch_id string, body binary")
 
 
