@@ -296,6 +296,88 @@ def live_burn_alerts(observed: DataFrame, slos: DataFrame, alerts: list[tuple[in
     return each.select(*slo.KEY, "bucket_s", "a.alert", "bad", "total", "burn_rate")
 
 
+class _Points(InOrder):
+    """A service's last rates."""
+
+    waits, order = "at_ms long, cycle_s long, rate_rps double", ["cycle_s"]
+
+    def __init__(self, points: int, idle_ms: int):
+        self.points, self.idle_ms = points, idle_ms
+
+    def start(self, handle) -> None:
+        self.rates = handle.getListState("rates", "cycle_s long, rate_rps double")
+
+    def walk(self, key, rows):
+        held = [tuple(r) for r in self.rates.get()] if self.rates.exists() else []
+        if held and rows["at_ms"].iloc[0] - held[-1][0] * 1000 > self.idle_ms:
+            held = []
+        out = []
+        for r in rows.itertuples(index=False):
+            held = [*held, (int(r.cycle_s), float(r.rate_rps))][-self.points :]
+            out.append((key[0], int(r.cycle_s), [x for _, x in held]))
+        self.rates.put(held)
+        return pd.DataFrame(out, columns=["service", "cycle_s", "sparkline"])
+
+    def needed_until(self, watermark_ms):
+        return list(self.rates.get())[-1][0] * 1000 + self.idle_ms if self.rates.exists() else None
+
+    def forget(self):
+        self.rates.clear()
+
+
+def live_sparklines(events: DataFrame, seconds: int = 10, points: int = 120, idle_ms: int = IDLE_MS, late: str = WATERMARK) -> DataFrame:
+    """The last rates of each service, oldest first, whenever the watermark has passed one of its cycles of so many seconds; a
+    service without events for idle_ms is forgotten. Equal to alerts.sparkline up to that cycle."""
+    at = F.timestamp_micros("ts_us")
+    counted = events.select("service", at.alias("at")).withWatermark("at", late).groupBy(F.window("at", f"{seconds} seconds").alias("w"), "service").agg((F.count(F.lit(1)) / seconds).alias("rate_rps"))
+    start = F.unix_seconds("w.start")
+    rows = counted.select("service", start.alias("cycle_s"), (start * 1000).alias("at_ms"), "rate_rps", "w")
+    return _stateful(rows, ["service"], _Points(points, idle_ms), "service string, cycle_s long, sparkline array<double>")
+
+
+class _Services(StatefulProcessor):
+    """When a service was seen first and last, and its events."""
+
+    def __init__(self, gone_ms: int):
+        self.gone_ms = gone_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first_us long, last_us long, events long")
+
+    def _row(self, key, state: str):
+        first, last, events = self.seen.get()
+        return pd.DataFrame([(key[0], state, first, last, events)], columns=["service", "state", "first_us", "last_us", "events"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.seen.exists()
+        first, last, events = self.seen.get() if known else (2**62, 0, 0)
+        for part in rows:
+            first, last, events = min(first, int(part["ts_us"].min())), max(last, int(part["ts_us"].max())), events + len(part)
+        self.seen.update((first, last, events))
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(max(last // 1000, timerValues.getCurrentWatermarkInMs()) + self.gone_ms)
+        yield self._row(key, "seen" if known else "new")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = self.seen.get()[1] // 1000 + self.gone_ms
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+        else:
+            yield self._row(key, "gone")
+            self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def live_services(events: DataFrame, gone_ms: int = 300_000, late: str = WATERMARK) -> DataFrame:
+    """The registry of services as a stream: a row with state new, seen or gone for each service whenever a batch has events of
+    it, or the watermark is gone_ms past its last one; then it is forgotten, and new again when it comes back."""
+    rows = events.select("service", "ts_us", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", late)
+    return _stateful(rows, ["service"], _Services(gone_ms), "service string, state string, first_us long, last_us long, events long", "update")
+
+
 class _Pairs(InOrder):
     """A thread's last exit."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.operators.rules import Rule, dropped
-from pulsegrid.streaming.stateful import WATERMARK, live_alerts, live_burn, live_burn_alerts, live_connects, live_edges, live_limiter  # noqa: F401
+from pulsegrid.streaming.stateful import WATERMARK, live_alerts, live_burn, live_burn_alerts, live_connects, live_edges, live_limiter, live_services, live_sparklines  # noqa: F401
 
 #: Milliseconds of the stream's time after which a node without a push counts as stale.
 STALE_MS = 60_000

@@ -131,6 +131,29 @@ def test_burn_in_many_batches(spark, files):
         assert rows(out.where(f"hours = {hours}"), *slo.KEY, "bucket_s", "total", "bad") == rows(slo.burn(observed, goals, hours, 600), *slo.KEY, "bucket_s", "total", "bad")
 
 
+EVENT = "service string, ts_us long"
+
+
+def test_sparklines_in_many_batches(spark, files):
+    rng = random.Random(8)
+    own = [(rng.choice("ab"), (1000 + rng.randrange(200)) * S) for _ in range(300)]
+    dealt = sorted(own, key=lambda r: r[1] + rng.randrange(30) * S)
+    f = files(EVENT).add(*[dealt[i : i + 75] for i in range(0, 300, 75)], [("none", FAR)])
+    out = f.run(streams.live_sparklines(f.read(), 10, 5, late="60 seconds"), "append")
+    cycles = spark.createDataFrame(own, EVENT).selectExpr("service", "ts_us div 10000000 * 10 AS cycle_s").groupBy("service", "cycle_s").agg((F.count(F.lit(1)) / 10).alias("rate_rps"))
+    last = {r.service: r.l for r in out.groupBy("service").agg(F.max_by("sparkline", "cycle_s").alias("l")).collect()}
+    batch = alerts.sparkline(cycles, 5).orderBy("service", "point").collect()
+    assert {k: [r.rate_rps for r in batch if r.service == k] for k in "ab"} == {k: last[k] for k in "ab"}
+    assert out.where("service != 'none'").count() == cycles.count()
+
+
+def test_services_come_and_go(files):
+    f = files(EVENT).add([("a", 1000 * S), ("b", 1000 * S)], [("b", 1200 * S)], [("b", 1400 * S)], [("b", 1401 * S)], [("a", 1402 * S), ("b", 1399 * S)])
+    out = f.run(streams.live_services(f.read(), 300_000, "0 seconds"), "update")
+    assert [(r.state, r.first_us // S, r.last_us // S, r.events) for r in out.where("service = 'a'").orderBy("batch", "state").collect()] == [("new", 1000, 1000, 1), ("gone", 1000, 1000, 1), ("new", 1402, 1402, 1)]
+    assert out.where("service = 'b' and state != 'seen'").count() == 1
+
+
 CALL = "thread long, seq long, ts_us long, phase int"
 
 
