@@ -11,7 +11,9 @@ whatever the number of rows - and, within the bucket in which a shard fills, fro
 most ``EXACT_ROWS`` arrivals are looked at one by one. Placement and slot numbers are then map and window work.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; null or repeated keys are told apart by checksum and
-size, then by position within their bucket, so every row is placed and the law holds; an empty table gives no rows.
+size, then by position within their bucket, so every row is placed and the law holds; a very long text counts by its bytes,
+and no text is shuffled; ties of the arrival hash go by the key; an empty table gives no rows; columns named shard or slot, in
+any letter case, are replaced, and all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, prepare
+from ._common import materialize, prepare, reserved
 
 VIRTUAL_NODES = 32
 #: Buckets of arrivals: the most tasks of the sort, and with the arcs the size of the counts on the driver.
@@ -115,6 +117,9 @@ def _moments(arrivals: DataFrame, prefer: np.ndarray, limit: list[int]) -> dict[
 def shard_rows(rows: DataFrame, key: list[str], shards: int, *, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); key tells the rows apart."""
     prepare(rows.sparkSession)
+    rows = reserved(rows, "shard", "slot")
+    names = {c: f"_pulsegrid_{i}" for i, c in enumerate(rows.columns)}
+    rows, key = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [names[k] for k in key]
     slots, prefer = ring(shards, virtual_nodes)
     at = F.pmod(F.xxhash64(F.lit("ring"), *key), F.lit(RING_SLOTS)).cast("int")
     order = F.xxhash64(F.lit("arrival"), *key)
@@ -136,7 +141,7 @@ def shard_rows(rows: DataFrame, key: list[str], shards: int, *, virtual_nodes: i
     before = F.broadcast(before.select("bucket", "shard", F.coalesce("before", F.lit(0)).alias("before")))
     slot = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("position")) - 1
     out = out.withColumn("slot", slot).join(before, ["bucket", "shard"])
-    return out.withColumn("slot", (F.col("slot") + F.col("before")).cast("long")).drop("before", "position", "bucket", "arc")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "shard", (F.col("slot") + F.col("before")).cast("long").alias("slot"))
 
 
 def _place(moments: dict[int, tuple[int, int]], prefer: np.ndarray):

@@ -462,6 +462,14 @@ def test_shards_move_little(spark):
     assert sum(more[d] == 8 for d in moved) == Counter(more.values())[8] == 111
 
 
+def test_shards_beside_clashing_columns(spark):
+    rows = spark.range(50).withColumns({c: F.lit(i) for i, c in enumerate(["arc", "bucket", "position", "_order", "before", "SLOT", "a.b"])})
+    out = shard.shard_rows(rows, ["id"], 4)
+    assert out.columns == ["id", "arc", "bucket", "position", "_order", "before", "a.b", "shard", "slot"]
+    plain = shard.shard_rows(spark.range(50), ["id"], 4)
+    assert sorted((r.id, r.shard, r.slot) for r in out.collect()) == sorted(map(tuple, plain.collect())) and out.where("arc = 0 and before = 4").count() == 50
+
+
 def test_shard_odd_tables(spark):
     d = odd(spark).union(odd(spark)).union(odd(spark).withColumn("doc_id", F.lit(None).cast("long")))
     got = shard.shard_documents(d).collect()
