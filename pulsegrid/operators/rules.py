@@ -23,10 +23,12 @@ class Rule(NamedTuple):
 
 def load_rules(path: str | Path) -> list[Rule]:
     """Rules of a TOML file's [[filters]]; none if there is no file."""
-    if not Path(path).exists():
-        return []
-    with open(path, "rb") as f:
-        return [checked(Rule(r["column"], r["op"], float(r["threshold"]), r.get("action", "drop"))) for r in tomllib.load(f).get("filters", [])]
+    return parse_rules(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else []
+
+
+def parse_rules(text: str) -> list[Rule]:
+    """Rules of the [[filters]] of a TOML text; operators by name or sign."""
+    return [checked(Rule(r["column"], r["op"], float(r["threshold"]), r.get("action", "drop"))) for r in tomllib.loads(text).get("filters", [])]
 
 
 def checked(rule: Rule) -> Rule:

@@ -105,6 +105,12 @@ def health_summary(events: DataFrame, uptime_s: float) -> DataFrame:
     return events.agg(n.alias("events"), F.count_distinct("service").alias("services"), F.count_if("is_error").alias("errors"), F.floor(n / max(uptime_s, 1.0) + 0.5).cast("long").alias("events_per_s"))
 
 
+def engine_summary(events: DataFrame, uptime_s: float) -> DataFrame:
+    """Events, events by second (rounded) and scan_latency_us, which is the longest duration in microseconds; 0 for none."""
+    n = F.count(F.lit(1))
+    return events.agg(n.alias("events"), F.floor(n / max(uptime_s, 1.0) + 0.5).cast("long").alias("events_per_s"), (F.coalesce(F.max("duration_ms"), F.lit(0.0)) * 1000).alias("scan_latency_us"))
+
+
 def latency_ranks(events: DataFrame, by: str = "service") -> DataFrame:
     """Median as sorted[n div 2] and p99 as sorted[floor(0.99 n)] of each service: nearest ranks."""
     return exact_quantiles(events, [by], "duration_ms", {"median_ms": 0.5, "p99_ms": 0.99}, nearest=True)

@@ -159,6 +159,24 @@ def rules_drop(spark, d):
     return rules.apply_rules(tables.events(spark, d), RULES).select(*_EVENT)
 
 
+#: Three states of a configuration: rules by sign, others by name beside one that keeps, and none.
+_CONFIGS = [
+    '[[filters]]\ncolumn = "duration"\nop = "<"\nthreshold = 5.0\n[[filters]]\ncolumn = "is_error"\nop = "=="\nthreshold = 1\naction = "drop"\n',
+    '[[filters]]\ncolumn = "duration"\nop = "gte"\nthreshold = 100\n[[filters]]\ncolumn = "duration"\nop = "!="\nthreshold = -1\naction = "keep"\n',
+    "",
+]
+
+
+@query
+def rules_of_config(spark, d):
+    """Events that are left after each reload of the configuration; none clears the filter."""
+    out = None
+    for version, text in enumerate(_CONFIGS):
+        kept = rules.apply_rules(tables.events(spark, d), rules.parse_rules(text)).groupBy("service").agg(F.count(F.lit(1)).alias("kept")).withColumn("version", F.lit(version))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 @query
 def rules_dropped_by_rule(spark, d):
     return rules.dropped_by_rule(tables.events(spark, d), RULES)
@@ -631,6 +649,12 @@ def prom_gauges(spark, d):
     return signals.counters(tables.events(spark, d)).where("name = 'last_duration_ms'").select("name", F.col("labels")["service"].alias("service"), "value")
 
 
+@query
+def engine_summary(spark, d):
+    out = signals.engine_summary(tables.events(spark, d), UPTIME_S)
+    return out.withColumn("scan_latency_us", S.half_up(F.col("scan_latency_us"), 3))
+
+
 @query
 def health_summary(spark, d):
     return signals.health_summary(tables.events(spark, d), UPTIME_S)

@@ -170,6 +170,11 @@ def oracle_sql() -> dict[str, str]:
         "group_by_service": w(_EV, "SELECT service, count(*) AS n, count(*) FILTER (is_error) AS errors FROM ev GROUP BY service"),
         "latency_ranks": w(_EV, "SELECT service, list_sort(list(duration_ms))[count(*) // 2 + 1] AS median_ms, list_sort(list(duration_ms))[count(*) * 99 // 100 + 1] AS p99_ms FROM ev GROUP BY service"),
         "rules_drop": w(_EV, f"SELECT {_EVENT} FROM ev WHERE NOT {_DROPPED}"),
+        "rules_of_config": w(
+            _EV,
+            "SELECT 0 AS version, service, count(*) AS kept FROM ev WHERE NOT (duration_ms < 5 OR is_error) GROUP BY service UNION ALL SELECT 1, service, count(*) FROM ev WHERE NOT duration_ms >= 100 GROUP BY service UNION ALL SELECT 2, service, count(*) FROM ev GROUP BY service",
+        ),
+        "engine_summary": w(_EV, f"SELECT count(*) AS events, CAST(floor(count(*) / 3600.0 + 0.5) AS BIGINT) AS events_per_s, {_r2('max(duration_ms) * 1000', 3)} AS scan_latency_us FROM ev"),
         "rules_dropped_by_rule": w(
             _EV,
             " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER ({cond}) AS matched, count(*) FILTER ({_DROPPED}) AS dropped_by_any FROM ev" for name, cond in (("duration lt 5", "duration_ms < 5"), ("is_error eq 1", "is_error"), ("duration gt 400", "duration_ms > 400"))),
