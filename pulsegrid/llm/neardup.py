@@ -49,6 +49,9 @@ MOST_ODD = 165
 FINE_SAMPLES, FINE_BITS, FINE_MOST_ODD = 1024, 4096, 576
 #: Rounds of bucket leaders; members in a part of a bucket that leaders leave open.
 LEADER_ROUNDS, PART_MEMBERS = 2, 256
+#: Open rows below which no further round of leaders is worth its joins, and pairs that are confirmed at once; the links found
+#: are the same.
+FEW_OPEN, FEW_PAIRS = 20_000, 20_000
 #: Rows of cells, and pairs of them, that a task compares at once.
 MEET_ROWS, MEET_PAIRS = 4096, 1 << 18
 #: Ids that are broadcast at most (8 bytes each, under 100 MB as a hash table); beyond that the join shuffles.
@@ -216,6 +219,13 @@ def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if row_count_at_most(ids, most) else ids
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """df written, and its number of rows, which the writing counts."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return table, seen.get["n"]
+
+
 def _odd_bits() -> F.Column:
     """Bits in which the sketches of a pair differ."""
     return F.expr(" + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(SKETCH_BITS // 64)))
@@ -264,15 +274,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "a_items", "b_items").mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def _placed(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+def _placed(rows: DataFrame, component: DataFrame | None) -> tuple[DataFrame, int | None]:
     """rows (key, id) of the buckets whose members lie in several components, with the component and whether it is the
-    largest of the bucket; a node without a link is its own component."""
+    largest of the bucket, and their number, if they were counted; a node without a link is its own component."""
     if component is None:
-        return rows.withColumn("component", F.col("id")).withColumn("led", F.lit(False))
+        return rows.withColumn("component", F.col("id")).withColumn("led", F.lit(False)), None
     rows = rows.join(small_side(component.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return materialize(rows.join(largest, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("led")), "open")
+    return counted(rows.join(largest, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("led")), "open")
 
 
 def _grown(component: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -303,9 +313,11 @@ def _stragglers(open_rows: DataFrame, component: DataFrame, held: DataFrame, tex
     dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     cells = dealt.join(small_side(fine, 10_000), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     names = ["key", "low", "high", "id", "component", "led", "part", "n", "sketch", "fine", "bands"]
-    met = materialize(cells.select(*names).mapInArrow(_meet, "a long, b long, odd long"), "met")
-    if not met.limit(1).count():
+    met, n_met = counted(cells.select(*names).mapInArrow(_meet, "a long, b long, odd long"), "met")
+    if not n_met:
         return component
+    if n_met <= FEW_PAIRS:
+        return _grown(component, linked(met.select("a", "b").distinct()))
     # The nearest of each first, the others only where components are still apart.
     nearest = met.groupBy("a").agg(F.min_by("b", F.struct("odd", "b")).alias("b")).select("a", "b")
     component = _grown(component, linked(nearest))
@@ -360,17 +372,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         least = own_nodes.groupBy("doc_id").agg(F.min("id").alias("a"))
         component = _grown(None, own_nodes.join(least, "doc_id").where("a != id").select("a", F.col("id").alias("b")))
 
-    open_rows = _placed(buckets.select("key", "id"), component)
+    open_rows, left = _placed(buckets.select("key", "id"), component)
     for _ in range(LEADER_ROUNDS):
         rank = F.struct("degree", -F.col("id"))
         leaders = open_rows.where("not led").join(small_side(degrees), "id").groupBy("key").agg(F.max_by("id", rank).alias("a"), F.max_by("component", rank).alias("a_component"))
         led = open_rows.join(leaders, "key").where("component != a_component").select("a", F.col("id").alias("b")).distinct()
         led = led.join(_side(held.drop("bands"), "a"), "a").join(_side(held.drop("bands"), "b"), "b").where(_near()).select("a", "b", _odd_bits().alias("odd"))
         component = _grown(component, linked(led.groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")))
-        open_rows = _placed(open_rows.select("key", "id"), component)
-        if not open_rows.limit(1).count():
+        open_rows, left = _placed(open_rows.select("key", "id"), component)
+        if left <= FEW_OPEN:
             break
-    else:
+    if left:
         component = _stragglers(open_rows, component, held, texts_of, linked)
 
     component = component.withColumnRenamed("node", "id")
