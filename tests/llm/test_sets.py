@@ -316,7 +316,7 @@ def test_oracle(spark, sf, name):
 
 def test_registry():
     known = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in known if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in known if k.startswith("op")}
     assert "pipeline" in known
 
 
