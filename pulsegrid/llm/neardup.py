@@ -49,9 +49,9 @@ MOST_ODD = 165
 FINE_SAMPLES, FINE_BITS, FINE_MOST_ODD = 1024, 4096, 576
 #: Rounds of bucket leaders; members in a part of a bucket that leaders leave open.
 LEADER_ROUNDS, PART_MEMBERS = 2, 256
-#: Open rows below which no further round of leaders is worth its joins, and pairs that are confirmed at once; the links found
-#: are the same.
-FEW_OPEN, FEW_PAIRS = 20_000, 20_000
+#: Meetings of two members of open buckets below which no further round of leaders is worth its joins, and pairs that are
+#: confirmed at once; the links found are the same.
+FEW_MEETINGS, FEW_PAIRS = 1_000_000, 20_000
 #: Rows of cells, and pairs of them, that a task compares at once.
 MEET_ROWS, MEET_PAIRS = 4096, 1 << 18
 #: Ids that are broadcast at most (8 bytes each, under 100 MB as a hash table); beyond that the join shuffles.
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         led = led.join(_side(held.drop("bands"), "a"), "a").join(_side(held.drop("bands"), "b"), "b").where(_near()).select("a", "b", _odd_bits().alias("odd"))
         component = _grown(component, linked(led.groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")))
         open_rows, left = _placed(open_rows.select("key", "id"), component)
-        if left <= FEW_OPEN:
+        if not left or open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] <= FEW_MEETINGS:
             break
     if left:
         component = _stragglers(open_rows, component, held, texts_of, linked)
