@@ -277,6 +277,17 @@ e AS (SELECT cid, count(*) FILTER (status = 1) AS hits, count(*) FILTER (status
         "breach_streaks": w(_ALERT, "SELECT rule, service, cycle_s, breached, CASE WHEN breached THEN s ELSE 0 END AS breach_streak, CASE WHEN breached THEN 0 ELSE s END AS clear_streak FROM streak"),
         "alert_states": w(_ALERT, "SELECT rule, service, cycle_s, breached, status FROM state"),
         "alert_transitions": w(_ALERT, "SELECT rule, service, cycle_s, before, status FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY rule, service ORDER BY cycle_s), 'ok') AS before FROM state) WHERE status <> before"),
+        "alert_chat_messages": w(
+            _ALERT
+            + """, v AS (SELECT 'errors' AS rule, service, cycle_s, error_pct AS x, 'error_pct' AS metric, '20' AS t, 'CRITICAL' AS sev FROM wide
+  UNION ALL SELECT 'slow', service, cycle_s, avg_latency_ms, 'avg_latency_ms', '50', 'WARNING' FROM wide UNION ALL SELECT 'drop', service, cycle_s, rate_drop_pct, 'rate_drop_pct', '20', 'WARNING' FROM wide),
+moved AS (SELECT * FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY rule, service ORDER BY cycle_s), 'ok') AS before FROM state) WHERE status <> before),
+told AS (SELECT rule, service, cycle_s, status = 'firing' AS fires, metric, v.t, sev, """
+            + _r2("x", 1)
+            + """ AS y, strftime(make_timestamp(cycle_s * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS told_at FROM moved JOIN v USING (rule, service, cycle_s)),
+shown AS (SELECT *, CASE WHEN y = floor(y) THEN CAST(CAST(y AS BIGINT) AS VARCHAR) ELSE CAST(y AS VARCHAR) END AS z, 'http://localhost/status?service=' || service AS link FROM told)""",
+            "SELECT rule, service, cycle_s, CASE WHEN fires THEN 'fire' ELSE 'resolve' END AS kind, CASE WHEN fires THEN CASE WHEN sev = 'CRITICAL' THEN ':fire:' ELSE ':warning:' END || ' *' || sev || ': ' || rule || '*' || chr(10) || '> about ' || rule || chr(10) || '> Service: ' || service || chr(10) || '> ' || metric || ' = ' || z || ' (threshold: gt ' || t || ')' ELSE ':white_check_mark: *RESOLVED: ' || rule || '*' || chr(10) || '> Service: ' || service END || chr(10) || '> Timestamp: ' || told_at AS text FROM shown",
+        ),
         "alert_notifications": w(
             _ALERT
             + """, v AS (SELECT 'errors' AS rule, service, cycle_s, error_pct AS x, 'error_pct' AS metric, '20' AS t, 'CRITICAL' AS sev FROM wide
