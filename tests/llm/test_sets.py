@@ -270,6 +270,25 @@ def test_urls_equal_brute_force(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize(
+    "url, rule, verdict",
+    [
+        ("http://a.com/en/1", "com/en/", "block"),
+        ("http://www.example.com/en/71", "example.com/en/7", "allow"),
+        ("http://a.net/de/1", "net/de/", "allow"),
+        ("http://www.example.net/de/80", "example.net/de/8", "block"),
+        ("http://example.net/de/7", "net/de/", "allow"),
+        ("http://a.org/es/1", "org/es/", "block"),
+        ("http://a.org/de/1", None, "allow"),
+    ],
+)
+def test_verdicts_of_the_contract(spark, tmp_path, url, rule, verdict):
+    """The registered query with each rule of its contract, its word written out."""
+    spark.createDataFrame([(1, url)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    row = queries.op2_url_filter(spark, str(tmp_path)).first()
+    assert (row.rule, row.verdict) == (rule, verdict)
+
+
 # chat
 
 
