@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators.ranks import followers, running_totals
-from pulsegrid.session import materialize
+from pulsegrid.operators.ranks import changes, followers, running_totals
+from pulsegrid.session import materialize, ship_package
 
 PREFIX = "telemetry"
 # Measure name, signal column, series type (2 rate, 3 gauge), unit.
@@ -116,40 +118,98 @@ def write_archive(events: DataFrame, path: str, chunk: int = 1_000_000) -> None:
 
 
 RATE_WINDOW_US, RATE_LIMIT = 60_000_000, 1000
-#: Distinct times of the largest key whose windows are walked in one task.
+#: Rows of a block of the sorted requests; a task holds one at a time.
+BLOCK_ROWS = 500_000
+#: Entries of the largest key that are walked in one task.
 LARGE_KEY = 100_000
 
 
-def _walked(times: DataFrame, window_us: int) -> DataFrame:
-    """Windows of whole keys (key, ts_us, n): window_start_us and first, the requests of the window before these."""
-    ordered = times.repartition("key").sortWithinPartitions("key", "ts_us")
+def _entries(window_us: int, size: int):
+    """Cuts sorted requests (key, seq, ts_us) into blocks of up to size rows and tells, for the times at which a window of an
+    earlier block's making can begin in a block, where that chain of windows ends in it: _last, the start of its last window,
+    and _place, the row of it among the key's in the block; _n is how many these are. Only a block's first and last key can
+    have rows in other blocks, so only these get entries: the first one its times up to a window after its first time and
+    the one that follows, the last one its first time; of neighbouring times with one end the last stands for all."""
+
+    def chains(at: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The last window's first row for chains that begin at these places of a key's times."""
+        after = np.searchsorted(at, at + window_us, "right")
+        own = np.arange(len(at))
+        to = np.where(after < len(at), after, own)
+        while True:
+            over = to[to]
+            if np.array_equal(over, to):
+                return to[places]
+            to = over
+
+    def block(rows: pa.Table, number: int) -> pa.Table:
+        key, at = rows.column("key").combine_chunks(), rows.column("ts_us").to_numpy()
+        cuts = np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)) + 1
+        bounds = [0, *cuts[[0, -1]].tolist(), len(at)] if len(cuts) else [0, len(at)]
+        last, place, n, known = (np.zeros(len(at), kind) for kind in (np.int64, np.int64, np.int64, bool))
+        for a, b in {(bounds[0], bounds[1]), (bounds[-2], bounds[-1])}:
+            own = at[a:b]
+            few = 1 if a else min(int(np.searchsorted(own, own[0] + window_us, "right")) + 1, len(own))
+            places = np.flatnonzero(np.concatenate([[True], own[1:few] != own[: few - 1]]))
+            ends = chains(own, places)
+            keep = np.concatenate([ends[1:] != ends[:-1], [True]])
+            places, ends = places[keep], ends[keep]
+            last[a + places], place[a + places], n[a + places], known[a + places] = own[ends], ends, b - a, True
+        whole = [pa.array(np.full(len(at), number)), pa.array(np.arange(len(at)))]
+        told = [pa.array(x, mask=~known) for x in (last, place, n)]
+        for name, column in zip(("_block", "_row", "_last", "_place", "_n"), [*whole, *told], strict=True):
+            rows = rows.append_column(name, column)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, rows = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= size:
+                yield from block(pa.Table.from_batches(held), number).to_batches()
+                number, held, rows = number + 1, [], 0
+        if held:
+            yield from block(pa.Table.from_batches(held), number).to_batches()
 
-    def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, before = None, 0, 0
-        for part in parts:
-            names, at, n = part["key"].to_numpy(), part["ts_us"].to_numpy(), part["n"].to_numpy()
-            starts, firsts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                i = a
-                while i < b:
-                    if names[i] != key or at[i] - start > window_us:
-                        key, start, before = names[i], at[i], 0
-                    stop = i + int(np.searchsorted(at[i:b], start + window_us, "right"))
-                    sums = np.cumsum(n[i:stop])
-                    starts[i:stop], firsts[i:stop] = start, before + sums - n[i:stop]
-                    before += int(sums[-1])
-                    i = stop
-            yield pd.DataFrame({"key": names, "ts_us": at, "window_start_us": starts, "first": firsts})
-
-    return ordered.mapInPandas(windows, f"key {dict(times.dtypes)['key']}, ts_us long, window_start_us long, first long")
+    return run
 
 
-def _jumped(times: DataFrame, window_us: int) -> DataFrame:
-    """The same for keys of any size, by pointer jumping: each time points to the first one beyond its window; starting from a
-    key's first time, each round doubles the window starts that are known, so n windows take log2 n rounds of joins by (key,
-    rank). Sums and ranks run over ranges, so a key lies in as many tasks as it needs."""
-    ranked = materialize(followers(times, ["key"], "ts_us", window_us), "times")
+def _walked(entries: DataFrame, window_us: int) -> DataFrame:
+    """Of whole keys' entries those at which a window begins: from the first on, always the next one beyond the window of the
+    chain's last start."""
+    ordered = entries.repartition("key").sortWithinPartitions("key", "ts_us", "_block")
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, bound = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, last = batch.column("ts_us").to_numpy(), batch.column("_last").to_numpy()
+            new = changes(batch, ["key"], before)
+            cuts = np.flatnonzero(new | (np.arange(len(new)) == 0)).tolist()
+            taken = []
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                i = a if new[a] else a + int(np.searchsorted(at[a:b], bound, "right"))
+                while i < b:
+                    taken.append(i)
+                    bound = int(last[i]) + window_us
+                    i = a + int(np.searchsorted(at[a:b], bound, "right"))
+            before = batch.slice(batch.num_rows - 1)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return ordered.mapInArrow(reached, entries.schema)
+
+
+def _jumped(entries: DataFrame, window_us: int) -> DataFrame:
+    """The same for keys of any number of entries, by pointer jumping: each entry points to the next one beyond its chain;
+    starting from a key's first, each round doubles the entries that are known, so n blocks take log2 n rounds of joins by
+    (key, rank). Ranks run over ranges, so a key lies in as many tasks as it needs."""
+    times = entries.groupBy("key", "ts_us").agg(F.min_by(F.struct(*[c for c in entries.columns if c not in ("key", "ts_us")]), "_block").alias("own"))
+    times = materialize(times, "times")  # a time that two blocks share begins a window in the first of them only
+    ranked = materialize(followers(times, ["key"], "ts_us", F.col("own._last") + window_us - F.col("ts_us")), "times")
     jumps = ranked.select("key", "rank", F.col("next").alias("to"))
     reached = [ranked.where("rank = 1").select("key", "rank")]
     while True:
@@ -162,29 +222,85 @@ def _jumped(times: DataFrame, window_us: int) -> DataFrame:
         reached.append(found)
         over = jumps.select("key", F.col("rank").alias("to"), F.col("to").alias("_to"))
         jumps = materialize(jumps.join(over, ["key", "to"]).select("key", "rank", F.col("_to").alias("to")), "jumps")
-    starts = known.withColumn("starts", F.lit(1))
-    marked = ranked.select("key", "rank", "ts_us", "n").join(starts, ["key", "rank"], "left").withColumn("starts", F.coalesce("starts", F.lit(0)))
-    marked = running_totals(marked, ["key"], ["ts_us"], F.col("n"), "earlier")
-    marked = running_totals(marked, ["key"], ["ts_us"], F.col("starts"), "window").withColumn("window", F.col("window") + F.col("starts"))
-    marked = materialize(marked, "marked")
-    windows = marked.where("starts = 1").select("key", "window", F.col("ts_us").alias("window_start_us"), F.col("earlier").alias("base"))
-    return marked.join(windows, ["key", "window"]).select("key", "ts_us", "window_start_us", (F.col("earlier") - F.col("base")).alias("first"))
+    return ranked.join(known, ["key", "rank"], "left_semi").select("key", "ts_us", "own.*").select(*entries.columns)
+
+
+def _carried(ordered: DataFrame, window_us: int) -> DataFrame | None:
+    """For each block whose first key began in an earlier one: the window that is open at its begin (_start, and _base, the
+    key's requests before it) and _offset, the key's requests in earlier blocks. At most one row for each block."""
+    entries = materialize(ordered.where("_last is not null").select("key", "ts_us", "_block", "_last", "_place", "_n"), "entries")
+    parts = entries.groupBy("key", "_block").agg(F.max("_n").alias("_n"))
+    by_key = Window.partitionBy("key")
+    earlier = by_key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_offset": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_blocks": F.count(F.lit(1)).over(by_key)})
+    parts = materialize(parts.where("_blocks > 1").select("key", "_block", "_offset"), "blocks")
+    if not parts.limit(1).count():
+        return None
+    entries = entries.join(parts.select("key").distinct(), "key", "left_semi")
+    large = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_KEY).select("key"), "large-keys")
+    if large.limit(1).count():
+        reached = _walked(entries.join(large, "key", "left_anti"), window_us).unionByName(_jumped(entries.join(large, "key", "left_semi"), window_us))
+    else:
+        reached = _walked(entries, window_us)
+    ended = parts.join(reached.select("key", "_block", "_last", "_place"), ["key", "_block"], "left")
+    window = F.when(F.col("_last").isNotNull(), F.struct(F.col("_last").alias("_start"), (F.col("_offset") + F.col("_place")).alias("_base")))
+    carried = ended.select("key", "_block", "_offset", F.last(window, ignorenulls=True).over(earlier).alias("own")).where("own is not null")
+    return materialize(carried.select("key", "_block", "_offset", "own.*"), "carried")
+
+
+def _numbered(window_us: int):
+    """Adds window_start_us and number to blocks of sorted requests; what a block takes over from earlier ones is its row -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, start, base, rank = None, None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, row = (batch.column(c).fill_null(0).to_numpy() for c in ("ts_us", "_row"))
+            new = changes(batch, ["_block", "key"], before)
+            cuts = np.flatnonzero(new | (np.arange(len(new)) == 0)).tolist()
+            starts, numbers = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                if new[a]:
+                    start, base, rank = None, 0, 0
+                    if row[a] < 0:
+                        start, base, rank = (batch.column(c)[a].as_py() for c in ("_start", "_base", "_offset"))
+                        a += 1
+                i = a
+                while i < b:
+                    if start is None or at[i] - start > window_us:
+                        start, base = int(at[i]), rank + i - a
+                    stop = i + int(np.searchsorted(at[i:b], start + window_us, "right"))
+                    starts[i:stop] = start
+                    numbers[i:stop] = np.arange(rank + i - a - base + 1, rank + stop - a - base + 1)
+                    i = stop
+                rank += b - a
+            before = batch.slice(batch.num_rows - 1)
+            out = batch.select(["key", "seq", "ts_us"]).append_column("window_start_us", pa.array(starts)).append_column("number", pa.array(numbers))
+            yield out.filter(pa.array(row >= 0))
+
+    return run
 
 
 def rate_limited(requests: DataFrame, by: str, window_us: int = RATE_WINDOW_US, limit: int = RATE_LIMIT) -> DataFrame:
     """Requests (seq, ts_us) with window_start_us, number in it and allowed: a window starts at a key's first request after
-    the window before has passed. The start depends on the data, so it is found on a key's distinct times, with their counts:
-    of keys of up to ``LARGE_KEY`` times in order, of larger ones by pointer jumping over many tasks; the requests take their
-    numbers from these. Requests without a key are left out."""
-    own = requests.select(F.col(by).alias("key"), "seq", "ts_us").where("key is not null")
-    times = own.groupBy("key", "ts_us").agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(times.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > LARGE_KEY).select("key"), "large-keys")
-    if large.limit(1).count():
-        walked = _walked(times.join(large, "key", "left_anti"), window_us).unionByName(_jumped(times.join(large, "key", "left_semi"), window_us))
-    else:
-        walked = _walked(times, window_us)
-    same_time = F.row_number().over(Window.partitionBy("key", "ts_us").orderBy("seq"))
-    met = own.withColumn("same", same_time).join(walked, ["key", "ts_us"]).withColumn("number", F.col("first") + F.col("same"))
+    the window before has passed. The start depends on the data: requests are sorted by ranges and written in blocks, each
+    with the ends of the chains of windows that may enter it; the chain of a key is followed from block to block over these
+    entries only (of up to ``LARGE_KEY`` in order, of more by pointer jumping over many tasks); then each block numbers its
+    own rows from what it takes over. A key, and a time, lie in as many tasks as they need; the rows move twice, whatever
+    the number of windows. Requests without a key or a time are left out."""
+    ship_package(requests.sparkSession)
+    own = requests.select(F.col(by).alias("key"), "seq", F.col("ts_us").cast("long").alias("ts_us")).where("key is not null and ts_us is not null")
+    kinds = ", ".join(f"{n} {t}" for n, t in own.dtypes)
+    ordered = own.repartitionByRange("key", "ts_us", "seq").sortWithinPartitions("key", "ts_us", "seq")
+    ordered = ordered.mapInArrow(_entries(window_us, BLOCK_ROWS), f"{kinds}, _block long, _row long, _last long, _place long, _n long")
+    ordered = materialize(ordered, "ordered")
+    carried = _carried(ordered, window_us)
+    rows = ordered.select("key", "seq", "ts_us", "_block", "_row", *[F.lit(None).cast("long").alias(c) for c in ("_start", "_base", "_offset")])
+    if carried is not None:
+        rows = rows.unionByName(carried.withColumn("_row", F.lit(-1).cast("long")), allowMissingColumns=True)
+    blocks = rows.repartition("_block").sortWithinPartitions("_block", "_row")
+    met = blocks.mapInArrow(_numbered(window_us), f"{kinds}, window_start_us long, number long")
     return met.select("key", "seq", "ts_us", "window_start_us", "number", (F.col("number") <= limit).alias("allowed"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.session import materialize, ship_package
 
 
-def _changes(batch: pa.RecordBatch, names: list[str], last: pa.RecordBatch | None) -> np.ndarray:
+def changes(batch: pa.RecordBatch, names: list[str], last: pa.RecordBatch | None) -> np.ndarray:
     """Which rows begin a group; last: the row before the batch."""
     new = np.zeros(batch.num_rows, bool)
     for c in names:
@@ -35,7 +35,7 @@ def _sums(by: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _changes(batch, by, last)
+            new = changes(batch, by, last)
             amount = batch.column("_amount").to_numpy()
             before = np.cumsum(amount) - amount
             at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
@@ -70,7 +70,7 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], amount: Colum
     return met.select(*df.columns, (F.col("_before") + F.col("_offset")).alias(name), *([F.col("_all").alias(total)] if total else []))
 
 
-def followers(values: DataFrame, by: list[str], column: str, shift: int, strict: bool = True) -> DataFrame:
+def followers(values: DataFrame, by: list[str], column: str, shift: int | Column, strict: bool = True) -> DataFrame:
     """Distinct values (by, column, ...) with rank in their group, from 1, and next, the rank of the first one beyond
     column + shift, or, if not strict, of the first one at it or beyond; it may be one more than there are."""
     own, bound = (F.lit(0), F.lit(1)) if strict else (F.lit(1), F.lit(0))

@@ -76,6 +76,44 @@ def test_limiter_of_large_keys(spark, monkeypatch):
     assert sorted(map(tuple, export.rate_limited(df, "k", 40, 3).collect())) == walked
 
 
+def brute_windows(rows, window):
+    out, state = [], {}
+    for k, seq, t in sorted((r for r in rows if r[0] is not None and r[2] is not None), key=lambda r: (r[0], r[2], r[1])):
+        start, number = state.get(k, (None, 0))
+        start, number = (t, 1) if start is None or t - start > window else (start, number + 1)
+        state[k] = start, number
+        out.append((k, seq, t, start, number, number <= 3))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window, span, large", [(40, 3000, 100_000), (40, 3000, 3), (700, 3000, 3), (0, 200, 100_000), (5000, 3000, 3), (3, 30_000, 3)])
+def test_limiter_over_blocks(spark, monkeypatch, window, span, large):
+    """Keys over many blocks, with windows within a block and over several, equal times across blocks, by walk and by jumps."""
+    rng = random.Random(window)
+    rows = [(rng.choice("aaab"), i, rng.randrange(span)) for i in range(500)] + [("b", 500 + i, 77) for i in range(60)]
+    rows += [("c", 600, 5), (None, 601, 5), ("a", 602, None), ("d", 603, 2), ("d", 604, 2 + window), ("d", 605, 3 + window)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, seq long, ts_us long")
+    monkeypatch.setattr(export, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(export, "LARGE_KEY", large)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "7")
+    try:
+        assert sorted(map(tuple, export.rate_limited(df, "k", window, 3).collect())) == brute_windows(rows, window)
+        assert export.rate_limited(df.limit(0), "k", window, 3).collect() == []
+    finally:
+        spark.conf.unset(batch)
+
+
+def test_limiter_writes_its_input_once(spark, monkeypatch):
+    """What is written stays near the number of requests, however many windows a large key has."""
+    written, plain = [], export.materialize
+    monkeypatch.setattr(export, "materialize", lambda df, label: written.append(plain(df, label)) or written[-1])
+    monkeypatch.setattr(export, "LARGE_KEY", 100)
+    export.rate_limited(spark.range(5000).selectExpr("'a' AS k", "id AS seq", "id * 7 AS ts_us"), "k", 40, 3).collect()
+    assert sum(df.count() for df in written) < 2 * 5000
+
+
 def test_sketches_merge(spark):
     """Sketches of nodes merge into a cluster's: the rank error stays within half a per cent."""
     rng = np.random.default_rng(3)
